@@ -73,3 +73,70 @@ def p6_valid(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_covered, p2_found, p2_report, p3_found, p3_tables, p4_found, p6_found, p6_rejects, p6_valid)}
+
+
+_P1 = """
+WITH calls AS (SELECT id, path, scaffold, direction, pos1, pos2 FROM annotations WHERE direction IS NOT NULL AND pos1 >= 1 AND pos2 >= 1
+), spans AS (
+  SELECT id, path, scaffold, direction, pos1 AS s, CASE WHEN pos1 <= pos2 THEN pos2 END AS e FROM calls
+  UNION ALL SELECT id, path, scaffold, direction, 1, pos2 FROM calls WHERE pos1 > pos2
+), seen AS (
+  SELECT *, max(coalesce(e, 9e18::BIGINT)) OVER (PARTITION BY id, path, scaffold, direction ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM spans
+)"""
+
+_P2 = " UNION ALL ".join(
+    f"""SELECT '{child}' AS table_name, strftime(c.loaded_at, '%Y-%m') AS period, c.id, lower(trim(c.{field}, ' ' || chr(9) || chr(10) || chr(13))) AS ref_key FROM {child} c WHERE c.{field} IS NOT NULL AND NOT EXISTS (
+  SELECT 1 FROM {parent} p WHERE lower(trim(p.{key}, ' ' || chr(9) || chr(10) || chr(13))) = lower(trim(c.{field}, ' ' || chr(9) || chr(10) || chr(13))) AND p.loaded_at <= c.loaded_at AND (p.removed_at IS NULL OR c.loaded_at < p.removed_at))"""
+    for child, field, parent, key in (("preprocess", "pre_opts", "pre_opts", "pre_opts"), ("assemble", "assemble_opts", "assemble_opts", "assemble_opts"), ("annotate", "curate_opts", "curate_opts", "curate_opts"), ("annotations", "id", "annotate", "id"))
+)
+
+
+def _values_sql(blanks: bool) -> str:
+    """Values of ``text``: separators of the even pieces become one mark, the pieces are joined and cut at it."""
+    p = "p"
+    for _ in range(2):
+        p = f"regexp_replace({p}, '([0-9]),([0-9])', '\\1\ufdd1\\2', 'g')"
+    p = f"regexp_replace(regexp_replace({p}, '(\\s)/', '\\1\ufdd0', 'g'), '/(\\s)', '\ufdd0\\1', 'g')"
+    p = f"regexp_replace({p}, '[;|,\\t\\r\\n{' ' if blanks else ''}]', '\ufdd0', 'g')"
+    p = f"replace({p}, '\ufdd1', ',')"
+    pieces = """string_split(text, '"')"""
+    joined = f"""array_to_string(list_transform({pieces}, lambda p, i: CASE WHEN i % 2 = 0 THEN p WHEN p = '' AND i > 1 AND i < len({pieces}) THEN '"' ELSE {p} END), '')"""
+    return f"list_filter(list_transform(string_split({joined}, '\ufdd0'), lambda v: trim(v, ' ' || chr(9) || chr(10) || chr(13))), lambda v: v <> '')"
+
+
+def _packed_sql(table_name: str, key: str, field: str, blanks: bool) -> str:
+    return f"""SELECT DISTINCT '{table_name}' AS table_name, '{field}' AS field_name, row_key, i::INT AS pos, v[i] AS item FROM (
+  SELECT row_key, v, unnest(range(1, len(v) + 1)) AS i FROM (SELECT {key} AS row_key, {_values_sql(blanks)} AS v FROM (SELECT *, {field} AS text FROM {table_name}) WHERE text IS NOT NULL) WHERE len(v) >= 2)"""
+
+
+_CALL_KEY = "concat(id, '|', path, '|', scaffold, '|', gene, '|', pos1)"
+_CELL = """"[^"]*(?:""[^"]*)*"|[^",]*"""
+_OUTER = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160) || chr(65279)"
+
+
+def _cells_sql(record: str) -> str:
+    return f"""list_transform(regexp_extract_all(',' || {record}, '(?s),({_CELL})', 1), lambda c: CASE WHEN c[1] = '"' THEN replace(substr(c, 2, length(c) - 2), '""', '"') ELSE c END)"""
+
+
+_P6 = f"""
+WITH heads AS (SELECT sheet, list_transform({_cells_sql("regexp_replace(ltrim(min(raw), chr(65279)), '[\r\n]+$', '')")}, lambda c: lower(trim(c, {_OUTER}))) AS names FROM mapping_test WHERE line_no = 1 GROUP BY sheet
+), body AS (SELECT sheet, line_no, raw, regexp_replace(raw, '[\r\n]+$', '') AS record, names FROM mapping_test LEFT JOIN heads USING (sheet) WHERE line_no <> 1
+), cut AS (SELECT *, regexp_full_match(record, '(?s)(?:{_CELL})(?:,(?:{_CELL}))*') AS quoted, {_cells_sql("record")} AS cells FROM body
+), named AS (SELECT *, quoted AND len(cells) = len(names) AS counted, trim(cells[list_position(names, 'id')], {_OUTER}) AS i, trim(cells[list_position(names, 'taxon')], {_OUTER}) AS t, trim(cells[list_position(names, 'r1')], {_OUTER}) AS a, trim(cells[list_position(names, 'r2')], {_OUTER}) AS b FROM cut
+), checked AS (
+  SELECT *, CASE WHEN names IS NULL THEN 'no header' WHEN NOT quoted THEN 'quoting' WHEN NOT counted THEN 'field count' WHEN i = '' THEN 'id empty' WHEN length(i) > 18 THEN 'id too long' WHEN t = '' THEN 'taxon empty'
+    WHEN NOT regexp_matches(a, '\.(fastq|fq)(\.gz)?$') THEN 'r1 not a read file' WHEN NOT regexp_matches(b, '\.(fastq|fq)(\.gz)?$') THEN 'r2 not a read file' WHEN a = b THEN 'r1 equals r2' END AS why FROM named
+), firsts AS (SELECT sheet, i, min(line_no) AS first_line FROM checked WHERE why IS NULL GROUP BY ALL
+), done AS (SELECT c.*, CASE WHEN why IS NULL AND line_no > first_line THEN 'id repeated' ELSE why END AS reason FROM checked c LEFT JOIN firsts USING (sheet, i))"""
+
+ORACLE = {
+    "p1_found": f"{_P1} SELECT id, path, scaffold, direction, before + 1 AS gap_start, s - 1 AS gap_end FROM seen WHERE s > before + 1",
+    "p1_covered": f"""{_P1}, marked AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY id, path, scaffold, direction ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM seen)
+SELECT id, path, scaffold, direction, min(s) AS period_start, CASE WHEN count(e) = count(*) THEN max(e) END AS period_end FROM marked GROUP BY id, path, scaffold, direction, k""",
+    "p2_found": f"SELECT DISTINCT * FROM ({_P2})",
+    "p2_report": f"SELECT table_name, period, count(*) AS n_orphans, count(DISTINCT ref_key) AS n_keys FROM (SELECT DISTINCT * FROM ({_P2})) GROUP BY ALL",
+    "p4_found": " UNION ALL ".join([_packed_sql("annotations", _CALL_KEY, "warnings", False), _packed_sql("annotations", _CALL_KEY, "notes", False), _packed_sql("annotate", "id", "missing", True), _packed_sql("annotate", "id", "extra", True)]),
+    "p6_found": f"{_P6} SELECT sheet, line_no FROM done WHERE reason IS NOT NULL",
+    "p6_rejects": f"{_P6} SELECT sheet, line_no, reason, raw FROM done WHERE reason IS NOT NULL",
+    "p6_valid": f"{_P6} SELECT sheet, line_no, i AS id, t AS taxon, a AS r1, b AS r2 FROM done WHERE reason IS NULL",
+}
