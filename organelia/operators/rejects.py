@@ -11,6 +11,8 @@ ID_LENGTH = 18
 READ_FILE = r"\.(fastq|fq)(\.gz)?\z"
 #: Quotes are balanced, and a quoted field starts and ends at a field border. Possessive, so that long texts need no stack.
 WELL_QUOTED = r'(?s)\A(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)(?:,(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+))*+\z'
+#: Columns that the parser is allowed; records with more commas are split by the pattern of quoted fields instead.
+PARSER_COLUMNS = 20_000
 _BLANKS = " \t\r\n\f\x0b\u00a0\ufeff"
 _MARK = "\ufeff"
 
@@ -24,6 +26,10 @@ def _record(raw: Column) -> Column:
     return F.regexp_replace(raw, r"[\r\n]+\z", "")
 
 
+def _wide(record: Column) -> Column:
+    return F.length(record) - F.length(F.replace(record, F.lit(","), F.lit(""))) >= PARSER_COLUMNS
+
+
 def _fields(record: Column, width: Column, most: int, quoted: Column) -> Column:
     """Permissive read of a record as ``width`` fields under an explicit schema of ``most`` columns.
 
@@ -33,7 +39,7 @@ def _fields(record: Column, width: Column, most: int, quoted: Column) -> Column:
     schema = ", ".join([f"c{i} string" for i in range(most)] + ["_corrupt string"])
     # A record with broken quoting is not given to the parser, which would guess; it is corrupt as it stands.
     padded = F.concat(record, F.repeat(F.lit(","), (F.lit(most) - width).cast("int")))
-    return F.from_csv(F.when(quoted, padded), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1", "maxColumns": str(max(most + 1, 20480)), "comment": "", "emptyValue": "", "nullValue": "\ufdd0"})
+    return F.from_csv(F.when(quoted & ~_wide(record), padded), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1", "maxColumns": str(most + PARSER_COLUMNS), "comment": "", "emptyValue": "", "nullValue": "\ufdd0"})
 
 
 def _split(record: Column) -> Column:
@@ -73,7 +79,8 @@ def classify_records(sheets: DataFrame, most: int | None = None) -> DataFrame:
     read = read.withColumn("got", _fields(F.col("record"), F.col("width"), most, F.col("quoted")))
     cell = F.array(*[F.col(f"got.c{i}") for i in range(most)])
     value = lambda n: _blank_off(F.coalesce(F.get("cells", F.col(f"at_{n}") - 1), F.lit("")))
-    read = read.withColumn("cells", F.when(F.col("quoted") & F.col("got._corrupt").isNull(), cell))
+    split = _split(F.col("record"))
+    read = read.withColumn("cells", F.when(F.col("quoted") & _wide(F.col("record")), F.when(F.size(split) == F.col("width"), split)).when(F.col("quoted") & F.col("got._corrupt").isNull() & ((F.col("record") != "") | (F.col("width") == 1)), cell))
     read = read.select("sheet", "line_no", "raw", "width", "at_id", "at_taxon", "at_r1", "at_r2", "quoted", F.col("cells").isNotNull().alias("counted"), F.inline(F.array(F.struct(*[value(n.lower()).alias(n.lower()) for n in REQUIRED]))))
     # The generator keeps later filters from being rewritten into many copies of the parse below it.
     reason = (
