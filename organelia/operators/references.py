@@ -114,16 +114,10 @@ def orphans(references: Sequence[Reference], dictionaries: int = DICTIONARIES, s
     rank = F.row_number().over(Window.partitionBy("t", "sub").orderBy("key")).cast("long")
     codes = names.select("t", "key", (F.shiftleft(F.col("sub").cast("long"), 40) + rank - 1).alias("code"))
 
-    def words(bits: DataFrame, out: str) -> DataFrame:
-        return (
-            bits.join(codes, ["t", "key"])
-            .groupBy("t", F.shiftright("code", 6).alias("rng"), "m")
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(code & 63 as int))")).alias(out))
-        )
-
-    refs = words(referred.where("m is not null"), "refs")
-    whole = words(spans.where("whole").select("t", "key", "m").distinct(), "parents")
-    left = refs.join(whole, ["t", "rng", "m"], "left").withColumn("rest", F.col("refs").bitwiseAND(F.bitwise_not(F.coalesce("parents", F.lit(0).cast("long"))))).where("rest <> 0")
+    marks = referred.where("m is not null").select("t", "key", "m", F.lit(False).alias("parent")).unionByName(spans.where("whole").select("t", "key", "m", F.lit(True).alias("parent")))
+    bit = F.expr("shiftleft(1L, cast(code & 63 as int))")
+    words = marks.join(codes, ["t", "key"]).groupBy("t", F.shiftright("code", 6).alias("rng"), "m").agg(F.bit_or(F.when(~F.col("parent"), bit)).alias("refs"), F.bit_or(F.when(F.col("parent"), bit)).alias("parents"))
+    left = words.withColumn("rest", F.col("refs").bitwiseAND(F.bitwise_not(F.coalesce("parents", F.lit(0).cast("long"))))).where("rest <> 0")
     bits = left.select("t", "m", "rng", F.explode(F.expr("filter(sequence(0, 63), b -> (shiftright(rest, b) & 1L) = 1L)")).alias("bit"))
     open_bits = bits.select("t", "m", (F.shiftleft("rng", 6) + F.col("bit")).alias("code")).join(codes, ["t", "code"]).select("t", "key", "m")
 
