@@ -385,7 +385,7 @@ SELECT id, path, gene, coalesce(n, 0) AS n_calls, coalesce(n, 0) < allowed AS mi
 )
 def rules_count(spark, base):
     c = calls(spark, base)
-    return V.count_findings(c, c, _rules(spark), ["id", "path"])
+    return V.count_findings(c, c, params.effective_rules(params.fish()), ["id", "path"])
 
 
 _SIMILARITY = "CASE WHEN json_type(refhits, '$.similarity') = 'ARRAY' THEN from_json(json_extract(refhits, '$.similarity'), '[\"DOUBLE\"]') WHEN refhits IS NOT NULL THEN [json_extract_string(refhits, '$.similarity')::DOUBLE] ELSE [] END"

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,10 +14,14 @@ from organelia.operators.intervals import overlap_join, overlap_length, point_jo
 BUCKET = 4096
 
 
-def count_findings(calls: DataFrame, samples: DataFrame, rules: DataFrame, sample: Sequence[str]) -> DataFrame:
-    """(sample, gene, n_calls, missing, extra) for every gene of the rules: fewer calls than one, or more than the rules allow."""
+def count_findings(calls: DataFrame, samples: DataFrame, rules: Sequence[Mapping[str, Any]], sample: Sequence[str]) -> DataFrame:
+    """(sample, gene, n_calls, missing, extra) for every gene of the rules: fewer calls than one needs, or more than the rules allow.
+
+    ``rules`` are a parameter set's, a few dozen, and are listed in the plan.
+    """
     n = calls.groupBy(*sample, "gene").agg(F.count("*").alias("n_calls"))
-    expected = samples.select(*sample).distinct().join(F.broadcast(rules.select("gene", F.coalesce("count", F.lit(1)).alias("allowed"))))
+    listed = F.array(*[F.struct(F.lit(r["gene"]).alias("gene"), F.lit(int(r["count"] or 1)).alias("allowed")) for r in rules])
+    expected = samples.select(*sample).distinct().select(*sample, F.inline(listed))
     d = expected.join(n, [*sample, "gene"], "left").withColumn("n_calls", F.coalesce("n_calls", F.lit(0).cast("long")))
     return d.select(*sample, "gene", "n_calls", (F.col("n_calls") < F.col("allowed")).alias("missing"), F.greatest(F.col("n_calls") - F.col("allowed"), F.lit(0).cast("long")).alias("extra"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -33,8 +33,8 @@ def ingest(stream: DataFrame, table: str, by: Sequence[str], checkpoint: str, ch
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def sessions(events: DataFrame, keys: Sequence[str], time: str, gap: str, late: str | None = None, measures: Sequence[Column] = ()) -> DataFrame:
-    """(keys, session_start, session_end, n_events, ...): events of a key that follow each other within the gap.
+def sessions(events: DataFrame, keys: Sequence[str], time: str, gap: str, late: str | None = None) -> DataFrame:
+    """(keys, session_start, session_end, n_events): events of a key that follow each other within the gap.
 
     On a stream, ``late`` is how long late events are waited for. Works on tables and streams alike.
     """
@@ -42,7 +42,7 @@ def sessions(events: DataFrame, keys: Sequence[str], time: str, gap: str, late:
     if late is not None:
         d = d.withWatermark(time, late)
     w = F.session_window(time, gap)
-    return d.groupBy(*keys, w.alias("w")).agg(F.count("*").alias("n_events"), *measures).select(*keys, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events", *[F.col(m._jc.toString().split(" AS ")[-1]) for m in measures])
+    return d.groupBy(*keys, w.alias("w")).agg(F.count("*").alias("n_events")).select(*keys, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events")
 
 
 def last_values(events: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:

@@ -180,7 +180,7 @@ def test_warnings(spark):
     assert got["cox1", 1] == ["exceeds max overlap", "check reference stop alignment"]
     assert got["cox1", 71] == ["exceeds max start overlap", "internal stop codon", "non-standard stop codon", "non-standard start codon", "low reference similarity", "check reference start alignment", "check reference stop alignment"]
     assert got["trnL", 300] == []
-    counts = {r["gene"]: r for r in V.count_findings(d, d, rules, ["contig"]).collect()}
+    counts = {r["gene"]: r for r in V.count_findings(d, d, params.effective_rules(params.fish()), ["contig"]).collect()}
     assert counts["cox1"]["extra"] == 1 and counts["trnL"]["missing"] and counts["cob"]["missing"] and not counts["cox1"]["missing"]
     track = spark.createDataFrame([("c", p, 5.0 if p <= 6 else 50.0, None) for p in range(1, 101)], "contig string, position long, depth double, error_rate double")
     weak = {r["pos1"]: r["low_coverage"] for r in V.weak_regions(track, pieces, ["contig"], ["gene", "pos1", "pos2"], bucket=32).collect()}
