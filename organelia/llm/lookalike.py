@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,12 +54,26 @@ def look_alike_form(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), form).otherwise(text)
 
 
+@cache
+def _composed() -> tuple[str, str]:
+    """Characters with an ASCII letter or sign under their accents, and that letter, by the Unicode decompositions."""
+    found = {c: d[0] for c in map(chr, range(0x80, 0xD800)) if (d := unicodedata.normalize("NFD", c)) != c and d[0] < "\x80"}
+    return "".join(found), "".join(found.values())
+
+
+def skeleton(form: Column) -> Column:
+    """The visible ASCII characters of a form without accents: the same for all forms that the collation holds equal."""
+    return F.regexp_replace(F.when(form.rlike(r"[^\x00-\x7F]"), F.translate(form, *_composed())).otherwise(form), r"[^\x09-\x0D\x20-\x7E]+", "")
+
+
 def classes(documents: DataFrame, collation: str = "UNICODE") -> DataFrame:
     """(doc_id, text_id, class_id): each document, its exact text and its class of equal look.
 
-    1. Copies of a text are reduced to one representative, the least doc_id, by the text's hash.
-    2. The representatives' forms are grouped under an accent- and case-sensitive Unicode collation, whose
-       minimum is the class's canonical member (``class_id``); it is joined back to the forms.
+    1. Copies of a text are reduced to one representative, the least doc_id, by the text's hash. The hash
+       of its form's skeleton, which equal-looking texts share, rides along.
+    2. Only texts that share their skeleton with another text can look equal; only these are fetched. Their
+       forms are grouped under an accent- and case-sensitive Unicode collation, whose minimum is the class's
+       canonical member (``class_id``); it is joined back to the forms. Any other text is its own class.
 
     ``text_id`` is the 128-bit hash of the text as it stands. The canonical member does not depend on row
     order. Documents with NULL doc_id or text are left out; an empty text is a text. A repeated doc_id
@@ -64,13 +81,17 @@ def classes(documents: DataFrame, collation: str = "UNICODE") -> DataFrame:
     over a class, before the shuffle, so a class or a text with most of the rows is no group in memory.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null").withColumn("text_id", F.unhex(F.md5("text")))
-    ids = docs.select("doc_id", "text_id")
-    texts = ids.groupBy("text_id").agg(F.min("doc_id").alias("rep"))
-    first = docs.join(texts.withColumnRenamed("rep", "doc_id"), ["doc_id", "text_id"], "left_semi").dropDuplicates(["text_id"])
-    forms = first.select("text_id", F.col("doc_id").alias("rep"), F.collate(look_alike_form(F.col("text")), collation).alias("form"))
-    canonical = forms.groupBy("form").agg(F.min("rep").alias("class_id"))
-    named = forms.join(canonical, "form").select("text_id", "class_id")
-    return ids.join(named, "text_id").select("doc_id", "text_id", "class_id")
+    ids = docs.select("doc_id", "text_id", F.xxhash64(skeleton(look_alike_form(F.col("text")))).alias("bone"))
+    texts = ids.groupBy("text_id").agg(F.min("doc_id").alias("rep"), F.min("bone").alias("bone"))
+    shared = texts.groupBy("bone").agg(F.count("*").alias("n")).where("n > 1").select("bone")
+    suspects = texts.join(shared, "bone").select(F.col("rep").alias("doc_id"), "text_id", "bone")
+    first = docs.join(suspects, ["doc_id", "text_id"]).select("text_id", F.col("doc_id").alias("rep"), "bone", F.collate(look_alike_form(F.col("text")), collation).alias("form"))
+    # Rows of one skeleton are brought together by its hash, so the collation only ever compares likely equals.
+    forms = first.repartition("bone")
+    canonical = forms.groupBy("bone", "form").agg(F.min("rep").alias("class_id"))
+    named = forms.join(canonical, ["bone", "form"]).select("text_id", "class_id").distinct()
+    of = texts.join(named, "text_id", "left").select("text_id", F.coalesce("class_id", "rep").alias("class_id"))
+    return ids.select("doc_id", "text_id").join(of, "text_id").select("doc_id", "text_id", "class_id")
 
 
 def equal_looking_pairs(found: DataFrame) -> DataFrame:
