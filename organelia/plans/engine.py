@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from organelia.functions import align
 from organelia.functions import seq as S
 from organelia.functions import text as X
 from organelia.operators import dml
@@ -72,20 +73,39 @@ _MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in S.genetic_code(CODE).item
 
 
 # Sequences ---------------------------------------------------------------------------------------
+# What is asked of a sequence is computed where the row is read; only the answers are made distinct.
 
+_SEQS = "seqs AS (SELECT id, path, scaffold, topology, upper(sequence) AS sequence FROM assemblies WHERE sequence IS NOT NULL)"
 
-@query(f"WITH {_CONTIGS} SELECT id, path, scaffold, md5({_revcomp_sql('sequence')}) AS rc_md5, length(sequence)::INT AS bases FROM contigs")
+
+def sequences(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "assemblies").where("sequence is not null").select(*CONTIG, "topology", F.upper("sequence").alias("sequence"))
+
+
+@query(f"WITH {_SEQS} SELECT DISTINCT id, path, scaffold, md5({_revcomp_sql('sequence')}) AS rc_md5, length(sequence)::INT AS bases FROM seqs")
 def seq_revcomp(spark, base):
-    return contigs(spark, base).select(*CONTIG, F.md5(S.reverse_complement(F.col("sequence"))).alias("rc_md5"), F.length("sequence").alias("bases"))
+    return sequences(spark, base).select(*CONTIG, F.md5(S.reverse_complement(F.col("sequence"))).alias("rc_md5"), F.length("sequence").alias("bases")).distinct()
 
 
 @query(
-    f"""WITH {_CONTIGS} SELECT id, path, scaffold, (length(sequence) - length(translate(sequence, 'GC', '')))::INT AS gc, (length(sequence) - length(translate(sequence, 'ACGT', '')))::INT AS acgt,
-(length(sequence) - length(translate(sequence, 'GC', ''))) / length(sequence) AS gc_fraction FROM contigs"""
+    f"""WITH {_SEQS} SELECT DISTINCT id, path, scaffold, (length(sequence) - length(translate(sequence, 'GC', '')))::INT AS gc, (length(sequence) - length(translate(sequence, 'ACGT', '')))::INT AS acgt,
+(length(sequence) - length(translate(sequence, 'GC', ''))) / length(sequence) AS gc_fraction FROM seqs"""
 )
 def seq_gc(spark, base):
     s = F.col("sequence")
-    return contigs(spark, base).select(*CONTIG, S.count_bases(s, "GC").alias("gc"), S.count_bases(s, "ACGT").alias("acgt"), S.gc_fraction(s).alias("gc_fraction"))
+    return sequences(spark, base).select(*CONTIG, S.count_bases(s, "GC").alias("gc"), S.count_bases(s, "ACGT").alias("acgt"), S.gc_fraction(s).alias("gc_fraction")).distinct()
+
+
+@query(f"WITH {_SEQS}, d AS (SELECT DISTINCT md5(sequence) AS h, id || '.' || path || '.' || scaffold AS key FROM seqs) SELECT min(key) AS kept, count(*) AS n FROM d GROUP BY h")
+def seq_dedup_first(spark, base):
+    key = F.concat_ws(".", *[F.col(c).cast("string") for c in CONTIG])
+    return sequences(spark, base).select(F.md5("sequence").alias("h"), key.alias("key")).distinct().groupBy("h").agg(F.min("key").alias("kept"), F.count("*").alias("n")).select("kept", "n")
+
+
+@query(f"WITH {_SEQS} SELECT DISTINCT id, md5('>' || id || ' [topology=' || topology || '] path ' || path || chr(10) || regexp_replace(sequence, '(.{{80}})', '\\1' || chr(10), 'g')) AS record_md5 FROM seqs")
+def fasta_records(spark, base):
+    body = F.regexp_replace("sequence", "(.{80})", "$1\n")
+    return sequences(spark, base).select("id", F.md5(K.fasta_lines(X.glue("{id} [topology={topology}] path {path}"), body)).alias("record_md5")).distinct()
 
 
 def _proteins(spark, base):
@@ -115,17 +135,27 @@ def seq_codon_usage(spark, base):
     return _proteins(spark, base).select(F.explode(S.codons(coding)).alias("codon")).where("length(codon) = 3").groupBy("codon").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_CONTIGS}, first AS (SELECT md5(sequence) AS h, min(id || '.' || path || '.' || scaffold) AS kept, count(*) AS n FROM contigs GROUP BY 1) SELECT kept, n FROM first")
-def seq_dedup_first(spark, base):
-    key = F.concat_ws(".", *[F.col(c).cast("string") for c in CONTIG])
-    return contigs(spark, base).groupBy(F.md5("sequence").alias("h")).agg(F.min(key).alias("kept"), F.count("*").alias("n")).select("kept", "n")
+# Two proteins of each gene stand in for a reference database: the first and the last by text.
+def _references(spark, base):
+    p = table(spark, base, "annotations").where("type = 'PCG' and translation is not null and translation <> ''")
+    return p.groupBy("gene").agg(F.min("translation").alias("a"), F.max("translation").alias("b"))
 
 
-@query(f"WITH {_CONTIGS} SELECT id, md5('>' || id || ' [topology=' || topology || '] path ' || path || chr(10) || regexp_replace(sequence, '(.{{80}})', '\\1' || chr(10), 'g')) AS record_md5 FROM contigs")
-def fasta_records(spark, base):
-    d = contigs(spark, base)
-    body = F.regexp_replace("sequence", "(.{80})", "$1\n")
-    return d.select("id", F.md5(K.fasta_lines(X.glue("{id} [topology={topology}] path {path}"), body)).alias("record_md5"))
+@query(None)
+def protein_similarity(spark, base):
+    p = table(spark, base, "annotations").where("type = 'PCG' and translation is not null and translation <> ''").select("gene", F.col("translation").alias("query")).distinct()
+    pairs = p.join(_references(spark, base).select("gene", F.explode(F.array_distinct(F.array("a", "b"))).alias("target")), "gene")
+    scored = align.score_pairs(pairs)
+    return W.top_per_group(scored, ["gene", "query"], [F.desc("similarity"), F.col("target")], 1).select("gene", F.md5("query").alias("query_md5"), "pctid", "similarity", "gap_leading", "gap_trailing")
+
+
+@query(None)
+def curate_boundaries(spark, base):
+    d = calls(spark, base, "stop_codon").where("type = 'PCG' and stop_codon is not null").join(contigs(spark, base).select(*CONTIG, "sequence"), CONTIG).where("pos2 <= length(sequence)")
+    refs = _references(spark, base).select("gene", F.array(F.struct(F.lit("a").alias("acc"), F.col("a").alias("target")), F.struct(F.lit("b").alias("acc"), F.col("b").alias("target"))).alias("references"))
+    d = d.join(refs, "gene").join(F.broadcast(_rules(spark).select("gene", "start_codons", "stop_codons")), "gene")
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in (*CONTIG, "gene", "pos1", "pos2", "direction", "stop_codon")])
+    return curate.refined_calls(d.withColumns({"row_id": key, "notes": F.lit(None).cast("string")}), CODE, 40).select("row_id", "pos1", "pos2", "length", "start_codon", "stop_codon", "notes")
 
 
 # Per-base tracks ---------------------------------------------------------------------------------
