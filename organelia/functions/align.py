@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from organelia.session import ship
+
 GAP_OPEN, GAP_EXTEND = 10, 4
 
 # The lower triangle of the published BLOSUM80 matrix, one row an amino acid.
@@ -152,6 +154,7 @@ def compared(query: pd.Series, target: pd.Series) -> pd.DataFrame:
 
 def score_pairs(pairs: DataFrame, query: str = "query", target: str = "target") -> DataFrame:
     """Pairs with their scores; each distinct pair of texts is aligned once."""
+    ship(pairs.sparkSession)
     distinct = pairs.select(query, target).distinct().withColumn("_r", compared(query, target))
     return pairs.join(distinct, [query, target]).select(*pairs.columns, "_r.*")
 
@@ -238,6 +241,7 @@ def alignment_report(df: DataFrame, group: str, name: str, sequence: str, most:
         order = cluster_order(d)
         return pd.DataFrame({"group": frame["grp"].iloc[0], "name": [frame[name].iloc[i] for i in order], "ord": range(1, len(order) + 1), "aligned": [aligned[i] for i in order], "mean_distance": [float(d[i].sum() / max(len(order) - 1, 1)) for i in order]})
 
+    ship(df.sparkSession)
     kept = df.where(F.col(sequence).isNotNull() & (F.col(sequence) != "")).select(F.col(group).alias("grp"), name, sequence)
     return kept.groupBy("grp").applyInPandas(run, "group string, name string, ord int, aligned string, mean_distance double")
 

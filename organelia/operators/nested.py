@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from organelia.session import ship
+
 SECTIONS = ("default_rules", "rules")
 SCALARS = ("type", "count", "max_len", "min_len")
 OVERLAPS = ("start", "stop")
@@ -171,6 +173,7 @@ def rule_nodes(df: DataFrame, key: str = "curate_opts", params: str = "params")
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
 
+    ship(df.sparkSession)
     return df.select(F.col(key).cast("string"), F.col(params).cast("string")).mapInArrow(run, NODES)
 
 

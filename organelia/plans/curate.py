@@ -13,6 +13,7 @@ from organelia.functions.align import compare
 from organelia.functions.seq import BASES, COMPLEMENTS, genetic_code
 from organelia.functions.text import append_note
 from organelia.operators.intervals import flip, flip_strand
+from organelia.session import ship
 
 _COMPLEMENT = str.maketrans(BASES, COMPLEMENTS)
 
@@ -207,6 +208,7 @@ def refined_calls(calls: DataFrame, table: int, threshold: float, most: int = 10
             if out:
                 yield pd.DataFrame(out, columns=["row_id", "pos1", "pos2", "length", "start_codon", "stop_codon", "translation", "notes", "hits"])
 
+    ship(calls.sparkSession)
     ready = calls.where("pos1 <= pos2 and pos1 >= 1 and stop_codon is not null and sequence is not null and direction is not null and size(references) > 0 and start_codons is not null and stop_codons is not null")
     return ready.select("row_id", "pos1", "pos2", "direction", "stop_codon", "notes", "sequence", "references", "start_codons", "stop_codons").mapInPandas(run, REFINED)
 

@@ -125,7 +125,7 @@ WITH heads AS (SELECT sheet, list_transform({_cells_sql("regexp_replace(ltrim(mi
 ), named AS (SELECT *, quoted AND len(cells) = len(names) AS counted, trim(cells[list_position(names, 'id')], {_OUTER}) AS i, trim(cells[list_position(names, 'taxon')], {_OUTER}) AS t, trim(cells[list_position(names, 'r1')], {_OUTER}) AS a, trim(cells[list_position(names, 'r2')], {_OUTER}) AS b FROM cut
 ), checked AS (
   SELECT *, CASE WHEN names IS NULL THEN 'no header' WHEN NOT quoted THEN 'quoting' WHEN NOT counted THEN 'field count' WHEN i = '' THEN 'id empty' WHEN length(i) > 18 THEN 'id too long' WHEN t = '' THEN 'taxon empty'
-    WHEN NOT regexp_matches(a, '\.(fastq|fq)(\.gz)?$') THEN 'r1 not a read file' WHEN NOT regexp_matches(b, '\.(fastq|fq)(\.gz)?$') THEN 'r2 not a read file' WHEN a = b THEN 'r1 equals r2' END AS why FROM named
+    WHEN NOT regexp_matches(a, '\\.(fastq|fq)(\\.gz)?$') THEN 'r1 not a read file' WHEN NOT regexp_matches(b, '\\.(fastq|fq)(\\.gz)?$') THEN 'r2 not a read file' WHEN a = b THEN 'r1 equals r2' END AS why FROM named
 ), firsts AS (SELECT sheet, i, min(line_no) AS first_line FROM checked WHERE why IS NULL GROUP BY ALL
 ), done AS (SELECT c.*, CASE WHEN why IS NULL AND line_no > first_line THEN 'id repeated' ELSE why END AS reason FROM checked c LEFT JOIN firsts USING (sheet, i))"""
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,26 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "organelia")
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers of the session's executors, once: they need not have it installed.
+
+    The driver makes an archive of the code and Spark sends it out; no task reads a folder of the driver's.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="organelia-code-")) / "organelia.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent).as_posix())
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{base}/{name}.parquet")

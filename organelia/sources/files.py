@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from organelia.session import ship
+
 READ_COUNT_SCHEMA = "seq_id string, position long, ref_base string, depth long, eq string, a string, c string, g string, t string, n string"
 STATS_SCHEMA = "seq_id string, position long, call string, depth double, correct double, error_rate string, mean_depth string, gc double"
 
@@ -163,6 +165,7 @@ def genbank(spark: SparkSession, path: str) -> DataFrame:
             if rows:
                 yield pd.DataFrame([dict(zip(("name", "definition", "organism", "organelle", "n_features", "features", "products", "sequence"), (*r[:5], dict(r[5]), *r[6:]), strict=True)) for r in rows])
 
+    ship(spark)
     return spark.read.option("lineSep", "\n//").text(path).mapInPandas(run, _GENBANK)
 
 
