@@ -16,8 +16,10 @@ from organelia.session import cut
 DICTIONARIES = 256
 #: Width in microseconds of the time buckets in which live spans are merged.
 SPAN_BUCKET = 30 * 86_400 * 1_000_000
-#: Parts that a group of more than one thousandth of a reference's rows is split into.
-SALTS = 16
+#: A group of more than one thousandth of a relation's rows is split into this many stretches of its month, and each into hash parts.
+CELLS = 32
+CELL = 31 * 86_400 * 1_000_000 // CELLS
+SALTS = 4
 
 
 @dataclass(frozen=True)
@@ -66,7 +68,8 @@ def orphans(references: Sequence[Reference], dictionaries: int = DICTIONARIES, s
        month are or-ed into 64-bit words; words without a bit are never stored.
     3. ``refs AND NOT parents`` leaves the (key, month) bits that may hold orphans; they are decoded.
     4. Rows of those bits are held exactly against the parents' live spans, which are merged by a sweep
-       line and cut at month ends. A (key, month) with over a thousandth of a relation's rows is salted.
+       line and cut at month ends. A (key, month) with over a thousandth of a relation's rows is cut into
+       stretches of time and salted, so that neither its rows nor their comparisons meet in one task.
 
     NULL keys refer to nothing. Empty text is a key like any other. A child without ``loaded_at`` finds no
     parent: it is an orphan with ``period`` NULL. A parent without ``loaded_at``, or withdrawn before it
@@ -122,20 +125,30 @@ def orphans(references: Sequence[Reference], dictionaries: int = DICTIONARIES, s
     open_bits = bits.select("t", "m", (F.shiftleft("rng", 6) + F.col("bit")).alias("code")).join(codes, ["t", "code"]).select("t", "key", "m")
 
     # A group is hot from a thousandth of its relation's rows on, so there are at most a thousand a relation.
-    hot = F.broadcast(referred.join(relations, "t").where("m is not null and n * 1000 >= all_n").select("t", "key", "m", F.lit(salts).alias("parts")))
-
-    def salted(d: DataFrame) -> DataFrame:
-        return d.join(hot, ["t", "key", "m"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-
-    rows = children.where("m is not null").join(hot, ["t", "key", "m"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id", "ts"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
-    on = ["t", "key", "m", "salt"]
-    suspects = rows.join(salted(open_bits), on, "left_semi")
-    alive = salted(spans.select("t", "key", "m", "s", "e"))
-    missing = suspects.alias("c").join(
-        alive.alias("p"),
-        (F.col("c.t") == F.col("p.t")) & (F.col("c.key") == F.col("p.key")) & (F.col("c.m") == F.col("p.m")) & (F.col("c.salt") == F.col("p.salt")) & (F.col("c.ts") >= F.col("p.s")) & (F.col("p.e").isNull() | (F.col("c.ts") <= F.col("p.e"))),
-        "left_anti",
+    hot = F.broadcast(referred.join(relations, "t").where("m is not null and n * 1000 >= all_n").select("t", "key", "m", F.lit(True).alias("hot")))
+    split = F.coalesce("hot", F.lit(False))
+    start = _month_start(F.col("m"))
+    cell = lambda us: F.least(F.greatest(F.floor((us - start) / F.lit(CELL)), F.lit(0)), F.lit(CELLS - 1)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.when(split, n - 1).otherwise(0)))
+
+    rows = children.where("m is not null").join(hot, ["t", "key", "m"], "left")
+    rows = rows.withColumn("cell", F.when(split, cell(F.col("ts"))).otherwise(0)).withColumn("salt", F.when(split, F.pmod(F.xxhash64("id", "ts"), F.lit(salts))).otherwise(0).cast("int")).drop("hot")
+    wanted = open_bits.join(hot, ["t", "key", "m"], "left").withColumn("cell", every(CELLS)).withColumn("salt", every(salts)).drop("hot")
+    on = ["t", "key", "m", "cell", "salt"]
+    suspects = rows.join(wanted, on, "left_semi")
+    last = F.coalesce("e", F.lit((1 << 62)))
+    alive = (
+        spans.select("t", "key", "m", "s", "e")
+        .join(open_bits, ["t", "key", "m"], "left_semi")
+        .join(hot, ["t", "key", "m"], "left")
+        .withColumn("cell", F.explode(F.when(split, F.sequence(cell(F.col("s")), cell(last))).otherwise(F.array(F.lit(0)))))
+        .withColumn("salt", every(salts))
+        .drop("hot")
     )
+    same = F.lit(True)
+    for c in on:
+        same = same & (F.col(f"c.{c}") == F.col(f"p.{c}"))
+    missing = suspects.alias("c").join(alive.alias("p"), same & (F.col("c.ts") >= F.col("p.s")) & (F.col("p.e").isNull() | (F.col("c.ts") <= F.col("p.e"))), "left_anti")
     undated = children.where("m is null")
     found = missing.select("t", "id", "key", "ts").unionByName(undated.select("t", "id", "key", "ts"))
     name = F.element_at(F.array(*[F.lit(r.name) for r in references]), F.col("t") + 1)
