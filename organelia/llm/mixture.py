@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from organelia.llm.tokens import TOKENIZER, token_count
-from organelia.session import cut
+from organelia.session import cut, ship
 
 #: Bits of the remaining budget that is fitted exactly; the part above is taken evenly over the lengths.
 WINDOW = 1 << 16
@@ -98,6 +98,7 @@ def mix_sources(documents: DataFrame, targets: Sequence[Target], total_tokens: i
     less get nothing. Other columns are not read.
     """
     wanted = {t.source.strip().lower(): t for t in targets if t.source is not None and (t.share or 0) > 0 and (t.max_repeats or 0) > 0}
+    ship(documents.sparkSession)
     known = source_key(F.col("source"))
     sized = cut(
         documents.where(known.isin(list(wanted) or [""]) & F.col("doc_id").isNotNull() & F.col("text").isNotNull())

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from organelia.session import cut
+from organelia.session import cut, ship
 
 K = 16
 THRESHOLD = 0.5
@@ -151,6 +151,7 @@ def sketches(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SKETCH.types, strict=True)], schema=_SKETCH)
 
+    ship(keyed.sparkSession)
     return keyed.select("key", "sequence").where("key is not null and sequence is not null").mapInArrow(run, "key string, fp binary, n int, regs array<int>, prefix array<bigint>, packed binary")
 
 
@@ -202,6 +203,7 @@ def _verify(pairs: DataFrame, threshold: float) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
+    ship(pairs.sparkSession)
     return pairs.select("a", "b", "pa", "pb").mapInArrow(run, "a binary, b binary, similarity double")
 
 
