@@ -55,7 +55,8 @@ def write_version(df: DataFrame, folder: str, version: int | None = None) -> int
     """The table as the next numbered version under a folder; a version is complete or not there at all."""
     spark = df.sparkSession
     n = (latest_version(spark, folder) or 0) + 1 if version is None else version
-    df.write.mode("errorifexists").parquet(f"{folder}/v{n:06d}")
+    # What an earlier, failed write left under this number is no version and is written over.
+    df.write.mode("overwrite").parquet(f"{folder}/v{n:06d}")
     return n
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from organelia.functions.seq import codons, reverse_complement
 from organelia.operators.dml import update_rows
 from organelia.operators.windows import islands, longest_run
 from organelia.plans.annotate import rotated_calls
@@ -53,3 +54,37 @@ def with_start(calls: DataFrame, codons: Column) -> DataFrame:
     step = F.coalesce(codons, F.lit(0)) * 3
     plus = F.col("direction") == "+"
     return calls.withColumns({"pos1": F.when(plus, F.col("pos1") + step).otherwise(F.col("pos1")), "pos2": F.when(plus, F.col("pos2")).otherwise(F.col("pos2") - step)}).withColumn("length", F.abs(F.col("pos2") - F.col("pos1")) + 1)
+
+
+def next_stop(sequence: str, stops: Sequence[str], reach: int) -> tuple[Column, Column, Column, Column]:
+    """Columns (inward, its stop, outward, its stop): codons from a call's stop codon to the nearest codons that begin with a valid stop.
+
+    The longest stop that fits counts, so a partial stop is used only where no whole one does. Positions are
+    on the call's own strand; NULL where there is none within ``reach`` codons.
+    """
+    seq, size = F.col(sequence), F.length(sequence)
+    back = F.col("direction") == "-"
+    own = F.when(back, reverse_complement(seq)).otherwise(seq)
+    last = F.when(back, size - F.col("pos1") + 1).otherwise(F.col("pos2")).cast("int")
+    codon_at = last - F.length("stop_codon") + 1
+    order = sorted(stops, key=len, reverse=True)
+
+    def fit(c: Column) -> Column:
+        return F.coalesce(*[F.when(F.startswith(c, F.lit(s)), F.lit(s)) for s in order])
+
+    def nearest(cells: Column) -> tuple[Column, Column]:
+        found = F.transform(cells, lambda c, i: F.struct((i + 1).alias("n"), fit(c).alias("s")))
+        first = F.get(F.filter(found, lambda x: x["s"].isNotNull()), F.lit(0))
+        return first["n"], first["s"]
+
+    room = F.least(F.lit(reach), F.floor((codon_at - 1) / 3)).cast("int")
+    inward = F.reverse(codons(F.substr(own, codon_at - 3 * room, 3 * room)))
+    outward = codons(F.substr(own, codon_at + 3, F.lit(3 * reach)))
+    return (*nearest(inward), *nearest(outward))
+
+
+def with_stop(calls: DataFrame, steps: Column, stop: Column) -> DataFrame:
+    """Calls whose stop codon is moved by whole codons (below 0 inward) and becomes ``stop``; NULL moves nothing."""
+    move = F.coalesce(steps * 3 + F.length(stop) - F.length("stop_codon"), F.lit(0))
+    plus = F.col("direction") == "+"
+    return calls.withColumns({"pos1": F.when(plus, F.col("pos1")).otherwise(F.col("pos1") - move), "pos2": F.when(plus, F.col("pos2") + move).otherwise(F.col("pos2")), "stop_codon": F.when(steps.isNotNull(), stop).otherwise(F.col("stop_codon"))}).withColumn("length", F.abs(F.col("pos2") - F.col("pos1")) + 1)

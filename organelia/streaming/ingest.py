@@ -19,16 +19,15 @@ def file_stream(spark: SparkSession, path: str, schema: str, kind: str = "parque
 def ingest(stream: DataFrame, table: str, by: Sequence[str], checkpoint: str, change: Callable[[DataFrame, DataFrame, Sequence[str]], DataFrame] = replace_rows) -> StreamingQuery:
     """Apply what has arrived to a versioned table and stop.
 
-    A batch's version number follows from its id, so a batch that is run again after a failure finds its
-    version and changes nothing. Within a batch the last row of a key by ``loaded_at`` counts.
+    Changes go by key, so a batch that is run again after a failure makes a further version with the same
+    content. Within a batch the last row of a key by ``loaded_at`` counts. One writer per table.
     """
     spark = stream.sparkSession
-    start = latest_version(spark, table) or 0
 
     def apply(batch: DataFrame, number: int) -> None:
         last = batch.groupBy(*by).agg(F.max_by(F.struct(*batch.columns), F.struct("loaded_at")).alias("r")).select("r.*")
         now = latest_version(spark, table)
-        write_version(last if now is None else change(read_version(spark, table), last, by), table, max(start, now or 0) + 1)
+        write_version(last if now is None else change(read_version(spark, table), last, by), table, (now or 0) + 1)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -20,3 +20,17 @@ def test_linearize_move_and_delete(spark):
     assert sorted((r["gene"], r["pos1"], r["length"]) for r in gone.where("k = 'c'").collect()) == [("x", 10, 11), ("y", 0, 0)]
     steps = F.when(F.col("gene") == "y", -1).when(F.col("k") == "c", 2)
     assert sorted((r["k"], r["gene"], r["pos1"], r["pos2"], r["length"]) for r in edit.with_start(calls, steps).collect()) == [("c", "x", 16, 20, 5), ("c", "y", 30, 43, 14), ("d", "x", 5, 9, 5)]
+
+
+def test_move_stop(spark):
+    contig = "CCATGAAATAGCCCTTGGGTAACC"  # ATG AAA TAG CCC TTG GGT AA
+    comp = str.maketrans("ACGT", "TGCA")
+    n = len(contig)
+    rows = [("p", 3, 17, "+", "TTG", contig), ("m", n - 17 + 1, n - 2, "-", "TTG", contig.translate(comp)[::-1])]
+    d = spark.createDataFrame(rows, "k string, pos1 long, pos2 long, direction string, stop_codon string, s string")
+    inward, s1, outward, s2 = edit.next_stop("s", ["TAA", "TAG", "GG"], 4)
+    got = {r["k"]: tuple(r)[1:] for r in d.select("k", inward.alias("a"), s1.alias("b"), outward.alias("c"), s2.alias("d")).collect()}
+    assert got == {"p": (2, "TAG", 1, "GG"), "m": (2, "TAG", 1, "GG")}
+    e = d.withColumn("a", inward).withColumn("b", s1)
+    moved = {r["k"]: (r["pos1"], r["pos2"], r["stop_codon"], r["length"]) for r in edit.with_stop(e, -F.col("a"), F.col("b")).collect()}
+    assert moved == {"p": (3, 11, "TAG", 9), "m": (n - 11 + 1, n - 2, "TAG", 9)}

@@ -1,5 +1,6 @@
 import base64
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -63,3 +64,40 @@ def test_tables_keep_links(spark):
     linked = tables["codons"].join(parents, "parent_id").select("rule").distinct().collect()
     assert [r[0] for r in linked] == ["PCG"]
     assert rule_values(df.limit(0)).count() == 0
+
+
+def test_random_shapes():
+    rng = random.Random(12)
+
+    def shape(node):
+        if isinstance(node, dict):
+            node = {k: shape(v) for k, v in node.items()}
+        elif isinstance(node, list):
+            node = [shape(v) for v in node]
+        for _ in range(rng.randint(0, 2)):
+            node = [node] if rng.random() < 0.6 or not isinstance(node, (dict, list)) else json.dumps(node)
+        return node
+
+    for _ in range(200):
+        rules, expected = {}, set()
+        for gene in rng.sample(["cox1", "trnF", "cob", "T", "12"], rng.randint(1, 4)):
+            rule = {"type": rng.choice(["PCG", "tRNA"])}
+            expected.add(("rules", gene, "type", 1, rule["type"]))
+            if rng.random() < 0.5:
+                rule["count"] = rng.choice([1, "2", 350])
+                expected.add(("rules", gene, "count", 1, str(rule["count"])))
+            if rng.random() < 0.5:
+                rule["overlap"] = {"start": 5, "stop": rng.choice([True, "FALSE"])}
+                expected |= {("rules", gene, "overlap.start", 1, "5"), ("rules", gene, "overlap.stop", 1, str(rule["overlap"]["stop"]).lower())}
+            if rng.random() < 0.5:
+                rule["stop_codons"] = rng.sample(["TAA", "TAG", "T", "AG"], rng.randint(1, 4))
+                expected |= {("rules", gene, "stop_codons", i, c) for i, c in enumerate(rule["stop_codons"], 1)}
+            if rng.random() < 0.3:
+                rule["max_len"] = rng.choice([None, [], "NA", "", [None]])
+            rules[gene] = rule
+        if rng.random() < 0.5:
+            rules = [{"gene": g, **r} for g, r in rules.items()]
+        text = json.dumps(shape({"rules": rules, "other": [1, {"x": 2}]}))
+        if rng.random() < 0.3:
+            text = base64.b64encode(text.encode()).decode()
+        assert values(text) == expected, text

@@ -185,3 +185,24 @@ def test_warnings(spark):
     track = spark.createDataFrame([("c", p, 5.0 if p <= 6 else 50.0, None) for p in range(1, 101)], "contig string, position long, depth double, error_rate double")
     weak = {r["pos1"]: r["low_coverage"] for r in V.weak_regions(track, pieces, ["contig"], ["gene", "pos1", "pos2"], bucket=32).collect()}
     assert weak[1] and not weak[71]
+
+
+def test_tool_output_becomes_calls(spark):
+    table = spark.createDataFrame([("c ", 1, 100, 30, "Phe", "GAA"), ("c", 2, 5, 20, "Xxx", "NNN")], "seq string, idx int, begin long, end long, type string, anticodon string")
+    got = sorted(tuple(r) for r in An.trna_calls(table).select("contig", "gene", "pos1", "pos2", "length", "direction").where("gene is not null").collect())
+    assert got == [("c", "trnF", 30, 100, 71, "-")]
+    contig = "TAACCCATGAAAGGGTAGCCCATG"
+    heads = spark.createDataFrame(
+        [("c", 7, 18, "+", "nad1", "nad1"), ("c", 22, 3, "+", "cob", "cob"), ("c", 1, 4, "+", "OH_0", "OH"), ("c", 1, 4, "+", "OH_1", "OH"), ("c", 2, 9, "-", "rrnS", "rrnS"), ("x", 1, 9, "+", "cox1", "cox1")],
+        "contig string, pos1 long, pos2 long, direction string, gene_id string, gene string",
+    )
+    contigs = spark.createDataFrame([("c", contig)], "contig string, sequence string")
+    calls = {(r["contig"], r["gene"]): r for r in An.gene_calls(heads, contigs, 2).collect()}
+    assert len(calls) == 5
+    nad1, cob = calls["c", "nad1"], calls["c", "cob"]
+    assert (nad1["type"], nad1["start_codon"], nad1["stop_codon"], nad1["translation"], nad1["length"]) == ("PCG", "ATG", "TAG", "MKG", 12)
+    assert (cob["start_codon"], cob["stop_codon"], cob["translation"], cob["length"], cob["product"]) == ("ATG", "TAA", "M", 6, "cytochrome b")
+    assert calls["c", "rrnS"]["type"] == "rRNA" and calls["c", "rrnS"]["start_codon"] is None
+    assert calls["c", "OH"]["type"] == "ctrl" and calls["x", "cox1"]["translation"] is None
+    both = An.combine(An.trna_calls(table), An.gene_calls(heads, contigs, 2))
+    assert both.count() == 7 and "anticodon" in both.columns
