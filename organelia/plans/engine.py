@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from organelia.functions import align
@@ -613,9 +613,7 @@ def top_calls(spark, base):
     d = calls(spark, base)
     order = [F.desc(F.abs(F.col("pos2") - F.col("pos1"))), *[F.col(c) for c in ("pos1", "pos2", "gene", "direction", "type")]]
     top = W.top_per_group(d, CONTIG, order, 3)
-    from pyspark.sql import Window
-
-    return top.withColumn("k", F.row_number().over(Window.partitionBy(*CONTIG).orderBy(*order))).select(*CONTIG, "gene", "pos1", "pos2", "direction", "k")
+    return top.withColumn("k", F.row_number().over(Window.partitionBy(*CONTIG).orderBy(*order)).cast("long")).select(*CONTIG, "gene", "pos1", "pos2", "direction", "k")
 
 
 @query("SELECT target, max_blast_hits AS usual FROM (SELECT target, max_blast_hits, row_number() OVER (PARTITION BY target ORDER BY count(*) DESC, max_blast_hits) AS k FROM curate_opts WHERE max_blast_hits IS NOT NULL GROUP BY target, max_blast_hits) WHERE k = 1")
