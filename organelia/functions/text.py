@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,30 +52,37 @@ def named_groups(text: Column, pattern: str, names: list[str]) -> list[Column]:
     return [F.when(text.rlike(pattern), F.regexp_extract(text, pattern, i)).alias(n) for i, n in enumerate(names, 1)]
 
 
-def recycled(json: Column, field: str, n: Column) -> Column:
-    """A field of column-oriented JSON as an array of text of ``n`` values: a scalar stands for all rows."""
-    raw = F.get_json_object(json, f"$.{field}")
-    listed = F.from_json(raw, "array<string>")
-    return F.when(raw.isNull(), F.array_repeat(F.lit(None).cast("string"), n)).when(F.startswith(F.ltrim(raw), F.lit("[")), listed).otherwise(F.array_repeat(raw, n))
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+HIT_FIELDS = ("acc", "Taxon", "eval", "pctid", "similarity", "gap_leading", "gap_trailing")
+
+
+def recycled(raw: Column, n: Column) -> Column:
+    """The JSON text of a field as an array of ``n`` values: a scalar stands for all rows, NULL for ``n`` NULLs."""
+    listed = F.startswith(F.ltrim(raw), F.lit("["))
+    return F.when(listed, F.from_json(raw, "array<string>")).otherwise(F.array_repeat(raw, n))
 
 
 def hit_rows(json: Column) -> Column:
-    """Reference hits kept as column-oriented JSON, as an array of rows; NULL and ``{}`` are no hits."""
-    acc = F.get_json_object(json, "$.acc")
-    n = F.when(acc.isNull(), 0).when(F.startswith(F.ltrim(acc), F.lit("[")), F.size(F.from_json(acc, "array<string>"))).otherwise(1)
-    cells = F.arrays_zip(*[recycled(json, f, n).alias(f) for f in ("acc", "Taxon", "eval", "pctid", "similarity", "gap_leading", "gap_trailing")])
-    return F.transform(
-        cells,
-        lambda h: F.struct(
-            h["acc"].alias("acc"),
-            h["Taxon"].alias("taxon"),
-            h["eval"].try_cast("double").alias("eval"),
-            h["pctid"].try_cast("double").alias("pctid"),
-            h["similarity"].try_cast("double").alias("similarity"),
-            h["gap_leading"].try_cast("int").alias("gap_leading"),
-            h["gap_trailing"].try_cast("int").alias("gap_trailing"),
-        ),
-    )
+    """Reference hits kept as column-oriented JSON, as an array of rows; NULL, ``{}`` and unreadable text are no hits.
+
+    The text is parsed once; a field's value stays JSON text until it is known to be a list or a scalar.
+    """
+    kind = {"acc": "string", "Taxon": "string", "gap_leading": "int", "gap_trailing": "int"}
+
+    def count(acc: Column) -> Column:
+        return F.when(acc.isNull(), 0).when(F.startswith(F.ltrim(acc), F.lit("[")), F.size(F.from_json(acc, "array<string>"))).otherwise(1)
+
+    def zipped(p: Column, n: Column) -> Column:
+        cells = F.arrays_zip(*[recycled(p[f], n).alias(f) for f in HIT_FIELDS])
+        return F.transform(cells, lambda h: F.struct(*[h[f].try_cast(kind.get(f, "double")).alias(f.lower()) for f in HIT_FIELDS]))
+
+    parsed = F.from_json(json, ", ".join(f"{f} string" for f in HIT_FIELDS))
+    rows = bind(parsed, lambda p: bind(count(p["acc"]), lambda n: zipped(p, n)))
+    return F.when(json.isNotNull(), F.coalesce(rows, F.array().cast("array<struct<acc:string,taxon:string,eval:double,pctid:double,similarity:double,gap_leading:int,gap_trailing:int>>")))
 
 
 def hit_json(hits: Column, fields: list[str]) -> Column:
