@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -141,13 +141,203 @@ def compare(query: str | None, target: str | None) -> tuple[float | None, float
     return 100.0 * r.matches / len(query), (100.0 * r.score / own if own else None), r.leading, r.trailing
 
 
+#: Cells of a matrix that are held at once, and pairs in one pass; queries that are bounded together.
+CELLS, PAIRS, TOGETHER = 12_000_000, 256, 128
+
+
+def _codes(texts: Sequence[str], size: int) -> np.ndarray:
+    """Bytes of the texts, one text a column, padded with zeros."""
+    flat = np.zeros((len(texts), size), np.uint8)
+    for k, t in enumerate(texts):
+        flat[k, : len(t)] = np.frombuffer(t.encode("latin1", "replace"), np.uint8)
+    return np.ascontiguousarray(flat.T)
+
+
+def _whole_type(n: int, m: int) -> tuple[type, int]:
+    """The smallest whole-number type that holds every score of n by m letters, and a value below them."""
+    return (np.int16, -16000) if 20 * n + 4 * m + 40 < 32000 and 4 * (n + m) + 40 < 16000 else (np.int32, -(1 << 29))
+
+
+def _align_block(queries: Sequence[str], targets: Sequence[str]) -> np.ndarray:
+    """(score, matches, leading, trailing) of each pair: the same recurrences and the same choices as ``align``, a pair a column."""
+    n, m, size = np.array([len(q) for q in queries]), np.array([len(t) for t in targets]), len(queries)
+    top, wide = int(n.max()), int(m.max())
+    kind, low = _whole_type(top, wide)
+    x, y = _codes(queries, top), _codes(targets, wide)
+    table = scores().astype(kind).ravel()
+    own = y.astype(np.int32)
+    steps = (np.arange(wide + 1) * GAP_EXTEND).astype(kind)[:, None]
+    best, down, side = (np.full((top + 1, wide + 1, size), low, kind) for _ in range(3))
+    best[0] = -GAP_OPEN - steps
+    best[0, 0] = 0
+    side[0] = best[0]
+    for i in range(1, top + 1):
+        np.maximum(best[i - 1] - kind(GAP_OPEN), down[i - 1], out=down[i])
+        down[i] -= kind(GAP_EXTEND)
+        row = down[i].copy()
+        np.maximum(row[1:], best[i - 1, :-1] + table.take(own + x[i - 1].astype(np.int32) * 256), out=row[1:])
+        reach = np.maximum.accumulate(row + steps, axis=0)
+        side[i, 1:] = reach[:-1] - steps[1:] - kind(GAP_OPEN)
+        np.maximum(row, side[i], out=best[i])
+    out = np.zeros((size, 4), np.int64)
+    out[:, 0] = best[n, m, np.arange(size)]
+    pair, i, j = np.arange(size), n.copy(), m.copy()
+    state, last, run = (np.zeros(size, np.int64) for _ in range(3))
+    last -= 1
+    first = np.ones(size, bool)
+    gap = GAP_OPEN + GAP_EXTEND
+    while pair.size:
+        here, both = best[i, j, pair], (i > 0) & (j > 0)
+        xi, yj = x[i - 1, pair], y[j - 1, pair]
+        met = (state == 0) & both & (here == best[i - 1, j - 1, pair] + table[xi.astype(np.int64) * 256 + yj])
+        op = np.where(met, 0, np.where(state > 0, state, np.where((i > 0) & (here == down[i, j, pair]), 1, 2)))
+        before = best[i, j - 1, pair].astype(np.int64)
+        opened = ((i == 0) & (j == 1)) | ((side[i, j, pair] == before - gap) & (before != side[i, j - 1, pair]))
+        state = np.where(op == 0, 0, np.where(op == 1, np.where(down[i, j, pair] == best[i - 1, j, pair].astype(np.int64) - gap, 0, 1), np.where(opened & (i > 0), 0, 2)))
+        out[pair, 1] += met & (xi == yj)
+        run = np.where(op == last, run + 1, 1)
+        first &= (last < 0) | (op == last)
+        signed = np.where(op == 2, run, np.where(op == 1, -run, 0))
+        out[pair, 2] = signed
+        out[pair[first], 3] = signed[first]
+        last, i, j = op, i - (op != 2), j - (op != 1)
+        left = (i > 0) | (j > 0)
+        pair, i, j, state, last, run, first = (v[left] for v in (pair, i, j, state, last, run, first))
+    return out
+
+
+def compare_many(queries: Sequence[str | None], targets: Sequence[str | None]) -> list[tuple[float | None, float | None, int | None, int | None]]:
+    """``compare`` of each pair. Pairs are aligned together by size; a text with a gap sign or letters beyond ASCII is aligned by itself."""
+    out: list[tuple[float | None, float | None, int | None, int | None]] = [(None, None, None, None)] * len(queries)
+    ready = []
+    for k, (q, t) in enumerate(zip(queries, targets, strict=True)):
+        if q and t:
+            if (q + t).isascii() and "-" not in q and "-" not in t:
+                ready.append(k)
+            else:
+                out[k] = compare(q, t)
+    ready.sort(key=lambda k: (len(queries[k]), len(targets[k])))
+    own = {q: self_score(q) for q in {queries[k] for k in ready}}
+    at = 0
+    while at < len(ready):
+        end, wide = at, 0
+        while end < len(ready) and end - at < PAIRS:
+            wide = max(wide, len(targets[ready[end]]) + 1)
+            if end > at and (len(queries[ready[end]]) + 1) * wide * (end - at + 1) > CELLS:
+                break
+            end += 1
+        block, at = ready[at:end], end
+        for k, (score, matches, lead, tail) in zip(block, _align_block([queries[k] for k in block], [targets[k] for k in block]).tolist(), strict=True):
+            q = queries[k]
+            out[k] = 100.0 * matches / len(q), (100.0 * score / own[q] if own[q] else None), lead, tail
+    return out
+
+
+@lru_cache(maxsize=1024)
+def _profile(targets: tuple[str, ...]) -> np.ndarray:
+    """The best score of each letter at each position of targets of one length."""
+    return np.stack([scores()[:, np.unique(column)].max(axis=1) for column in _codes(targets, len(targets[0]))], axis=1)
+
+
+def _profile_scores(queries: Sequence[str], targets: Sequence[str], need: np.ndarray | None = None) -> np.ndarray:
+    """For each query, a score that no alignment with any of the targets (all of one length) exceeds.
+
+    The query is aligned to the column-wise best letter of the targets; with one target this is its score.
+    A query that can no longer reach the score it needs is left, and has the least whole number.
+    """
+    n, m = np.array([len(q) for q in queries]), len(targets[0])
+    top = int(n.max())
+    kind, low = _whole_type(top, m)
+    x = _codes(queries, top)
+    # What each letter can score at each position, and what the letters of a query after each of its own can score at most.
+    table = _profile(tuple(targets)).astype(kind)
+    if need is not None:
+        ends_at = np.arange(top)[:, None] < n
+        gain = np.where(ends_at, np.maximum(table.max(axis=1), 0).astype(np.int64)[x], 0)
+        rest = gain.sum(axis=0) - np.cumsum(gain, axis=0)
+    steps = (np.arange(m + 1) * GAP_EXTEND).astype(kind)
+    after = steps[1:] + kind(GAP_OPEN)
+    best = np.empty((len(queries), m + 1), kind)
+    best[:] = -GAP_OPEN - steps
+    best[:, 0] = 0
+    down, row, reach = np.full_like(best, low), np.empty_like(best), np.empty_like(best)
+    out = np.full(len(queries), np.iinfo(np.int64).min, np.int64)
+    at = np.arange(len(queries))
+    for i in range(1, top + 1):
+        np.subtract(best, kind(GAP_OPEN), out=row)
+        np.maximum(down, row, out=down)
+        down -= kind(GAP_EXTEND)
+        met = table.take(x[i - 1, at], axis=0)
+        met += best[:, :-1]
+        row[:, 0] = down[:, 0]
+        np.maximum(down[:, 1:], met, out=row[:, 1:])
+        np.add(row, steps, out=reach)
+        np.maximum.accumulate(reach, axis=1, out=reach)
+        np.subtract(reach[:, :-1], after, out=met)
+        np.maximum(row[:, 1:], met, out=row[:, 1:])
+        best, row = row, best
+        ends = n[at] == i
+        if ends.any():
+            out[at[ends]] = best[ends, m]
+        if i % 16 == 0:
+            on = n[at] > i
+            if need is not None:
+                on &= best.max(axis=1) + rest[i - 1, at] >= need[at]
+            if not on.all():
+                at, best, down = at[on], best[on], down[on]
+                row, reach = np.empty_like(best), np.empty_like(best)
+                if not at.size:
+                    break
+    return out
+
+
+def may_reach(queries: Sequence[str], targets: Sequence[str], threshold: float) -> list[bool]:
+    """Whether a target may have ``threshold`` similarity to each query. False is certain: it is said only by an upper bound of the score.
+
+    Targets of one length are bounded together, then by halves, down to one target, whose bound is its
+    score. A query without letters of positive score is not judged (True), nor is one beyond ASCII.
+    """
+    answer = [False] * len(queries)
+    need, judged = {}, []
+    for k, q in enumerate(queries):
+        own = self_score(q) if q else 0
+        if not q:
+            continue
+        if own <= 0 or not q.isascii():
+            answer[k] = True
+        else:
+            need[k] = threshold * own / 100.0
+            judged.append(k)
+    groups: dict[int, list[str]] = {}
+    for t in targets:
+        if t:
+            groups.setdefault(len(t), []).append(t)
+    judged.sort(key=lambda k: len(queries[k]))
+    for start in range(0, len(judged), TOGETHER):
+        todo = [(sorted(g), judged[start : start + TOGETHER]) for g in groups.values()]
+        while todo:
+            some, ks = todo.pop()
+            ks = [k for k in ks if not answer[k]]
+            if not ks:
+                continue
+            bound = _profile_scores([queries[k] for k in ks], some, np.array([need[k] - 1e-6 for k in ks]))
+            ks = [k for k, b in zip(ks, bound, strict=True) if b >= need[k] - 1e-6]
+            if len(some) == 1:
+                for k in ks:
+                    answer[k] = True
+            elif ks:
+                half = len(some) // 2
+                todo += [(some[:half], ks), (some[half:], ks)]
+    return answer
+
+
 COMPARED = T.StructType([T.StructField("pctid", T.DoubleType()), T.StructField("similarity", T.DoubleType()), T.StructField("gap_leading", T.IntegerType()), T.StructField("gap_trailing", T.IntegerType())])
 
 
 @F.pandas_udf(COMPARED)
 def compared(query: pd.Series, target: pd.Series) -> pd.DataFrame:
     """``compare`` as a column over pairs."""
-    rows = [compare(q, t) for q, t in zip(query, target, strict=True)]
+    rows = compare_many(query.tolist(), target.tolist())
     out = pd.DataFrame(rows, columns=["pctid", "similarity", "gap_leading", "gap_trailing"])
     return out.astype({"pctid": "float64", "similarity": "float64", "gap_leading": "Int32", "gap_trailing": "Int32"})
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from organelia.functions.align import compare
+from organelia.functions.align import compare_many, may_reach
 from organelia.functions.seq import BASES, COMPLEMENTS, genetic_code
 from organelia.functions.text import append_note
 from organelia.operators.intervals import flip, flip_strand
@@ -109,8 +110,7 @@ class Gene:
 def rank_hits(protein: str, references: Sequence[tuple[str, str]], most: int) -> list[Hit]:
     """Reference proteins (accession, sequence) by similarity."""
     hits = []
-    for acc, target in references:
-        pctid, similarity, lead, tail = compare(protein, target)
+    for (acc, _), (pctid, similarity, lead, tail) in zip(references, compare_many([protein] * len(references), [t for _, t in references]), strict=True):
         if similarity is not None:
             hits.append(Hit(acc, similarity, pctid, lead, tail))
     return sorted(hits, key=lambda h: -h.similarity)[:most]
@@ -175,41 +175,70 @@ def refine(gene: Gene, score: Callable[[str], list[Hit]], code: dict[str, str],
 REFINED = "row_id string, pos1 long, pos2 long, length long, start_codon string, stop_codon string, translation string, notes string, hits array<struct<acc: string, similarity: double, pctid: double, gap_leading: int, gap_trailing: int>>"
 
 
-def refined_calls(calls: DataFrame, table: int, threshold: float, most: int = 100) -> DataFrame:
+def packed_references(references: Column) -> Column:
+    """An array of (acc, target) as one text: a line a reference. Neither holds a tab or a line break."""
+    return F.array_join(F.transform(references, lambda x: F.concat(x["acc"], F.lit("\t"), x["target"])), "\n")
+
+
+@lru_cache(maxsize=256)
+def _unpacked(text: str) -> tuple[tuple[str, str], ...]:
+    return tuple(tuple(line.split("\t")) for line in text.split("\n"))
+
+
+def refined_calls(calls: DataFrame, table: int, threshold: float, most: int = 100, every_hit: bool = True) -> DataFrame:
     """Refined protein calls (``REFINED``).
 
     Input rows carry all they need: row_id, pos1, pos2, direction, stop_codon, notes, sequence (the contig),
-    references (array of (acc, target)), start_codons, stop_codons. A row is refined by itself, in Arrow
-    batches. Calls over the origin, and rows with a NULL among these or without references, are left out.
+    references (array of (acc, target), or ``packed_references``), start_codons, stop_codons. A row is
+    refined by itself, in Arrow batches. Calls over the origin, and rows with a NULL among these or without
+    references, are left out. Without ``every_hit``, a call that an upper bound of its scores shows to be
+    below the threshold, and so not to move, comes without hits.
     """
     code = genetic_code(table)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
+            genes: list[Gene] = []
             for r in f.itertuples(index=False):
                 contig = r.sequence.upper()
                 size, back = len(contig), r.direction == "-"
                 if back:
                     contig = contig.translate(_COMPLEMENT)[::-1]
                 first, last = (size - r.pos2 + 1, size - r.pos1 + 1) if back else (r.pos1, r.pos2)
-                refs = [(x["acc"], x["target"]) for x in r.references]
-                kept: dict[str, list[Hit]] = {}
-
-                def score(protein: str, refs=refs, kept=kept) -> list[Hit]:
-                    if protein not in kept:
-                        kept[protein] = rank_hits(protein, refs, most)
-                    return kept[protein]
-
-                gene, hits = refine(Gene(contig, first, last, r.stop_codon), score, code, list(r.start_codons), list(r.stop_codons), threshold)
+                genes.append(Gene(contig, first, last, r.stop_codon))
+            proteins = [g.protein(code) for g in genes]
+            moving = [True] * len(genes)
+            if not every_hit:
+                of: dict[str, list[int]] = {}
+                for k, text in enumerate(f["references"]):
+                    of.setdefault(text, []).append(k)
+                for text, ks in of.items():
+                    for k, may in zip(ks, may_reach([proteins[k] for k in ks], [t for _, t in _unpacked(text)], threshold), strict=True):
+                        moving[k] = may
+            for r, gene, protein, may in zip(f.itertuples(index=False), genes, proteins, moving, strict=True):
+                size, back = len(gene.contig), r.direction == "-"
+                hits: list[Hit] = []
+                if may:
+                    kept: dict[str, list[Hit]] = {}
+
+                    def score(protein: str, refs=_unpacked(r.references), kept=kept) -> list[Hit]:
+                        if protein not in kept:
+                            kept[protein] = rank_hits(protein, refs, most)
+                        return kept[protein]
+
+                    gene, hits = refine(gene, score, code, list(r.start_codons), list(r.stop_codons), threshold)
+                    protein = gene.protein(code)
                 p1, p2 = (size - gene.last + 1, size - gene.first + 1) if back else (gene.first, gene.last)
                 notes = "; ".join([*([r.notes] if r.notes else []), *gene.notes]) or None
-                out.append((r.row_id, p1, p2, p2 - p1 + 1, gene.contig[gene.first - 1 : gene.first + 2], gene.stop, gene.protein(code), notes, [vars(h) for h in hits]))
+                out.append((r.row_id, p1, p2, p2 - p1 + 1, gene.contig[gene.first - 1 : gene.first + 2], gene.stop, protein, notes, [vars(h) for h in hits]))
             if out:
                 yield pd.DataFrame(out, columns=["row_id", "pos1", "pos2", "length", "start_codon", "stop_codon", "translation", "notes", "hits"])
 
     ship(calls.sparkSession)
-    ready = calls.where("pos1 <= pos2 and pos1 >= 1 and stop_codon is not null and sequence is not null and direction is not null and size(references) > 0 and start_codons is not null and stop_codons is not null")
+    if dict(calls.dtypes)["references"] != "string":
+        calls = calls.where("size(references) > 0").withColumn("references", packed_references(F.col("references")))
+    ready = calls.where("pos1 <= pos2 and pos1 >= 1 and stop_codon is not null and sequence is not null and direction is not null and references <> '' and start_codons is not null and stop_codons is not null")
     return ready.select("row_id", "pos1", "pos2", "direction", "stop_codon", "notes", "sequence", "references", "start_codons", "stop_codons").mapInPandas(run, REFINED)
 
 

@@ -135,27 +135,32 @@ def seq_codon_usage(spark, base):
     return _proteins(spark, base).select(F.explode(S.codons(coding)).alias("codon")).where("length(codon) = 3").groupBy("codon").agg(F.count("*").alias("n"))
 
 
-# Two proteins of each gene stand in for a reference database: the first and the last by text.
-def _references(spark, base):
-    p = table(spark, base, "annotations").where("type = 'PCG' and translation is not null and translation <> ''")
-    return p.groupBy("gene").agg(F.min("translation").alias("a"), F.max("translation").alias("b"))
+# The distinct proteins of each gene are its reference database.
+def _proteins_of_genes(spark, base):
+    return table(spark, base, "annotations").where("type = 'PCG' and translation is not null and translation <> ''").select("gene", "translation").distinct()
+
+
+#: ``max_blast_hits`` where a parameter set names none.
+MAX_HITS = 100
 
 
 @query(None)
 def protein_similarity(spark, base):
-    p = table(spark, base, "annotations").where("type = 'PCG' and translation is not null and translation <> ''").select("gene", F.col("translation").alias("query")).distinct()
-    pairs = p.join(_references(spark, base).select("gene", F.explode(F.array_distinct(F.array("a", "b"))).alias("target")), "gene")
-    scored = align.score_pairs(pairs)
-    return W.top_per_group(scored, ["gene", "query"], [F.desc("similarity"), F.col("target")], 1).select("gene", F.md5("query").alias("query_md5"), "pctid", "similarity", "gap_leading", "gap_trailing")
+    p = _proteins_of_genes(spark, base)
+    pairs = p.withColumnRenamed("translation", "query").join(p.withColumnRenamed("translation", "target"), "gene")
+    top = W.top_per_group(align.score_pairs(pairs), ["gene", "query"], [F.desc("similarity"), F.col("target")], MAX_HITS)
+    return top.select("gene", F.md5("query").alias("query_md5"), F.md5("target").alias("target_md5"), "pctid", "similarity", "gap_leading", "gap_trailing")
 
 
 @query(None)
 def curate_boundaries(spark, base):
     d = calls(spark, base, "stop_codon").where("type = 'PCG' and stop_codon is not null").join(contigs(spark, base).select(*CONTIG, "sequence"), CONTIG).where("pos2 <= length(sequence)")
-    refs = _references(spark, base).select("gene", F.array(F.struct(F.lit("a").alias("acc"), F.col("a").alias("target")), F.struct(F.lit("b").alias("acc"), F.col("b").alias("target"))).alias("references"))
-    d = d.join(refs, "gene").join(F.broadcast(_rules(spark).select("gene", "start_codons", "stop_codons")), "gene")
+    refs = _proteins_of_genes(spark, base).groupBy("gene").agg(F.transform(F.array_sort(F.collect_set("translation")), lambda t: F.struct(F.md5(t).alias("acc"), t.alias("target"))).alias("references"))
+    refs = refs.select("gene", curate.packed_references(F.col("references")).alias("references"))
+    d = d.join(F.broadcast(refs), "gene").join(F.broadcast(_rules(spark).select("gene", "start_codons", "stop_codons")), "gene")
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in (*CONTIG, "gene", "pos1", "pos2", "direction", "stop_codon")])
-    return curate.refined_calls(d.withColumns({"row_id": key, "notes": F.lit(None).cast("string")}), CODE, 40).select("row_id", "pos1", "pos2", "length", "start_codon", "stop_codon", "notes")
+    refined = curate.refined_calls(d.withColumns({"row_id": key, "notes": F.lit(None).cast("string")}), CODE, 40, MAX_HITS, every_hit=False)
+    return refined.select("row_id", "pos1", "pos2", "length", "start_codon", "stop_codon", "notes")
 
 
 # Per-base tracks ---------------------------------------------------------------------------------
