@@ -190,11 +190,15 @@ def refined_calls(calls: DataFrame, table: int, threshold: float, most: int = 10
 
     Input rows carry all they need: row_id, pos1, pos2, direction, stop_codon, notes, sequence (the contig),
     references (array of (acc, target), or ``packed_references``), start_codons, stop_codons. A row is
-    refined by itself, in Arrow batches. Calls over the origin, and rows with a NULL among these or without
-    references, are left out. Without ``every_hit``, a call that an upper bound of its scores shows to be
+    refined by itself, in Arrow batches. Where there is a column topology, a call over the origin of a
+    circular contig is refined on the contig turned to its opposite side, and its positions are turned
+    back. Other calls with pos1 > pos2, and rows with a NULL among these or without references, are left out. Without ``every_hit``, a call that an upper bound of its scores shows to be
     below the threshold, and so not to move, comes without hits.
     """
     code = genetic_code(table)
+    # Where the contig of a call over the origin is cut instead: halfway between its end and its start.
+    opposite = lambda r: (r.pos1 + r.pos2) // 2 if r.pos1 > r.pos2 else 0
+    turned = lambda p, by, size: (p - 1 + by) % size + 1 if by else p
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -202,10 +206,12 @@ def refined_calls(calls: DataFrame, table: int, threshold: float, most: int = 10
             genes: list[Gene] = []
             for r in f.itertuples(index=False):
                 contig = r.sequence.upper()
-                size, back = len(contig), r.direction == "-"
+                size, back, cut = len(contig), r.direction == "-", opposite(r)
+                contig = contig[cut:] + contig[:cut]
                 if back:
                     contig = contig.translate(_COMPLEMENT)[::-1]
-                first, last = (size - r.pos2 + 1, size - r.pos1 + 1) if back else (r.pos1, r.pos2)
+                p1, p2 = turned(r.pos1, -cut, size), turned(r.pos2, -cut, size)
+                first, last = (size - p2 + 1, size - p1 + 1) if back else (p1, p2)
                 genes.append(Gene(contig, first, last, r.stop_codon))
             proteins = [g.protein(code) for g in genes]
             moving = [True] * len(genes)
@@ -230,15 +236,17 @@ def refined_calls(calls: DataFrame, table: int, threshold: float, most: int = 10
                     gene, hits = refine(gene, score, code, list(r.start_codons), list(r.stop_codons), threshold)
                     protein = gene.protein(code)
                 p1, p2 = (size - gene.last + 1, size - gene.first + 1) if back else (gene.first, gene.last)
+                cut = opposite(r)
                 notes = "; ".join([*([r.notes] if r.notes else []), *gene.notes]) or None
-                out.append((r.row_id, p1, p2, p2 - p1 + 1, gene.contig[gene.first - 1 : gene.first + 2], gene.stop, protein, notes, [vars(h) for h in hits]))
+                out.append((r.row_id, turned(p1, cut, size), turned(p2, cut, size), p2 - p1 + 1, gene.contig[gene.first - 1 : gene.first + 2], gene.stop, protein, notes, [vars(h) for h in hits]))
             if out:
                 yield pd.DataFrame(out, columns=["row_id", "pos1", "pos2", "length", "start_codon", "stop_codon", "translation", "notes", "hits"])
 
     ship(calls.sparkSession)
     if dict(calls.dtypes)["references"] != "string":
         calls = calls.where("size(references) > 0").withColumn("references", packed_references(F.col("references")))
-    ready = calls.where("pos1 <= pos2 and pos1 >= 1 and stop_codon is not null and sequence is not null and direction is not null and references <> '' and start_codons is not null and stop_codons is not null")
+    over = " or topology = 'circular' and pos1 > pos2 and pos2 >= 1 and pos1 <= length(sequence)" if "topology" in calls.columns else ""
+    ready = calls.where(f"(pos1 <= pos2{over}) and pos1 >= 1 and stop_codon is not null and sequence is not null and direction is not null and references <> '' and start_codons is not null and stop_codons is not null")
     return ready.select("row_id", "pos1", "pos2", "direction", "stop_codon", "notes", "sequence", "references", "start_codons", "stop_codons").mapInPandas(run, REFINED)
 
 

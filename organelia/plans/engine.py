@@ -154,7 +154,7 @@ def protein_similarity(spark, base):
 
 @query(None)
 def curate_boundaries(spark, base):
-    d = calls(spark, base, "stop_codon").where("type = 'PCG' and stop_codon is not null").join(contigs(spark, base).select(*CONTIG, "sequence"), CONTIG).where("pos2 <= length(sequence)")
+    d = calls(spark, base, "stop_codon").where("type = 'PCG' and stop_codon is not null").join(contigs(spark, base), CONTIG).where("greatest(pos1, pos2) <= length(sequence)")
     refs = _proteins_of_genes(spark, base).groupBy("gene").agg(F.transform(F.array_sort(F.collect_set("translation")), lambda t: F.struct(F.md5(t).alias("acc"), t.alias("target"))).alias("references"))
     refs = refs.select("gene", curate.packed_references(F.col("references")).alias("references"))
     d = d.join(F.broadcast(refs), "gene").join(F.broadcast(_rules(spark).select("gene", "start_codons", "stop_codons")), "gene")

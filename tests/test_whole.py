@@ -62,3 +62,33 @@ def test_every_protein_of_the_gene_is_a_reference(spark, tmp_path):
     assert pairs.count() == 49 and pairs.where(F.col("query_md5") == F.col("target_md5")).where("similarity = 100").count() == 7
     got = engine.curate_boundaries(spark, str(tmp_path)).collect()
     assert [(r["pos1"], r["pos2"], r["notes"]) for r in got] == [(4, last, "extending start 9 bp")]
+
+
+def test_calls_over_the_origin_are_refined(spark, tmp_path):
+    rng = random.Random(8)
+    body = [rng.choice([c for c, a in CODE.items() if a not in "*MIV"]) for _ in range(40)]
+    protein = "M" + "".join(CODE[c] for c in body)
+    contig = "CC" + "C" + "".join(["ATG", *body, "TAA"]) + "C" * 100
+    n, last = len(contig), 3 + 3 * 42
+    rows, placed = [call("ref", "cob", 1, 9, translation=protein)], []
+    other = str.maketrans("ACGT", "TGCA")
+    for k, cut in enumerate((40, 8, 12, 15, 90)):
+        turned = contig[cut:] + contig[:cut]
+        at = lambda p, cut=cut: (p - 1 - cut) % n + 1
+        late, end = at(4 + 9), at(last)
+        rows += [call(f"p{k}", "cob", late, end), call(f"m{k}", "cob", n - end + 1, n - late + 1, direction="-")]
+        placed += [(f"p{k}", "circular", turned), (f"m{k}", "circular", turned.translate(other)[::-1])]
+        if k == 0:
+            placed.append(("l0", "linear", turned))
+            rows.append(call("l0", "cob", late, end))
+    write(spark, str(tmp_path), "annotations", rows, ANNOTATIONS)
+    contigs(spark, str(tmp_path), placed)
+    got = {r["row_id"].split("|")[0]: (r["pos1"], r["pos2"], r["length"], r["start_codon"], r["notes"]) for r in engine.curate_boundaries(spark, str(tmp_path)).collect()}
+    for k, cut in enumerate((40, 8, 12, 15, 90)):
+        first, end = (4 - 1 - cut) % n + 1, (last - 1 - cut) % n + 1
+        shared = (3 * 42, "ATG", "extending start 9 bp")
+        if cut in (40, 15, 90):
+            assert (got[f"p{k}"], got[f"m{k}"]) == ((first, end, *shared), (n - end + 1, n - first + 1, *shared))
+        else:
+            assert got[f"p{k}"][4] is None  # the part to add lies over the origin of a call that does not
+    assert "l0" not in got
