@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,6 +29,7 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "organelia")
 
 
 _shipped: set[str] = set()
+_sent: set[tuple[str, str]] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -52,15 +54,33 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def send_file(spark: SparkSession, path: str) -> str:
+    """Give a file of the driver's to every executor, once; returns the name by which a task finds it (``sent_file``)."""
+    sc = spark.sparkContext
+    if (sc.applicationId, path) not in _sent:
+        sc.addFile(path)
+        _sent.add((sc.applicationId, path))
+    return os.path.basename(path)
+
+
+def sent_file(name: str, otherwise: str) -> str:
+    """In a task: where a sent file is. On the driver, outside a job: the path itself."""
+    found = SparkFiles.get(name) if TaskContext.get() is not None else otherwise
+    return found if os.path.exists(found) else otherwise
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through the shared checkpoint folder.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where a session names
-    none (tests, a laptop) is a temporary one set.
+    The folder is the one the session names in ``spark.checkpoint.dir``. A session that names none gets a
+    temporary one if its master is local (tests, a laptop); on a cluster that is an error, for a folder of
+    the driver's machine is not seen by the executors.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="organelia-checkpoint-"))
     return df.checkpoint(eager=True)
