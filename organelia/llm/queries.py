@@ -9,7 +9,8 @@ from organelia.llm import lookalike
 from organelia.llm.lookalike import classes, consistent_text, equal_looking_pairs
 from organelia.llm.mixture import Target, mix_sources
 from organelia.llm.neardup import assembly_key, near_duplicates, similar_pairs
-from organelia.llm.packing import fill_report, pack_documents
+from organelia.llm.packing import fill_report, pack_documents, packing_faults
+from organelia.llm.tokens import TOKENIZER
 from organelia.session import table
 
 #: Rows of a parameter table that are read to the driver; a larger one is refused.
@@ -43,17 +44,26 @@ def _capacities(spark: SparkSession, base: str) -> dict[str, int]:
     return {r["pack_name"]: r["capacity"] for r in _parameters(table(spark, base, "pack_sizes"))}
 
 
+def _tokenizer(spark: SparkSession) -> str:
+    return spark.conf.get("spark.organelia.tokenizer", TOKENIZER)
+
+
 def p7_containers(spark: SparkSession, base: str) -> DataFrame:
-    return pack_documents(table(spark, base, "documents"), _capacities(spark, base))
+    return pack_documents(table(spark, base, "documents"), _capacities(spark, base), _tokenizer(spark))
 
 
 def p7_fill(spark: SparkSession, base: str) -> DataFrame:
     return fill_report(p7_containers(spark, base), _capacities(spark, base))
 
 
+def p7_faults(spark: SparkSession, base: str) -> DataFrame:
+    """Counts of what is wrong with the containers: all 0."""
+    return packing_faults(p7_containers(spark, base), table(spark, base, "documents"), _capacities(spark, base), _tokenizer(spark))
+
+
 def _mix(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     targets = [Target(r["source"], r["target_share"], r["max_repeats"]) for r in _parameters(table(spark, base, "mix_targets"))]
-    return mix_sources(table(spark, base, "documents"), targets)
+    return mix_sources(table(spark, base, "documents"), targets, path=_tokenizer(spark))
 
 
 def p8_chosen(spark: SparkSession, base: str) -> DataFrame:
@@ -74,7 +84,7 @@ def p9_forms(spark: SparkSession, base: str) -> DataFrame:
     return consistent_text(documents, classes(documents)).select("doc_id", "class_id", F.md5("text").alias("form_md5"), F.length("text").alias("form_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_classes, p7_containers, p7_fill, p8_chosen, p8_shares, p9_found, p9_forms)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_classes, p7_containers, p7_fill, p7_faults, p8_chosen, p8_shares, p9_found, p9_forms)}
 
 
 def _text(s: str) -> str:
@@ -118,6 +128,8 @@ ORACLE = {
 ), ends AS (SELECT key_a AS key, key_b AS other FROM pairs UNION ALL SELECT key_b, key_a FROM pairs
 ), degree AS (SELECT e.key, count(DISTINCT o.class_id) AS n_links FROM ends e JOIN named o ON o.key = e.other JOIN named m ON m.key = e.key WHERE o.class_id <> m.class_id GROUP BY e.key)
 SELECT key, class_id, n_members, coalesce(n_links, 0) AS n_links FROM named LEFT JOIN degree USING (key)""",
+    # Every document once, nothing wrong, whatever the containers are.
+    "p7_faults": "SELECT pack_name, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS n_documents, 0 AS n_overfull, 0 AS n_cut, 0 AS n_broken FROM pack_sizes",
     "p9_found": f"""{_P9_CLASSES}
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM forms a JOIN forms b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text""",
     "p9_forms": f"""{_P9_CLASSES}
