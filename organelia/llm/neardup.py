@@ -20,8 +20,8 @@ REGISTERS = 128
 ROWS = 2
 #: A register is the leading-zero count of its bucket's least hash and this many mantissa bits.
 MANTISSA = 26
-#: Sets of up to this many words leave registers empty; their pairs are found by an exact prefix filter.
-SMALL = 192
+#: Standard deviations by which a pair's estimate may be below the threshold before it is not verified.
+SLACK = 6
 
 _BASES = np.full(256, 4, np.uint8)
 for _i, _c in enumerate(b"ACGT"):
@@ -73,16 +73,25 @@ def _starts(registers: int) -> np.ndarray:
     return np.arange(registers, dtype=np.uint64) << _U(64 - int(math.log2(registers)))
 
 
+@cache
+def _probes(registers: int) -> np.ndarray:
+    """For each bucket the order in which an empty one looks at the others: fixed permutations."""
+    rng = np.random.Generator(np.random.PCG64(20))
+    return np.stack([rng.permutation(registers) for _ in range(registers)])
+
+
 def registers_of(hashes: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
-    """HyperMinHash registers of ascending distinct hashes; -1 where a bucket has none.
+    """HyperMinHash registers of ascending distinct hashes, of which there is at least one.
 
     The top bits choose the bucket. Of the least hash in a bucket, the register keeps the leading-zero
-    count of the rest and the ``MANTISSA`` bits after the leading one.
+    count of the rest and the ``MANTISSA`` bits after the leading one. A bucket without a hash takes the register of the
+    first filled one in its fixed order, so registers of two sets agree with the probability of
+    their similarity, however small the sets are (densified one-permutation hashing).
     """
     p = int(math.log2(registers))
     starts = _starts(registers)
     at = np.searchsorted(hashes, starts)
-    least = hashes[np.minimum(at, max(hashes.size - 1, 0))] if hashes.size else np.zeros(registers, np.uint64)
+    least = hashes[np.minimum(at, hashes.size - 1)]
     filled = (at < hashes.size) & ((least >> _U(64 - p)) == (starts >> _U(64 - p)))
     rest = least << _U(p)
     zeros = 63 - np.floor(np.log2(np.maximum(rest, 1).astype(np.float64))).astype(np.int64)
@@ -90,13 +99,11 @@ def registers_of(hashes: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
     zeros = np.where(rest == 0, 64 - p, np.where((rest << np.maximum(zeros, 0).astype(np.uint64)) < _U(1 << 63), zeros + 1, zeros))
     mantissa = (rest << np.minimum(zeros + 1, 63).astype(np.uint64)) >> _U(64 - MANTISSA)
     value = (zeros.astype(np.uint64) << _U(MANTISSA) | mantissa).astype(np.uint32).view(np.int32)
-    return np.where(filled, np.where(value == -1, -2, value), np.int32(-1)).astype(np.int32)
-
-
-def prefix_of(hashes: np.ndarray, threshold: float) -> np.ndarray:
-    """The least hashes of a set, so many that sets of that similarity share one of them."""
-    n = hashes.size
-    return hashes[: n - math.ceil(threshold * n) + 1] if n else hashes
+    empty = np.flatnonzero(~filled)
+    if empty.size:
+        order = _probes(registers)[empty]
+        value[empty] = value[order[np.arange(empty.size), filled[order].argmax(axis=1)]]
+    return value
 
 
 def pack(bases: np.ndarray) -> bytes:
@@ -121,14 +128,14 @@ def unpack(data: bytes) -> np.ndarray:
     return out
 
 
-_SKETCH = pa.schema([("key", pa.string()), ("fp", pa.binary()), ("n", pa.int32()), ("regs", pa.list_(pa.int32())), ("prefix", pa.list_(pa.int64())), ("packed", pa.binary())])
+_SKETCH = pa.schema([("key", pa.string()), ("fp", pa.binary()), ("n", pa.int32()), ("regs", pa.list_(pa.int32())), ("packed", pa.binary())])
 
 
-def sketches(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, fp, n, regs, prefix, packed) of each (key, sequence) with at least one valid word.
+def sketches(keyed: DataFrame) -> DataFrame:
+    """(key, fp, n, regs, packed) of each (key, sequence) with at least one valid word.
 
-    ``fp`` is a 128-bit fingerprint of the set of words, ``n`` its size, ``prefix`` the exact filter of
-    small sets. One Arrow pass over the table, without a shuffle.
+    ``fp`` is a 128-bit fingerprint of the set of words, ``n`` its size. One Arrow pass over the table,
+    without a shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,39 +153,29 @@ def sketches(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                     if h.size > 1:
                         h = h[np.concatenate((np.ones(1, bool), h[1:] != h[:-1]))]
                     fp = np.array([h.sum(dtype=np.uint64), ((h ^ (h >> _U(31))) * _U(0x9FB21C651E98DF25)).sum(dtype=np.uint64)], ">u8").tobytes()
-                    small = h.size <= SMALL / threshold
-                    rows.append((key, fp, h.size, registers_of(h), prefix_of(h, threshold).view(np.int64) if small else None, pack(bases)))
+                    rows.append((key, fp, h.size, registers_of(h), pack(bases)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SKETCH.types, strict=True)], schema=_SKETCH)
 
     ship(keyed.sparkSession)
-    return keyed.select("key", "sequence").where("key is not null and sequence is not null").mapInArrow(run, "key string, fp binary, n int, regs array<int>, prefix array<bigint>, packed binary")
+    return keyed.select("key", "sequence").where("key is not null and sequence is not null").mapInArrow(run, "key string, fp binary, n int, regs array<int>, packed binary")
 
 
 def _candidates(reps: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of fingerprints that share a band or a word of the exact prefix."""
-    bands = F.transform(
-        F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)),
-        lambda i: F.when(
-            F.forall(F.slice("regs", i * ROWS + 1, ROWS), lambda x: x != -1),
-            F.xxhash64(i, F.slice("regs", i * ROWS + 1, ROWS)),
-        ),
-    )
-    keys = F.concat(F.filter(bands, lambda x: x.isNotNull()), F.coalesce("prefix", F.array().cast("array<bigint>")))
-    rows = reps.select("fp", F.explode(F.array_distinct(keys)).alias("band"))
+    """Pairs (a, b), a < b, of fingerprints that share a band."""
+    bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.xxhash64(i, F.slice("regs", i * ROWS + 1, ROWS)))
+    rows = reps.select("fp", F.explode(bands).alias("band"))
     a, b = rows.withColumnRenamed("fp", "a"), rows.withColumnRenamed("fp", "b")
     return a.join(b, "band").where("a < b").select("a", "b").distinct()
 
 
-def corrected_estimate(ra: Column, rb: Column, na: Column, nb: Column) -> tuple[Column, Column]:
-    """Jaccard estimate from two register arrays, less the matches expected by chance, and the registers it rests on."""
-    both = F.zip_with(ra, rb, lambda x, y: F.when((x == -1) & (y == -1), None).otherwise((x == y).cast("int")))
-    used = F.size(F.filter(both, lambda x: x.isNotNull()))
-    same = F.aggregate(both, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
+def corrected_estimate(ra: Column, rb: Column, na: Column, nb: Column) -> Column:
+    """Jaccard estimate from two register arrays, less the matches expected by chance."""
+    same = F.aggregate(F.zip_with(ra, rb, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     ratio = F.greatest(na, nb) / F.least(na, nb)
     # Fixed value: the constant of the published approximation of the expected collisions.
     chance = 0.169919487159739 * REGISTERS / 2**MANTISSA * 4 * ratio / F.pow(1 + ratio, 2)
-    return (same - chance) / F.greatest(used, F.lit(1)), used
+    return (same - chance) / REGISTERS
 
 
 def _verify(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -220,26 +217,27 @@ def near_duplicates(df: DataFrame, key: Column, sequence: Column, threshold: flo
 
     1. One pass sketches each sequence. Equal word sets (copies, reverse complements, other case) are one
        class from here on; a group of copies is never paired within itself.
-    2. Classes that share a band of registers, or, where one is small, a word of an exact prefix, are
-       candidates. At similarity 0.5 a pair is missed with probability below 1e-7.
-    3. Candidates whose collision-corrected estimate is over four standard deviations below the
-       threshold are dropped, the others are verified on their whole word sets.
+    2. Classes that share a band of registers are candidates. At similarity 0.5 a pair shares none of the 64
+       bands with probability 0.75 ** 64, 1e-8.
+    3. Candidates whose collision-corrected estimate is over six standard deviations below the threshold
+       are dropped (at similarity 0.5, with a probability of about 1e-9), the others are verified on their
+       whole word sets. Sets of every size go the same way.
 
     NULL keys and sequences, and sequences without a valid word (shorter than 16, or no 16 bases of A, C,
     G, T in a row), are in no class. Repeated rows are one member. No rows in, no rows out. Columns other
     than key and sequence are not read.
     """
-    made = cut(sketches(df.select(key.cast("string").alias("key"), sequence.cast("string").alias("sequence")), threshold))
+    made = cut(sketches(df.select(key.cast("string").alias("key"), sequence.cast("string").alias("sequence"))))
     members = made.select("key", "fp").distinct()
-    reps = cut(made.groupBy("fp").agg(F.min(F.struct("key", "n", "regs", "prefix")).alias("r")).select("fp", "r.key", "r.n", "r.regs", "r.prefix"))
+    reps = cut(made.groupBy("fp").agg(F.min(F.struct("key", "n", "regs")).alias("r")).select("fp", "r.key", "r.n", "r.regs"))
     side = reps.select("fp", "n", "regs")
     a = side.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
     b = side.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
     both = _candidates(reps).join(a, "a").join(b, "b")
-    estimate, used = corrected_estimate(F.col("ra"), F.col("rb"), F.col("na"), F.col("nb"))
-    slack = 4 * F.sqrt(F.lit(threshold * (1 - threshold)) / F.greatest(used, F.lit(1)))
-    # Sizes alone can rule a pair out; small sets are not estimated but verified.
-    fits = (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & ((F.least("na", "nb") <= SMALL) | (estimate >= threshold - slack))
+    estimate = corrected_estimate(F.col("ra"), F.col("rb"), F.col("na"), F.col("nb"))
+    slack = SLACK * math.sqrt(threshold * (1 - threshold) / REGISTERS)
+    # Sizes alone can rule a pair out.
+    fits = (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (estimate >= threshold - slack)
     likely = cut(both.where(fits).select("a", "b"))
     needed = likely.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     packed = made.join(reps.select("fp", "key"), ["fp", "key"]).join(needed, "fp", "left_semi").groupBy("fp").agg(F.min("packed").alias("packed"))
