@@ -3,42 +3,80 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from organelia.session import cut
+
 # Characters without a look of their own, as code point ranges.
 INVISIBLE = ((0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x180B, 0x180E), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x2064), (0x2066, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF))
 # Blanks that look like the plain one.
 BLANKS = ((0x00A0, 0x00A0), (0x1680, 0x1680), (0x2000, 0x200A), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
 # Hyphens that look like the plain one. The dashes are longer and stay.
 HYPHENS = "‐‑﹣−־"
-# Joined letter forms.
-JOINED = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ", "ǆ": "dž", "ǉ": "lj", "ǌ": "nj"}
-# Letters of another script and the Latin letters they look like.
-CYRILLIC = ("АВЕЅЗІЈКМНОРСТУХЬԌԚԜҮаеѕіјорсухһԁԛԝүӏёЁїЇ", "ABES3IJKMHOPCTYXbGQWYaesijopcyxhdqwylëËïÏ")
+# Joined letters, and numerals written as one character.
+JOINED = {
+    "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ", "ŉ": "'n",
+    "Ǆ": "DŽ", "ǅ": "Dž", "ǆ": "dž", "Ǉ": "LJ", "ǈ": "Lj", "ǉ": "lj", "Ǌ": "NJ", "ǋ": "Nj", "ǌ": "nj", "Ǳ": "DZ", "ǲ": "Dz", "ǳ": "dz",
+    "Ⅱ": "II", "Ⅲ": "III", "Ⅳ": "IV", "Ⅵ": "VI", "Ⅶ": "VII", "Ⅷ": "VIII", "Ⅸ": "IX", "Ⅺ": "XI", "Ⅻ": "XII",
+    "ⅱ": "ii", "ⅲ": "iii", "ⅳ": "iv", "ⅵ": "vi", "ⅶ": "vii", "ⅷ": "viii", "ⅸ": "ix", "ⅺ": "xi", "ⅻ": "xii",
+}
+# Letters of another script and the Latin letters they look like, after the published list of confusables.
+CYRILLIC = ("АВЕЅЗІЈКМНОРСТУХЬԌԚԜҮаеѕіјорсухһԁԛԝүӏ", "ABES3IJKMHOPCTYXbGQWYaesijopcyxhdqwyl")
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿονρϲϳ", "ABEZHIKMNOPTYXCJovpcj")
 ARMENIAN = ("ՕՍօոսցհզ", "OUonughq")
-LETTERLIKE = ("ⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿɡKÅµΩ", "IVXLCDMivxlcdmgKÅμΩ")
-SIGNS = (";·։∶․⁄∕∗ǃː꞉", ";·::.//*!::")
+CHEROKEE = ("ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏃᏎᏏᏒᏔᏚᏞᏟᏢᏦᏧᏴ", "DRTiAJEWMHYGZ4bRWSLCPKdB")
+LISU = ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU")
+LETTERLIKE = ("ⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿɡµ", "IVXLCDMivxlcdmgμ")
+SIGNS = (";·։∶․⁄∕∗ǃː꞉", ";·::.//*!::")
+
+#: Tags of the Unicode decompositions that change nothing in the look but width and style. Raised and lowered forms, circles and fractions look different.
+TAGS = ("<wide>", "<narrow>", "<font>")
+_SURROGATES = range(0xD800, 0xE000)
 
 
 def _chars(ranges: tuple[tuple[int, int], ...]) -> str:
     return "".join(chr(c) for a, b in ranges for c in range(a, b + 1))
 
 
-def table() -> tuple[str, str]:
-    """The two arguments of ``translate``: characters, and what they become; those beyond the second's length are removed."""
-    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
-    narrow = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+def _every() -> Iterator[str]:
+    """The characters beyond ASCII of the planes that have letters and signs."""
+    return (chr(c) for c in range(0x80, 0x20000) if c not in _SURROGATES)
+
+
+def _look(c: str, known: dict[str, str]) -> str:
+    """What a character stands for: styled forms and look-alikes of its decomposition, until nothing changes."""
+    tag, _, codes = unicodedata.decomposition(c).partition(" ")
+    now = "".join(chr(int(x, 16)) for x in codes.split()) if tag in TAGS else c
+    while (then := "".join(known.get(x, x) for x in unicodedata.normalize("NFD", now))) != now:
+        now = then
+    return now
+
+
+@cache
+def table() -> dict[str, str]:
+    """Characters, and the text they become: nothing for what can't be seen.
+
+    A character is decomposed before its parts are looked up, so a look-alike letter with its accent in one character
+    becomes the same as the letter followed by the accent. Where Unicode has the result in one character, that is used.
+    """
     blanks = _chars(BLANKS)
-    pairs = [(wide, narrow), (blanks, " " * len(blanks)), (HYPHENS, "-" * len(HYPHENS)), CYRILLIC, GREEK, ARMENIAN, LETTERLIKE, SIGNS]
-    seen: dict[str, str] = {}
+    pairs = [(blanks, " " * len(blanks)), (HYPHENS, "-" * len(HYPHENS)), CYRILLIC, GREEK, ARMENIAN, CHEROKEE, LISU, LETTERLIKE, SIGNS]
+    known: dict[str, str] = dict(JOINED)
     for a, b in pairs:
         for x, y in zip(a, b, strict=True):
-            seen.setdefault(x, y)
-    return "".join(seen) + _chars(INVISIBLE), "".join(seen.values())
+            known.setdefault(x, y)
+    for c in _chars(INVISIBLE):
+        known[c] = ""
+    out = {}
+    for c in _every():
+        look = unicodedata.normalize("NFC", _look(c, known))
+        if look != unicodedata.normalize("NFC", c):
+            out[c] = look
+    return out
 
 
 def look_alike_form(text: Column) -> Column:
@@ -47,67 +85,81 @@ def look_alike_form(text: Column) -> Column:
     Accents are left as they are, composed or combining; the collation that groups the forms does not tell
     these apart. Plain ASCII is returned as it is. NULL gives NULL.
     """
-    source, target = table()
-    form = F.translate(text, source, target)
-    for joined, letters in JOINED.items():
-        form = F.replace(form, F.lit(joined), F.lit(letters))
+    single = {c: t for c, t in table().items() if len(t) == 1}
+    removed = "".join(c for c, t in table().items() if not t)
+    several = {c: t for c, t in table().items() if len(t) > 1}
+    form = F.translate(text, "".join(single) + removed, "".join(single.values()))
+    longer = form
+    for c, t in several.items():
+        longer = F.replace(longer, F.lit(c), F.lit(t))
+    # Few texts have characters that become several; a text that has is read once more.
+    form = F.when(form.rlike("[" + "".join(several) + "]"), longer).otherwise(form)
     return F.when(text.rlike(r"[^\x00-\x7F]"), form).otherwise(text)
 
 
 @cache
-def _composed() -> tuple[str, str]:
-    """Characters with an ASCII letter or sign under their accents, and that letter, by the Unicode decompositions."""
-    found = {c: d[0] for c in map(chr, range(0x80, 0xD800)) if (d := unicodedata.normalize("NFD", c)) != c and d[0] < "\x80"}
+def _bases() -> tuple[str, str]:
+    """Characters that have a canonical decomposition, and its first character."""
+    found = {c: d[0] for c in _every() if (d := unicodedata.normalize("NFD", c)) != c}
     return "".join(found), "".join(found.values())
 
 
 def skeleton(form: Column) -> Column:
-    """The visible ASCII characters of a form without accents: the same for all forms that the collation holds equal."""
-    return F.regexp_replace(F.when(form.rlike(r"[^\x00-\x7F]"), F.translate(form, *_composed())).otherwise(form), r"[^\x09-\x0D\x20-\x7E]+", "")
+    """The characters of a form without accents, vowel signs and what can't be seen: the same for all forms that are canonically equal."""
+    bare = F.regexp_replace(F.translate(form, *_bases()), r"[\p{M}\p{C}\u1160-\u11FF&&[^\t\n\x0B\f\r]]+", "")
+    return F.when(form.rlike(r"[^\t\n\x0B\f\r\x20-\x7E]"), bare).otherwise(form)
 
 
 def classes(documents: DataFrame, collation: str = "UNICODE") -> DataFrame:
     """(doc_id, text_id, class_id): each document, its exact text and its class of equal look.
 
-    1. Copies of a text are reduced to one representative, the least doc_id, by the text's hash. The hash
-       of its form's skeleton, which equal-looking texts share, rides along.
-    2. Only texts that share their skeleton with another text can look equal; only these are fetched. Their
-       forms are grouped under an accent- and case-sensitive Unicode collation, whose minimum is the class's
-       canonical member (``class_id``); it is joined back to the forms. Any other text is its own class.
+    1. One pass over the texts keeps three hashes a document: of the text, of its look-alike form, and of the form's
+       skeleton. It is written to the checkpoint folder; from then on texts are fetched only for step 3.
+    2. Forms that are the same string, character by character, are one value with the least doc_id as its representative.
+       This is a minimum that is combined before the shuffle, so copies and variants of one text, however many, meet nowhere.
+    3. Values that share their skeleton with another value are fetched and grouped under an accent- and case-sensitive
+       Unicode collation, to which composed and combining accents are equal. The class's canonical member
+       (``class_id``) is the least doc_id; it is joined back to the values. A value alone with its skeleton is a group of its own.
 
     ``text_id`` is the 128-bit hash of the text as it stands. The canonical member does not depend on row
     order. Documents with NULL doc_id or text are left out; an empty text is a text. A repeated doc_id
-    with several texts belongs to several classes. Other columns are not read. Only minima are combined
-    over a class, before the shuffle, so a class or a text with most of the rows is no group in memory.
+    with several texts belongs to several classes. Other columns are not read.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null").withColumn("text_id", F.unhex(F.md5("text")))
-    ids = docs.select("doc_id", "text_id", F.xxhash64(skeleton(look_alike_form(F.col("text")))).alias("bone"))
-    texts = ids.groupBy("text_id").agg(F.min("doc_id").alias("rep"), F.min("bone").alias("bone"))
-    shared = texts.groupBy("bone").agg(F.count("*").alias("n")).where("n > 1").select("bone")
-    suspects = texts.join(shared, "bone").select(F.col("rep").alias("doc_id"), "text_id", "bone")
-    first = docs.join(suspects, ["doc_id", "text_id"]).select("text_id", F.col("doc_id").alias("rep"), "bone", F.collate(look_alike_form(F.col("text")), collation).alias("form"))
-    # Rows of one skeleton are brought together by its hash, so the collation only ever compares likely equals.
-    forms = first.repartition("bone")
-    canonical = forms.groupBy("bone", "form").agg(F.min("rep").alias("class_id"))
-    named = forms.join(canonical, ["bone", "form"]).select("text_id", "class_id").distinct()
-    of = texts.join(named, "text_id", "left").select("text_id", F.coalesce("class_id", "rep").alias("class_id"))
-    return ids.select("doc_id", "text_id").join(of, "text_id").select("doc_id", "text_id", "class_id")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    hashed = lambda c: F.unhex(F.md5(c))
+    looked = docs.select("doc_id", "text", look_alike_form(F.col("text")).alias("form"))
+    ids = cut(looked.select("doc_id", hashed("text").alias("text_id"), hashed("form").alias("form_id"), F.xxhash64(skeleton(F.col("form"))).alias("bone")))
+    forms = ids.groupBy("form_id").agg(F.min("doc_id").alias("rep"), F.min("bone").alias("bone"))
+    shared = forms.groupBy("bone").agg(F.count("*").alias("n")).where("n > 1").select("bone")
+    suspects = forms.join(shared, "bone")
+    fetched = docs.join(suspects.withColumnRenamed("rep", "doc_id"), "doc_id").select("form_id", F.col("doc_id").alias("rep"), "bone", look_alike_form(F.col("text")).alias("form"))
+    # A repeated doc_id may bring another of its texts along. Values of one skeleton come together by its
+    # hash, so the collation only ever compares likely equals.
+    values = cut(fetched.where(hashed("form") == F.col("form_id")).dropDuplicates(["form_id"]).select("form_id", "rep", "bone", F.collate("form", collation).alias("form")).repartition("bone"))
+    canonical = values.groupBy("bone", "form").agg(F.min("rep").alias("class_id"))
+    named = values.join(canonical, ["bone", "form"]).select("form_id", "class_id")
+    of = forms.join(named, "form_id", "left").select("form_id", F.coalesce("class_id", "rep").alias("class_id"))
+    return ids.join(of, "form_id").select("doc_id", "text_id", "class_id")
 
 
 def equal_looking_pairs(found: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: documents of one class whose texts are not the same string.
 
-    Copies of one text are not paired with each other: classes with a single text give nothing.
+    Different texts of a class are paired first, then each side is put back to its documents; copies of one
+    text are never paired with each other.
     """
     several = found.groupBy("class_id").agg(F.min("text_id").alias("x"), F.max("text_id").alias("y")).where("x <> y").select("class_id")
-    few = found.join(several, "class_id", "left_semi")
-    a = few.select("class_id", F.col("doc_id").alias("doc_id_a"), F.col("text_id").alias("ta"))
-    b = few.select("class_id", F.col("doc_id").alias("doc_id_b"), F.col("text_id").alias("tb"))
-    return a.join(b, "class_id").where("doc_id_a < doc_id_b and ta <> tb").select("doc_id_a", "doc_id_b").distinct()
+    few = found.join(several, "class_id", "left_semi").distinct()
+    texts = few.select("class_id", "text_id").distinct()
+    pairs = texts.select("class_id", F.col("text_id").alias("ta")).join(texts.select("class_id", F.col("text_id").alias("tb")), "class_id").where("ta < tb").select("ta", "tb")
+    a = few.select(F.col("text_id").alias("ta"), F.col("doc_id").alias("da")).distinct()
+    b = few.select(F.col("text_id").alias("tb"), F.col("doc_id").alias("db")).distinct()
+    return pairs.join(a, "ta").join(b, "tb").where("da <> db").select(F.least("da", "db").alias("doc_id_a"), F.greatest("da", "db").alias("doc_id_b")).distinct()
 
 
 def consistent_text(documents: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, class_id, text): each document with the form of its class's canonical member."""
-    forms = documents.select(F.col("doc_id").cast("long").alias("class_id"), look_alike_form(F.col("text").cast("string")).alias("text"))
-    canonical = forms.join(found.select("class_id").distinct(), "class_id", "left_semi").groupBy("class_id").agg(F.min("text").alias("text"))
+    members = found.select("class_id").distinct()
+    texts = documents.select(F.col("doc_id").cast("long").alias("class_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(members, "class_id", "left_semi")
+    canonical = texts.groupBy("class_id").agg(F.min(look_alike_form(F.col("text"))).alias("text"))
     return found.select("doc_id", "class_id").distinct().join(canonical, "class_id").select("doc_id", "class_id", "text")

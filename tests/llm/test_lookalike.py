@@ -1,6 +1,7 @@
 import unicodedata
 
-from organelia.llm.lookalike import classes, consistent_text, equal_looking_pairs
+from organelia.llm import lookalike
+from organelia.llm.lookalike import classes, consistent_text, equal_looking_pairs, look_alike_form
 
 SAME = [
     ("Café - 10 % of filled", ["Café - 10 % of filled", "Ｃafé - １0 ％ of filled", "Café - 10 % of filled", "Café ‐ 10 % of filled", "Café ‑ 10 % o​f fi­l‍led﻿", "Café - 10 % of ﬁlled", "Саfé - 10 % оf fіllеd", "Cafе́ - 10 % of filled"]),
@@ -49,3 +50,35 @@ def test_one_form_long_text_and_copies(spark):
     assert got[5]["class_id"] == got[6]["class_id"] == 5
     assert {tuple(r) for r in equal_looking_pairs(c).collect()} == {(1, 3), (1, 2)}
     assert classes(df.limit(0)).count() == 0
+
+
+def test_every_composed_look_alike_equals_its_decomposition(spark):
+    """Each character whose letter is a look-alike and that carries accents: composed, decomposed, and with the Latin letter."""
+    table = lookalike.table()
+    found = [c for c in map(chr, range(0x80, 0x2000)) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0] in table and len(table[d[0]]) == 1]
+    assert len(found) > 100 and {"ӑ", "ӓ", "ӧ", "ѐ", "ў", "Ά", "ό"} <= set(found)
+    data, pairs = [], set()
+    for i, c in enumerate(found):
+        d = unicodedata.normalize("NFD", c)
+        data += [(3 * i, f"{i} x{c}"), (3 * i + 1, f"{i} x{d}"), (3 * i + 2, f"{i} x" + table[d[0]] + d[1:])]
+        pairs |= {(3 * i, 3 * i + 1), (3 * i, 3 * i + 2), (3 * i + 1, 3 * i + 2)}
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert {tuple(r) for r in equal_looking_pairs(classes(df)).collect()} == pairs
+
+
+def test_forms(spark):
+    cases = {"Ᏼꓮ𝐀𝒷": "BAAb", "Ⅻ of Ⅳ": "XII of IV", "ﾊﾟｶﾞ": "ハ\u309aカ\u3099", "x²½①": "x²½①", "𝚨": "A", "ў": "y\u0306", "plain": "plain", "": "", "–—": "–—"}
+    df = spark.createDataFrame(list(cases.items()), "text string, want string")
+    for r in df.select("text", "want", look_alike_form(df.text).alias("got")).collect():
+        assert r["got"] == r["want"], r["text"]
+
+
+def test_other_scripts_and_hot_groups(spark):
+    data = [(1, "한국어 글"), (2, unicodedata.normalize("NFD", "한국어 글")), (3, "日本語"), (4, "中文"), (5, "がぎ"), (6, unicodedata.normalize("NFD", "がぎ")), (7, "かき"), (8, "ไทย"), (9, "")]
+    data += [(1000 + i, "no" + "\u200b" * i + "tice") for i in range(40)] + [(2000, "notice"), (2000, "nòtice"), (2001, "no\u0300tice")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {tuple(r) for r in equal_looking_pairs(classes(df)).collect()}
+    marked = [*range(1000, 1040), 2000]
+    text = dict(data)
+    want = {(1, 2), (5, 6), (2000, 2001)} | {(a, b) for a in marked for b in marked if a < b and (text[a] if a != 2000 else "notice") != (text[b] if b != 2000 else "notice")}
+    assert got == want
