@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from organelia.llm.tokens import TOKENIZER, token_count
 from organelia.session import cut, ship
 
-#: Bits of the remaining budget that is fitted exactly; the part above is taken evenly over the lengths.
+#: Tokens of a source's budget that are fitted exactly, as bits of a number; what a budget has above half of this is taken evenly over the lengths first.
 WINDOW = 1 << 16
 #: Hash ranges that a (source, length) group is counted in, so that choosing from it needs no task that holds it whole.
 RANGES = 256
@@ -150,3 +150,29 @@ def mix_sources(documents: DataFrame, targets: Sequence[Target], total_tokens: i
     # The window spans one row per target.
     shares = shares.withColumn("actual_share", F.try_divide(F.col("chosen_tokens"), F.sum("chosen_tokens").over(Window.partitionBy())))
     return chosen, shares
+
+
+def mixture_faults(chosen: DataFrame, shares: DataFrame, documents: DataFrame, targets: Sequence[Target], path: str = TOKENIZER) -> DataFrame:
+    """(source, n_foreign, n_repeated, n_misjudged, off_target): what a mixture must not have, of each source.
+
+    Chosen documents that are not of the source; used more often than its limit; with another number of tokens than
+    the text has; and whether the tokens are more than the source's longest document away from its share of all tokens
+    chosen, the shares being those among sources that have tokens. All are 0 or false for a right mixture without a
+    ``total_tokens`` beyond what there is. Documents are told apart by doc_id.
+    """
+    limits = F.create_map(*([x for t in targets for x in (F.lit(t.source.strip().lower()), F.lit(t.max_repeats))] or [F.lit(""), F.lit(0)]))
+    true = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("of"), token_count(F.col("text").cast("string"), path).alias("n"))
+    both = chosen.join(true.groupBy("doc_id").agg(F.collect_set("of").alias("of"), F.collect_set("n").alias("n")), "doc_id", "left")
+    found = both.groupBy("source").agg(
+        F.count_if(~F.coalesce(F.array_contains("of", F.col("source")), F.lit(False))).alias("n_foreign"),
+        F.count_if(F.col("copies") > F.coalesce(F.element_at(limits, F.col("source")), F.lit(0))).alias("n_repeated"),
+        F.count_if(~F.coalesce(F.array_contains("n", F.col("n_tokens")), F.lit(False))).alias("n_misjudged"),
+        F.max("n_tokens").alias("longest"),
+    )
+    # The windows span one row per target.
+    everything = Window.partitionBy()
+    has = F.col("available_tokens") > 0
+    wanted = F.when(has, F.col("target_share") / F.sum(F.when(has, F.col("target_share"))).over(everything)).otherwise(0.0)
+    off = F.abs(F.col("chosen_tokens") - wanted * F.sum("chosen_tokens").over(everything)) > F.coalesce("longest", F.lit(0))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return shares.join(found, "source", "left").select("source", zero("n_foreign"), zero("n_repeated"), zero("n_misjudged"), off.alias("off_target"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from organelia.llm.lookalike import classes, consistent_text, equal_looking_pairs
-from organelia.llm.mixture import Target, mix_sources
+from organelia.llm.mixture import Target, mix_sources, mixture_faults
 from organelia.llm.neardup import assembly_key, near_duplicates, similar_pairs
 from organelia.llm.packing import fill_report, pack_documents, packing_faults
 from organelia.llm.tokens import TOKENIZER
@@ -73,6 +73,12 @@ def p8_shares(spark: SparkSession, base: str) -> DataFrame:
     return _mix(spark, base)[1]
 
 
+def p8_faults(spark: SparkSession, base: str) -> DataFrame:
+    """Counts of what is wrong with the mixture: all 0."""
+    targets = [Target(r["source"], r["target_share"], r["max_repeats"]) for r in _parameters(table(spark, base, "mix_targets"))]
+    return mixture_faults(*_mix(spark, base), table(spark, base, "documents"), targets, _tokenizer(spark))
+
+
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
     return equal_looking_pairs(classes(table(spark, base, "documents")))
 
@@ -83,7 +89,7 @@ def p9_forms(spark: SparkSession, base: str) -> DataFrame:
     return consistent_text(documents, classes(documents)).select("doc_id", "class_id", F.md5("text").alias("form_md5"), F.length("text").alias("form_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_classes, p7_containers, p7_fill, p7_faults, p8_chosen, p8_shares, p9_found, p9_forms)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_classes, p7_containers, p7_fill, p7_faults, p8_chosen, p8_shares, p8_faults, p9_found, p9_forms)}
 
 
 def _text(s: str) -> str:
@@ -139,6 +145,8 @@ ORACLE = {
 SELECT key, class_id, n_members, coalesce(n_links, 0) AS n_links FROM named LEFT JOIN degree USING (key)""",
     # Every document once, nothing wrong, whatever the containers are.
     "p7_faults": "SELECT pack_name, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS n_documents, 0 AS n_overfull, 0 AS n_cut, 0 AS n_broken FROM pack_sizes",
+    # Every source with a target, and nothing wrong, whatever was chosen.
+    "p8_faults": "SELECT lower(trim(source)) AS source, 0 AS n_foreign, 0 AS n_repeated, 0 AS n_misjudged, false AS off_target FROM mix_targets WHERE target_share > 0 AND max_repeats > 0",
     "p9_found": f"""{_P9_CLASSES}
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM forms a JOIN forms b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text""",
     "p9_forms": f"""{_P9_CLASSES}

@@ -1,6 +1,6 @@
 import random
 
-from organelia.llm.mixture import Target, fit_lengths, mix_sources
+from organelia.llm.mixture import Target, fit_lengths, mix_sources, mixture_faults
 from organelia.llm.tokens import count_tokens
 
 
@@ -77,3 +77,32 @@ def test_nothing(spark):
     assert not chosen and shares["a"]["chosen_tokens"] == 0
     chosen, shares = run(spark, [(1, "x", "a")], [])
     assert not chosen and not shares
+
+
+def test_fit_meets_the_budget_at_any_window():
+    """What is taken evenly costs no token: the exact part closes the rest of the budget, if it is as long as a few documents."""
+    rng = random.Random(11)
+    for _ in range(30):
+        lengths = sorted(rng.sample(range(5, 3000), 200))
+        counts = [rng.randint(0, 90) for _ in lengths]
+        total = sum(n * c for n, c in zip(lengths, counts, strict=True))
+        budget = rng.randint(total // 5, total - 1)
+        for window in (1 << 14, 1 << 16):
+            take = fit_lengths(lengths, counts, budget, window)
+            assert all(0 <= k <= c for k, c in zip(take, counts, strict=True))
+            assert budget - sum(n * k for n, k in zip(lengths, take, strict=True)) <= 1
+
+
+def test_faults_are_seen(spark):
+    rows = [(i, "one two three", "a") for i in range(6)] + [(10 + i, "one two three", " B") for i in range(6)]
+    targets = [Target("a", 0.5, 1), Target("b", 0.5, 1), Target("none", 0.2, 1)]
+    df = documents(spark, rows)
+    chosen, shares = mix_sources(df, targets, ranges=4)
+    see = lambda c, s=shares: {r["source"]: tuple(r)[1:] for r in mixture_faults(c, s, df, targets).collect()}
+    assert see(chosen) == {k: (0, 0, 0, False) for k in ("a", "b", "none")}
+    from pyspark.sql import functions as F
+
+    assert see(chosen.withColumn("copies", F.lit(2)))["a"] == (0, 6, 0, False)
+    assert see(chosen.withColumn("n_tokens", F.lit(99)))["b"][2] == 6
+    assert see(chosen.withColumn("source", F.lit("a")))["a"][0] == 6
+    assert see(chosen, shares.withColumn("chosen_tokens", F.when(F.col("source") == "a", 0).otherwise(F.col("chosen_tokens"))))["b"][3]
