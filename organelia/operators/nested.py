@@ -1,9 +1,10 @@
 """Deeply nested rule sets as flat, typed tables that keep their parent links.
 
-A tree automaton runs over each parsed document from the leaves up. A node's state follows from its own
-kind and the states of its children; the state says into which subtype table the node goes. Shapes that
-mean the same (a list of one element, text that itself holds JSON) have the state of what they contain,
-so every variant of a shape ends in the same state.
+A tree automaton runs over each parsed document from the leaves up. A node may be read in several ways, so
+it gets a set of states: those whose transition its fields and its children's states allow. From the root down each
+node then takes the one state that its parent's transition asks for, and that state is the subtype table
+it is routed to. Shapes that mean the same (a list of one element, text that itself holds JSON) are opened before,
+so every written variant of a shape ends in the same state.
 """
 
 from __future__ import annotations
@@ -13,28 +14,57 @@ import binascii
 import json
 import re
 from collections.abc import Iterator
+from enum import IntFlag
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from organelia.session import ship
-
-SECTIONS = ("default_rules", "rules")
-SCALARS = ("type", "count", "max_len", "min_len")
-OVERLAPS = ("start", "stop")
-CODONS = ("start_codons", "stop_codons")
+from organelia.session import cut, ship
 
 NODES = "set_key string, node_id long, parent_id long, variant string, section string, name string, field string, pos int, item string"
 _ARROW = pa.schema(
-    [("set_key", pa.string()), ("node_id", pa.int64()), ("parent_id", pa.int64()), ("variant", pa.string()), ("section", pa.string()), ("name", pa.string()), ("field", pa.string()), ("pos", pa.int32()), ("item", pa.string())]
-)
-
-# States of the automaton.
-NONE, LEAF, LEAVES, RECORD, RECORDS = "none", "leaf", "leaves", "record", "records"
+    [
+        ("set_key", pa.string()), ("node_id", pa.int64()), ("parent_id", pa.int64()), ("variant", pa.string()), ("section", pa.string()),
+        ("name", pa.string()), ("field", pa.string()), ("pos", pa.int32()), ("item", pa.string()),
+    ]
+)
+
+
+class State(IntFlag):
+    """What a node may be read as."""
+
+    NUMBER = 1
+    LOGICAL = 2
+    TEXT = 4
+    VALUES = 8  #: values in order; a single one is such a list too
+    OVERLAP = 16
+    RULE = 32
+    NAMED = 64  #: a rule that says itself what it is for
+    RULES = 128  #: rules by name, or a list of named ones
+    SET = 256  #: a whole document
+
+
+VALUE = State.NUMBER | State.LOGICAL | State.TEXT
+#: The transitions of records: a record is read as a state by these of its fields, if the child may be read as one of the states given.
+TRANSITIONS: dict[State, dict[str, State]] = {
+    State.OVERLAP: {"start": VALUE, "stop": VALUE},
+    State.NAMED: {"gene": VALUE},
+    State.RULE: {"type": VALUE, "count": VALUE, "max_len": VALUE, "min_len": VALUE, "overlap": State.OVERLAP, "start_codons": State.VALUES, "stop_codons": State.VALUES},
+    State.SET: {"default_rules": State.RULES, "rules": State.RULES},
+}
+#: The subtype table of a value: by its field and the state it has. A value of another state than its field's type is kept as text.
+SUBTYPES: dict[tuple[str, State], str] = {
+    **{(f, State.NUMBER): "limit" for f in ("count", "max_len", "min_len")},
+    ("overlap.start", State.NUMBER): "overlap_start",
+    ("overlap.stop", State.LOGICAL): "overlap_stop",
+    **{("type", s): "type" for s in (State.NUMBER, State.LOGICAL, State.TEXT)},
+    **{(f, s): "codon" for f in ("start_codons", "stop_codons") for s in (State.NUMBER, State.LOGICAL, State.TEXT)},
+}
 
 _LOGICAL = re.compile(r"(?i)true|false")
+_NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
 
 
 class _Unreadable(ValueError):
@@ -47,17 +77,16 @@ def _parse(text: str) -> Any:
 
 
 def read_document(text: str | None) -> Any:
-    """The parsed document of plain or base64 JSON text; raises where it can't be read or is no object."""
+    """The parsed document of plain or base64 JSON text; raises where it can't be read."""
     if text is None or not text.strip():
         raise _Unreadable
     try:
-        doc = _parse(text)
+        return _parse(text)
     except (ValueError, RecursionError):
         try:
-            doc = _parse(base64.b64decode("".join(text.split()), validate=True).decode("utf-8"))
+            return _parse(base64.b64decode("".join(text.split()), validate=True).decode("utf-8"))
         except (ValueError, RecursionError, binascii.Error) as e:
             raise _Unreadable from e
-    return doc
 
 
 def unwrap(node: Any) -> Any:
@@ -86,84 +115,127 @@ def plain(node: Any) -> str | None:
     return None
 
 
-def classify(node: Any) -> tuple[str, Any]:
-    """State of a node and its value in that state's canonical shape.
-
-    ``none``: nothing; ``leaf``: text; ``leaves``: list of (position, text); ``record``: dict of
-    field to (state, value); ``records``: list of records.
-    """
-    node = unwrap(node)
-    if isinstance(node, dict):
-        return RECORD, {str(k): classify(v) for k, v in node.items()}
-    if isinstance(node, list):
-        kids = [classify(v) for v in node]
-        if any(s == RECORD for s, _ in kids):
-            return RECORDS, [v for s, v in kids if s == RECORD]
-        items = [(i, v) for i, (s, v) in enumerate(kids, 1) if s == LEAF]
-        return (LEAVES, items) if items else (NONE, None)
-    text = plain(node)
-    return (NONE, None) if text is None else (LEAF, text)
-
-
-def _rules(section: tuple[str, Any]) -> Iterator[tuple[str, dict]]:
-    """(name, fields) of the rules of a section: a map from name to rule, or records that carry ``gene``."""
-    state, value = section
-    if state == RECORDS:
-        for record in value:
-            yield from _rules((RECORD, record))
-    elif state == RECORD:
-        if value.get("gene", (NONE, None))[0] == LEAF:
-            yield value["gene"][1], value
+class Node:
+    """A node of a document: its children by field (a record) or in order (a list), or its text, and its states."""
+
+    __slots__ = ("fields", "items", "text", "states")
+
+    def __init__(self, value: Any) -> None:
+        self.fields: dict[str, Node] | None = None
+        self.items: list[Node] | None = None
+        self.text = None if isinstance(value, (dict, list)) else plain(value)
+        self.states = State(0)
+
+    def read(self) -> None:
+        """The states of a node whose children have theirs."""
+        if self.fields is not None:
+            # Any record may be a rule or a document: an empty one then says nothing.
+            found = State.RULE | State.SET
+            for state in (State.OVERLAP, State.NAMED):
+                if any(f in self.fields and self.fields[f].states & child for f, child in TRANSITIONS[state].items()):
+                    found |= state
+            if found & State.NAMED or any(n.states & State.RULE for n in self.fields.values()):
+                found |= State.RULES
+        elif self.items is not None:
+            found = State(0)
+            for n in self.items:
+                found |= State.VALUES if n.states & VALUE else n.states & (State.OVERLAP | State.RULES)
+        elif self.text is None:
+            found = State(0)
         else:
-            for name, (kind, rule) in value.items():
-                if kind == RECORD:
-                    yield name, rule
+            found = State.VALUES | (State.LOGICAL if self.text in ("true", "false") else State.NUMBER if _NUMBER.fullmatch(self.text) else State.TEXT)
+        self.states = found
+
+
+def classify(document: Any) -> Node:
+    """The root of a document whose nodes all have their states. Nothing here calls itself, so no depth is too deep."""
+    value = unwrap(document)
+    root = Node(value)
+    order, stack = [], [(root, value)]
+    while stack:
+        node, value = stack.pop()
+        order.append(node)
+        if isinstance(value, dict):
+            inner = {str(k): unwrap(v) for k, v in value.items()}
+            node.fields = {k: Node(v) for k, v in inner.items()}
+            stack += [(node.fields[k], v) for k, v in inner.items()]
+        elif isinstance(value, list):
+            inside = [unwrap(v) for v in value]
+            node.items = [Node(v) for v in inside]
+            stack += list(zip(node.items, inside, strict=True))
+    # A node stands behind its parent.
+    for node in reversed(order):
+        node.read()
+    return root
+
+
+def _records(node: Node, state: State) -> Iterator[Node]:
+    """The records that a node is, or lists, as a state."""
+    for n in [node] if node.items is None else node.items:
+        if n.fields is not None and n.states & state:
+            yield n
+
+
+def _rules(node: Node) -> Iterator[tuple[str, Node]]:
+    """(name, rule) of a node that is read as rules."""
+    for record in _records(node, State.RULES):
+        if record.states & State.NAMED:
+            yield record.fields["gene"].text, record
+        else:
+            yield from ((name, rule) for name, rule in record.fields.items() if rule.states & State.RULE)
 
 
 def shred(key: str | None, text: str | None) -> Iterator[tuple]:
     """Rows of ``NODES`` for one document. Node ids count from 1 within the document; the root's parent is 0."""
     try:
-        state, doc = classify(read_document(text))
+        root = classify(read_document(text))
     except _Unreadable:
-        yield (key, 1, 0, "unreadable", None, None, None, None, None)
-        return
-    if state != RECORD:
+        root = None
+    if root is None or not root.states & State.SET:
         yield (key, 1, 0, "unreadable", None, None, None, None, None)
         return
     yield (key, 1, 0, "set", None, None, None, None, None)
-    n = 1
-    for section in SECTIONS:
-        for name, rule in _rules(doc.get(section, (NONE, None))):
-            n += 1
-            me = n
+    last = 1
+
+    def value(parent: int, section: str, name: str, field: str, pos: int, node: Node) -> tuple:
+        nonlocal last
+        last += 1
+        return (key, last, parent, SUBTYPES.get((field, node.states & VALUE), "text"), section, name, field, pos, node.text)
+
+    for section, asked in TRANSITIONS[State.SET].items():
+        rules = root.fields.get(section)
+        if rules is None or not rules.states & asked:
+            continue
+        for name, rule in _rules(rules):
+            last += 1
+            me = last
             yield (key, me, 1, "rule", section, name, None, None, None)
-            for field in SCALARS:
-                s, v = rule.get(field, (NONE, None))
-                if s == LEAF:
-                    n += 1
-                    yield (key, n, me, "scalar", section, name, field, 1, v)
-            s, v = rule.get("overlap", (NONE, None))
-            for record in v if s == RECORDS else [v] if s == RECORD else []:
-                for field in OVERLAPS:
-                    s2, v2 = record.get(field, (NONE, None))
-                    if s2 == LEAF:
-                        n += 1
-                        yield (key, n, me, "overlap", section, name, f"overlap.{field}", 1, v2)
-            for field in CODONS:
-                s, v = rule.get(field, (NONE, None))
-                for pos, item in v if s == LEAVES else [(1, v)] if s == LEAF else []:
-                    n += 1
-                    yield (key, n, me, "codon", section, name, field, pos, item)
+            for field, asked_of in TRANSITIONS[State.RULE].items():
+                node = rule.fields.get(field)
+                if node is None or not node.states & asked_of:
+                    continue
+                if asked_of == State.OVERLAP:
+                    for record in _records(node, State.OVERLAP):
+                        for inner, wanted in TRANSITIONS[State.OVERLAP].items():
+                            if inner in record.fields and record.fields[inner].states & wanted:
+                                yield value(me, section, name, f"{field}.{inner}", 1, record.fields[inner])
+                elif asked_of == State.VALUES:
+                    for pos, n in enumerate([node] if node.items is None else node.items, 1):
+                        if n.states & VALUE:
+                            yield value(me, section, name, field, pos, n)
+                else:
+                    yield value(me, section, name, field, 1, node)
 
 
 def rule_nodes(df: DataFrame, key: str = "curate_opts", params: str = "params") -> DataFrame:
     """All nodes of the nested documents in ``params``, one row per node (``NODES``).
 
-    ``variant`` is the subtype: ``set`` and ``unreadable`` (roots), ``rule``, ``scalar``, ``overlap``,
-    ``codon``. (set_key, node_id) identifies a node within its document and ``parent_id`` links it to its
-    parent. Rows are read in Arrow batches without a shuffle: a document is one row, so a key with many
-    rows needs no special care. NULL, empty and malformed text and documents that are no object give one
-    ``unreadable`` row; a NULL key is kept. Copies of a row give copies of its nodes; columns other than
+    ``variant`` is the subtype: ``set`` and ``unreadable`` (roots), ``rule``, and of values ``limit``, ``type``,
+    ``overlap_start``, ``overlap_stop``, ``codon``, or ``text`` where a value is not of its field's type. (set_key,
+    node_id) identifies a node within its document and ``parent_id`` links it to its parent. Rows are read
+    in Arrow batches without a shuffle: a document is one row, so a key with many rows needs no special care. NULL,
+    empty and malformed text, documents that are no object, and those nested deeper than the parser reads
+    give one ``unreadable`` row; a NULL key is kept. Copies of a row give copies of its nodes; columns other than
     the two named are not read.
     """
 
@@ -177,24 +249,32 @@ def rule_nodes(df: DataFrame, key: str = "curate_opts", params: str = "params")
     return df.select(F.col(key).cast("string"), F.col(params).cast("string")).mapInArrow(run, NODES)
 
 
+#: Subtype tables of values, the variant that each holds, and the type of its ``value``.
+VALUE_TABLES = {"limits": ("limit", "double"), "types": ("type", "string"), "overlap_starts": ("overlap_start", "double"), "overlap_stops": ("overlap_stop", "boolean"), "codons": ("codon", "string"), "texts": ("text", "string")}
+
+
 def rule_tables(nodes: DataFrame) -> dict[str, DataFrame]:
-    """The typed subtype tables of ``rule_nodes``; all share set_key, node_id and parent_id."""
+    """The typed subtype tables of ``rule_nodes``.
+
+    All share the supertype's key set_key, node_id and the parent link parent_id; tables of values have section, name,
+    field, pos, the value as text (``item``) and typed (``value``).
+    """
     link = ["set_key", "node_id", "parent_id"]
-    rule = [*link, "section", "name"]
     of = lambda v: nodes.where(F.col("variant") == v)
-    return {
-        "sets": of("set").select(*link),
-        "unreadable": of("unreadable").select(*link),
-        "rules": of("rule").select(*rule),
-        "limits": of("scalar").where("field <> 'type'").select(*rule, "field", F.expr("try_cast(item as double)").alias("value"), "item"),
-        "types": of("scalar").where("field = 'type'").select(*rule, "item"),
-        "overlap_starts": of("overlap").where("field = 'overlap.start'").select(*rule, F.expr("try_cast(item as int)").alias("value"), "item"),
-        "overlap_stops": of("overlap").where("field = 'overlap.stop'").select(*rule, F.expr("try_cast(item as boolean)").alias("value"), "item"),
-        "codons": of("codon").select(*rule, "field", "pos", "item"),
-    }
+    tables = {"sets": of("set").select(*link), "unreadable": of("unreadable").select(*link), "rules": of("rule").select(*link, "section", "name")}
+    for name, (variant, kind) in VALUE_TABLES.items():
+        tables[name] = of(variant).select(*link, "section", "name", "field", "pos", "item", F.col("item").try_cast(kind).alias("value"))
+    return tables
 
 
 def rule_values(df: DataFrame, key: str = "curate_opts", params: str = "params") -> DataFrame:
-    """(curate_opts, section, name, field, pos, item): every rule value of the readable documents, distinct."""
-    distinct = df.select(key, params).distinct()
-    return rule_nodes(distinct, key, params).where("item is not null").select(F.col("set_key").alias("curate_opts"), "section", "name", "field", "pos", "item").distinct()
+    """(curate_opts, section, name, field, pos, item): every rule value of the readable documents, distinct.
+
+    The union of the typed tables; documents are parsed once, into the checkpoint folder.
+    """
+    tables = rule_tables(cut(rule_nodes(df.select(key, params).distinct(), key, params)))
+    parts = [tables[t].select(F.col("set_key").alias("curate_opts"), "section", "name", "field", "pos", "item") for t in VALUE_TABLES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out.distinct()

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from organelia.operators.intervals import covered_and_gaps
-from organelia.operators.nested import rule_nodes, rule_tables, rule_values
+from organelia.operators.nested import VALUE_TABLES, rule_nodes, rule_tables, rule_values
 from organelia.operators.packed import packed_values
 from organelia.operators.references import Reference, orphans
 from organelia.operators.rejects import classify_records, rejected_records, valid_records
-from organelia.session import table
+from organelia.session import cut, table
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
@@ -45,9 +45,19 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p3_tables(spark: SparkSession, base: str) -> DataFrame:
-    """Rows of each subtype table."""
-    tables = rule_tables(rule_nodes(table(spark, base, "curate_opts").select("curate_opts", "params").distinct()))
-    parts = [d.select(F.lit(n).alias("subtype"), "set_key").groupBy("subtype").agg(F.count("*").alias("n_rows"), F.count_distinct("set_key").alias("n_sets")) for n, d in tables.items()]
+    """Rows of each subtype table, the sets they are of, and the rows whose parent is in the table it must be in."""
+    nodes = cut(rule_nodes(table(spark, base, "curate_opts").select("curate_opts", "params").distinct().withColumn("doc", F.struct("curate_opts", "params")).select(F.to_json("doc").alias("doc"), "params"), "doc"))
+    tables = rule_tables(nodes)
+    parents = {"sets": None, "unreadable": None, "rules": "sets"} | {t: "rules" for t in VALUE_TABLES}
+    parts = []
+    for name, parent in parents.items():
+        d = tables[name].select("set_key", "parent_id")
+        if parent is not None:
+            up = tables[parent].select("set_key", F.col("node_id").alias("parent_id"), F.lit(1).alias("up"))
+            d = d.join(up, ["set_key", "parent_id"], "left")
+        else:
+            d = d.withColumn("up", F.when(F.col("parent_id") == 0, 1))
+        parts.append(d.agg(F.count("*").alias("n_rows"), F.count_distinct("set_key").alias("n_documents"), F.count("up").alias("n_linked")).select(F.lit(name).alias("subtype"), "*"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -129,7 +139,45 @@ WITH heads AS (SELECT sheet, list_transform({_cells_sql("regexp_replace(ltrim(mi
 ), firsts AS (SELECT sheet, i, min(line_no) AS first_line FROM checked WHERE why IS NULL GROUP BY ALL
 ), done AS (SELECT c.*, CASE WHEN why IS NULL AND line_no > first_line THEN 'id repeated' ELSE why END AS reason FROM checked c LEFT JOIN firsts USING (sheet, i))"""
 
+def _opened(name: str, source: str, columns: str, value: str, where: str = "true", times: int = 3) -> str:
+    """CTEs that open lists of one and text that holds JSON, up to ``times`` deep; the last is ``name``."""
+    v = "CASE WHEN json_type(v) = 'ARRAY' AND json_array_length(v) = 1 THEN v->0 WHEN json_type(v) = 'VARCHAR' AND trim(v->>'$')[1] IN ('{', '[', '\"') AND json_valid(v->>'$') THEN (v->>'$')::JSON ELSE v END"
+    steps = [f"{name}_0 AS (SELECT {columns}, {value} AS v FROM {source} WHERE {where})"]
+    kept = ", ".join(c.split(" AS ")[-1] for c in columns.split(", "))
+    for i in range(1, times + 1):
+        steps.append(f"{name if i == times else f'{name}_{i}'} AS (SELECT {kept}, {v} AS v FROM {name}_{i - 1})")
+    return ", ".join(steps)
+
+
+_P3_TEXT = "CASE WHEN lower(trim(v->>'$')) IN ('true', 'false') THEN lower(trim(v->>'$')) ELSE trim(v->>'$') END"
+_P3_VALUE = "json_type(v) NOT IN ('OBJECT', 'ARRAY', 'NULL') AND trim(v->>'$') NOT IN ('', 'NA')"
+_P3 = f"""
+WITH src AS (SELECT DISTINCT curate_opts, params FROM curate_opts
+), texts AS (SELECT curate_opts, params, CASE WHEN json_valid(params) THEN params ELSE TRY(decode(from_base64(regexp_replace(params, '\\s', '', 'g')))) END AS t FROM src
+), {_opened("doc", "texts", "curate_opts, params", "t::JSON", "t IS NOT NULL AND json_valid(t)")}
+, {_opened("sec", "doc, (VALUES ('default_rules'), ('rules')) x(section)", "curate_opts, params, section", "v->section", "json_type(v) = 'OBJECT'")}
+, {_opened("item", "(SELECT *, unnest(from_json(v, '[\"JSON\"]')) AS w FROM sec WHERE json_type(v) = 'ARRAY')", "curate_opts, params, section", "w")}
+, objects AS (SELECT * FROM item WHERE json_type(v) = 'OBJECT' UNION ALL SELECT * FROM sec WHERE json_type(v) = 'OBJECT')
+, {_opened("gene", "objects", "curate_opts, params, section, v AS rule", "v->'gene'")}
+, {_opened("entry", f"(SELECT *, unnest(json_keys(rule)) AS name FROM gene WHERE NOT coalesce({_P3_VALUE}, false))", "curate_opts, params, section, name", "json_extract(rule, '$.\"' || name || '\"')")}
+, rule AS (SELECT curate_opts, params, section, {_P3_TEXT} AS name, rule AS v FROM gene WHERE {_P3_VALUE} UNION ALL SELECT curate_opts, params, section, name, v FROM entry WHERE json_type(v) = 'OBJECT')
+, {_opened("field", "rule, (VALUES ('type'), ('count'), ('max_len'), ('min_len'), ('overlap'), ('start_codons'), ('stop_codons')) x(field)", "curate_opts, params, section, name, field", "v->field")}
+, {_opened("lap", "(SELECT curate_opts, params, section, name, v FROM field WHERE field = 'overlap' AND json_type(v) = 'OBJECT'), (VALUES ('start'), ('stop')) x(part)", "curate_opts, params, section, name, part", "v->part")}
+, {_opened("codon", "(SELECT * FROM (SELECT *, unnest(from_json(v, '[\"JSON\"]')) AS w, generate_subscripts(from_json(v, '[\"JSON\"]'), 1) AS pos FROM field WHERE field LIKE '%codons' AND json_type(v) = 'ARRAY'))", "curate_opts, params, section, name, field, pos", "w")}
+, found AS (
+  SELECT curate_opts, params, section, name, field, 1 AS pos, {_P3_TEXT} AS item FROM field WHERE field <> 'overlap' AND {_P3_VALUE}
+  UNION ALL SELECT curate_opts, params, section, name, 'overlap.' || part, 1, {_P3_TEXT} FROM lap WHERE {_P3_VALUE}
+  UNION ALL SELECT curate_opts, params, section, name, field, pos::INT, {_P3_TEXT} FROM codon WHERE {_P3_VALUE})"""
+_P3_NUMBER = "regexp_full_match(item, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?')"
+_P3_KIND = f"CASE WHEN field = 'type' THEN 'types' WHEN field LIKE '%codons' THEN 'codons' WHEN field IN ('count', 'max_len', 'min_len') AND {_P3_NUMBER} THEN 'limits' WHEN field = 'overlap.start' AND {_P3_NUMBER} THEN 'overlap_starts' WHEN field = 'overlap.stop' AND item IN ('true', 'false') THEN 'overlap_stops' ELSE 'texts' END"
+
 ORACLE = {
+    "p3_found": f"{_P3} SELECT DISTINCT curate_opts, section, name, field, pos, item FROM found",
+    "p3_tables": f"""{_P3}, kinds AS (SELECT curate_opts, params, {_P3_KIND} AS subtype FROM found
+  UNION ALL SELECT curate_opts, params, 'rules' FROM rule UNION ALL SELECT curate_opts, params, 'sets' FROM doc WHERE json_type(v) = 'OBJECT'
+  UNION ALL SELECT curate_opts, params, 'unreadable' FROM src WHERE NOT EXISTS (SELECT 1 FROM doc d WHERE d.curate_opts IS NOT DISTINCT FROM src.curate_opts AND d.params = src.params AND json_type(d.v) = 'OBJECT'))
+SELECT s.subtype, count(k.subtype) AS n_rows, count(DISTINCT CASE WHEN k.subtype IS NOT NULL THEN (k.curate_opts, coalesce(k.params, '-null-')) END) AS n_documents, count(k.subtype) AS n_linked
+FROM (VALUES ('sets'), ('unreadable'), ('rules'), ('limits'), ('types'), ('overlap_starts'), ('overlap_stops'), ('codons'), ('texts')) s(subtype) LEFT JOIN kinds k USING (subtype) GROUP BY s.subtype""",
     "p1_found": f"{_P1} SELECT id, path, scaffold, direction, before + 1 AS gap_start, s - 1 AS gap_end FROM seen WHERE s > before + 1",
     "p1_covered": f"""{_P1}, marked AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY id, path, scaffold, direction ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM seen)
 SELECT id, path, scaffold, direction, min(s) AS period_start, CASE WHEN count(e) = count(*) THEN max(e) END AS period_end FROM marked GROUP BY id, path, scaffold, direction, k""",

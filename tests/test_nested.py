@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from organelia.operators.nested import classify, rule_nodes, rule_tables, rule_values, shred, unwrap
+from organelia.operators.nested import State, classify, rule_nodes, rule_tables, rule_values, shred, unwrap
 
 
 def values(doc):
@@ -47,19 +47,47 @@ def test_unreadable():
     assert [r[3] for r in shred("s", deep)] == ["unreadable"]
 
 
+def nested(depth, inner):
+    return '{"a":[0,' * depth + inner + "]}" * depth
+
+
+def test_deep_documents():
+    rule = '{"cob":{"type":"PCG","max_len":9}}'
+    for depth in (10, 300, 900):
+        assert values(f'{{"other":{nested(depth, "1")},"rules":{rule}}}') == {("rules", "cob", "type", 1, "PCG"), ("rules", "cob", "max_len", 1, "9")}
+        assert [r[3] for r in shred("s", f'{{"rules":{{"cob":{nested(depth, rule)}}}}}')] == ["set", "rule"]
+    for depth in (1_500, 10_000, 200_000):
+        # Either read or unreadable, by what the parser takes; never an error.
+        assert {r[3] for r in shred("s", f'{{"other":{nested(depth, "1")},"rules":{rule}}}')} <= {"unreadable", "set", "rule", "type", "limit"}
+    assert values('{"rules":' + "[" * 800 + rule + "]" * 800 + "}") == {("rules", "cob", "type", 1, "PCG"), ("rules", "cob", "max_len", 1, "9")}
+
+
 def test_states():
-    assert classify([["x"]]) == ("leaf", "x")
-    assert classify({"a": None})[0] == "record"
-    assert classify([{"a": 1}, {"b": 2}])[0] == "records"
+    assert classify([["x"]]).states == State.VALUES | State.TEXT
+    assert classify("350").states == State.VALUES | State.NUMBER and classify(True).states == State.VALUES | State.LOGICAL
+    assert not classify({"a": None}).states & (State.RULES | State.OVERLAP | State.NAMED)
+    assert classify({"start": "2"}).states & State.OVERLAP and not classify({"start": []}).states & State.OVERLAP
+    assert classify([{"gene": "a"}, {"gene": "b"}]).states == State.RULES
+    assert classify({"cob": {"type": "PCG"}}).states & State.RULES and not classify({"cob": 3}).states & State.RULES
     assert unwrap('"[\\"x\\"]"') == "x"
 
 
+def test_variants_go_to_typed_tables(spark):
+    doc = {"rules": {"a": {"type": "PCG", "count": "two", "max_len": "35", "min_len": 3.5, "overlap": {"start": "FALSE", "stop": "false"}}}}
+    nodes = rule_nodes(spark.createDataFrame([("s", json.dumps(doc))], "curate_opts string, params string"))
+    tables = rule_tables(nodes)
+    rows = lambda t: sorted((r["field"], r["item"], r["value"]) for r in tables[t].collect())
+    assert rows("limits") == [("max_len", "35", 35.0), ("min_len", "3.5", 3.5)]
+    assert rows("texts") == [("count", "two", "two"), ("overlap.start", "false", "false")]
+    assert rows("overlap_stops") == [("overlap.stop", "false", False)]
+
+
 def test_tables_keep_links(spark):
     df = spark.createDataFrame([("s", json.dumps(PLAIN), "x"), ("s", json.dumps(PLAIN), "y"), (None, None, None), ("bad", "{", None)], "curate_opts string, params string, set_key string")
     got = {tuple(r) for r in rule_values(df).collect()}
     assert got == {("s", *v) for v in EXPECTED}
     tables = rule_tables(rule_nodes(df.select("curate_opts", "params").distinct()))
-    assert {k: t.count() for k, t in tables.items()} == {"sets": 1, "unreadable": 2, "rules": 2, "limits": 2, "types": 1, "overlap_starts": 1, "overlap_stops": 1, "codons": 2}
+    assert {k: t.count() for k, t in tables.items()} == {"sets": 1, "unreadable": 2, "rules": 2, "limits": 2, "types": 1, "overlap_starts": 1, "overlap_stops": 1, "codons": 2, "texts": 0}
     parents = tables["rules"].select(F.col("node_id").alias("parent_id"), F.col("name").alias("rule"))
     linked = tables["codons"].join(parents, "parent_id").select("rule").distinct().collect()
     assert [r[0] for r in linked] == ["PCG"]
