@@ -11,8 +11,6 @@ ID_LENGTH = 18
 READ_FILE = r"\.(fastq|fq)(\.gz)?\z"
 #: Quotes are balanced, and a quoted field starts and ends at a field border. Possessive, so that long texts need no stack.
 WELL_QUOTED = r'(?s)\A(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)(?:,(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+))*+\z'
-#: Columns that the parser is allowed; records with more commas are split by the pattern of quoted fields instead.
-PARSER_COLUMNS = 20_000
 _BLANKS = " \t\r\n\f\x0b\u00a0\ufeff"
 _MARK = "\ufeff"
 
@@ -26,24 +24,25 @@ def _record(raw: Column) -> Column:
     return F.regexp_replace(raw, r"[\r\n]+\z", "")
 
 
-def _wide(record: Column) -> Column:
-    return F.length(record) - F.length(F.replace(record, F.lit(","), F.lit(""))) >= PARSER_COLUMNS
+def _commas(record: Column) -> Column:
+    return F.length(record) - F.length(F.replace(record, F.lit(","), F.lit("")))
 
 
-def _fields(record: Column, width: Column, most: int, quoted: Column) -> Column:
-    """Permissive read of a record as ``width`` fields under an explicit schema of ``most`` columns.
+def _read(record: Column, width: Column, most: int, columns: int) -> Column:
+    """Permissive read of any record as ``width`` fields under an explicit schema of ``most`` columns.
 
-    Commas fill a narrower sheet up to the schema, so the parser marks a record as corrupt exactly if its
-    field count is not the sheet's. ``_corrupt`` keeps the raw text of such records.
+    Commas fill a narrower sheet up to the schema, so the parser marks a record as corrupt exactly if it
+    finds another number of fields than the sheet has. ``_corrupt`` keeps the text of such records. ``columns``
+    are as many as the record with most commas could have.
     """
     schema = ", ".join([f"c{i} string" for i in range(most)] + ["_corrupt string"])
-    # A record with broken quoting is not given to the parser, which would guess; it is corrupt as it stands.
     padded = F.concat(record, F.repeat(F.lit(","), (F.lit(most) - width).cast("int")))
-    return F.from_csv(F.when(quoted & ~_wide(record), padded), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1", "maxColumns": str(most + PARSER_COLUMNS), "comment": "", "emptyValue": "", "nullValue": "\ufdd0"})
+    options = {"quote": '"', "escape": '"', "comment": "", "emptyValue": "", "nullValue": "\ufdd0", "multiLine": "true", "maxCharsPerColumn": "-1", "maxColumns": str(columns)}
+    return F.from_csv(padded, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", **options})
 
 
 def _split(record: Column) -> Column:
-    """The fields of a well-quoted record as an array."""
+    """The fields of a well-quoted header as an array."""
     cells = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(r'(?s),("[^"]*+(?:""[^"]*+)*+"|[^",]*+)'), 1)
     return F.transform(cells, lambda c: F.when(F.startswith(c, F.lit('"')), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
 
@@ -55,11 +54,19 @@ def classify_records(sheets: DataFrame, most: int | None = None) -> DataFrame:
     line 1 with all required columns), ``no record`` (raw NULL), ``quoting``, ``field count``, ``id empty``,
     ``id too long``, ``taxon empty``, ``r1 not a read file``, ``r2 not a read file``, ``r1 equals r2``,
     ``id repeated`` (an earlier valid record of the sheet has it). Header names are compared without case
-    and outer blanks; of a name that occurs twice the first counts. Records are read permissively under an
-    explicit schema of ``most`` columns (default: the widest header); the corrupt ones keep their raw text
-    and are classed by quoting, count and value checks. Of several line 1 the first by text is the header,
-    and of records with one (sheet, line_no) and ID each may be the earlier one, so all of them are valid. A NULL sheet
-    or line_no makes a record of an unknown sheet: ``no header``. Other columns are not read.
+    and outer blanks; of a name that occurs twice the first counts.
+
+    1. Every record is read permissively under an explicit schema of ``most`` columns (default: the widest header).
+       The parser keeps the text of records whose field count is not their sheet's in ``_corrupt``; that text
+       is what comes out as ``raw``.
+    2. Corrupt records are classed from the text kept: ``quoting`` where quotes are unbalanced or not at a
+       field border, else ``field count``. The parser forgives some quotes that are neither, so records
+       that it could read are held to the same pattern.
+    3. Values of what is left are checked.
+
+    Of several line 1 the first by text is the header, and of records with one (sheet, line_no) and ID each
+    may be the earlier one, so all of them are valid. A NULL sheet or line_no makes a record of an unknown
+    sheet: ``no header``. Other columns are not read.
 
     The parts of a sheet are never gathered in one task: the header is joined, and the first valid line of
     an ID is a minimum that is combined before the shuffle.
@@ -71,17 +78,22 @@ def classify_records(sheets: DataFrame, most: int | None = None) -> DataFrame:
     heads = heads.select("sheet", names.alias("names")).select(
         "sheet", F.size("names").alias("width"), *[F.array_position("names", F.lit(n.lower())).cast("int").alias(f"at_{n.lower()}") for n in REQUIRED]
     )
+    # Two numbers come to the driver: the widest header, and the most commas in a record, for which the parser is sized.
+    sizes = dict(tuple(r) for r in heads.select(F.lit("width").alias("k"), F.col("width").alias("v")).unionAll(rows.select(F.lit("commas"), _commas(F.col("raw")))).groupBy("k").agg(F.max("v").alias("v")).collect())
     if most is None:
-        most = max(heads.agg(F.max("width")).first()[0] or 1, 1)
+        most = max(sizes.get("width") or 1, 1)
+    columns = most + (sizes.get("commas") or 0) + 1
     body = rows.where("line_no is null or line_no <> 1").join(heads, "sheet", "left")
-    record = _record(F.col("raw"))
-    read = body.withColumn("record", record).withColumn("quoted", F.col("record").rlike(WELL_QUOTED))
-    read = read.withColumn("got", _fields(F.col("record"), F.col("width"), most, F.col("quoted")))
+    read = body.withColumn("record", _record(F.col("raw"))).withColumn("got", _read(F.col("record"), F.col("width"), most, columns))
     cell = F.array(*[F.col(f"got.c{i}") for i in range(most)])
+    size, kept = F.length("record"), F.col("got._corrupt")
+    # The text that the parser kept, without the commas that filled it up and with the line's end that was taken off.
+    raw = F.when(kept.isNotNull(), F.concat(F.substr(kept, F.lit(1), size), F.substr("raw", size + 1))).otherwise(F.col("raw"))
+    read = read.select("sheet", "line_no", raw.alias("raw"), "width", "at_id", "at_taxon", "at_r1", "at_r2", "record", F.when(kept.isNull() & ((F.col("record") != "") | (F.col("width") == 1)), cell).alias("cells"))
+    quoted = ~F.contains("record", F.lit('"')) | F.col("record").rlike(WELL_QUOTED)
     value = lambda n: _blank_off(F.coalesce(F.get("cells", F.col(f"at_{n}") - 1), F.lit("")))
-    split = _split(F.col("record"))
-    read = read.withColumn("cells", F.when(F.col("quoted") & _wide(F.col("record")), F.when(F.size(split) == F.col("width"), split)).when(F.col("quoted") & F.col("got._corrupt").isNull() & ((F.col("record") != "") | (F.col("width") == 1)), cell))
-    read = read.select("sheet", "line_no", "raw", "width", "at_id", "at_taxon", "at_r1", "at_r2", "quoted", F.col("cells").isNotNull().alias("counted"), F.inline(F.array(F.struct(*[value(n.lower()).alias(n.lower()) for n in REQUIRED]))))
+    read = read.withColumn("quoted", quoted)
+    read = read.select("sheet", "line_no", "raw", "width", "at_id", "at_taxon", "at_r1", "at_r2", "quoted", (F.col("quoted") & F.col("cells").isNotNull()).alias("counted"), F.inline(F.array(F.struct(*[value(n.lower()).alias(n.lower()) for n in REQUIRED]))))
     # The generator keeps later filters from being rewritten into many copies of the parse below it.
     reason = (
         F.when(F.col("width").isNull() | (F.least("at_id", "at_taxon", "at_r1", "at_r2") == 0), "no header")

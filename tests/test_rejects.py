@@ -1,3 +1,5 @@
+import random
+
 from organelia.operators.rejects import classify_records, rejected_records, valid_records
 
 GOOD = "a{0},Some taxon,a{0}_R1.fastq.gz,a{0}_R2.fq"
@@ -60,3 +62,58 @@ def test_long_text(spark):
     long = "x" * 200_000
     df = sheet(spark, [f'a,"{long}",a_R1.fq,a_R2.fq', f'b,"{long}"",b_R1.fq,b_R2.fq', "c," + '"",' * 50_000])
     assert reasons(df) == {2: None, 3: "quoting", 4: "field count"}
+
+
+def test_every_record_is_read_before_it_is_classed(spark):
+    """Against the definition, on random records: quoting by a character automaton, count by what lies between its borders."""
+    rng = random.Random(4)
+
+    def fields(record):
+        out, i = [], 0
+        while True:
+            if record[i : i + 1] == '"':
+                j = i + 1
+                while True:
+                    j = record.find('"', j)
+                    if j < 0:
+                        return None
+                    if record[j + 1 : j + 2] == '"':
+                        j += 2
+                        continue
+                    break
+                out.append(record[i + 1 : j].replace('""', '"'))
+                i = j + 1
+                if i < len(record) and record[i] != ",":
+                    return None
+            else:
+                j = record.find(",", i)
+                j = len(record) if j < 0 else j
+                if '"' in record[i:j]:
+                    return None
+                out.append(record[i:j])
+                i = j
+            if i >= len(record):
+                return out
+            i += 1
+
+    records = ["".join(rng.choice(['"', '"', ",", ",", "a", " ", "\n", '""', "b_R1.fq"]) for _ in range(rng.randint(1, 14))) for _ in range(600)]
+    records += [",".join([GOOD.format(900 + i)] + [rng.choice(["", '"x"', '"a,b"', 'a"', '"a""b"'])]) for i in range(40)]
+    df = sheet(spark, records, "ID,Taxon,R1,R2,note").union(sheet(spark, records, "ID,Taxon,R1,R2,note,b,c", "wide"))
+    got = {(r["sheet"], r["line_no"]): (r["reason"], r["raw"]) for r in classify_records(df).collect()}
+    for name, width in (("s", 5), ("wide", 7)):
+        for i, record in enumerate(records, 2):
+            stripped = record.rstrip("\r\n")
+            cells = fields(stripped)
+            reason, raw = got[name, i]
+            assert raw == record
+            if cells is None:
+                assert reason == "quoting", record
+            elif len(cells) != width or not stripped:
+                assert reason == "field count", record
+            else:
+                assert reason not in ("quoting", "field count"), record
+
+
+def test_one_very_wide_record(spark):
+    df = sheet(spark, [GOOD.format(1), "," * 120_000, GOOD.format(2)])
+    assert reasons(df) == {2: None, 3: "field count", 4: None}
