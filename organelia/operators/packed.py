@@ -12,33 +12,25 @@ SEPARATOR = r"[;|\t\r\n]|(?<![0-9]),|,(?![0-9])|(?<=\s)/|/(?=\s)"
 #: The same where blanks alone separate too.
 BLANK_SEPARATOR = r"\s+/\s*|/\s+|[;|]|(?<![0-9]),|,(?![0-9])|\s+"
 OUTER = " \t\r\n\f\x0b\u00a0"
+#: Marks the end of a value while pieces are put together: a code point that is no character. One that a text has itself is written with the next two.
+MARK, ESCAPE = "\ufdd0", "\ufdd1"
 
 
 def unpack(text: Column, blanks: bool = False) -> Column:
     """The values of a packed text, in order, as an array.
 
     The text is split on double quotes. Odd pieces are literals; even pieces are split on the separators;
-    an empty even piece between two literals is a doubled quote. A fold over the pieces closes a value at
-    each separator and carries the open one on. Outer blanks and empty values are dropped. NULL gives
-    NULL, empty text an empty array. A quote that is never closed makes the rest of the text a literal.
+    an empty even piece between two literals is a doubled quote. Two folds put the values together again: one over the
+    parts of a piece, with a mark between them, and one over the pieces; what lies between two marks is a value. Both are linear in
+    the text. Outer blanks and empty values are dropped. NULL gives NULL, empty text an empty array. A quote
+    that is never closed makes the rest of the text a literal.
     """
     sep = BLANK_SEPARATOR if blanks else SEPARATOR
-    pieces = F.split(text, '"', -1)
+    pieces = F.split(F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + "1")), F.lit(MARK), F.lit(ESCAPE + "0")), '"', -1)
     last = F.size(pieces) - 1
-    marked = F.transform(
-        pieces,
-        lambda p, i: F.when(i % 2 == 1, F.array(p)).when((p == "") & (i > 0) & (i < last), F.array(F.lit('"'))).otherwise(F.split(p, sep, -1)),
-    )
-
-    def step(acc: Column, parts: Column) -> Column:
-        n = F.size(parts)
-        head = F.concat(acc["open"], parts[0])
-        return F.when(n == 1, F.struct(acc["done"].alias("done"), head.alias("open"))).otherwise(
-            F.struct(F.concat(acc["done"], F.array(head), F.slice(parts, 2, F.greatest(n - 2, F.lit(0)))).alias("done"), F.element_at(parts, -1).alias("open"))
-        )
-
-    folded = F.aggregate(marked, F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open")), step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
-    values = F.when(F.contains(text, F.lit('"')), folded).otherwise(F.split(text, sep, -1))
+    parts = lambda p, i: F.when(i % 2 == 1, F.array(p)).when((p == "") & (i > 0) & (i < last), F.array(F.lit('"'))).otherwise(F.split(p, sep, -1))
+    folded = F.array_join(F.transform(pieces, lambda p, i: F.array_join(parts(p, i), MARK)), "")
+    values = F.transform(F.split(folded, MARK, -1), lambda v: F.replace(F.replace(v, F.lit(ESCAPE + "0"), F.lit(MARK)), F.lit(ESCAPE + "1"), F.lit(ESCAPE)))
     return F.filter(F.transform(values, lambda v: F.btrim(v, F.lit(OUTER))), lambda v: v != "")
 
 
@@ -51,13 +43,7 @@ def packed_values(df: DataFrame, table_name: str, row_key: Sequence[str], fields
     """
     key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in row_key])
     parts = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("text"), F.lit(f in blank_fields).alias("blanks")) for f in fields]))
-    # A text without any separator holds one value; it is dropped before the fold.
-    may = r"[;|,/\t\r\n]"
-    rows = (
-        df.select(key.alias("row_key"), parts.alias("x"))
-        .select("row_key", "x.*")
-        .where(F.col("text").rlike(may) | (F.col("blanks") & F.col("text").rlike(r"\s")) | F.lit(least < 2))
-    )
+    rows = df.select(key.alias("row_key"), parts.alias("x")).select("row_key", "x.*").where("text is not null")
     if not blank_fields:
         values = unpack(F.col("text"))
     elif set(blank_fields) >= set(fields):

@@ -36,7 +36,7 @@ def parse(text, blanks):
 def test_equals_automaton(spark):
     rng = random.Random(1)
     words = ["a", "x y", "12,040", "start/stop", "5' end", "(+2)", "a-b", "c:3"]
-    texts = ["", " ", '"', '""', '"a""b";c', '"";b', '"""q""" | z', "1,2,3", "a / b", "x" * 50_000 + ";y"]
+    texts = ["\ufdd0;\ufdd1;\ufdd10\ufdd11", '"\ufdd0;" a\ufdd1;b', "", " ", '"', '""', '"a""b";c', '"";b', '"""q""" | z', "1,2,3", "a / b", "x" * 50_000 + ";y"]
     for _ in range(300):
         parts = []
         for _ in range(rng.randint(1, 5)):
@@ -50,6 +50,12 @@ def test_equals_automaton(spark):
         assert r["b"] == parse(r["text"], True), r["text"]
 
 
+def test_many_quotes_in_one_text(spark):
+    text = '"a;b" c;' * 50_000
+    got = spark.createDataFrame([(text,)], "text string").select(F.size(unpack(F.col("text"))).alias("n"), unpack(F.col("text"))[49_999].alias("v")).first()
+    assert (got["n"], got["v"]) == (50_000, "a;b c")
+
+
 def test_rows(spark):
     data = [("s", None, 1, "a; b", None, "p q"), ("s", None, 1, "a; b", None, "p q"), ("t", "g", 2, "one", "", ""), (None, "g", 3, None, "x|y", "z")]
     df = spark.createDataFrame(data, "id string, gene string, pos int, notes string, item string, missing string")
