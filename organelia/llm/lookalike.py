@@ -92,9 +92,19 @@ def look_alike_form(text: Column) -> Column:
     longer = form
     for c, t in several.items():
         longer = F.replace(longer, F.lit(c), F.lit(t))
-    # Few texts have characters that become several; a text that has is read once more.
-    form = F.when(form.rlike("[" + "".join(several) + "]"), longer).otherwise(form)
-    return F.when(text.rlike(r"[^\x00-\x7F]"), form).otherwise(text)
+    # Few texts have characters that become several. They are told by ranges of code points: what else lies in these is not replaced.
+    return F.when(~text.rlike(r"[^\x00-\x7F]"), text).when(text.rlike(_ranges("".join(several))), longer).otherwise(form)
+
+
+def _ranges(characters: str, gap: int = 32) -> str:
+    """A character class of few ranges in which all the characters lie."""
+    codes = sorted(map(ord, characters))
+    ends = [[codes[0], codes[0]]]
+    for c in codes[1:]:
+        if c - ends[-1][1] > gap:
+            ends.append([c, c])
+        ends[-1][1] = c
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ends) + "]"
 
 
 @cache
