@@ -52,6 +52,23 @@ def named_groups(text: Column, pattern: str, names: list[str]) -> list[Column]:
     return [F.when(text.rlike(pattern), F.regexp_extract(text, pattern, i)).alias(n) for i, n in enumerate(names, 1)]
 
 
+def named_values(name: Column, value: Column) -> Column:
+    """An aggregate: the values of a group as a map by their names. A name should occur once in a group; of several the one that sorts last counts."""
+    entries = F.array_sort(F.collect_list(F.struct(name.alias("k"), value.alias("v"))))
+    last = F.filter(entries, lambda e, i: ~F.coalesce(F.get(entries, i + 1)["k"] == e["k"], F.lit(False)))
+    return F.map_from_entries(F.filter(last, lambda e: e["k"].isNotNull()))
+
+
+def bullets(structure: Column) -> Column:
+    """A structure with its transfer RNAs shown as bullets."""
+    return F.regexp_replace(structure, "trn[A-Z]", "\u2022")
+
+
+def shell_quote(text: Column) -> Column:
+    """A text as one word of a shell command."""
+    return F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("'\\''")), F.lit("'"))
+
+
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """An expression over a value that is computed once, however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -472,13 +472,6 @@ def hit_table(spark, base):
     return d.groupBy(*CONTIG, "gene", "pos1").agg(F.max(top("similarity")).alias("best"), F.max(top("gap_leading")).alias("max_gap"), F.max((F.size("hits") > 1).cast("int")).alias("several"))
 
 
-@query(None)
-def rules_merged(spark, base):
-    from organelia.operators.nested import rule_values
-
-    return params.merged_rules(rule_values(table(spark, base, "curate_opts")))
-
-
 # Relational --------------------------------------------------------------------------------------
 
 
