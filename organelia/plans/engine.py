@@ -17,6 +17,7 @@ from organelia.plans import annotate as A
 from organelia.plans import coverage as C
 from organelia.plans import curate, params
 from organelia.plans import validate as V
+from organelia.plans.sql_tables import PRODUCT_SQL, RULES as _RULES, amino_sql
 from organelia.session import table
 from organelia.sinks import files as K
 from organelia.streaming.ingest import last_values, sessions
@@ -69,7 +70,6 @@ def _revcomp_sql(s: str) -> str:
 
 _OVER = "CASE WHEN pos1 <= pos2 THEN substr(sequence, pos1, pos2 - pos1 + 1) ELSE substr(sequence, pos1) || substr(sequence, 1, pos2) END"
 _CODING = f"CASE WHEN direction = '-' THEN {_revcomp_sql(_OVER)} ELSE {_OVER} END"
-_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in S.genetic_code(CODE).items()) + "}"
 
 
 # Sequences ---------------------------------------------------------------------------------------
@@ -119,7 +119,7 @@ _PROTEINS = f"{_calls_sql()}, {_CONTIGS}, pcg AS (SELECT id, path, scaffold, gen
 @query(
     f"""WITH {_PROTEINS}, s AS (SELECT *, CASE WHEN length(coding) % 3 = 0 THEN 3 ELSE length(coding) % 3 END AS k FROM pcg)
 SELECT id, path, scaffold, gene, pos1, pos2, direction, length(coding)::BIGINT AS length, substr(coding, 1, 3) AS start_codon, substr(coding, length(coding) - k + 1) AS stop_codon,
- array_to_string(list_transform(range(0, (length(coding) - k) // 3), lambda i: coalesce({_MAP}[substr(coding, 3 * i + 1, 3)], 'X')), '') AS translation FROM s"""
+ array_to_string(list_transform(range(0, (length(coding) - k) // 3), lambda i: {amino_sql('substr(coding, (3 * i + 1)::INT, 3)')}), '') AS translation FROM s"""
 )
 def seq_translate(spark, base):
     d = A.with_codons(_proteins(spark, base), CODE)
@@ -268,18 +268,19 @@ def mask_codec(spark, base):
 
 # Intervals ---------------------------------------------------------------------------------------
 
-_SIDE = "SELECT id, path, scaffold, direction, type, gene, pos1, pos2 FROM calls WHERE pos1 <= pos2"
-
 
 @query(
-    f"""WITH {_calls_sql()}, c AS ({_SIDE})
-SELECT a.id, a.path, a.scaffold, a.direction, a.type, a.gene, a.pos1, a.pos2, b.type AS r_type, b.gene AS r_gene, b.pos1 AS r_pos1, b.pos2 AS r_pos2, least(a.pos2, b.pos2) - greatest(a.pos1, b.pos1) + 1 AS overlap
-FROM c a JOIN c b USING (id, path, scaffold, direction) WHERE a.pos1 <= b.pos2 AND b.pos1 <= a.pos2 AND (a.type, a.gene, a.pos1, a.pos2) IS DISTINCT FROM (b.type, b.gene, b.pos1, b.pos2)"""
+    f"""WITH {_calls_sql()}, {_LENGTHS}, p AS (
+  SELECT c.*, pos1 AS s, CASE WHEN pos1 <= pos2 THEN pos2 ELSE greatest(coalesce(contig_length, pos1), pos1) END AS e FROM calls c LEFT JOIN lengths USING (id, path, scaffold)
+  UNION ALL SELECT c.*, 1, pos2 FROM calls c WHERE pos1 > pos2)
+SELECT a.id, a.path, a.scaffold, a.direction, a.type, a.gene, a.pos1, a.pos2, b.type AS r_type, b.gene AS r_gene, b.pos1 AS r_pos1, b.pos2 AS r_pos2, sum(least(a.e, b.e) - greatest(a.s, b.s) + 1)::BIGINT AS overlap
+FROM p a JOIN p b USING (id, path, scaffold, direction)
+WHERE a.s <= b.e AND b.s <= a.e AND (a.type, a.gene, a.pos1, a.pos2) IS DISTINCT FROM (b.type, b.gene, b.pos1, b.pos2)
+GROUP BY a.id, a.path, a.scaffold, a.direction, a.type, a.gene, a.pos1, a.pos2, b.type, b.gene, b.pos1, b.pos2"""
 )
 def overlap_pairs(spark, base):
-    c = calls(spark, base).where("pos1 <= pos2")
-    pieces = c.withColumns({"start": F.col("pos1"), "end": F.col("pos2")})
-    return V.overlaps(pieces, [*CONTIG, "direction"], ["type", "gene", "pos1", "pos2"])
+    c = calls(spark, base).join(lengths(spark, base).select(*CONTIG, "contig_length"), CONTIG, "left")
+    return V.overlaps(V.segments(c, "contig_length"), [*CONTIG, "direction"], ["type", "gene", "pos1", "pos2"])
 
 
 @query(
@@ -352,15 +353,6 @@ def end_trim(spark, base):
     return d.select(*CONTIG, "topology", "contig_length", F.when(cut, F.col("a")).otherwise(F.lit(1).cast("long")).alias("first_kept"), F.when(cut, F.least("b", "contig_length")).otherwise(F.col("contig_length")).alias("last_kept"))
 
 
-@query(
-    f"""WITH {_calls_sql()}, {_TRACK}, j AS (SELECT c.id, c.path, c.scaffold, c.type, c.gene, c.pos1, c.pos2, c.direction, t.depth FROM calls c JOIN track t ON c.id = t.id AND c.path = t.path AND c.scaffold = t.scaffold AND t.position BETWEEN c.pos1 AND c.pos2)
-SELECT id, path, scaffold, type, gene, pos1, pos2, direction, count(*) AS n_bases, count_if(depth <= 10) / count(*) > 0.05 AS low_coverage FROM j GROUP BY ALL"""
-)
-def weak_coverage(spark, base):
-    pieces = calls(spark, base).withColumns({"start": F.col("pos1"), "end": F.col("pos2")})
-    return V.weak_regions(track(spark, base), pieces, CONTIG, SPAN, bucket=256).select(*CONTIG, *SPAN, "n_bases", "low_coverage")
-
-
 @query(
     f"""WITH {_calls_sql()}, {_LENGTHS} SELECT c.id, c.path, c.scaffold, gene, pos1, pos2, direction, CASE WHEN pos1 <= pos2 THEN pos2 - pos1 + 1 ELSE contig_length - pos1 + 1 + pos2 END AS length, contig_length - pos2 + 1 AS flipped1
 FROM calls c JOIN lengths USING (id, path, scaffold)"""
@@ -383,27 +375,13 @@ def _rules(spark):
     return params.rules_frame(spark, params.fish())
 
 
-def _sql_value(v) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, bool):
-        return str(v).lower()
-    if isinstance(v, list):
-        return "[" + ", ".join(f"'{x}'" for x in v) + "]"
-    return f"'{v}'" if isinstance(v, str) else str(v)
-
-
-_RULE_NAMES = ["gene", "type", "count", "max_len", "min_len", "overlap_start", "overlap_stop", "start_codons", "stop_codons"]
-_RULES = "rules(gene, rtype, allowed, max_len, min_len, overlap_start, overlap_stop, starts, stops) AS (VALUES " + ", ".join("(" + ", ".join(_sql_value(r[n]) for n in _RULE_NAMES) + ")" for r in params.effective_rules(params.fish())) + ")"
-
-
 @query(
-    f"""WITH {_calls_sql('stop_codon')}, {_RULES}, r AS (SELECT c.*, starts, stops, overlap_stop FROM calls c LEFT JOIN rules USING (gene)),
+    f"""WITH {_calls_sql('stop_codon')}, {_RULES}, r AS (SELECT c.*, starts, stops, overlap_stop FROM calls c LEFT JOIN rules ON rgene = gene),
 e AS (SELECT *, CASE direction WHEN '+' THEN pos2 - length(stop_codon) + 1 ELSE pos1 END AS s, CASE direction WHEN '+' THEN pos2 ELSE pos1 + length(stop_codon) - 1 END AS e FROM r WHERE type = 'PCG' AND stop_codon IS NOT NULL AND NOT coalesce(overlap_stop, false)),
 h AS (SELECT a.id, a.path, a.scaffold, a.gene, a.pos1, a.pos2, a.direction, a.stop_codon, count(*) AS k, max(least(a.e, b.pos2) - greatest(a.s, b.pos1) + 1) AS cut FROM e a JOIN r b ON a.id = b.id AND a.path = b.path AND a.scaffold = b.scaffold AND a.direction = b.direction
   AND CASE a.direction WHEN '+' THEN b.pos1 ELSE b.pos2 END BETWEEN a.s AND a.e AND (a.pos1, a.pos2, a.gene) <> (b.pos1, b.pos2, b.gene) GROUP BY ALL)
 SELECT id, path, scaffold, gene, pos1 AS old1, pos2 AS old2, direction, substr(stop_codon, 1, length(stop_codon) - cut) AS stop_codon, 'stop codon trimmed by ' || cut || ' bp' AS notes
-FROM h JOIN rules USING (gene) WHERE k = 1 AND length(stop_codon) > cut AND list_contains(stops, substr(stop_codon, 1, length(stop_codon) - cut))"""
+FROM h JOIN rules ON rgene = gene WHERE k = 1 AND length(stop_codon) > cut AND list_contains(stops, substr(stop_codon, 1, length(stop_codon) - cut))"""
 )
 def stop_trim(spark, base):
     d = calls(spark, base, "stop_codon").join(F.broadcast(_rules(spark).select("gene", "stop_codons", "overlap_stop")), "gene", "left")
@@ -411,55 +389,20 @@ def stop_trim(spark, base):
     return curate.trimmed_stops(d, CONTIG).where("notes is not null").select(*CONTIG, "gene", "old1", "old2", "direction", "stop_codon", "notes")
 
 
-# Rules -------------------------------------------------------------------------------------------
-
+# Hits --------------------------------------------------------------------------------------------
 
-@query(
-    f"""WITH {_calls_sql()}, {_RULES}, s AS (SELECT DISTINCT id, path FROM calls), n AS (SELECT id, path, gene, count(*) AS n FROM calls GROUP BY ALL)
-SELECT id, path, gene, coalesce(n, 0) AS n_calls, coalesce(n, 0) < allowed AS missing, greatest(coalesce(n, 0) - allowed, 0)::BIGINT AS extra FROM s CROSS JOIN rules LEFT JOIN n USING (id, path, gene)"""
+_SIMILARITY = (
+    "CASE WHEN json_type(refhits, '$.similarity') = 'ARRAY' THEN from_json(json_extract(refhits, '$.similarity'), '[\"DOUBLE\"]') "
+    "WHEN refhits IS NOT NULL THEN [json_extract_string(refhits, '$.similarity')::DOUBLE] ELSE [] END"
 )
-def rules_count(spark, base):
-    c = calls(spark, base)
-    return V.count_findings(c, c, params.effective_rules(params.fish()), ["id", "path"])
-
-
-_SIMILARITY = "CASE WHEN json_type(refhits, '$.similarity') = 'ARRAY' THEN from_json(json_extract(refhits, '$.similarity'), '[\"DOUBLE\"]') WHEN refhits IS NOT NULL THEN [json_extract_string(refhits, '$.similarity')::DOUBLE] ELSE [] END"
 
 
 def _gap_sql(f: str) -> str:
     # A scalar stands for all rows, so one row of it is enough.
-    return f"CASE WHEN json_type(refhits, '$.{f}') = 'ARRAY' THEN from_json(json_extract(refhits, '$.{f}'), '[\"INTEGER\"]') WHEN refhits IS NOT NULL THEN [json_extract_string(refhits, '$.{f}')::INTEGER] ELSE [] END"
-
-
-@query(
-    f"""WITH {_calls_sql('start_codon, stop_codon, translation, refhits')}, {_RULES}, {_LENGTHS},
-d AS (SELECT c.*, CASE WHEN pos1 <= pos2 THEN pos2 - pos1 + 1 ELSE contig_length - pos1 + 1 + pos2 END AS len, contig_length FROM calls c JOIN lengths USING (id, path, scaffold)),
-p AS (SELECT DISTINCT id, path, scaffold, direction, type, gene, pos1, pos2, pos1 AS s, CASE WHEN pos1 <= pos2 THEN pos2 ELSE greatest(contig_length, pos1) END AS e FROM d UNION ALL SELECT DISTINCT id, path, scaffold, direction, type, gene, pos1, pos2, 1, pos2 FROM d WHERE pos1 > pos2),
-o AS (SELECT a.id, a.path, a.scaffold, a.direction, a.type, a.gene, a.pos1, a.pos2, b.pos1 AS q1, b.pos2 AS q2, sum(least(a.e, b.e) - greatest(a.s, b.s) + 1) AS ov FROM p a JOIN p b USING (id, path, scaffold, direction) WHERE a.s <= b.e AND b.s <= a.e AND (a.type, a.gene, a.pos1, a.pos2) <> (b.type, b.gene, b.pos1, b.pos2) GROUP BY a.id, a.path, a.scaffold, a.direction, a.type, a.gene, a.pos1, a.pos2, b.type, b.gene, b.pos1, b.pos2),
-x AS (SELECT id, path, scaffold, direction, type, gene, pos1, pos2, max(ov) AS a, max(CASE WHEN CASE direction WHEN '+' THEN pos1 ELSE pos2 END BETWEEN q1 AND q2 THEN ov END) AS st, max(CASE WHEN CASE direction WHEN '+' THEN pos2 ELSE pos1 END BETWEEN q1 AND q2 THEN ov END) AS sp FROM o GROUP BY ALL),
-w AS (SELECT d.*, a, st, sp, r.*, coalesce(a / len > 0.25, false) AS over_ FROM d LEFT JOIN x USING (id, path, scaffold, direction, type, gene, pos1, pos2) LEFT JOIN rules r USING (gene)),
-l AS (SELECT *, {_SIMILARITY} AS sims, {_gap_sql('gap_leading')} AS gl, {_gap_sql('gap_trailing')} AS gt FROM w)
-SELECT id, path, scaffold, type, gene, pos1, pos2, direction, start_codon, stop_codon, len AS length, concat_ws('; ', CASE WHEN over_ THEN 'exceeds max overlap' END, CASE WHEN NOT over_ AND st > overlap_start THEN 'exceeds max start overlap' END, CASE WHEN NOT over_ AND sp > 1 AND NOT overlap_stop THEN 'exceeds max stop overlap' END,
- CASE WHEN len > max_len THEN 'exceeds max length' END, CASE WHEN len < min_len THEN 'below min length' END,
- CASE WHEN type = 'PCG' AND translation LIKE '%*%' THEN 'internal stop codon' END, CASE WHEN type = 'PCG' AND NOT list_contains(stops, stop_codon) THEN 'non-standard stop codon' END, CASE WHEN type = 'PCG' AND NOT list_contains(starts, start_codon) THEN 'non-standard start codon' END,
- CASE WHEN type = 'PCG' AND len(list_filter(sims, lambda z: z >= 90)) = 0 THEN 'low reference similarity' END, CASE WHEN type = 'PCG' AND len(list_filter(gl, lambda z: z = 0)) = 0 THEN 'check reference start alignment' END, CASE WHEN type = 'PCG' AND len(list_filter(gt, lambda z: z = 0)) = 0 THEN 'check reference stop alignment' END) AS warnings FROM l"""
-)
-def rules_warnings(spark, base):
-    c = calls(spark, base, "start_codon", "stop_codon", "translation", "refhits").join(lengths(spark, base).select(*CONTIG, "contig_length"), CONTIG)
-    c = c.withColumn("length", span_length(F.col("pos1"), F.col("pos2"), F.col("contig_length"))).withColumn("hits", X.hit_rows(F.col("refhits")))
-    keys, call = [*CONTIG, "direction"], ["type", "gene", "pos1", "pos2"]
-    pieces = V.segments(c.select(*keys, *call, "contig_length").distinct(), "contig_length")
-    found = V.overlaps(pieces, keys, call)
-    d = V.call_warnings(c, found, _rules(spark), keys, call, 0.25, 90)
-    return d.select(*CONTIG, *SPAN, "start_codon", "stop_codon", "length", F.array_join("warnings", "; ").alias("warnings"))
-
-
-@query(
-    f"""WITH {_calls_sql()} SELECT id, path, count(DISTINCT scaffold) AS scaffolds, string_agg(gene, '|' ORDER BY scaffold, pos1, pos2, gene) AS structure, count_if(type = 'PCG')::BIGINT AS pcg_count, count_if(type = 'tRNA')::BIGINT AS trna_count, count_if(type = 'rRNA')::BIGINT AS rrna_count FROM calls GROUP BY ALL"""
-)
-def sample_summary(spark, base):
-    c = calls(spark, base).withColumn("warnings", F.array().cast("array<string>"))
-    return V.sample_summary(c, ["id", "path"], ["scaffold"], ["scaffold", "pos1", "pos2"]).drop("warned")
+    return (
+        f"CASE WHEN json_type(refhits, '$.{f}') = 'ARRAY' THEN from_json(json_extract(refhits, '$.{f}'), '[\"INTEGER\"]') "
+        f"WHEN refhits IS NOT NULL THEN [json_extract_string(refhits, '$.{f}')::INTEGER] ELSE [] END"
+    )
 
 
 @query(
@@ -625,10 +568,7 @@ def unique_names(spark, base):
     return d.select(*CONTIG, "pos1", "pos2", "direction", "name")
 
 
-_PRODUCT = "CASE gene " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in A.PRODUCTS.items()) + " END"
-
-
-@query(f"WITH c AS (SELECT type, gene, product, {_PRODUCT} AS expected FROM annotations WHERE type = 'PCG') SELECT gene, count(*) AS n, count_if(product = expected)::BIGINT AS n_same FROM c GROUP BY gene")
+@query(f"WITH c AS (SELECT type, gene, product, {PRODUCT_SQL} AS expected FROM annotations WHERE type = 'PCG') SELECT gene, count(*) AS n, count_if(product = expected)::BIGINT AS n_same FROM c GROUP BY gene")
 def product_lookup(spark, base):
     d = table(spark, base, "annotations").where("type = 'PCG'").select("gene", "product", A.gene_product(F.col("gene")).alias("expected"))
     return d.groupBy("gene").agg(F.count("*").alias("n"), F.count_if(F.col("product") == F.col("expected")).alias("n_same"))
@@ -638,11 +578,11 @@ def product_lookup(spark, base):
 
 
 def _export(spark, base):
-    c = calls(spark, base, "product", "anticodon", "start_codon", "stop_codon").where("pos1 <= pos2").withColumn("seq_name", F.concat_ws(".", *[F.col(x).cast("string") for x in CONTIG])).withColumn("genetic_code", F.lit(CODE))
+    c = calls(spark, base, "product", "anticodon", "start_codon", "stop_codon").withColumn("seq_name", F.concat_ws(".", *[F.col(x).cast("string") for x in CONTIG])).withColumn("genetic_code", F.lit(CODE))
     return K.codon_notes(c.join(F.broadcast(_rules(spark).select("gene", "start_codons")), "gene", "left"))
 
 
-_EXPORT = f"""{_calls_sql('product, anticodon, start_codon, stop_codon')}, {_RULES}, x AS (SELECT c.*, id || '.' || path || '.' || scaffold AS seq_name, coalesce(type = 'PCG' AND NOT list_contains(starts, start_codon), false) AS bad, type = 'PCG' AND length(stop_codon) < 3 AS short FROM calls c LEFT JOIN rules USING (gene) WHERE pos1 <= pos2),
+_EXPORT = f"""{_calls_sql('product, anticodon, start_codon, stop_codon')}, {_RULES}, x AS (SELECT c.*, id || '.' || path || '.' || scaffold AS seq_name, coalesce(type = 'PCG' AND NOT list_contains(starts, start_codon), false) AS bad, type = 'PCG' AND length(stop_codon) < 3 AS short FROM calls c LEFT JOIN rules ON rgene = gene),
 e AS (SELECT *, nullif(concat_ws('; ', CASE WHEN bad THEN 'start codon not determined' END, CASE WHEN short THEN 'TAA stop codon is completed by the addition of 3'' A residues to the mRNA' END), '') AS note, (CASE WHEN bad AND direction = '+' THEN '<' ELSE '' END) || (CASE direction WHEN '-' THEN pos2 ELSE pos1 END) || chr(9) || (CASE direction WHEN '-' THEN pos1 ELSE pos2 END) || (CASE WHEN bad AND direction = '-' THEN '>' ELSE '' END) AS pos FROM x)"""
 _Q = "repeat(chr(9), 3)"
 
@@ -658,11 +598,11 @@ def feature_table(spark, base):
 
 
 @query(
-    f"""WITH {_EXPORT}, {_LENGTHS}, g AS (SELECT e.*, contig_length, seq_name || ':' || pos1 || '..' || pos2 AS place FROM e JOIN lengths USING (id, path, scaffold)),
+    f"""WITH {_EXPORT}, {_LENGTHS}, g AS (SELECT e.*, contig_length, topology, seq_name || ':' || pos1 || '..' || pos2 AS place FROM e JOIN lengths USING (id, path, scaffold)),
 l AS (SELECT *, CASE type WHEN 'PCG' THEN ['gene', 'CDS'] WHEN 'ctrl' THEN ['D_loop'] ELSE [type, 'exon'] END AS f, CASE type
  WHEN 'PCG' THEN ['ID=gene-' || gene || ';Name=' || gene || ';gbkey=Gene;gene=' || gene || ';gene_biotype=protein_coding', 'ID=cds-' || gene || ';Parent=gene-' || gene || ';Name=' || gene || ';gbkey=CDS;gene=' || gene || ';product=' || coalesce(product, '') || ';transl_table={CODE}' || coalesce(';Note=' || note, '')]
  WHEN 'ctrl' THEN ['ID=exon-' || place || ';gbkey=D-loop;Note=control region'] ELSE ['ID=rna-' || place || ';Name=' || gene || ';gbkey=' || type || ';product=' || coalesce(product, ''), 'ID=exon-' || place || ';Parent=rna-' || place || ';gbkey=' || type || ';product=' || coalesce(product, '')] END AS a FROM g WHERE type IN ('PCG', 'tRNA', 'rRNA', 'ctrl'))
-SELECT seq_name, pos1, gene, (i - 1)::INT AS n, concat_ws(chr(9), seq_name, 'organelia', f[i], pos1, pos2, '.', direction, CASE WHEN f[i] = 'CDS' THEN '0' ELSE '.' END, a[i]) AS line FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM l)"""
+SELECT seq_name, pos1, gene, (i - 1)::INT AS n, concat_ws(chr(9), seq_name, 'organelia', f[i], pos1, CASE WHEN topology = 'circular' AND pos1 > pos2 THEN contig_length + pos2 ELSE pos2 END, '.', direction, CASE WHEN f[i] = 'CDS' THEN '0' ELSE '.' END, a[i]) AS line FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM l)"""
 )
 def gff3_lines(spark, base):
     return K.gff3(_export(spark, base).join(lengths(spark, base), CONTIG))

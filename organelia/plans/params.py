@@ -89,7 +89,9 @@ RULES = "gene string, type string, count int, max_len long, min_len long, overla
 
 
 def rules_frame(spark: SparkSession, params: Mapping[str, Any]) -> DataFrame:
-    return spark.createDataFrame(effective_rules(params), RULES)
+    """Rules as a table; of a count that is a list of right numbers the greatest stands."""
+    most = lambda c: max(c) if isinstance(c, (list, tuple)) else c
+    return spark.createDataFrame([r | {"count": most(r["count"])} for r in effective_rules(params)], RULES)
 
 
 def merged_rules(values: DataFrame) -> DataFrame:

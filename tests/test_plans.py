@@ -176,7 +176,7 @@ def test_warnings(spark):
     keys, call = ["contig", "direction"], ["type", "gene", "pos1", "pos2"]
     pieces = V.segments(d.withColumn("n", F.lit(400)), "n")
     found = V.overlaps(pieces, keys, call)
-    got = {(r["gene"], r["pos1"]): r["warnings"] for r in V.call_warnings(d, found, rules, keys, call, 0.25, 90).collect()}
+    got = {(r["gene"], r["pos1"]): r["warnings"] for r in V.call_warnings(d, V.worst_of(found, keys, call), rules, keys, call, 0.25, 90).collect()}
     assert got["cox1", 1] == ["exceeds max overlap", "check reference stop alignment"]
     assert got["cox1", 71] == ["exceeds max start overlap", "internal stop codon", "non-standard stop codon", "non-standard start codon", "low reference similarity", "check reference start alignment", "check reference stop alignment"]
     assert got["trnL", 300] == []
@@ -187,6 +187,36 @@ def test_warnings(spark):
     assert weak[1] and not weak[71]
 
 
+def test_first_and_last_calls_duplicates_and_count_ranges(spark):
+    calls = [("c", "PCG", "cob", p1, p2, d) for p1, p2, d in ((1, 100, "+"), (90, 300, "+"), (290, 500, "+"), (600, 700, "-"), (690, 900, "-"), (890, 1000, "-"))]
+    d = spark.createDataFrame(calls, CALL).withColumns({"length": F.lit(1000).cast("long"), "start_codon": F.lit("ATG"), "stop_codon": F.lit("TAA"), "translation": F.lit("M")})
+    d = d.withColumn("hits", F.array(F.struct(F.lit(95.0).alias("similarity"), F.lit(0).alias("gap_leading"), F.lit(0).alias("gap_trailing"))))
+    keys, call = ["contig", "direction"], ["type", "gene", "pos1", "pos2"]
+    rules = params.rules_frame(spark, params.fish())
+    worst = V.worst_of(V.overlaps(V.segments(d.withColumn("n", F.lit(1000)), "n"), keys, call), keys, call)
+    said = lambda frame: {r["pos1"]: r["warnings"] for r in V.call_warnings(frame, worst, rules, keys, call, 0.25, 90).collect()}
+    start, stop = "exceeds max start overlap", "exceeds max stop overlap"
+    plain = said(d)
+    assert plain == {1: [stop], 90: [start, stop], 290: [start], 600: [start], 690: [start, stop], 890: [stop]}
+    # The start of the first + call and the stop of the last one lie outward, as do the stop of the first - call and the start of the last.
+    only = lambda s, *p: d.where(F.col("direction") == s).where(F.col("pos1").isin(*p))
+    ends = lambda frame: V.with_ends(frame, ["contig"], ["pos1", "pos2"])
+    assert said(ends(only("+", 90, 290))) == {90: [stop], 290: [start]}
+    assert said(ends(only("-", 600, 690))) == {600: [start], 690: [stop]}
+    assert said(ends(only("+", 1, 90))) == {1: [stop], 90: [start]}
+    assert said(d.withColumn("high_error", F.col("pos1") == 1).withColumn("low_coverage", F.col("pos1") == 1))[1] == [stop, "low coverage region", "high error region"]
+    two = params.effective_rules(params.fish({"rules": {"cob": {"count": [1, 3]}}}))
+    assert V.count_range([1, 3]) == (1, 3) and V.count_range(None) == (1, 1) and V.count_range("2") == (2, 2)
+    found = {r["gene"]: (r["n_calls"], r["missing"], r["extra"]) for r in V.count_findings(d, d, two, ["contig"]).collect()}
+    assert found["cob"] == (6, False, 3) and found["nad1"] == (0, True, 0)
+    few = d.where("pos1 < 500")
+    assert {r[0] for r in V.with_duplicates(few, few, two, ["contig"]).select("duplicate").collect()} == {False}
+    assert {r[0] for r in V.with_duplicates(d, d, two, ["contig"]).select("duplicate").collect()} == {True}
+    assert params.rules_frame(spark, params.fish({"rules": {"cob": {"count": [1, 3]}}})).where("gene = 'cob'").first()["count"] == 3
+    row = V.sample_summary(d.withColumn("warnings", F.array().cast("array<string>")), ["contig"], ["contig"], ["pos1"], V.count_findings(d, d, two, ["contig"])).first()
+    assert row["extra"] == 3 and row["missing"].startswith("ctrl; rrnL; rrnS; nad1") and row["warned"] == 0
+
+
 def test_tool_output_becomes_calls(spark):
     table = spark.createDataFrame([("c ", 1, 100, 30, "Phe", "GAA"), ("c", 2, 5, 20, "Xxx", "NNN")], "seq string, idx int, begin long, end long, type string, anticodon string")
     got = sorted(tuple(r) for r in An.trna_calls(table).select("contig", "gene", "pos1", "pos2", "length", "direction").where("gene is not null").collect())

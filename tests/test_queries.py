@@ -8,12 +8,12 @@ import duckdb
 import pandas as pd
 import pytest
 
-from organelia.plans import engine, models, problems
+from organelia.plans import engine, models, problems, rules
 
 DATA = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-QUERIES = problems.QUERIES | engine.QUERIES | models.QUERIES
-ORACLE = problems.ORACLE | engine.ORACLE | models.ORACLE
+QUERIES = problems.QUERIES | engine.QUERIES | rules.QUERIES | models.QUERIES
+ORACLE = problems.ORACLE | engine.ORACLE | rules.ORACLE | models.ORACLE
 
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
