@@ -14,7 +14,6 @@ import binascii
 import json
 import re
 from collections.abc import Iterator
-from enum import IntFlag
 from typing import Any
 
 import pyarrow as pa
@@ -32,8 +31,8 @@ _ARROW = pa.schema(
 )
 
 
-class State(IntFlag):
-    """What a node may be read as."""
+class State:
+    """What a node may be read as; a set of states is a sum. Plain numbers, since every node has one."""
 
     NUMBER = 1
     LOGICAL = 2
@@ -48,14 +47,14 @@ class State(IntFlag):
 
 VALUE = State.NUMBER | State.LOGICAL | State.TEXT
 #: The transitions of records: a record is read as a state by these of its fields, if the child may be read as one of the states given.
-TRANSITIONS: dict[State, dict[str, State]] = {
+TRANSITIONS: dict[int, dict[str, int]] = {
     State.OVERLAP: {"start": VALUE, "stop": VALUE},
     State.NAMED: {"gene": VALUE},
     State.RULE: {"type": VALUE, "count": VALUE, "max_len": VALUE, "min_len": VALUE, "overlap": State.OVERLAP, "start_codons": State.VALUES, "stop_codons": State.VALUES},
     State.SET: {"default_rules": State.RULES, "rules": State.RULES},
 }
 #: The subtype table of a value: by its field and the state it has. A value of another state than its field's type is kept as text.
-SUBTYPES: dict[tuple[str, State], str] = {
+SUBTYPES: dict[tuple[str, int], str] = {
     **{(f, State.NUMBER): "limit" for f in ("count", "max_len", "min_len")},
     ("overlap.start", State.NUMBER): "overlap_start",
     ("overlap.stop", State.LOGICAL): "overlap_stop",
@@ -124,7 +123,7 @@ class Node:
         self.fields: dict[str, Node] | None = None
         self.items: list[Node] | None = None
         self.text = None if isinstance(value, (dict, list)) else plain(value)
-        self.states = State(0)
+        self.states = 0
 
     def read(self) -> None:
         """The states of a node whose children have theirs."""
@@ -137,11 +136,11 @@ class Node:
             if found & State.NAMED or any(n.states & State.RULE for n in self.fields.values()):
                 found |= State.RULES
         elif self.items is not None:
-            found = State(0)
+            found = 0
             for n in self.items:
                 found |= State.VALUES if n.states & VALUE else n.states & (State.OVERLAP | State.RULES)
         elif self.text is None:
-            found = State(0)
+            found = 0
         else:
             found = State.VALUES | (State.LOGICAL if self.text in ("true", "false") else State.NUMBER if _NUMBER.fullmatch(self.text) else State.TEXT)
         self.states = found
@@ -169,7 +168,7 @@ def classify(document: Any) -> Node:
     return root
 
 
-def _records(node: Node, state: State) -> Iterator[Node]:
+def _records(node: Node, state: int) -> Iterator[Node]:
     """The records that a node is, or lists, as a state."""
     for n in [node] if node.items is None else node.items:
         if n.fields is not None and n.states & state:
