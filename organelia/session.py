@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -69,6 +70,22 @@ def sent_file(name: str, otherwise: str) -> str:
     return found if os.path.exists(found) else otherwise
 
 
+def _shared(spark: SparkSession) -> str:
+    """The checkpoint folder, set if it is not yet."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="organelia-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the checkpoint folder, for files that are written and read again."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through the shared checkpoint folder.
 
@@ -76,11 +93,5 @@ def cut(df: DataFrame) -> DataFrame:
     temporary one if its master is local (tests, a laptop); on a cluster that is an error, for a folder of
     the driver's machine is not seen by the executors.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="organelia-checkpoint-"))
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)

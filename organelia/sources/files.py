@@ -17,7 +17,12 @@ STATS_SCHEMA = "seq_id string, position long, call string, depth double, correct
 
 def mapping_sheet(spark: SparkSession, path: str) -> DataFrame:
     """A sample sheet with a header; all columns are text, so an id keeps its zeros."""
-    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+    return split_csv(spark, path)
+
+
+def split_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """Delimited text with a header line a file, all columns as text; quotes and quoted line breaks are read."""
+    return spark.read.csv(path, sep=sep, header=True, multiLine=True, quote='"', escape='"')
 
 
 def contig_key(name: Column) -> list[Column]:
@@ -54,7 +59,7 @@ def assemblies_fasta(spark: SparkSession, path: str, **options) -> DataFrame:
 
 def protein_fasta(spark: SparkSession, path: str, **options) -> DataFrame:
     """(acc, gene, strand, start, end, taxon, sequence) from headers ``ACC:gene-strand-start-end Taxon``; the first record of an accession and gene counts."""
-    p = r"^([^:\s]+):(.+?)-([^-\s]*)-(\d+)-(\d+)\s*(.*)$"
+    p = r"^([^:\s]+):(.+?)-([+-]|[^-\s]*)-(\d+)-(\d+)\s*(.*)$"
     part = lambda i: F.regexp_extract("header", p, i)
     return fasta(spark, path, **options).select(
         F.regexp_extract("header", r"^([^:\s]+)", 1).alias("acc"), part(2).alias("gene"), part(3).alias("strand"), part(4).try_cast("long").alias("start"), part(5).try_cast("long").alias("end"), part(6).alias("taxon"), "sequence"
@@ -102,16 +107,16 @@ def gene_call_headers(spark: SparkSession, path: str, **options) -> DataFrame:
     )
 
 
-def search_hits(spark: SparkSession, path: str) -> DataFrame:
-    """(acc, taxon, eval) from tabular search output ``title<TAB>e-value``."""
-    raw = spark.read.csv(path, sep="\t", header=False, schema="hit string, eval double")
-    return raw.select(F.regexp_extract("hit", r"^[^:]+", 0).alias("acc"), F.regexp_replace("hit", r"^\S+ ", "").alias("taxon"), "eval")
+def search_hits(spark: SparkSession, path: str, with_sequence: bool = False) -> DataFrame:
+    """(acc, taxon, eval) from tabular search output ``title<TAB>e-value``; ``with_sequence`` also (target) from a third column."""
+    raw = spark.read.csv(path, sep="\t", header=False, schema="hit string, eval double" + (", target string" if with_sequence else ""))
+    return raw.select(F.regexp_extract("hit", r"^[^:]+", 0).alias("acc"), F.regexp_replace("hit", r"^\S+ ", "").alias("taxon"), "eval", *(["target"] if with_sequence else []))
 
 
-def trimming_report(spark: SparkSession, path: str) -> DataFrame:
-    """(reads, trimmed_reads, mean_length) from read-trimming JSON; a count that is no number is NULL."""
+def trimming_report(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(reads, trimmed_reads, mean_length) from read-trimming JSON, a document a file or, with ``lines``, a line; a count that is no number is NULL."""
     schema = "summary struct<before_filtering: struct<total_reads: string>, after_filtering: struct<total_reads: string, read1_mean_length: string>>"
-    s = spark.read.schema(schema).json(path, multiLine=True, primitivesAsString=True)
+    s = spark.read.schema(schema).json(path, multiLine=not lines, primitivesAsString=True)
     return s.select(
         F.col("summary.before_filtering.total_reads").try_cast("long").alias("reads"),
         F.col("summary.after_filtering.total_reads").try_cast("long").alias("trimmed_reads"),
@@ -131,10 +136,17 @@ def config_values(spark: SparkSession, path: str, names: list[str]) -> DataFrame
     return spark.read.text(path).where(F.col("value").rlike(p)).select(F.regexp_extract("value", p, 1).alias("name"), F.regexp_extract("value", p, 2).alias("value"))
 
 
-def files_of(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """(path, length, modified) of the files below a folder whose name matches a glob; contents are not read."""
+def files_of(spark: SparkSession, folder: str, pattern: str = "*", name: str | None = None) -> DataFrame:
+    """(path, length, modified) of the files below a folder whose name matches a glob and, if given, the whole of a regular expression; contents are not read."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    return df.select("path", "length", F.col("modificationTime").alias("modified"))
+    df = df.select("path", "length", F.col("modificationTime").alias("modified"))
+    return df if name is None else df.where(F.regexp_extract("path", r"[^/]*$", 0).rlike(f"^(?:{name})$"))
+
+
+def fasta_summary(records: DataFrame) -> DataFrame:
+    """(n, n_names, shortest, longest, bases) of FASTA records."""
+    n = F.length("sequence")
+    return records.agg(F.count("*").alias("n"), F.count_distinct("header").alias("n_names"), F.min(n).alias("shortest"), F.max(n).alias("longest"), F.sum(n.cast("long")).alias("bases"))
 
 
 _GENBANK = "name string, definition string, organism string, organelle string, n_features int, features map<string,int>, products array<string>, sequence string"
