@@ -20,7 +20,7 @@ def live(options: DataFrame, key: str) -> DataFrame:
     """One row per option set: of those not withdrawn the one loaded last, the greatest by all columns of equal ones."""
     d = options.where(F.col("removed_at").isNull() & F.col(key).isNotNull())
     rest = [c for c in d.columns if c not in (key, "loaded_at")]
-    return d.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("loaded_at", *rest)).alias("o")).select(key, "o.*")
+    return d.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("loaded_at", *rest)).alias("_row")).select(key, "_row.*")
 
 
 def latest(df: DataFrame, columns: Sequence[str], key: str = "id") -> DataFrame:
@@ -29,7 +29,7 @@ def latest(df: DataFrame, columns: Sequence[str], key: str = "id") -> DataFrame:
     A maximum that is combined before the shuffle; NULL is the least value. Rows without key are left out.
     """
     order = F.struct("loaded_at", *columns)
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("r")).select(key, "r.*")
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("_row")).select(key, "_row.*")
 
 
 def samples(sheets: DataFrame) -> DataFrame:
