@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from organelia.functions.align import score_pairs
 from organelia.functions.seq import codons, reverse_complement
+from organelia.functions.text import hit_json
 from organelia.operators.dml import update_rows
-from organelia.operators.windows import islands, longest_run
+from organelia.operators.windows import islands, longest_run, top_per_group
 from organelia.plans.annotate import rotated_calls
 from organelia.plans.validate import cut_guard
 
@@ -88,3 +90,32 @@ def with_stop(calls: DataFrame, steps: Column, stop: Column) -> DataFrame:
     move = F.coalesce(steps * 3 + F.length(stop) - F.length("stop_codon"), F.lit(0))
     plus = F.col("direction") == "+"
     return calls.withColumns({"pos1": F.when(plus, F.col("pos1")).otherwise(F.col("pos1") - move), "pos2": F.when(plus, F.col("pos2") + move).otherwise(F.col("pos2")), "stop_codon": F.when(steps.isNotNull(), stop).otherwise(F.col("stop_codon"))}).withColumn("length", F.abs(F.col("pos2") - F.col("pos1")) + 1)
+
+
+def cut_to(contigs: DataFrame, regions: DataFrame, keys: Sequence[str], first: str, last: str, tracks: Sequence[str] = (), only: Column | None = None) -> DataFrame:
+    """Contigs and their packed tracks cut to the bases ``first`` to ``last`` of their region; ``last`` beyond the end goes on at the start.
+
+    Contigs without a region, and those for which ``only`` does not hold, stay whole; a region without bases leaves none.
+    """
+    d = contigs.join(regions.select(*keys, F.col(first).alias("_first"), F.col(last).alias("_last")), list(keys), "left")
+    on = F.col("_first").isNotNull() & (F.lit(True) if only is None else F.coalesce(only, F.lit(False)))
+    size, n = F.length("sequence"), F.greatest(F.col("_last") - F.col("_first") + 1, F.lit(0)).cast("int")
+    start = F.col("_first").cast("int")
+    out = {"sequence": F.when(on, F.when(F.col("_last") > size, F.concat(F.substr("sequence", start), F.substr("sequence", F.lit(1), (F.col("_last") - size).cast("int")))).otherwise(F.substr("sequence", start, n))).otherwise(F.col("sequence"))}
+    for t in tracks:
+        values = F.split(F.trim(F.col(t)), r"\s+")
+        more = F.when(F.col("_last") > size, F.slice(values, 1, (F.col("_last") - size).cast("int"))).otherwise(F.array().cast("array<string>"))
+        out[t] = F.when(on, F.array_join(F.concat(F.slice(values, start, n), more), " ")).otherwise(F.col(t))
+    return d.withColumns(out).drop("_first", "_last")
+
+
+def rescored(calls: DataFrame, references: DataFrame, most: int) -> DataFrame:
+    """Calls with ``hits``: their proteins as they are after an edit against the references (gene, acc, target) of their gene.
+
+    Each distinct protein is aligned once with each reference; the ``most`` most similar are kept, as column-oriented JSON.
+    """
+    pairs = calls.where("translation is not null").select("gene", F.col("translation").alias("query")).distinct().join(references.select("gene", "acc", "target").distinct(), "gene")
+    top = top_per_group(score_pairs(pairs).where("similarity is not null"), ["gene", "query"], [F.desc("similarity"), F.col("acc"), F.col("target")], most)
+    rows = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("similarity", "acc", "pctid", "gap_leading", "gap_trailing")))), lambda x: x)
+    hits = top.groupBy("gene", "query").agg(hit_json(rows, ["acc", "pctid", "similarity", "gap_leading", "gap_trailing"]).alias("hits"))
+    return calls.join(hits.withColumnRenamed("query", "translation"), ["gene", "translation"], "left")

@@ -218,13 +218,13 @@ def coverage_fold(spark, base):
 
 
 @query(
-    f"""WITH {_TRACK}, part AS (SELECT * FROM track WHERE position % 7 <> 0), spine AS (SELECT DISTINCT id, path, scaffold, length FROM track), full_ AS (SELECT id, path, scaffold, unnest(range(1, length + 1))::BIGINT AS position FROM spine)
-SELECT f.id, f.path, f.scaffold, f.position, coalesce(s.depth, 0) AS depth, coalesce(s.call, 'N') AS call FROM full_ f LEFT JOIN part s USING (id, path, scaffold, position)"""
+    """WITH src AS (SELECT id, path, scaffold, max(length(sequence))::BIGINT AS n, string_split(trim(min(depth)), ' ') AS d FROM assemblies WHERE sequence IS NOT NULL GROUP BY ALL)
+SELECT id, path, scaffold, n AS n_positions, n - len(list_filter(coalesce(d[1:n], []), lambda x: coalesce(try_cast(x AS DOUBLE), 0) <> 0)) AS n_zero, coalesce(list_sum(list_transform(d[1:n], lambda x: try_cast(x AS DOUBLE))), 0)::DOUBLE AS total FROM src"""
 )
 def coverage_densify(spark, base):
-    t = track(spark, base)
-    some = t.where("position % 7 <> 0").select(*CONTIG, "position", "depth", "call")
-    return W.densify(some, t.select(*CONTIG, "length").distinct(), CONTIG, "position", "length", {"depth": 0.0, "call": "N"})
+    """A depth for every base of every contig, 0 where its track is missing or has no number; shown as sums over the contig."""
+    d = table(spark, base, "assemblies").where("sequence is not null").groupBy(*CONTIG).agg(F.max(F.length("sequence")).cast("long").alias("length"), F.min("depth").alias("depth"))
+    return W.densify(C.unpack_track(d, CONTIG, "depth", "depth"), d, CONTIG, "position", "length", {"depth": 0.0}).groupBy(*CONTIG).agg(F.count("*").alias("n_positions"), F.count_if(F.col("depth") == 0).alias("n_zero"), F.sum("depth").alias("total"))
 
 
 @query(f"WITH {_TRACK} SELECT id, path, scaffold, md5(string_agg(depth::BIGINT::VARCHAR, ' ' ORDER BY position)) AS packed_md5 FROM track GROUP BY ALL")
@@ -242,20 +242,6 @@ def islands_longest(spark, base):
     return W.longest_run(W.islands(track(spark, base), CONTIG, "position", F.col("depth") >= 20), CONTIG)
 
 
-@query(
-    f"""WITH {_TRACK}, {_STATS}, s AS (SELECT id, path, scaffold, position, coalesce(mean_depth, 0) AS dm, mean_depth_mask OR error_rate_mask AS mask, max(position) OVER ({_BY}) AS n FROM stats),
-r AS (SELECT *, n - position + 1 AS rev FROM s),
-g AS (SELECT *, min(CASE WHEN dm > 10 THEN position END) OVER ({_BY}) AS l10, min(CASE WHEN dm > 15 THEN position END) OVER ({_BY}) AS l15, min(CASE WHEN dm > 10 THEN rev END) OVER ({_BY}) AS t10, min(CASE WHEN dm > 15 THEN rev END) OVER ({_BY}) AS t15 FROM r),
-m AS (SELECT *, mask OR position <= CASE WHEN coalesce(l10, 1e18) > 100 THEN coalesce(l15, 1e18) ELSE 0 END OR rev <= CASE WHEN coalesce(t10, 1e18) > 100 THEN coalesce(t15, 1e18) ELSE 0 END AS mk FROM g),
-w AS (SELECT *, max(mk) OVER ({_BY} ORDER BY position ROWS BETWEEN 1 FOLLOWING AND 51 FOLLOWING) AS aft, max(mk) OVER ({_BY} ORDER BY position ROWS BETWEEN 51 PRECEDING AND 1 PRECEDING) AS bef FROM m),
-a AS (SELECT id, path, scaffold, max(n) AS n, count_if(position <= 100 AND mk) AS lm, count_if(rev <= 100 AND mk) AS tm, min(CASE WHEN NOT coalesce(aft, true) THEN position END) AS lc, max(CASE WHEN NOT coalesce(bef, true) THEN position END) AS tc FROM w GROUP BY ALL)
-SELECT id, path, scaffold, CASE WHEN lm > 10 THEN coalesce(lc, n) + 1 ELSE 1 END AS keep_from, CASE WHEN tm > 10 THEN coalesce(tc, 1) - 1 ELSE n END AS keep_to FROM a"""
-)
-def coverage_trim(spark, base):
-    s = C.statistics(track(spark, base), CONTIG)
-    return W.trim_points(s.select(*CONTIG, "position", F.col("mean_depth").alias("depth_mean"), (F.col("mean_depth_mask") | F.col("error_rate_mask")).alias("mask")), CONTIG)
-
-
 @query(
     f"""WITH {_TRACK}, {_STATS}, e AS (SELECT id, path, scaffold, (CASE WHEN mean_depth_mask THEN '#' ELSE '' END) || round(mean_depth * 100)::BIGINT AS v, mean_depth_mask AS k FROM stats WHERE mean_depth IS NOT NULL)
 SELECT id, path, scaffold, sum(ltrim(v, '#')::BIGINT)::BIGINT AS total, count_if(v LIKE '#%')::BIGINT AS n_masked FROM e GROUP BY ALL"""
@@ -342,17 +328,6 @@ def flip_contigs(spark, base):
     return curate.flipped_calls(d, back, CONTIG, "contig_length").select(*CONTIG, "type", "gene", "pos1", "pos2", "direction")
 
 
-@query(
-    f"""WITH {_calls_sql()}, {_LENGTHS}, s AS (SELECT id, path, scaffold, min(least(pos1, pos2)) AS a, max(greatest(pos1, pos2)) AS b FROM calls GROUP BY ALL)
-SELECT id, path, scaffold, topology, contig_length, CASE WHEN topology = 'linear' AND a IS NOT NULL THEN a ELSE 1 END AS first_kept, CASE WHEN topology = 'linear' AND a IS NOT NULL THEN least(b, contig_length) ELSE contig_length END AS last_kept FROM lengths LEFT JOIN s USING (id, path, scaffold)"""
-)
-def end_trim(spark, base):
-    span = calls(spark, base).groupBy(*CONTIG).agg(F.min(F.least("pos1", "pos2")).alias("a"), F.max(F.greatest("pos1", "pos2")).alias("b"))
-    d = lengths(spark, base).join(span, CONTIG, "left")
-    cut = (F.col("topology") == "linear") & F.col("a").isNotNull()
-    return d.select(*CONTIG, "topology", "contig_length", F.when(cut, F.col("a")).otherwise(F.lit(1).cast("long")).alias("first_kept"), F.when(cut, F.least("b", "contig_length")).otherwise(F.col("contig_length")).alias("last_kept"))
-
-
 @query(
     f"""WITH {_calls_sql()}, {_LENGTHS} SELECT c.id, c.path, c.scaffold, gene, pos1, pos2, direction, CASE WHEN pos1 <= pos2 THEN pos2 - pos1 + 1 ELSE contig_length - pos1 + 1 + pos2 END AS length, contig_length - pos2 + 1 AS flipped1
 FROM calls c JOIN lengths USING (id, path, scaffold)"""

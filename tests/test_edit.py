@@ -34,3 +34,19 @@ def test_move_stop(spark):
     e = d.withColumn("a", inward).withColumn("b", s1)
     moved = {r["k"]: (r["pos1"], r["pos2"], r["stop_codon"], r["length"]) for r in edit.with_stop(e, -F.col("a"), F.col("b")).collect()}
     assert moved == {"p": (3, 11, "TAG", 9), "m": (n - 11 + 1, n - 2, "TAG", 9)}
+
+
+def test_cut_to(spark):
+    contigs = spark.createDataFrame([("a", "ACGTACGTAA", "1 2 3 4 5 6 7 8 9 10"), ("b", "ACGT", None), ("c", "ACGT", "1 2 3 4"), ("d", "AC", "1 2")], "k string, sequence string, depth string")
+    regions = spark.createDataFrame([("a", 9, 12), ("b", 2, 3), ("d", 2, 1)], "k string, f long, l long")
+    got = {r["k"]: (r["sequence"], r["depth"]) for r in edit.cut_to(contigs, regions, ["k"], "f", "l", ["depth"]).collect()}
+    assert got == {"a": ("AAAC", "9 10 1 2"), "b": ("CG", None), "c": ("ACGT", "1 2 3 4"), "d": ("", "")}
+    kept = {r["k"]: r["sequence"] for r in edit.cut_to(contigs, regions, ["k"], "f", "l", only=F.col("k") != "a").collect()}
+    assert kept["a"] == "ACGTACGTAA" and kept["b"] == "CG"
+
+
+def test_rescored(spark):
+    calls = spark.createDataFrame([("x", "cob", "MKLVWAAGH"), ("y", "cob", "MKLVWAAGH"), ("z", "nad1", "MK"), ("n", "cob", None)], "id string, gene string, translation string")
+    refs = spark.createDataFrame([("cob", "r1", "MKLVWAAGH"), ("cob", "r2", "KLVWAAGH"), ("cob", "r3", "MKLVWYYYYYY")], "gene string, acc string, target string")
+    got = {r["id"]: r["hits"] for r in edit.rescored(calls, refs, 2).collect()}
+    assert got["x"] == got["y"] and got["x"].startswith('{"acc":["r1","r2"]') and '"gap_leading":[0,' in got["x"] and got["z"] is None and got["n"] is None

@@ -8,12 +8,12 @@ import duckdb
 import pandas as pd
 import pytest
 
-from organelia.plans import engine, formats, models, problems, rules
+from organelia.plans import edits, engine, formats, models, problems, rules
 
 DATA = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-QUERIES = problems.QUERIES | engine.QUERIES | rules.QUERIES | models.QUERIES | formats.QUERIES
-ORACLE = problems.ORACLE | engine.ORACLE | rules.ORACLE | models.ORACLE | formats.ORACLE
+QUERIES = problems.QUERIES | engine.QUERIES | rules.QUERIES | models.QUERIES | formats.QUERIES | edits.QUERIES
+ORACLE = problems.ORACLE | engine.ORACLE | rules.ORACLE | models.ORACLE | formats.ORACLE | edits.ORACLE
 
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
