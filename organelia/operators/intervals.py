@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from organelia.session import cut
+
 #: Positions of one key handled by one task. An event row is one distinct position, so a task never holds more rows of a key.
 BUCKET = 1 << 16
 
@@ -97,6 +99,76 @@ def covered_and_gaps(annotations: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return sweep(parts, ["id", "path", "scaffold", "direction"], F.col("s"), F.col("e"), bucket)
 
 
+def _two_ends(spans: DataFrame, keys: Sequence[str], at: str, other: str, greatest: bool) -> DataFrame:
+    """(keys, at, one, two, beyond): of the spans with an end at ``at`` the two farthest other ends, and the farthest of all spans whose end lies before.
+
+    ``greatest``: far is large, and before is lower; else the other way round. A key has one row a position here.
+    """
+    far = F.desc(other) if greatest else F.asc(other)
+    two = spans.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, at).orderBy(far))).where("_r <= 2")
+    ends = two.groupBy(*keys, at).agg(F.max(F.when(F.col("_r") == 1, F.col(other))).alias("one"), F.max(F.when(F.col("_r") == 2, F.col(other))).alias("two"))
+    before = Window.partitionBy(*keys).orderBy(F.asc(at) if greatest else F.desc(at)).rowsBetween(Window.unboundedPreceding, -1)
+    return ends.withColumn("beyond", (F.max("one") if greatest else F.min("one")).over(before))
+
+
+def _longest_inside(inner: DataFrame, outer: DataFrame, keys: Sequence[str], levels: int) -> DataFrame:
+    """(keys, s, e, inside): the length of the longest other span of ``inner`` that lies within each span of ``outer``.
+
+    Starts are sorted into the nodes of a binary tree over the positions. The starts from ``s`` on are the leaf ``s`` and
+    the right neighbours of the nodes above it, one a level at most; within a node the answer is a running maximum of
+    lengths along the ends. Lengths are reduced to one a node and end before the shuffle, and so are the questions, so a
+    window has at most two rows a position, however many spans a key has.
+    """
+    above = lambda step: F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda j: F.struct(j.alias("j"), (F.call_function("shiftright", F.col("s"), j) + step).alias("node")))
+    right = lambda nodes: F.filter(nodes, lambda x: x["node"] % 2 == 1)
+    # The leaf stands apart, as level -1: in it only spans that end before may count, elsewhere all that end by then.
+    leaf = lambda *more: F.array(F.struct(F.lit(-1).alias("j"), F.col("s").alias("node"), *more))
+    points = inner.select(*keys, "e", (F.col("e") - F.col("s") + 1).alias("n"), F.inline(F.concat(leaf(), right(above(0))))).groupBy(*keys, "j", "node", "e").agg(F.max("n").alias("n"))
+    asked = F.transform(right(above(1)), lambda x: F.struct(x["j"].alias("j"), x["node"].alias("node"), F.col("e").alias("by")))
+    questions = outer.select(*keys, "s", "e", F.inline(F.concat(leaf((F.col("e") - 1).alias("by")), asked)))
+    both = points.withColumn("asks", F.lit(0)).unionByName(questions.select(*keys, "j", "node", F.col("by").alias("e")).distinct().withColumn("asks", F.lit(1)), allowMissingColumns=True)
+    along = Window.partitionBy(*keys, "j", "node").orderBy("e", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    answers = both.withColumn("inside", F.max("n").over(along)).where("asks = 1 and inside is not null").select(*keys, "j", "node", F.col("e").alias("by"), "inside")
+    return questions.join(answers, [*keys, "j", "node", "by"]).groupBy(*keys, "s", "e").agg(F.max("inside").alias("inside"))
+
+
+def worst_overlaps(spans: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
+    """(keys, start, end, any_overlap, left_overlap, right_overlap) of each distinct closed span: the most positions that it
+    shares with another row, with another row that holds its start, and with one that holds its end.
+
+    Nothing is paired: what begins before a span is a running maximum of ends, what ends after it one of starts, and what
+    lies within is found in a tree of the starts, which only spans within others and around others enter. So the work grows
+    with n log n also where one key has most of the rows. Copies of a span overlap each other; NULL means no overlap. Rows
+    with NULL keys or bounds, a start below 0 or an end before the start are left out.
+    """
+    d = spans.select(*keys, F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")).where("s >= 0 and e >= s").dropna(subset=[*keys])
+    d = d.groupBy(*keys, "s", "e").agg(F.count("*").alias("m"))
+    left = _two_ends(d, keys, "s", "e", True).select(*keys, "s", F.col("one").alias("l1"), F.col("two").alias("l2"), F.col("beyond").alias("lb"))
+    right = _two_ends(d, keys, "e", "s", False).select(*keys, "e", F.col("one").alias("r1"), F.col("two").alias("r2"), F.col("beyond").alias("rb"))
+    least = d.groupBy(*keys, "s").agg(F.min("e").alias("lo"))
+    least = least.withColumn("later", F.min("lo").over(Window.partitionBy(*keys).orderBy("s").rowsBetween(1, Window.unboundedFollowing)))
+    j = cut(d.join(left, [*keys, "s"]).join(least, [*keys, "s"]).join(right, [*keys, "e"]))
+    inner = j.where("coalesce(lb >= e, false) or l1 > e")
+    outer = j.where("coalesce(later <= e, false) or lo < e")
+    # One number comes to the driver: how many levels the tree needs.
+    levels = int(j.agg(F.max("s")).first()[0] or 0).bit_length()
+    j = j.join(_longest_inside(inner, outer, keys, levels), [*keys, "s", "e"], "left")
+    copies = F.when(F.col("m") > 1, F.col("e") - F.col("s") + 1)
+    # The span itself is the farthest at its own position, or not.
+    at_left = F.greatest("lb", F.when(F.col("l1") > F.col("e"), F.col("l1")).otherwise(F.col("l2")))
+    at_right = F.least("rb", F.when(F.col("r1") < F.col("s"), F.col("r1")).otherwise(F.col("r2")))
+    shared_left = F.when(at_left >= F.col("s"), F.least(at_left, F.col("e")) - F.col("s") + 1)
+    shared_right = F.when(at_right <= F.col("e"), F.col("e") - F.greatest(at_right, F.col("s")) + 1)
+    return j.select(
+        *keys,
+        F.col("s").alias(start),
+        F.col("e").alias(end),
+        F.greatest(shared_left, shared_right, "inside", copies).alias("any_overlap"),
+        F.greatest(shared_left, copies).alias("left_overlap"),
+        F.greatest(shared_right, copies).alias("right_overlap"),
+    )
+
+
 def overlap_length(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
     """Positions that two closed intervals share; NULL if a bound is NULL."""
     return F.when(a1.isNull() | a2.isNull() | b1.isNull() | b2.isNull(), None).otherwise(F.greatest(F.lit(0), F.least(a2, b2) - F.greatest(a1, b1) + 1))

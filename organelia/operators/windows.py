@@ -1,8 +1,13 @@
-"""Ordered analytics along a position axis. A window is partitioned by contig, so a task holds one contig's positions."""
+"""Ordered analytics along a position axis.
+
+Windows over the rows of a contig that are one a position hold at most as many rows as the contig is long. What
+orders gene calls, of which a contig may have any number, is split by position: a window within a position, and one
+over a summary row a position.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,10 +65,55 @@ def longest_run(runs: DataFrame, keys: Sequence[str], first: bool = False) -> Da
     return runs.groupBy(*keys).agg(F.max_by(F.struct("run_start", "run_end", "run_length"), rank).alias("r")).select(*keys, "r.*")
 
 
-def make_unique(df: DataFrame, keys: Sequence[str], name: str, order: Sequence[Column], out: str) -> DataFrame:
-    """Names within the keys made unique: x, x.1, x.2 in the given order."""
-    n = F.row_number().over(Window.partitionBy(*keys, name).orderBy(*order)) - 1
-    return df.withColumn(out, F.when(n == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("."), n.cast("string"))))
+def _same(left: str, right: str, columns: Sequence[str]) -> Column:
+    on = F.lit(True)
+    for c in columns:
+        on = on & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+    return on
+
+
+def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], before: Mapping[str, str], after: Mapping[str, str]) -> DataFrame:
+    """Rows with values of the row before (``before``: new column to column) and after in the order within the keys.
+
+    The first order column is the position by which a key is split: neighbours are looked for among the rows of one
+    position, and for the first and last of these in the nearest position that has rows. NULL where there is no such row. NULL keys are keys.
+    """
+    position, rest = order[0], [*order[1:]] or [order[0]]
+    inner = Window.partitionBy(*keys, position).orderBy(*rest)
+    lag_of = F.struct(*[F.col(c).alias(n) for n, c in before.items()])
+    lead_of = F.struct(*[F.col(c).alias(n) for n, c in after.items()])
+    edges = df.groupBy(*keys, position).agg(F.min_by(lead_of, F.struct(*rest)).alias("_first"), F.max_by(lag_of, F.struct(*rest)).alias("_last"))
+    along = Window.partitionBy(*keys).orderBy(position)
+    edges = edges.withColumns({"_before": F.lag("_last").over(along), "_after": F.lead("_first").over(along)}).drop("_first", "_last")
+    d = df.withColumns({"_lag": F.lag(lag_of).over(inner), "_lead": F.lead(lead_of).over(inner)})
+    j = d.alias("d").join(edges.alias("e"), _same("d", "e", [*keys, position]))
+    return j.select(
+        *[F.col(f"d.{c}") for c in df.columns],
+        *[F.coalesce("d._lag", "e._before")[n].alias(n) for n in before],
+        *[F.coalesce("d._lead", "e._after")[n].alias(n) for n in after],
+    )
+
+
+def make_unique(df: DataFrame, keys: Sequence[str], name: str, order: Sequence[str], out: str) -> DataFrame:
+    """Names within the keys made unique: x, x.1, x.2 in the given order; a number that makes a name which is there already is passed over.
+
+    The first order column is the position by which the rows of a name are split. NULL names stay NULL.
+    """
+    position, rest = order[0], [*order[1:]] or [order[0]]
+    here = F.row_number().over(Window.partitionBy(*keys, name, position).orderBy(*rest))
+    counts = df.groupBy(*keys, name, position).agg(F.count("*").alias("_n"))
+    earlier = counts.withColumn("_earlier", F.sum("_n").over(Window.partitionBy(*keys, name).orderBy(position)) - F.col("_n")).drop("_n")
+    numbered = r"^(.*)\.([1-9][0-9]{0,8})$"
+    taken = (
+        df.where(F.col(name).rlike(numbered))
+        .select(*keys, F.regexp_extract(name, numbered, 1).alias(name), F.regexp_extract(name, numbered, 2).cast("long").alias("_k"))
+        .groupBy(*keys, name)
+        .agg(F.array_sort(F.collect_set("_k")).alias("_taken"))
+    )
+    d = df.withColumn("_here", here).alias("d").join(earlier.alias("e"), _same("d", "e", [*keys, name, position])).join(taken.alias("t"), _same("d", "t", [*keys, name]), "left")
+    n = F.col("_here") + F.col("_earlier") - 1
+    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<bigint>")), n, lambda v, t: F.when(t <= v, v + 1).otherwise(v))
+    return d.select(*[F.col(f"d.{c}") for c in df.columns], F.when(n == 0, F.col(f"d.{name}")).otherwise(F.concat(F.col(f"d.{name}"), F.lit("."), free.cast("string"))).alias(out))
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from organelia.functions import seq as S
 from organelia.operators.intervals import flip_strand, rotate, rotate_reverse, span_length
+from organelia.operators.windows import neighbours
 
 # Amino acid codes of the tRNA table and their gene names.
 TRNA_GENES = {
@@ -143,12 +144,12 @@ def control_regions(calls: DataFrame, keys: Sequence[str], length: str, drop_ove
     The first call of a contig starts at 1 and the last ends with the contig. ``drop_overlapping`` removes
     origin calls that overlap a neighbour before.
     """
-    w = Window.partitionBy(*keys).orderBy("pos1", "pos2", "gene")
-    d = calls.withColumn("_before", F.lag("pos2").over(w)).withColumn("_after", F.lead("pos1").over(w))
+    near = lambda d: neighbours(d, keys, ["pos1", "pos2", "gene", "direction", "type"], {"_before": "pos2"}, {"_after": "pos1"})
+    d = near(calls)
     origin = F.col("gene") == "OH"
     if drop_overlapping:
-        d = d.where(~origin | ((F.coalesce("_before", F.lit(0)) < F.col("pos1")) & (F.coalesce("_after", F.col("pos2") + 1) > F.col("pos2"))))
-        d = d.withColumn("_before", F.lag("pos2").over(w)).withColumn("_after", F.lead("pos1").over(w))
+        clear = (F.coalesce("_before", F.lit(0)) < F.col("pos1")) & (F.coalesce("_after", F.col("pos2") + 1) > F.col("pos2"))
+        d = near(d.where(~origin | clear).drop("_before", "_after"))
     p1 = F.when(origin, F.coalesce(F.col("_before") + 1, F.lit(1))).otherwise(F.col("pos1"))
     p2 = F.when(origin, F.coalesce(F.col("_after") - 1, F.col(length))).otherwise(F.col("pos2"))
     return d.withColumns({"pos1": p1, "pos2": p2, "length": F.when(origin, F.abs(p2 - p1) + 1).otherwise(F.col("length")), "gene": F.when(origin, "ctrl").otherwise(F.col("gene"))}).drop("_before", "_after")

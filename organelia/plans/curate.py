@@ -7,13 +7,14 @@ from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from organelia.functions.align import compare_many, may_reach
 from organelia.functions.seq import BASES, COMPLEMENTS, genetic_code
 from organelia.functions.text import append_note
 from organelia.operators.intervals import flip, flip_strand
+from organelia.operators.windows import neighbours
 from organelia.session import ship
 
 _COMPLEMENT = str.maketrans(BASES, COMPLEMENTS)
@@ -35,10 +36,9 @@ def flipped_calls(calls: DataFrame, contigs: DataFrame, keys: Sequence[str], len
 def punctuated(calls: DataFrame, keys: Sequence[str]) -> DataFrame:
     """rRNA ends snapped to adjacent tRNAs, unless the call would grow beyond its ``max_len`` (NULL: no limit).
 
-    Adds to ``notes`` what was moved. Neighbours are those by (pos1, pos2, gene) on the contig.
+    Adds to ``notes`` what was moved. Neighbours are those by (pos1, pos2, gene, direction, type) on the contig.
     """
-    w = Window.partitionBy(*keys).orderBy("pos1", "pos2", "gene")
-    d = calls.withColumns({"_bt": F.lag("type").over(w), "_b2": F.lag("pos2").over(w), "_at": F.lead("type").over(w), "_a1": F.lead("pos1").over(w)})
+    d = neighbours(calls, keys, ["pos1", "pos2", "gene", "direction", "type"], {"_bt": "type", "_b2": "pos2"}, {"_at": "type", "_a1": "pos1"})
     limit = F.coalesce("max_len", F.lit(1 << 60))
     rrna = F.col("type") == "rRNA"
     new1 = F.when(rrna & (F.col("_bt") == "tRNA") & (F.col("_b2") + 1 != F.col("pos1")) & (F.col("pos2") - F.col("_b2") <= limit), F.col("_b2") + 1)

@@ -539,7 +539,7 @@ def usual_value(spark, base):
 
 @query(f"WITH {_calls_sql()}, n AS (SELECT *, row_number() OVER (PARTITION BY id, path, scaffold, gene ORDER BY pos1, pos2, direction, type) - 1 AS k FROM calls) SELECT id, path, scaffold, pos1, pos2, direction, CASE WHEN k = 0 THEN gene ELSE gene || '.' || k END AS name FROM n")
 def unique_names(spark, base):
-    d = W.make_unique(calls(spark, base), CONTIG, "gene", [F.col(c) for c in ("pos1", "pos2", "direction", "type")], "name")
+    d = W.make_unique(calls(spark, base), CONTIG, "gene", ["pos1", "pos2", "direction", "type"], "name")
     return d.select(*CONTIG, "pos1", "pos2", "direction", "name")
 
 

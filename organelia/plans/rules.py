@@ -123,7 +123,8 @@ def _warned(spark: SparkSession, base: str) -> DataFrame:
     rules, pieces = params.effective_rules(params.fish()), _pieces(c)
     c = V.with_ends(V.with_duplicates(c, calls(spark, base), rules, SAMPLE), SAMPLE, ORDER)
     c = c.join(_weak(spark, base, pieces).drop("n_bases"), [*CONTIG, *SPAN], "left")
-    return V.call_warnings(c, V.worst_of(V.overlaps(pieces, KEYS, CALL), KEYS, CALL), params.rules_frame(spark, params.fish()), KEYS, CALL, 0.25, 90)
+    worst = V.worst_overlaps_of(c.select(*KEYS, *CALL, "contig_length").distinct(), KEYS, CALL, "contig_length")
+    return V.call_warnings(c, worst, params.rules_frame(spark, params.fish()), KEYS, CALL, 0.25, 90)
 
 
 @_query(f"WITH {_WARNED} SELECT id, path, scaffold, type, gene, pos1, pos2, direction, start_codon, stop_codon, length, warnings FROM warned")

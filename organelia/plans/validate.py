@@ -8,7 +8,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from organelia.operators.intervals import overlap_join, overlap_length, point_join
+from organelia.operators.intervals import overlap_join, overlap_length, point_join, worst_overlaps
+from organelia.session import cut
 
 #: Positions per bucket of the range joins. Gene calls are some hundred positions long.
 BUCKET = 4096
@@ -119,6 +120,35 @@ def worst_of(found: DataFrame, keys: Sequence[str], call: Sequence[str]) -> Data
     return found.groupBy(*keys, *call).agg(F.max("overlap").alias("any_overlap"), F.max(F.when(at_start, F.col("overlap"))).alias("start_overlap"), F.max(F.when(at_stop, F.col("overlap"))).alias("stop_overlap"))
 
 
+def worst_overlaps_of(calls: DataFrame, keys: Sequence[str], call: Sequence[str], contig_length: str, bucket: int = BUCKET) -> DataFrame:
+    """As ``worst_of`` over all ``overlaps``, without making them: calls that do not run over the origin are not paired.
+
+    ``calls`` are distinct. A pair of which one call runs over the origin is made, for its two pieces add up; such calls are few.
+    """
+    own = [*keys, *call]
+    plus = F.col("direction") == "+"
+    calls = cut(calls.select(*own, contig_length))
+    plain = calls.where("pos1 <= pos2").select(*own)
+    spans = worst_overlaps(plain, keys, "pos1", "pos2")
+    direct = plain.join(spans, [*keys, "pos1", "pos2"]).select(
+        *own,
+        "any_overlap",
+        F.when(plus, F.col("left_overlap")).otherwise(F.col("right_overlap")).alias("start_overlap"),
+        F.when(plus, F.col("right_overlap")).otherwise(F.col("left_overlap")).alias("stop_overlap"),
+    )
+    pieces = segments(calls.select(*own, contig_length), contig_length).drop(contig_length)
+    j = overlap_join(pieces.where("pos1 > pos2"), pieces, keys, bucket)
+    same = F.lit(True)
+    for c in call:
+        same = same & F.col(c).eqNullSafe(F.col(f"r_{c}"))
+    other = [f"r_{c}" for c in call]
+    pairs = j.where(~same).groupBy(*own, *other).agg(F.sum(overlap_length(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))).alias("overlap"))
+    # Seen from the other call too, unless it runs over the origin itself and so has the pair on its own side.
+    back = pairs.where("r_pos1 <= r_pos2").select(*keys, *[F.col(f"r_{c}").alias(c) for c in call], *[F.col(c).alias(f"r_{c}") for c in call], "overlap")
+    around = worst_of(pairs.unionByName(back), keys, call)
+    return direct.unionByName(around).groupBy(*own).agg(*[F.max(c).alias(c) for c in ("any_overlap", "start_overlap", "stop_overlap")])
+
+
 def weak_regions(track: DataFrame, pieces: DataFrame, keys: Sequence[str], call: Sequence[str], share: float = 0.05, bucket: int = BUCKET) -> DataFrame:
     """(keys, call, n_bases, low_coverage, high_error): calls with over ``share`` of their bases at depth 10 or less, or at an error of 0.05 or more. NULL counts as neither."""
     j = point_join(track, pieces.select(*keys, *call, "start", "end"), keys, "position", bucket)

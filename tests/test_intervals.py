@@ -94,3 +94,29 @@ def test_circular_maps(spark):
     twice = flip(*flip(F.col("a"), F.col("b"), n), n)
     assert rows(df.select(*twice)) == rows(df.select("a", "b"))
     assert rows(df.select(flip_strand(flip_strand(F.col("d"))).alias("d")).distinct()) == [("+",)]
+
+
+def test_worst_overlaps_equal_all_pairs(spark):
+    """Against every pair, on nested, equal, touching and hot spans."""
+    import random
+
+    from organelia.operators.intervals import worst_overlaps
+
+    rng = random.Random(13)
+    rows = []
+    for key, n, reach, longest in (("a", 60, 40, 12), ("b", 80, 300, 200), ("c", 200, 60, 60), ("d", 1, 10, 5), ("e", 30, 2000, 3)):
+        for _ in range(n):
+            s = rng.randint(0, reach)
+            rows.append((key, s, s + rng.randint(0, longest), "x"))
+    rows += [(None, 1, 5, "x"), ("f", None, 5, "x"), ("f", 5, None, "x"), ("f", 9, 3, "x"), ("g", 7, 7, "x"), ("g", 7, 7, "x")]
+    df = spark.createDataFrame(rows, "k string, p long, q long, s string")
+    got = {(r["k"], r["p"], r["q"]): (r["any_overlap"], r["left_overlap"], r["right_overlap"]) for r in worst_overlaps(df, ["k"], "p", "q").collect()}
+    good = [r for r in rows if None not in r[:3] and r[2] >= r[1]]
+    want = {}
+    for i, (k, s, e, _) in enumerate(good):
+        shared = [(min(e, e2) - max(s, s2) + 1, s2 <= s <= e2, s2 <= e <= e2) for n, (k2, s2, e2, _) in enumerate(good) if n != i and k2 == k]
+        shared = [x for x in shared if x[0] > 0]
+        most = lambda xs: max(xs, default=None)
+        want[k, s, e] = (most([x[0] for x in shared]), most([x[0] for x in shared if x[1]]), most([x[0] for x in shared if x[2]]))
+    assert got == want
+    assert worst_overlaps(df.limit(0), ["k"], "p", "q").count() == 0

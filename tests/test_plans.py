@@ -236,3 +236,27 @@ def test_tool_output_becomes_calls(spark):
     assert calls["c", "OH"]["type"] == "ctrl" and calls["x", "cox1"]["translation"] is None
     both = An.combine(An.trna_calls(table), An.gene_calls(heads, contigs, 2))
     assert both.count() == 7 and "anticodon" in both.columns
+
+
+def test_neighbours_of_a_hot_contig(spark):
+    import random
+
+    from organelia.operators import windows as W
+
+    rng = random.Random(4)
+    rows = [(k, rng.randint(1, 12), rng.randint(1, 4), f"g{i}") for i, k in enumerate(["hot"] * 300 + ["b", "b", None, None, "c"])]
+    d = spark.createDataFrame(rows, "k string, p int, q int, g string")
+    got = {r["g"]: (r["b"], r["a"]) for r in W.neighbours(d, ["k"], ["p", "q", "g"], {"b": "g"}, {"a": "g"}).collect()}
+    for key in ("hot", "b", None, "c"):
+        names = [g for *_, g in sorted((p, q, g) for k, p, q, g in rows if k == key)]
+        for i, g in enumerate(names):
+            assert got[g] == (names[i - 1] if i else None, names[i + 1] if i + 1 < len(names) else None)
+
+
+def test_unique_names_pass_over_taken_ones(spark):
+    from organelia.operators import windows as W
+
+    rows = [("c", "x", 1, 1), ("c", "x", 1, 2), ("c", "x", 5, 1), ("c", "x", 9, 1), ("c", "x.1", 2, 1), ("c", "x.3", 2, 2), ("c", "x.3", 2, 3), ("d", "x", 1, 1), ("d", "x", 2, 1), (None, "y", 1, 1), (None, "y", 1, 2), ("d", None, 3, 3)]
+    d = spark.createDataFrame(rows, "k string, g string, p int, q int")
+    got = {(r["k"], r["p"], r["q"]): r["name"] for r in W.make_unique(d, ["k"], "g", ["p", "q"], "name").collect()}
+    assert got == {("c", 1, 1): "x", ("c", 1, 2): "x.2", ("c", 5, 1): "x.4", ("c", 9, 1): "x.5", ("c", 2, 1): "x.1", ("c", 2, 2): "x.3", ("c", 2, 3): "x.3.1", ("d", 1, 1): "x", ("d", 2, 1): "x.1", (None, 1, 1): "y", (None, 1, 2): "y.1", ("d", 3, 3): None}
