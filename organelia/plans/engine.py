@@ -455,45 +455,6 @@ def assembly_groups(spark, base):
     )
 
 
-_NEW = "new AS (SELECT c_custkey + 7 AS c_custkey, 'new ' || c_name AS c_name, c_acctbal FROM customer WHERE c_nationkey = 3)"
-
-
-def _customers(spark, base):
-    old = table(spark, base, "customer")
-    new = old.where("c_nationkey = 3").select((F.col("c_custkey") + 7).alias("c_custkey"), F.concat(F.lit("new "), "c_name").alias("c_name"), "c_acctbal")
-    return old, new
-
-
-@query(f"WITH {_NEW} SELECT o.c_custkey, coalesce(n.c_name, o.c_name) AS c_name, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal, c_mktsegment FROM customer o LEFT JOIN new n USING (c_custkey) UNION ALL SELECT c_custkey, c_name, c_acctbal, NULL FROM new ANTI JOIN customer USING (c_custkey)")
-def rows_upsert(spark, base):
-    old, new = _customers(spark, base)
-    return dml.upsert_rows(old, new, ["c_custkey"]).select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
-
-
-@query(f"WITH {_NEW} SELECT o.c_custkey, coalesce(n.c_name, o.c_name) AS c_name, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal FROM customer o LEFT JOIN new n USING (c_custkey)")
-def rows_update(spark, base):
-    old, new = _customers(spark, base)
-    return dml.update_rows(old, new, ["c_custkey"]).select("c_custkey", "c_name", "c_acctbal")
-
-
-@query(f"WITH {_NEW} SELECT c_custkey, c_name FROM customer UNION ALL SELECT c_custkey, c_name FROM new ANTI JOIN customer USING (c_custkey)")
-def rows_insert(spark, base):
-    old, new = _customers(spark, base)
-    return dml.insert_rows(old, new, ["c_custkey"]).select("c_custkey", "c_name")
-
-
-@query(f"WITH {_NEW} SELECT c_custkey, c_name, c_mktsegment FROM customer ANTI JOIN new USING (c_custkey) UNION ALL SELECT c_custkey, c_name, NULL FROM new")
-def rows_replace(spark, base):
-    old, new = _customers(spark, base)
-    return dml.replace_rows(old, new, ["c_custkey"]).select("c_custkey", "c_name", "c_mktsegment")
-
-
-@query(f"WITH {_NEW} SELECT c_custkey, c_name FROM customer ANTI JOIN new USING (c_custkey)")
-def rows_delete(spark, base):
-    old, new = _customers(spark, base)
-    return dml.delete_rows(old, new, ["c_custkey"]).select("c_custkey", "c_name")
-
-
 @query("WITH c AS (SELECT id, max(time_stamp) AS s FROM annotations GROUP BY id) SELECT a.id, count(*) AS n FROM annotations a JOIN c ON a.id = c.id WHERE s IS NULL OR a.time_stamp = s GROUP BY a.id")
 def generation_purge(spark, base):
     a = table(spark, base, "annotations")
@@ -513,12 +474,6 @@ def duplicate_ids(spark, base):
     return dml.duplicate_keys(d, ["id"]).withColumn("id_length", F.length("id"))
 
 
-@query("SELECT DISTINCT p.id FROM preprocess p JOIN preprocess q ON p.id = q.id WHERE p.r1 IS DISTINCT FROM q.r1 OR p.r2 IS DISTINCT FROM q.r2")
-def changed_reads(spark, base):
-    d = table(spark, base, "preprocess").select("id", F.struct("r1", "r2").alias("r")).groupBy("id").agg(F.min("r").alias("a"), F.max("r").alias("b"))
-    return d.where(~F.col("a").eqNullSafe(F.col("b"))).select("id")
-
-
 @query("SELECT DISTINCT id FROM assemble WHERE id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM annotate n WHERE n.id = assemble.id)")
 def unannotated(spark, base):
     return table(spark, base, "assemble").where("id is not null").select("id").distinct().join(table(spark, base, "annotate").select("id"), "id", "left_anti")

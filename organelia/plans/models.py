@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from organelia.functions.text import bullets, named_values, shell_quote
+from organelia.operators import dml
 from organelia.operators.dml import replace_rows
 from organelia.operators.nested import rule_values
 from organelia.operators.rejects import classify_records, valid_records
@@ -270,3 +271,79 @@ def sequence_lengths(spark, base):
 @_query(f"{merged_sql()} SELECT curate_opts, gene, type, n_calls AS count, max_len, min_len, overlap_start, overlap_stop, start_codons, stop_codons FROM merged")
 def rules_merged(spark, base):
     return merged_rules(rule_values(table(spark, base, "curate_opts")))
+
+
+# Changes to tables: the reads of the sample sheets against those of the preprocessing table -----------
+
+_OLD = f"""{_SAMPLES}, {_latest_sql("old", "preprocess", "r1, r2, pre_opts, reads")}, new AS (SELECT CASE WHEN export_group = (SELECT max(export_group) FROM samples) THEN id || '-b' ELSE id END AS id, upper(r1) AS r1, taxon FROM samples WHERE export_group <> (SELECT min(export_group) FROM samples))"""
+
+
+def _old_new(spark, base):
+    """The last row of each sample, and other read names for the samples of all sheets but the first; those of the last sheet are new samples."""
+    old = latest(table(spark, base, "preprocess"), ["r1", "r2", "pre_opts", "reads"])
+    s = _taxa(spark, base)
+    ends = s.agg(F.min("export_group").alias("_first"), F.max("export_group").alias("_last"))
+    named = F.when(F.col("export_group") == F.col("_last"), F.concat("id", F.lit("-b"))).otherwise(F.col("id"))
+    return old, s.join(ends, F.col("export_group") != F.col("_first")).select(named.alias("id"), F.upper("r1").alias("r1"), "taxon")
+
+
+@_query(f"{_OLD} SELECT id, coalesce(n.r1, o.r1) AS r1, r2, pre_opts, reads, NULL AS taxon FROM old o LEFT JOIN new n USING (id) UNION ALL SELECT id, r1, NULL, NULL, NULL, taxon FROM new ANTI JOIN old USING (id)")
+def rows_upsert(spark, base):
+    old, new = _old_new(spark, base)
+    return dml.upsert_rows(old, new, ["id"]).select("id", "r1", "r2", "pre_opts", "reads", "taxon")
+
+
+@_query(f"{_OLD} SELECT id, coalesce(n.r1, o.r1) AS r1, r2, pre_opts, reads FROM old o LEFT JOIN new n USING (id)")
+def rows_update(spark, base):
+    old, new = _old_new(spark, base)
+    return dml.update_rows(old, new, ["id"]).select("id", "r1", "r2", "pre_opts", "reads")
+
+
+@_query(f"{_OLD} SELECT id, r1 FROM old UNION ALL SELECT id, r1 FROM new ANTI JOIN old USING (id)")
+def rows_insert(spark, base):
+    old, new = _old_new(spark, base)
+    return dml.insert_rows(old, new, ["id"]).select("id", "r1")
+
+
+@_query(f"{_OLD} SELECT id, r1, r2, reads FROM old ANTI JOIN new USING (id) UNION ALL SELECT id, r1, NULL, NULL FROM new")
+def rows_replace(spark, base):
+    old, new = _old_new(spark, base)
+    return dml.replace_rows(old, new, ["id"]).select("id", "r1", "r2", "reads")
+
+
+@_query(f"{_OLD} SELECT id, r1 FROM old ANTI JOIN new USING (id)")
+def rows_delete(spark, base):
+    old, new = _old_new(spark, base)
+    return dml.delete_rows(old, new, ["id"]).select("id", "r1")
+
+
+@_query(
+    f"""{_OLD}, t AS (SELECT o.id, CASE WHEN n.id IS NULL THEN o.r1 ELSE n.r1 END AS r1, coalesce(reviewed, 'no') AS reviewed FROM old o LEFT JOIN new n USING (id) LEFT JOIN (SELECT id, max(reviewed) AS reviewed FROM annotate GROUP BY id) a USING (id))
+SELECT id, r1, reviewed, NULL AS refused FROM t UNION ALL SELECT id, r1, NULL, 'unknown key' FROM new ANTI JOIN old USING (id)"""
+)
+def samples_update(spark, base):
+    """Sample metadata changed by known ids, with what was refused, in a schema to which a column with a default was added."""
+    old, new = _old_new(spark, base)
+    done, refused = dml.checked_update(old, new, ["id"])
+    reviewed = table(spark, base, "annotate").groupBy("id").agg(F.max("reviewed").alias("reviewed"))
+    done = dml.migrate(done.join(reviewed, "id", "left"), {"reviewed": ("string", "no"), "refused": "string"})
+    return done.select("id", "r1", "reviewed", "refused").unionByName(refused.select("id", "r1", F.col("reason").alias("refused")), allowMissingColumns=True)
+
+
+@_query(
+    f"""{_OLD} SELECT id, r1, pre_opts, NULL AS refused FROM old UNION ALL SELECT id, r1, 'default', NULL FROM new ANTI JOIN old USING (id) UNION ALL SELECT id, r1, NULL, 'known key' FROM new SEMI JOIN old USING (id)"""
+)
+def samples_add(spark, base):
+    """Samples added by new ids, with a default option set, and what was refused."""
+    old, new = _old_new(spark, base)
+    done, refused = dml.checked_insert(old, new, ["id"], {"pre_opts": "default"})
+    return done.select("id", "r1", "pre_opts").unionByName(refused.select("id", "r1", F.col("reason").alias("refused")), allowMissingColumns=True)
+
+
+@_query(f"{_OLD} SELECT o.id FROM old o JOIN new n USING (id) JOIN samples s USING (id) WHERE o.r1 IS DISTINCT FROM s.r1 OR o.r2 IS DISTINCT FROM s.r2")
+def changed_reads(spark, base):
+    """Samples of those sheets whose reads are other ones than those that were preprocessed, compared by id."""
+    old, new = _old_new(spark, base)
+    s = _taxa(spark, base).join(new.select("id"), "id", "left_semi").select("id", F.struct("r1", "r2").alias("now"))
+    both = old.select("id", F.struct("r1", "r2").alias("then")).join(s, "id")
+    return both.where(~F.col("now").eqNullSafe(F.col("then"))).select("id")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from organelia.operators.dml import latest_version, read_version, replace_rows, write_version
+from organelia.operators.dml import BUCKETS, change_keyed, replace_rows
 
 
 def file_stream(spark: SparkSession, path: str, schema: str, kind: str = "parquet", **options: str) -> DataFrame:
@@ -16,18 +16,20 @@ def file_stream(spark: SparkSession, path: str, schema: str, kind: str = "parque
     return spark.readStream.schema(schema).options(**options).format(kind).load(path)
 
 
-def ingest(stream: DataFrame, table: str, by: Sequence[str], checkpoint: str, change: Callable[[DataFrame, DataFrame, Sequence[str]], DataFrame] = replace_rows) -> StreamingQuery:
-    """Apply what has arrived to a versioned table and stop.
+def ingest(
+    stream: DataFrame, table: str, by: Sequence[str], checkpoint: str, change: Callable[[DataFrame, DataFrame, Sequence[str]], DataFrame] = replace_rows, buckets: int = BUCKETS
+) -> StreamingQuery:
+    """Apply what has arrived to a table that is kept by key (``dml.read_keyed``), and stop.
 
-    Changes go by key, so a batch that is run again after a failure makes a further version with the same
-    content. Within a batch the last row of a key by ``loaded_at`` counts. One writer per table.
+    A batch reads and writes only the parts of the table that its keys fall into. Changes go by key, so a batch
+    that is run again after a failure makes a further version with the same content. Within a batch the last row
+    of a key by ``loaded_at`` counts, of equal ones the greatest by all columns. One writer per table.
     """
     spark = stream.sparkSession
 
     def apply(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy(*by).agg(F.max_by(F.struct(*batch.columns), F.struct("loaded_at")).alias("r")).select("r.*")
-        now = latest_version(spark, table)
-        write_version(last if now is None else change(read_version(spark, table), last, by), table, (now or 0) + 1)
+        last = batch.groupBy(*by).agg(F.max(F.struct("loaded_at", F.struct(*batch.columns).alias("row"))).alias("r")).select("r.row.*")
+        change_keyed(spark, table, last, by, change, buckets)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -28,6 +28,35 @@ def test_changes(spark):
     assert dml.add_columns(old, {"v": "string", "z": "int"}).columns == ["id", "v", "w", "z"]
 
 
+def test_checked_changes(spark):
+    old = spark.createDataFrame([(1, "a", "no"), (2, "b", "yes")], "id int, v string, w string")
+    new = spark.createDataFrame([(2, "x"), (3, "y"), (1, "p"), (1, "q")], "id int, v string")
+    assert rows(dml.update_rows(old, new, ["id"])) == [(1, "q", "no"), (2, "x", "yes")]
+    table, refused = dml.checked_update(old, new, ["id"])
+    assert rows(table) == [(1, "a", "no"), (2, "x", "yes")] and rows(refused) == [(1, "p", "repeated key"), (1, "q", "repeated key"), (3, "y", "unknown key")]
+    table, refused = dml.checked_insert(old, new.where("id <> 1").unionAll(spark.createDataFrame([(4, "z"), (4, "z")], "id int, v string")), ["id"], {"w": "no"})
+    assert rows(table) == [(1, "a", "no"), (2, "b", "yes"), (3, "y", "no")] and rows(refused) == [(2, "x", "known key"), (4, "z", "repeated key"), (4, "z", "repeated key")]
+    assert rows(dml.add_columns(old, {"n": ("int", 5), "v": "string", "z": "string"}))[0] == (1, "a", "no", 5, None)
+    assert rows(dml.migrate(spark.createDataFrame([(1, None), (2, "yes")], "id int, reviewed string"), {"reviewed": ("string", "no"), "n": "int"})) == [(1, "no", None), (2, "yes", None)]
+
+
+def test_keyed_table_writes_only_what_changes(spark, tmp_path):
+    folder = str(tmp_path / "keyed")
+    first = spark.range(1000).selectExpr("id", "cast(id as string) as v", "'x' as key_name")
+    assert dml.change_keyed(spark, folder, first, ["id"], dml.replace_rows, 16) == 1
+    change = spark.createDataFrame([(5, "new", "y"), (5000, "more", "y")], "id long, v string, key_name string")
+    assert dml.change_keyed(spark, folder, change, ["id"], dml.replace_rows, 99) == 2
+    assert len(list((tmp_path / "keyed" / "data" / "v000002").glob("key_hash=*"))) <= 2
+    got = {r["id"]: r["v"] for r in dml.read_keyed(spark, folder).collect()}
+    assert len(got) == 1001 and got[5] == "new" and got[6] == "6" and got[5000] == "more"
+    assert dml.read_keyed(spark, folder, 1).count() == 1000
+    assert dml.change_keyed(spark, folder, change.limit(0), ["id"], dml.replace_rows) == 2
+    gone = dml.change_keyed(spark, folder, first.select("id", "v", "key_name"), ["id"], dml.delete_rows)
+    assert rows(dml.read_keyed(spark, folder, gone), "id") == [(5000,)]
+    dml.change_keyed(spark, folder, change, ["id"], dml.delete_rows)
+    assert dml.read_keyed(spark, folder).count() == 0 and dml.read_keyed(spark, folder).columns == ["id", "v", "key_name"]
+
+
 def test_versions(spark, tmp_path):
     folder = str(tmp_path / "t")
     assert dml.latest_version(spark, folder) is None
@@ -118,10 +147,10 @@ def test_streams(spark, tmp_path):
     inbox, target, mark = (str(tmp_path / n) for n in ("in", "table", "mark"))
     spark.createDataFrame([("a", 1, at(1)), ("a", 2, at(2)), ("b", 1, at(1))], schema).write.parquet(inbox)
     ingest(file_stream(spark, inbox, schema), target, ["id"], mark).awaitTermination()
-    assert rows(dml.read_version(spark, target), "id", "v") == [("a", 2), ("b", 1)]
+    assert rows(dml.read_keyed(spark, target), "id", "v") == [("a", 2), ("b", 1)]
     spark.createDataFrame([("b", 5, at(3)), ("c", 1, at(3))], schema).write.mode("append").parquet(inbox)
     ingest(file_stream(spark, inbox, schema), target, ["id"], mark).awaitTermination()
-    assert rows(dml.read_version(spark, target), "id", "v") == [("a", 2), ("b", 5), ("c", 1)]
+    assert rows(dml.read_keyed(spark, target), "id", "v") == [("a", 2), ("b", 5), ("c", 1)]
     e = spark.createDataFrame([("u", at(1)), ("u", at(2)), ("u", at(9)), ("u", None)], "k string, ts timestamp")
     assert sorted(r["n_events"] for r in sessions(e, ["k"], "ts", "3 hours").collect()) == [1, 2]
     log = spark.createDataFrame([("k", "a", 1), ("k", "b", 2)], "k string, v string, n int")
