@@ -343,10 +343,12 @@ def compared(query: pd.Series, target: pd.Series) -> pd.DataFrame:
 
 
 def score_pairs(pairs: DataFrame, query: str = "query", target: str = "target") -> DataFrame:
-    """Pairs with their scores; each distinct pair of texts is aligned once."""
+    """Pairs with their scores; each distinct pair of texts is aligned once and found again by its hash. A NULL text has NULL scores."""
     ship(pairs.sparkSession)
-    distinct = pairs.select(query, target).distinct().withColumn("_r", compared(query, target))
-    return pairs.join(distinct, [query, target]).select(*pairs.columns, "_r.*")
+    text = lambda c: F.coalesce(F.concat(F.lit("+"), c), F.lit("-"))
+    named = pairs.withColumn("_pair", F.md5(F.concat(text(query), F.lit("\n"), text(target))))
+    distinct = named.groupBy("_pair").agg(F.first(query).alias("_q"), F.first(target).alias("_t")).select("_pair", compared("_q", "_t").alias("_r"))
+    return named.join(distinct, "_pair").select(*pairs.columns, "_r.*")
 
 
 def multiple_alignment(seqs: Sequence[str]) -> list[str]:

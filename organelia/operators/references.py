@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from organelia.operators.intervals import sweep
 from organelia.session import cut
 
-#: Sub-dictionaries of the key dictionary; each numbers its keys on its own, so no task sees all keys.
+#: Sub-dictionaries of the key dictionary; each numbers its keys on its own, so no task sees all keys. There are more of them
+#: where these would hold over ``DICTIONARY`` referred (key, month) groups each.
 DICTIONARIES = 256
+DICTIONARY = 1_000_000
+#: The month of rows without a time: no parent is live in it.
+NO_MONTH = -(1 << 20)
 #: Width in microseconds of the time buckets in which live spans are merged.
 SPAN_BUCKET = 30 * 86_400 * 1_000_000
 #: A group of more than one thousandth of a relation's rows is split into this many stretches of its month, and each into hash parts.
@@ -72,7 +76,7 @@ def orphans(references: Sequence[Reference], dictionaries: int = DICTIONARIES, s
        stretches of time and salted, so that neither its rows nor their comparisons meet in one task.
 
     NULL keys refer to nothing. Empty text is a key like any other. A child without ``loaded_at`` finds no
-    parent: it is an orphan with ``period`` NULL. A parent without ``loaded_at``, or withdrawn before it
+    parent: it goes the same way in a month of its own and is an orphan with ``period`` NULL. A parent without ``loaded_at``, or withdrawn before it
     was loaded, is never live. Repeated rows are reported once. Other columns are not read.
     """
     childs = []
@@ -96,12 +100,13 @@ def orphans(references: Sequence[Reference], dictionaries: int = DICTIONARIES, s
             .where("key is not null and s is not null and (x is null or x > s)")
             .distinct()
         )
-    children = reduce(DataFrame.unionAll, childs).withColumn("m", _months_from_epoch(F.col("ts")))
+    children = reduce(DataFrame.unionAll, childs).withColumn("m", F.coalesce(_months_from_epoch(F.col("ts")), F.lit(NO_MONTH)))
     live = sweep(reduce(DataFrame.unionAll, parents), ["t", "key"], F.col("s"), F.col("x") - 1, SPAN_BUCKET).where("kind = 'covered'").select("t", "key", F.col("seg_start").alias("s"), F.col("seg_end").alias("e"))
 
     referred = cut(children.groupBy("t", "key", "m").agg(F.count("*").alias("n")))
     # One row per relation: how far live spans have to be carried on, and what counts as a hot group.
-    relations = F.broadcast(referred.groupBy("t").agg(F.min("m").alias("first_m"), F.max("m").alias("last_m"), F.sum("n").alias("all_n")))
+    dated = F.when(F.col("m") != NO_MONTH, F.col("m"))
+    relations = F.broadcast(referred.groupBy("t").agg(F.min(dated).alias("first_m"), F.max(dated).alias("last_m"), F.sum("n").alias("all_n")))
 
     spans = cut(
         live.join(relations, "t")
@@ -112,12 +117,14 @@ def orphans(references: Sequence[Reference], dictionaries: int = DICTIONARIES, s
         .withColumn("whole", (F.col("s") <= _month_start(F.col("m"))) & (F.col("e").isNull() | (F.col("e") >= _month_start(F.col("m") + 1) - 1)))
     )
 
+    # One number comes to the driver.
+    dictionaries *= max(1, -(-referred.count() // (dictionaries * DICTIONARY)))
     sub = F.pmod(F.xxhash64("key"), F.lit(dictionaries))
     names = referred.select("t", "key").distinct().withColumn("sub", sub)
     rank = F.row_number().over(Window.partitionBy("t", "sub").orderBy("key")).cast("long")
     codes = names.select("t", "key", (F.shiftleft(F.col("sub").cast("long"), 40) + rank - 1).alias("code"))
 
-    marks = referred.where("m is not null").select("t", "key", "m", F.lit(False).alias("parent")).unionByName(spans.where("whole").select("t", "key", "m", F.lit(True).alias("parent")))
+    marks = referred.select("t", "key", "m", F.lit(False).alias("parent")).unionByName(spans.where("whole").select("t", "key", "m", F.lit(True).alias("parent")))
     bit = F.expr("shiftleft(1L, cast(code & 63 as int))")
     words = marks.join(codes, ["t", "key"]).groupBy("t", F.shiftright("code", 6).alias("rng"), "m").agg(F.bit_or(F.when(~F.col("parent"), bit)).alias("refs"), F.bit_or(F.when(F.col("parent"), bit)).alias("parents"))
     left = words.withColumn("rest", F.col("refs").bitwiseAND(F.bitwise_not(F.coalesce("parents", F.lit(0).cast("long"))))).where("rest <> 0")
@@ -125,13 +132,13 @@ def orphans(references: Sequence[Reference], dictionaries: int = DICTIONARIES, s
     open_bits = bits.select("t", "m", (F.shiftleft("rng", 6) + F.col("bit")).alias("code")).join(codes, ["t", "code"]).select("t", "key", "m")
 
     # A group is hot from a thousandth of its relation's rows on, so there are at most a thousand a relation.
-    hot = F.broadcast(referred.join(relations, "t").where("m is not null and n * 1000 >= all_n").select("t", "key", "m", F.lit(True).alias("hot")))
+    hot = F.broadcast(referred.join(relations, "t").where("n * 1000 >= all_n").select("t", "key", "m", F.lit(True).alias("hot")))
     split = F.coalesce("hot", F.lit(False))
     start = _month_start(F.col("m"))
-    cell = lambda us: F.least(F.greatest(F.floor((us - start) / F.lit(CELL)), F.lit(0)), F.lit(CELLS - 1)).cast("int")
+    cell = lambda us: F.when(F.col("m") == NO_MONTH, 0).otherwise(F.least(F.greatest(F.floor((us - start) / F.lit(CELL)), F.lit(0)), F.lit(CELLS - 1)).cast("int"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.when(split, n - 1).otherwise(0)))
 
-    rows = children.where("m is not null").join(hot, ["t", "key", "m"], "left")
+    rows = children.join(hot, ["t", "key", "m"], "left")
     rows = rows.withColumn("cell", F.when(split, cell(F.col("ts"))).otherwise(0)).withColumn("salt", F.when(split, F.pmod(F.xxhash64("id", "ts"), F.lit(salts))).otherwise(0).cast("int")).drop("hot")
     wanted = open_bits.join(hot, ["t", "key", "m"], "left").withColumn("cell", every(CELLS)).withColumn("salt", every(salts)).drop("hot")
     on = ["t", "key", "m", "cell", "salt"]
@@ -149,7 +156,5 @@ def orphans(references: Sequence[Reference], dictionaries: int = DICTIONARIES, s
     for c in on:
         same = same & (F.col(f"c.{c}") == F.col(f"p.{c}"))
     missing = suspects.alias("c").join(alive.alias("p"), same & (F.col("c.ts") >= F.col("p.s")) & (F.col("p.e").isNull() | (F.col("c.ts") <= F.col("p.e"))), "left_anti")
-    undated = children.where("m is null")
-    found = missing.select("t", "id", "key", "ts").unionByName(undated.select("t", "id", "key", "ts"))
     name = F.element_at(F.array(*[F.lit(r.name) for r in references]), F.col("t") + 1)
-    return found.select(name.alias("table_name"), _month(F.col("ts")).alias("period"), "id", F.col("key").alias("ref_key")).distinct()
+    return missing.select(name.alias("table_name"), _month(F.col("ts")).alias("period"), "id", F.col("key").alias("ref_key")).distinct()

@@ -47,3 +47,12 @@ def test_edges(spark):
     assert run(spark, children, parents) == brute(children, parents)
     assert run(spark, children, []) == brute(children, [])
     assert run(spark, [], parents) == set()
+
+
+def test_many_rows_without_a_time(spark):
+    t = datetime(2024, 3, 1)
+    children = [(f"c{i}", rng_key, None) for i in range(80) for rng_key in ("k1", "k2")] + [("d", "k1", t), ("e", "k2", t)]
+    parents = [("k1", t, None), ("k2", t + timedelta(days=40), None)]
+    assert run(spark, children, parents) == brute(children, parents)
+    only = [(f"c{i}", "k1", None) for i in range(5)]
+    assert run(spark, only, parents) == brute(only, parents)
