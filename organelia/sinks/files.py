@@ -11,8 +11,8 @@ from organelia.functions.text import glue
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", quoted: bool = True) -> None:
-    """Delimited text with a header, NULL as nothing. Unquoted output is for tables whose text holds no separator."""
-    w = df.write.mode("overwrite").option("header", True).option("sep", sep).option("nullValue", "").option("emptyValue", "")
+    """Delimited text with a header, NULL as nothing, outer blanks kept. Unquoted output is for tables whose text holds no separator."""
+    w = df.write.mode("overwrite").options(header=True, sep=sep, nullValue="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     (w.option("escape", '"') if quoted else w.option("quote", "\x00").option("escapeQuotes", False)).csv(path)
 
 
