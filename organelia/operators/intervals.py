@@ -100,15 +100,17 @@ def covered_and_gaps(annotations: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def _two_ends(spans: DataFrame, keys: Sequence[str], at: str, other: str, greatest: bool) -> DataFrame:
-    """(keys, at, one, two, beyond): of the spans with an end at ``at`` the two farthest other ends, and the farthest of all spans whose end lies before.
+    """(keys, at, one, two, last, beyond, later): of the spans with an end at ``at`` the two farthest other ends and the nearest; the farthest of all
+    spans whose end lies before, and the nearest of all whose end lies behind.
 
-    ``greatest``: far is large, and before is lower; else the other way round. A key has one row a position here.
+    ``greatest``: far is large, and before is lower; else the other way round. A key has one row a position here, and a
+    position has no more ends than there are positions.
     """
-    far = F.desc(other) if greatest else F.asc(other)
-    two = spans.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, at).orderBy(far))).where("_r <= 2")
-    ends = two.groupBy(*keys, at).agg(F.max(F.when(F.col("_r") == 1, F.col(other))).alias("one"), F.max(F.when(F.col("_r") == 2, F.col(other))).alias("two"))
-    before = Window.partitionBy(*keys).orderBy(F.asc(at) if greatest else F.desc(at)).rowsBetween(Window.unboundedPreceding, -1)
-    return ends.withColumn("beyond", (F.max("one") if greatest else F.min("one")).over(before))
+    ends = spans.groupBy(*keys, at).agg(F.sort_array(F.collect_set(other), not greatest).alias("_all"))
+    ends = ends.select(*keys, at, F.get("_all", F.lit(0)).alias("one"), F.get("_all", F.lit(1)).alias("two"), F.element_at("_all", -1).alias("last"))
+    along = Window.partitionBy(*keys).orderBy(F.asc(at) if greatest else F.desc(at))
+    far, near = (F.max, F.min) if greatest else (F.min, F.max)
+    return ends.withColumns({"beyond": far("one").over(along.rowsBetween(Window.unboundedPreceding, -1)), "later": near("last").over(along.rowsBetween(1, Window.unboundedFollowing))})
 
 
 def _longest_inside(inner: DataFrame, outer: DataFrame, keys: Sequence[str], levels: int) -> DataFrame:
@@ -143,11 +145,9 @@ def worst_overlaps(spans: DataFrame, keys: Sequence[str], start: str, end: str)
     """
     d = spans.select(*keys, F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")).where("s >= 0 and e >= s").dropna(subset=[*keys])
     d = d.groupBy(*keys, "s", "e").agg(F.count("*").alias("m"))
-    left = _two_ends(d, keys, "s", "e", True).select(*keys, "s", F.col("one").alias("l1"), F.col("two").alias("l2"), F.col("beyond").alias("lb"))
+    left = _two_ends(d, keys, "s", "e", True).select(*keys, "s", F.col("one").alias("l1"), F.col("two").alias("l2"), F.col("beyond").alias("lb"), F.col("last").alias("lo"), "later")
     right = _two_ends(d, keys, "e", "s", False).select(*keys, "e", F.col("one").alias("r1"), F.col("two").alias("r2"), F.col("beyond").alias("rb"))
-    least = d.groupBy(*keys, "s").agg(F.min("e").alias("lo"))
-    least = least.withColumn("later", F.min("lo").over(Window.partitionBy(*keys).orderBy("s").rowsBetween(1, Window.unboundedFollowing)))
-    j = cut(d.join(left, [*keys, "s"]).join(least, [*keys, "s"]).join(right, [*keys, "e"]))
+    j = cut(d.join(left, [*keys, "s"]).join(right, [*keys, "e"]))
     inner = j.where("coalesce(lb >= e, false) or l1 > e")
     outer = j.where("coalesce(later <= e, false) or lo < e")
     # One number comes to the driver: how many levels the tree needs.

@@ -12,6 +12,7 @@ from organelia.plans import params
 from organelia.plans import validate as V
 from organelia.plans.engine import _LENGTHS, _SIMILARITY, _STATS, _TRACK, CONTIG, SPAN, _calls_sql, _gap_sql, calls, lengths, track
 from organelia.plans.sql_tables import RULES
+from organelia.session import cut
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -119,12 +120,14 @@ _WARNED = f"""{_calls_sql("start_codon, stop_codon, translation, refhits")}, {RU
 
 
 def _warned(spark: SparkSession, base: str) -> DataFrame:
+    # What the checks between calls need is narrow, is read five times, and so is written once.
+    narrow = cut(_long_calls(spark, base))
     c = _long_calls(spark, base, "start_codon", "stop_codon", "translation", "refhits").withColumn("hits", X.hit_rows(F.col("refhits")))
-    rules, pieces = params.effective_rules(params.fish()), _pieces(c)
-    c = V.with_ends(V.with_duplicates(c, calls(spark, base), rules, SAMPLE), SAMPLE, ORDER)
-    c = c.join(_weak(spark, base, pieces).drop("n_bases"), [*CONTIG, *SPAN], "left")
-    worst = V.worst_overlaps_of(c.select(*KEYS, *CALL, "contig_length").distinct(), KEYS, CALL, "contig_length")
-    return V.call_warnings(c, worst, params.rules_frame(spark, params.fish()), KEYS, CALL, 0.25, 90)
+    rules = params.effective_rules(params.fish())
+    of_call = V.with_ends(V.with_duplicates(narrow, calls(spark, base), rules, SAMPLE), SAMPLE, ORDER).select(*CONTIG, *SPAN, "duplicate", "is_first", "is_last")
+    of_call = of_call.join(_weak(spark, base, _pieces(narrow)).drop("n_bases"), [*CONTIG, *SPAN], "left")
+    worst = V.worst_overlaps_of(narrow, KEYS, CALL, "contig_length")
+    return V.call_warnings(c.join(of_call, [*CONTIG, *SPAN]), worst, params.rules_frame(spark, params.fish()), KEYS, CALL, 0.25, 90)
 
 
 @_query(f"WITH {_WARNED} SELECT id, path, scaffold, type, gene, pos1, pos2, direction, start_codon, stop_codon, length, warnings FROM warned")

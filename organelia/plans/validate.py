@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from organelia.operators.intervals import overlap_join, overlap_length, point_join, worst_overlaps
-from organelia.session import cut
 
 #: Positions per bucket of the range joins. Gene calls are some hundred positions long.
 BUCKET = 4096
@@ -123,11 +122,10 @@ def worst_of(found: DataFrame, keys: Sequence[str], call: Sequence[str]) -> Data
 def worst_overlaps_of(calls: DataFrame, keys: Sequence[str], call: Sequence[str], contig_length: str, bucket: int = BUCKET) -> DataFrame:
     """As ``worst_of`` over all ``overlaps``, without making them: calls that do not run over the origin are not paired.
 
-    ``calls`` are distinct. A pair of which one call runs over the origin is made, for its two pieces add up; such calls are few.
+    ``calls`` are distinct and are read four times. A pair of which one call runs over the origin is made, for its two pieces add up; such calls are few.
     """
     own = [*keys, *call]
     plus = F.col("direction") == "+"
-    calls = cut(calls.select(*own, contig_length))
     plain = calls.where("pos1 <= pos2").select(*own)
     spans = worst_overlaps(plain, keys, "pos1", "pos2")
     direct = plain.join(spans, [*keys, "pos1", "pos2"]).select(
