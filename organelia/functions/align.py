@@ -331,7 +331,8 @@ def may_reach(queries: Sequence[str], targets: Sequence[str], threshold: float)
     return answer
 
 
-COMPARED = T.StructType([T.StructField("pctid", T.DoubleType()), T.StructField("similarity", T.DoubleType()), T.StructField("gap_leading", T.IntegerType()), T.StructField("gap_trailing", T.IntegerType())])
+COMPARED = T.StructType([T.StructField("pctid", T.DoubleType()), T.StructField("similarity", T.DoubleType()), T.StructField("gap_leading", T.IntegerType()),
+    T.StructField("gap_trailing", T.IntegerType())])
 
 
 @F.pandas_udf(COMPARED)
@@ -431,7 +432,8 @@ def alignment_report(df: DataFrame, group: str, name: str, sequence: str, most:
         aligned = multiple_alignment(frame[sequence].tolist())
         d = distances(aligned)
         order = cluster_order(d)
-        return pd.DataFrame({"group": frame["grp"].iloc[0], "name": [frame[name].iloc[i] for i in order], "ord": range(1, len(order) + 1), "aligned": [aligned[i] for i in order], "mean_distance": [float(d[i].sum() / max(len(order) - 1, 1)) for i in order]})
+        return pd.DataFrame({"group": frame["grp"].iloc[0], "name": [frame[name].iloc[i] for i in order], "ord": range(1, len(order) + 1),
+            "aligned": [aligned[i] for i in order], "mean_distance": [float(d[i].sum() / max(len(order) - 1, 1)) for i in order]})
 
     ship(df.sparkSession)
     kept = df.where(F.col(sequence).isNotNull() & (F.col(sequence) != "")).select(F.col(group).alias("grp"), name, sequence)

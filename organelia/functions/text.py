@@ -99,7 +99,8 @@ def hit_rows(json: Column) -> Column:
 
     parsed = F.from_json(json, ", ".join(f"{f} string" for f in HIT_FIELDS))
     rows = bind(parsed, lambda p: bind(count(p["acc"]), lambda n: zipped(p, n)))
-    return F.when(json.isNotNull(), F.coalesce(rows, F.array().cast("array<struct<acc:string,taxon:string,eval:double,pctid:double,similarity:double,gap_leading:int,gap_trailing:int>>")))
+    return F.when(json.isNotNull(), F.coalesce(rows,
+        F.array().cast("array<struct<acc:string,taxon:string,eval:double,pctid:double,similarity:double,gap_leading:int,gap_trailing:int>>")))
 
 
 def hit_json(hits: Column, fields: list[str]) -> Column:

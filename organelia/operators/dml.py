@@ -155,7 +155,8 @@ def read_keyed(spark: SparkSession, folder: str, version: int | None = None, onl
     return reader.parquet(*paths) if paths else spark.createDataFrame([], m["schema"])
 
 
-def change_keyed(spark: SparkSession, folder: str, new: DataFrame, by: Sequence[str], change: Callable[[DataFrame, DataFrame, Sequence[str]], DataFrame], buckets: int = BUCKETS) -> int:
+def change_keyed(spark: SparkSession, folder: str, new: DataFrame, by: Sequence[str], change: Callable[[DataFrame, DataFrame, Sequence[str]], DataFrame],
+    buckets: int = BUCKETS) -> int:
     """Apply a change by key to a table that is kept in parts by key hash, and return the new version.
 
     Only the parts that keys of ``new`` fall into are read and written again; the others are taken over by name.

@@ -48,7 +48,8 @@ def sweep(df: DataFrame, keys: Sequence[str], start: Column, end: Column, bucket
     k = F.struct(*[df[c].alias(f"k{i}") for i, c in enumerate(keys)])
     raw = df.select(k.alias("k"), start.cast("long").alias("s"), end.cast("long").alias("e")).where("s is not null and (e is null or e >= s)")
     events = (
-        raw.select("k", F.explode(F.array(F.struct(F.col("s").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("e") + 1).alias("pos"), F.lit(-1).alias("d")))).alias("x"))
+        raw.select("k", F.explode(F.array(F.struct(F.col("s").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("e") + 1).alias("pos"),
+            F.lit(-1).alias("d")))).alias("x"))
         .select("k", "x.pos", "x.d")
         .where("pos is not null")
         .groupBy("k", F.floor(F.col("pos") / F.lit(bucket)).alias("bucket"), "pos")
@@ -92,7 +93,8 @@ def covered_and_gaps(annotations: DataFrame, bucket: int = BUCKET) -> DataFrame:
         "direction",
         F.inline(
             F.when(F.col("pos1") <= F.col("pos2"), F.array(F.struct(F.col("pos1").cast("long").alias("s"), F.col("pos2").cast("long").alias("e")))).otherwise(
-                F.array(F.struct(F.col("pos1").cast("long").alias("s"), F.lit(None).cast("long").alias("e")), F.struct(F.lit(1).cast("long").alias("s"), F.col("pos2").cast("long").alias("e")))
+                F.array(F.struct(F.col("pos1").cast("long").alias("s"), F.lit(None).cast("long").alias("e")), F.struct(F.lit(1).cast("long").alias("s"),
+                    F.col("pos2").cast("long").alias("e")))
             )
         ),
     )
@@ -110,7 +112,8 @@ def _two_ends(spans: DataFrame, keys: Sequence[str], at: str, other: str, greate
     ends = ends.select(*keys, at, F.get("_all", F.lit(0)).alias("one"), F.get("_all", F.lit(1)).alias("two"), F.element_at("_all", -1).alias("last"))
     along = Window.partitionBy(*keys).orderBy(F.asc(at) if greatest else F.desc(at))
     far, near = (F.max, F.min) if greatest else (F.min, F.max)
-    return ends.withColumns({"beyond": far("one").over(along.rowsBetween(Window.unboundedPreceding, -1)), "later": near("last").over(along.rowsBetween(1, Window.unboundedFollowing))})
+    return ends.withColumns({"beyond": far("one").over(along.rowsBetween(Window.unboundedPreceding, -1)),
+        "later": near("last").over(along.rowsBetween(1, Window.unboundedFollowing))})
 
 
 def _longest_inside(inner: DataFrame, outer: DataFrame, keys: Sequence[str], levels: int) -> DataFrame:
@@ -121,14 +124,17 @@ def _longest_inside(inner: DataFrame, outer: DataFrame, keys: Sequence[str], lev
     lengths along the ends. Lengths are reduced to one a node and end before the shuffle, and so are the questions, so a
     window has at most two rows a position, however many spans a key has.
     """
-    above = lambda step: F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda j: F.struct(j.alias("j"), (F.call_function("shiftright", F.col("s"), j) + step).alias("node")))
+    above = lambda step: F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda j: F.struct(j.alias("j"),
+        (F.call_function("shiftright", F.col("s"), j) + step).alias("node")))
     right = lambda nodes: F.filter(nodes, lambda x: x["node"] % 2 == 1)
     # The leaf stands apart, as level -1: in it only spans that end before may count, elsewhere all that end by then.
     leaf = lambda *more: F.array(F.struct(F.lit(-1).alias("j"), F.col("s").alias("node"), *more))
-    points = inner.select(*keys, "e", (F.col("e") - F.col("s") + 1).alias("n"), F.inline(F.concat(leaf(), right(above(0))))).groupBy(*keys, "j", "node", "e").agg(F.max("n").alias("n"))
+    points = inner.select(*keys, "e", (F.col("e") - F.col("s") + 1).alias("n"), F.inline(F.concat(leaf(), right(above(0))))).groupBy(*keys, "j", "node",
+        "e").agg(F.max("n").alias("n"))
     asked = F.transform(right(above(1)), lambda x: F.struct(x["j"].alias("j"), x["node"].alias("node"), F.col("e").alias("by")))
     questions = outer.select(*keys, "s", "e", F.inline(F.concat(leaf((F.col("e") - 1).alias("by")), asked)))
-    both = points.withColumn("asks", F.lit(0)).unionByName(questions.select(*keys, "j", "node", F.col("by").alias("e")).distinct().withColumn("asks", F.lit(1)), allowMissingColumns=True)
+    both = points.withColumn("asks", F.lit(0)).unionByName(questions.select(*keys, "j", "node", F.col("by").alias("e")).distinct().withColumn("asks", F.lit(1)),
+        allowMissingColumns=True)
     along = Window.partitionBy(*keys, "j", "node").orderBy("e", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     answers = both.withColumn("inside", F.max("n").over(along)).where("asks = 1 and inside is not null").select(*keys, "j", "node", F.col("e").alias("by"), "inside")
     return questions.join(answers, [*keys, "j", "node", "by"]).groupBy(*keys, "s", "e").agg(F.max("inside").alias("inside"))
@@ -145,7 +151,8 @@ def worst_overlaps(spans: DataFrame, keys: Sequence[str], start: str, end: str)
     """
     d = spans.select(*keys, F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")).where("s >= 0 and e >= s").dropna(subset=[*keys])
     d = d.groupBy(*keys, "s", "e").agg(F.count("*").alias("m"))
-    left = _two_ends(d, keys, "s", "e", True).select(*keys, "s", F.col("one").alias("l1"), F.col("two").alias("l2"), F.col("beyond").alias("lb"), F.col("last").alias("lo"), "later")
+    left = _two_ends(d, keys, "s", "e", True).select(*keys, "s", F.col("one").alias("l1"), F.col("two").alias("l2"), F.col("beyond").alias("lb"),
+        F.col("last").alias("lo"), "later")
     right = _two_ends(d, keys, "e", "s", False).select(*keys, "e", F.col("one").alias("r1"), F.col("two").alias("r2"), F.col("beyond").alias("rb"))
     j = cut(d.join(left, [*keys, "s"]).join(right, [*keys, "e"]))
     inner = j.where("coalesce(lb >= e, false) or l1 > e")
@@ -185,9 +192,11 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], bucket:
     def cells(d: DataFrame) -> DataFrame:
         return d.where("start is not null and `end` >= start").withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))))
 
-    r = cells(right.select([F.col(c).alias(c if c in keys else f"r_{c}") for c in right.columns]).withColumnsRenamed({"r_start": "start", "r_end": "end"})).withColumnsRenamed({"start": "r_start", "end": "r_end"})
+    r = cells(right.select([F.col(c).alias(c if c in keys else f"r_{c}") for c in right.columns]).withColumnsRenamed({"r_start": "start",
+        "r_end": "end"})).withColumnsRenamed({"start": "r_start", "end": "r_end"})
     joined = cells(left).join(r, [*keys, "cell"])
-    return joined.where((F.col("start") <= F.col("r_end")) & (F.col("r_start") <= F.col("end")) & (F.col("cell") == F.floor(F.greatest("start", "r_start") / bucket))).drop("cell")
+    return joined.where((F.col("start") <= F.col("r_end")) & (F.col("r_start") <= F.col("end")) & (F.col("cell") == F.floor(F.greatest("start",
+        "r_start") / bucket))).drop("cell")
 
 
 def point_join(points: DataFrame, spans: DataFrame, keys: Sequence[str], position: str, bucket: int) -> DataFrame:

@@ -249,7 +249,8 @@ def rule_nodes(df: DataFrame, key: str = "curate_opts", params: str = "params")
 
 
 #: Subtype tables of values, the variant that each holds, and the type of its ``value``.
-VALUE_TABLES = {"limits": ("limit", "double"), "types": ("type", "string"), "overlap_starts": ("overlap_start", "double"), "overlap_stops": ("overlap_stop", "boolean"), "codons": ("codon", "string"), "texts": ("text", "string")}
+VALUE_TABLES = {"limits": ("limit", "double"), "types": ("type", "string"), "overlap_starts": ("overlap_start", "double"), "overlap_stops": ("overlap_stop", "boolean"),
+    "codons": ("codon", "string"), "texts": ("text", "string")}
 
 
 def rule_tables(nodes: DataFrame) -> dict[str, DataFrame]:

@@ -101,7 +101,8 @@ def orphans(references: Sequence[Reference], dictionaries: int = DICTIONARIES, s
             .distinct()
         )
     children = reduce(DataFrame.unionAll, childs).withColumn("m", F.coalesce(_months_from_epoch(F.col("ts")), F.lit(NO_MONTH)))
-    live = sweep(reduce(DataFrame.unionAll, parents), ["t", "key"], F.col("s"), F.col("x") - 1, SPAN_BUCKET).where("kind = 'covered'").select("t", "key", F.col("seg_start").alias("s"), F.col("seg_end").alias("e"))
+    live = sweep(reduce(DataFrame.unionAll, parents), ["t", "key"], F.col("s"), F.col("x") - 1, SPAN_BUCKET).where("kind = 'covered'").select("t", "key",
+        F.col("seg_start").alias("s"), F.col("seg_end").alias("e"))
 
     referred = cut(children.groupBy("t", "key", "m").agg(F.count("*").alias("n")))
     # One row per relation: how far live spans have to be carried on, and what counts as a hot group.
@@ -126,7 +127,8 @@ def orphans(references: Sequence[Reference], dictionaries: int = DICTIONARIES, s
 
     marks = referred.select("t", "key", "m", F.lit(False).alias("parent")).unionByName(spans.where("whole").select("t", "key", "m", F.lit(True).alias("parent")))
     bit = F.expr("shiftleft(1L, cast(code & 63 as int))")
-    words = marks.join(codes, ["t", "key"]).groupBy("t", F.shiftright("code", 6).alias("rng"), "m").agg(F.bit_or(F.when(~F.col("parent"), bit)).alias("refs"), F.bit_or(F.when(F.col("parent"), bit)).alias("parents"))
+    words = marks.join(codes, ["t", "key"]).groupBy("t", F.shiftright("code", 6).alias("rng"), "m").agg(F.bit_or(F.when(~F.col("parent"), bit)).alias("refs"),
+        F.bit_or(F.when(F.col("parent"), bit)).alias("parents"))
     left = words.withColumn("rest", F.col("refs").bitwiseAND(F.bitwise_not(F.coalesce("parents", F.lit(0).cast("long"))))).where("rest <> 0")
     bits = left.select("t", "m", "rng", F.explode(F.expr("filter(sequence(0, 63), b -> (shiftright(rest, b) & 1L) = 1L)")).alias("bit"))
     open_bits = bits.select("t", "m", (F.shiftleft("rng", 6) + F.col("bit")).alias("code")).join(codes, ["t", "code"]).select("t", "key", "m")
@@ -135,11 +137,13 @@ def orphans(references: Sequence[Reference], dictionaries: int = DICTIONARIES, s
     hot = F.broadcast(referred.join(relations, "t").where("n * 1000 >= all_n").select("t", "key", "m", F.lit(True).alias("hot")))
     split = F.coalesce("hot", F.lit(False))
     start = _month_start(F.col("m"))
-    cell = lambda us: F.when(F.col("m") == NO_MONTH, 0).otherwise(F.least(F.greatest(F.floor((us - start) / F.lit(CELL)), F.lit(0)), F.lit(CELLS - 1)).cast("int"))
+    cell = lambda us: F.when(F.col("m") == NO_MONTH, 0).otherwise(F.least(F.greatest(F.floor((us - start) / F.lit(CELL)), F.lit(0)),
+        F.lit(CELLS - 1)).cast("int"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.when(split, n - 1).otherwise(0)))
 
     rows = children.join(hot, ["t", "key", "m"], "left")
-    rows = rows.withColumn("cell", F.when(split, cell(F.col("ts"))).otherwise(0)).withColumn("salt", F.when(split, F.pmod(F.xxhash64("id", "ts"), F.lit(salts))).otherwise(0).cast("int")).drop("hot")
+    rows = rows.withColumn("cell", F.when(split, cell(F.col("ts"))).otherwise(0)).withColumn("salt", F.when(split,
+        F.pmod(F.xxhash64("id", "ts"), F.lit(salts))).otherwise(0).cast("int")).drop("hot")
     wanted = open_bits.join(hot, ["t", "key", "m"], "left").withColumn("cell", every(CELLS)).withColumn("salt", every(salts)).drop("hot")
     on = ["t", "key", "m", "cell", "salt"]
     suspects = rows.join(wanted, on, "left_semi")

@@ -37,7 +37,8 @@ def _read(record: Column, width: Column, most: int, columns: int) -> Column:
     """
     schema = ", ".join([f"c{i} string" for i in range(most)] + ["_corrupt string"])
     padded = F.concat(record, F.repeat(F.lit(","), (F.lit(most) - width).cast("int")))
-    options = {"quote": '"', "escape": '"', "comment": "", "emptyValue": "", "nullValue": "\ufdd0", "multiLine": "true", "maxCharsPerColumn": "-1", "maxColumns": str(columns)}
+    options = {"quote": '"', "escape": '"', "comment": "", "emptyValue": "", "nullValue": "\ufdd0", "multiLine": "true", "maxCharsPerColumn": "-1",
+        "maxColumns": str(columns)}
     return F.from_csv(padded, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", **options})
 
 
@@ -79,7 +80,8 @@ def classify_records(sheets: DataFrame, most: int | None = None) -> DataFrame:
         "sheet", F.size("names").alias("width"), *[F.array_position("names", F.lit(n.lower())).cast("int").alias(f"at_{n.lower()}") for n in REQUIRED]
     )
     # Two numbers come to the driver: the widest header, and the most commas in a record, for which the parser is sized.
-    sizes = dict(tuple(r) for r in heads.select(F.lit("width").alias("k"), F.col("width").alias("v")).unionAll(rows.select(F.lit("commas"), _commas(F.col("raw")))).groupBy("k").agg(F.max("v").alias("v")).collect())
+    sizes = dict(tuple(r) for r in heads.select(F.lit("width").alias("k"), F.col("width").alias("v")).unionAll(rows.select(F.lit("commas"),
+        _commas(F.col("raw")))).groupBy("k").agg(F.max("v").alias("v")).collect())
     if most is None:
         most = max(sizes.get("width") or 1, 1)
     columns = most + (sizes.get("commas") or 0) + 1
@@ -89,11 +91,13 @@ def classify_records(sheets: DataFrame, most: int | None = None) -> DataFrame:
     size, kept = F.length("record"), F.col("got._corrupt")
     # The text that the parser kept, without the commas that filled it up and with the line's end that was taken off.
     raw = F.when(kept.isNotNull(), F.concat(F.substr(kept, F.lit(1), size), F.substr("raw", size + 1))).otherwise(F.col("raw"))
-    read = read.select("sheet", "line_no", raw.alias("raw"), "width", "at_id", "at_taxon", "at_r1", "at_r2", "record", F.when(kept.isNull() & ((F.col("record") != "") | (F.col("width") == 1)), cell).alias("cells"))
+    read = read.select("sheet", "line_no", raw.alias("raw"), "width", "at_id", "at_taxon", "at_r1", "at_r2", "record",
+        F.when(kept.isNull() & ((F.col("record") != "") | (F.col("width") == 1)), cell).alias("cells"))
     quoted = ~F.contains("record", F.lit('"')) | F.col("record").rlike(WELL_QUOTED)
     value = lambda n: _blank_off(F.coalesce(F.get("cells", F.col(f"at_{n}") - 1), F.lit("")))
     read = read.withColumn("quoted", quoted)
-    read = read.select("sheet", "line_no", "raw", "width", "at_id", "at_taxon", "at_r1", "at_r2", "quoted", (F.col("quoted") & F.col("cells").isNotNull()).alias("counted"), F.inline(F.array(F.struct(*[value(n.lower()).alias(n.lower()) for n in REQUIRED]))))
+    read = read.select("sheet", "line_no", "raw", "width", "at_id", "at_taxon", "at_r1", "at_r2", "quoted",
+        (F.col("quoted") & F.col("cells").isNotNull()).alias("counted"), F.inline(F.array(F.struct(*[value(n.lower()).alias(n.lower()) for n in REQUIRED]))))
     # The generator keeps later filters from being rewritten into many copies of the parse below it.
     reason = (
         F.when(F.col("width").isNull() | (F.least("at_id", "at_taxon", "at_r1", "at_r2") == 0), "no header")

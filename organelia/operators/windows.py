@@ -43,7 +43,8 @@ def outlier_mask(df: DataFrame, value: str, keys: Sequence[str], factor: float =
     med = df.groupBy(*keys).agg(F.median(value).alias("_med"))
     with_med = df.join(med, list(keys))
     mad = with_med.groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("_med"))).alias("_mad"))
-    return with_med.join(mad, list(keys)).withColumn(out, F.coalesce(F.abs(F.col(value) - F.col("_med")) > F.lit(factor) * F.col("_mad"), F.lit(False))).drop("_med", "_mad")
+    return with_med.join(mad, list(keys)).withColumn(out, F.coalesce(F.abs(F.col(value) - F.col("_med")) > F.lit(factor) * F.col("_mad"), F.lit(False))).drop("_med",
+        "_mad")
 
 
 def densify(df: DataFrame, lengths: DataFrame, keys: Sequence[str], position: str, length: str, fill: dict) -> DataFrame:
@@ -110,10 +111,12 @@ def make_unique(df: DataFrame, keys: Sequence[str], name: str, order: Sequence[s
         .groupBy(*keys, name)
         .agg(F.array_sort(F.collect_set("_k")).alias("_taken"))
     )
-    d = df.withColumn("_here", here).alias("d").join(earlier.alias("e"), _same("d", "e", [*keys, name, position])).join(taken.alias("t"), _same("d", "t", [*keys, name]), "left")
+    d = df.withColumn("_here", here).alias("d").join(earlier.alias("e"), _same("d", "e", [*keys, name, position])).join(taken.alias("t"), _same("d", "t", [*keys, name]),
+        "left")
     n = F.col("_here") + F.col("_earlier") - 1
     free = F.aggregate(F.coalesce("_taken", F.array().cast("array<bigint>")), n, lambda v, t: F.when(t <= v, v + 1).otherwise(v))
-    return d.select(*[F.col(f"d.{c}") for c in df.columns], F.when(n == 0, F.col(f"d.{name}")).otherwise(F.concat(F.col(f"d.{name}"), F.lit("."), free.cast("string"))).alias(out))
+    return d.select(*[F.col(f"d.{c}") for c in df.columns], F.when(n == 0,
+        F.col(f"d.{name}")).otherwise(F.concat(F.col(f"d.{name}"), F.lit("."), free.cast("string"))).alias(out))
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
@@ -130,7 +133,8 @@ def trim_points(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     is good keeps nothing: ``keep_from > keep_to``.
     """
     size = stats.groupBy(*keys).agg(F.max("position").alias("n"))
-    s = stats.join(size, list(keys)).withColumn("rev", F.col("n") - F.col("position") + 1).withColumn("mask", F.coalesce("mask", F.lit(True))).withColumn("depth_mean", F.coalesce("depth_mean", F.lit(0.0)))
+    s = stats.join(size, list(keys)).withColumn("rev", F.col("n") - F.col("position") + 1).withColumn("mask", F.coalesce("mask", F.lit(True))).withColumn("depth_mean",
+        F.coalesce("depth_mean", F.lit(0.0)))
     good = s.groupBy(*keys).agg(
         F.min(F.when(F.col("depth_mean") > 10, F.col("position"))).alias("lead10"),
         F.min(F.when(F.col("depth_mean") > 15, F.col("position"))).alias("lead15"),

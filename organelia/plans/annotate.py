@@ -59,11 +59,13 @@ def trna_calls(table: DataFrame) -> DataFrame:
 
 
 def gene_type(gene: Column) -> Column:
-    return F.when(gene.rlike("^rrn[LS]"), "rRNA").when(gene.startswith("Intron"), "intron").when(gene.startswith("OL"), "OL").when(gene.startswith("OH"), "ctrl").otherwise("PCG")
+    return F.when(gene.rlike("^rrn[LS]"), "rRNA").when(gene.startswith("Intron"), "intron").when(gene.startswith("OL"), "OL").when(gene.startswith("OH"),
+        "ctrl").otherwise("PCG")
 
 
 def gene_product(gene: Column) -> Column:
-    return F.when(gene.startswith("rrnL"), "16S ribosomal RNA").when(gene.startswith("rrnS"), "12S ribosomal RNA").when(gene.startswith("OH"), "d-loop").otherwise(lookup(PRODUCTS, gene))
+    return F.when(gene.startswith("rrnL"), "16S ribosomal RNA").when(gene.startswith("rrnS"), "12S ribosomal RNA").when(gene.startswith("OH"),
+        "d-loop").otherwise(lookup(PRODUCTS, gene))
 
 
 def gene_calls(headers: DataFrame, contigs: DataFrame, table: int, initiators: Sequence[str] = ()) -> DataFrame:
@@ -72,7 +74,8 @@ def gene_calls(headers: DataFrame, contigs: DataFrame, table: int, initiators: S
     Of several origin calls only the first part is kept. A call over the origin takes its bases from both
     ends. Calls whose contig is missing are kept without codons.
     """
-    h = headers.where((F.col("gene") != "OH") | F.col("gene_id").rlike("OH_0|OH$")).withColumn("type", gene_type(F.col("gene"))).withColumn("product", gene_product(F.col("gene")))
+    h = headers.where((F.col("gene") != "OH") | F.col("gene_id").rlike("OH_0|OH$")).withColumn("type", gene_type(F.col("gene"))).withColumn("product",
+        gene_product(F.col("gene")))
     return with_codons(h.join(contigs.select("contig", "sequence"), "contig", "left"), table, initiators)
 
 
@@ -152,4 +155,5 @@ def control_regions(calls: DataFrame, keys: Sequence[str], length: str, drop_ove
         d = near(d.where(~origin | clear).drop("_before", "_after"))
     p1 = F.when(origin, F.coalesce(F.col("_before") + 1, F.lit(1))).otherwise(F.col("pos1"))
     p2 = F.when(origin, F.coalesce(F.col("_after") - 1, F.col(length))).otherwise(F.col("pos2"))
-    return d.withColumns({"pos1": p1, "pos2": p2, "length": F.when(origin, F.abs(p2 - p1) + 1).otherwise(F.col("length")), "gene": F.when(origin, "ctrl").otherwise(F.col("gene"))}).drop("_before", "_after")
+    return d.withColumns({"pos1": p1, "pos2": p2, "length": F.when(origin, F.abs(p2 - p1) + 1).otherwise(F.col("length")), "gene": F.when(origin,
+        "ctrl").otherwise(F.col("gene"))}).drop("_before", "_after")

@@ -30,7 +30,8 @@ def flipped_calls(calls: DataFrame, contigs: DataFrame, keys: Sequence[str], len
     d = calls.join(contigs.select(*keys).withColumn("_flip", F.lit(True)), list(keys), "left")
     p1, p2 = flip(F.col("pos1"), F.col("pos2"), F.col(length))
     on = F.coalesce("_flip", F.lit(False))
-    return d.withColumns({"pos1": F.when(on, p1).otherwise(F.col("pos1")), "pos2": F.when(on, p2).otherwise(F.col("pos2")), "direction": F.when(on, flip_strand(F.col("direction"))).otherwise(F.col("direction"))}).drop("_flip")
+    return d.withColumns({"pos1": F.when(on, p1).otherwise(F.col("pos1")), "pos2": F.when(on, p2).otherwise(F.col("pos2")), "direction": F.when(on,
+        flip_strand(F.col("direction"))).otherwise(F.col("direction"))}).drop("_flip")
 
 
 def punctuated(calls: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -61,10 +62,12 @@ def trimmed_stops(calls: DataFrame, keys: Sequence[str]) -> DataFrame:
     d = calls.withColumn("_row", F.struct(*[F.col(c) for c in (*keys, "pos1", "pos2", "gene")]))
     n = F.length("stop_codon")
     ends = d.where("type = 'PCG' and stop_codon is not null and not coalesce(overlap_stop, false)").select(
-        "_row", *keys, "direction", F.when(F.col("direction") == "+", F.col("pos2") - n + 1).otherwise(F.col("pos1")).alias("s"), F.when(F.col("direction") == "+", F.col("pos2")).otherwise(F.col("pos1") + n - 1).alias("e")
+        "_row", *keys, "direction", F.when(F.col("direction") == "+", F.col("pos2") - n + 1).otherwise(F.col("pos1")).alias("s"), F.when(F.col("direction") == "+",
+            F.col("pos2")).otherwise(F.col("pos1") + n - 1).alias("e")
     )
     codon = ends.withColumn("at", F.explode(F.sequence("s", "e")))
-    other = d.select(*keys, "direction", F.when(F.col("direction") == "+", F.col("pos1")).otherwise(F.col("pos2")).alias("at"), F.col("_row").alias("_other"), F.col("pos1").alias("o1"), F.col("pos2").alias("o2"))
+    other = d.select(*keys, "direction", F.when(F.col("direction") == "+", F.col("pos1")).otherwise(F.col("pos2")).alias("at"), F.col("_row").alias("_other"),
+        F.col("pos1").alias("o1"), F.col("pos2").alias("o2"))
     hits = codon.join(other, [*keys, "direction", "at"]).where(F.col("_row") != F.col("_other"))
     shared = F.least("e", "o2") - F.greatest("s", "o1") + 1
     single = hits.groupBy("_row").agg(F.count("*").alias("k"), F.max(shared).cast("int").alias("_cut")).where("k = 1").select("_row", "_cut")
@@ -238,7 +241,8 @@ def refined_calls(calls: DataFrame, table: int, threshold: float, most: int = 10
                 p1, p2 = (size - gene.last + 1, size - gene.first + 1) if back else (gene.first, gene.last)
                 cut = opposite(r)
                 notes = "; ".join([*([r.notes] if r.notes else []), *gene.notes]) or None
-                out.append((r.row_id, turned(p1, cut, size), turned(p2, cut, size), p2 - p1 + 1, gene.contig[gene.first - 1 : gene.first + 2], gene.stop, protein, notes, [vars(h) for h in hits]))
+                out.append((r.row_id, turned(p1, cut, size), turned(p2, cut, size), p2 - p1 + 1, gene.contig[gene.first - 1 : gene.first + 2], gene.stop, protein, notes,
+                    [vars(h) for h in hits]))
             if out:
                 yield pd.DataFrame(out, columns=["row_id", "pos1", "pos2", "length", "start_codon", "stop_codon", "translation", "notes", "hits"])
 

@@ -33,8 +33,10 @@ def common_region(aligned: DataFrame, keys: Sequence[str], sequence: str, circul
     runs = islands(columns, keys, "position", F.col("agree"))
     if circular is not None:
         head = runs.where("run_start = 1").select(*keys, F.col("run_length").alias("_head"))
-        r = runs.join(size, list(keys)).join(head, list(keys), "left").withColumn("_on", circular & (F.col("run_end") == F.col("_n")) & (F.col("run_start") > 1) & F.col("_head").isNotNull())
-        runs = r.withColumns({"run_end": F.when(F.col("_on"), F.col("run_end") + F.col("_head")).otherwise(F.col("run_end")), "run_length": F.when(F.col("_on"), F.col("run_length") + F.col("_head")).otherwise(F.col("run_length"))}).drop("_n", "_head", "_on")
+        r = runs.join(size, list(keys)).join(head, list(keys), "left").withColumn("_on",
+            circular & (F.col("run_end") == F.col("_n")) & (F.col("run_start") > 1) & F.col("_head").isNotNull())
+        runs = r.withColumns({"run_end": F.when(F.col("_on"), F.col("run_end") + F.col("_head")).otherwise(F.col("run_end")), "run_length": F.when(F.col("_on"),
+            F.col("run_length") + F.col("_head")).otherwise(F.col("run_length"))}).drop("_n", "_head", "_on")
     return longest_run(runs, keys, first)
 
 
@@ -48,14 +50,16 @@ def linearized(calls: DataFrame, cuts: DataFrame, keys: Sequence[str], length: s
 def deleted_calls(calls: DataFrame, chosen: DataFrame, by: Sequence[str]) -> DataFrame:
     """Calls with the chosen ones marked as deleted: both positions and the length are 0."""
     zero = F.lit(0).cast("long")
-    return update_rows(calls, chosen.select(*by).distinct().withColumns({"pos2": zero, "length": zero, "_gone": F.lit(True)}), by).withColumn("pos1", F.when((F.col("pos2") == 0) & (F.col("length") == 0), zero).otherwise(F.col("pos1")))
+    return update_rows(calls, chosen.select(*by).distinct().withColumns({"pos2": zero, "length": zero, "_gone": F.lit(True)}), by).withColumn("pos1",
+        F.when((F.col("pos2") == 0) & (F.col("length") == 0), zero).otherwise(F.col("pos1")))
 
 
 def with_start(calls: DataFrame, codons: Column) -> DataFrame:
     """Calls whose start is moved by whole codons: below 0 upstream, above 0 downstream; NULL and 0 move nothing."""
     step = F.coalesce(codons, F.lit(0)) * 3
     plus = F.col("direction") == "+"
-    return calls.withColumns({"pos1": F.when(plus, F.col("pos1") + step).otherwise(F.col("pos1")), "pos2": F.when(plus, F.col("pos2")).otherwise(F.col("pos2") - step)}).withColumn("length", F.abs(F.col("pos2") - F.col("pos1")) + 1)
+    return calls.withColumns({"pos1": F.when(plus, F.col("pos1") + step).otherwise(F.col("pos1")), "pos2": F.when(plus,
+        F.col("pos2")).otherwise(F.col("pos2") - step)}).withColumn("length", F.abs(F.col("pos2") - F.col("pos1")) + 1)
 
 
 def next_stop(sequence: str, stops: Sequence[str], reach: int) -> tuple[Column, Column, Column, Column]:
@@ -89,7 +93,8 @@ def with_stop(calls: DataFrame, steps: Column, stop: Column) -> DataFrame:
     """Calls whose stop codon is moved by whole codons (below 0 inward) and becomes ``stop``; NULL moves nothing."""
     move = F.coalesce(steps * 3 + F.length(stop) - F.length("stop_codon"), F.lit(0))
     plus = F.col("direction") == "+"
-    return calls.withColumns({"pos1": F.when(plus, F.col("pos1")).otherwise(F.col("pos1") - move), "pos2": F.when(plus, F.col("pos2") + move).otherwise(F.col("pos2")), "stop_codon": F.when(steps.isNotNull(), stop).otherwise(F.col("stop_codon"))}).withColumn("length", F.abs(F.col("pos2") - F.col("pos1")) + 1)
+    return calls.withColumns({"pos1": F.when(plus, F.col("pos1")).otherwise(F.col("pos1") - move), "pos2": F.when(plus, F.col("pos2") + move).otherwise(F.col("pos2")),
+        "stop_codon": F.when(steps.isNotNull(), stop).otherwise(F.col("stop_codon"))}).withColumn("length", F.abs(F.col("pos2") - F.col("pos1")) + 1)
 
 
 def cut_to(contigs: DataFrame, regions: DataFrame, keys: Sequence[str], first: str, last: str, tracks: Sequence[str] = (), only: Column | None = None) -> DataFrame:
@@ -101,7 +106,9 @@ def cut_to(contigs: DataFrame, regions: DataFrame, keys: Sequence[str], first: s
     on = F.col("_first").isNotNull() & (F.lit(True) if only is None else F.coalesce(only, F.lit(False)))
     size, n = F.length("sequence"), F.greatest(F.col("_last") - F.col("_first") + 1, F.lit(0)).cast("int")
     start = F.col("_first").cast("int")
-    out = {"sequence": F.when(on, F.when(F.col("_last") > size, F.concat(F.substr("sequence", start), F.substr("sequence", F.lit(1), (F.col("_last") - size).cast("int")))).otherwise(F.substr("sequence", start, n))).otherwise(F.col("sequence"))}
+    out = {"sequence": F.when(on, F.when(F.col("_last") > size,
+        F.concat(F.substr("sequence", start), F.substr("sequence", F.lit(1), (F.col("_last") - size).cast("int")))).otherwise(F.substr("sequence", start,
+        n))).otherwise(F.col("sequence"))}
     for t in tracks:
         values = F.split(F.trim(F.col(t)), r"\s+")
         more = F.when(F.col("_last") > size, F.slice(values, 1, (F.col("_last") - size).cast("int"))).otherwise(F.array().cast("array<string>"))
@@ -114,7 +121,8 @@ def rescored(calls: DataFrame, references: DataFrame, most: int) -> DataFrame:
 
     Each distinct protein is aligned once with each reference; the ``most`` most similar are kept, as column-oriented JSON.
     """
-    pairs = calls.where("translation is not null").select("gene", F.col("translation").alias("query")).distinct().join(references.select("gene", "acc", "target").distinct(), "gene")
+    pairs = calls.where("translation is not null").select("gene", F.col("translation").alias("query")).distinct().join(references.select("gene", "acc",
+        "target").distinct(), "gene")
     top = top_per_group(score_pairs(pairs).where("similarity is not null"), ["gene", "query"], [F.desc("similarity"), F.col("acc"), F.col("target")], most)
     rows = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("similarity", "acc", "pctid", "gap_leading", "gap_trailing")))), lambda x: x)
     hits = top.groupBy("gene", "query").agg(hit_json(rows, ["acc", "pctid", "similarity", "gap_leading", "gap_trailing"]).alias("hits"))

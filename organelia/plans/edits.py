@@ -60,7 +60,8 @@ def _points(t):
     found = W.trim_points(s.select(*CONTIG, "position", F.col("mean_depth").alias("depth_mean"), mask.alias("mask")), CONTIG)
     kept = t.groupBy(*CONTIG).agg(F.min("topology").alias("topology"), F.max("position").alias("n"))
     linear = F.col("topology") == "linear"
-    return found.join(kept, CONTIG).select(*CONTIG, F.when(linear, F.col("keep_from")).otherwise(F.lit(1).cast("long")).alias("keep_from"), F.when(linear, F.col("keep_to")).otherwise(F.col("n")).alias("keep_to"))
+    return found.join(kept, CONTIG).select(*CONTIG, F.when(linear, F.col("keep_from")).otherwise(F.lit(1).cast("long")).alias("keep_from"), F.when(linear,
+        F.col("keep_to")).otherwise(F.col("n")).alias("keep_to"))
 
 
 @_query(f"WITH {_POINTS} SELECT id, path, scaffold, keep_from, keep_to FROM points")
@@ -70,13 +71,16 @@ def coverage_trim(spark, base):
 
 
 @_query(
-    f"""WITH {_POINTS}, c AS (SELECT id, path, scaffold, upper(min(sequence)) AS sequence, string_split(trim(min(depth)), ' ') AS d FROM assemblies WHERE depth IS NOT NULL AND sequence IS NOT NULL GROUP BY ALL)
-SELECT id, path, scaffold, greatest(keep_to - keep_from + 1, 0)::INT AS bases, md5(CASE WHEN keep_to < keep_from THEN '' ELSE substr(sequence, keep_from, keep_to - keep_from + 1) END) AS sequence_md5,
+    f"""WITH {_POINTS}, c AS (SELECT id, path, scaffold, upper(min(sequence)) AS sequence, string_split(trim(min(depth)), ' ') AS d FROM assemblies
+  WHERE depth IS NOT NULL AND sequence IS NOT NULL GROUP BY ALL)
+SELECT id, path, scaffold, greatest(keep_to - keep_from + 1, 0)::INT AS bases, md5(CASE WHEN keep_to < keep_from THEN '' ELSE substr(sequence, keep_from,
+  keep_to - keep_from + 1) END) AS sequence_md5,
  md5(array_to_string(CASE WHEN keep_to < keep_from THEN [] ELSE d[keep_from:keep_to] END, ' ')) AS depth_md5 FROM c JOIN points USING (id, path, scaffold)"""
 )
 def coverage_trimmed(spark, base):
     """The contigs and depth tracks that are left after the cut."""
-    d = table(spark, base, "assemblies").where("depth is not null and sequence is not null").groupBy(*CONTIG).agg(F.upper(F.min("sequence")).alias("sequence"), F.min("depth").alias("depth"))
+    d = table(spark, base, "assemblies").where("depth is not null and sequence is not null").groupBy(*CONTIG).agg(F.upper(F.min("sequence")).alias("sequence"),
+        F.min("depth").alias("depth"))
     cut = edit.cut_to(d, _points(track(spark, base)), CONTIG, "keep_from", "keep_to", ["depth"])
     return cut.select(*CONTIG, F.length("sequence").alias("bases"), F.md5("sequence").alias("sequence_md5"), F.md5("depth").alias("depth_md5"))
 
@@ -85,11 +89,13 @@ def coverage_trimmed(spark, base):
 
 _SEVERAL = f"""{_CONTIGS}, first AS (SELECT * FROM contigs WHERE scaffold = 1
 ), many AS (SELECT id, max(length(sequence)) AS n, count(*) AS k FROM first GROUP BY id HAVING count(*) > 1
-), cells AS (SELECT id, position, k, CASE WHEN position <= length(sequence) THEN substr(sequence, position, 1) ELSE '-' END AS b FROM (SELECT *, unnest(range(1, n + 1)) AS position FROM first JOIN many USING (id))
+), cells AS (SELECT id, position, k, CASE WHEN position <= length(sequence) THEN substr(sequence, position, 1) ELSE '-' END AS b FROM (SELECT *, unnest(range(1,
+  n + 1)) AS position FROM first JOIN many USING (id))
 ), agree AS (SELECT id, position, min(b) = max(b) AND min(b) <> '-' AS same FROM cells GROUP BY id, position
 ), numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY position) - row_number() OVER (PARTITION BY id, same ORDER BY position) AS island FROM agree
 ), runs AS (SELECT id, min(position) AS run_start, max(position) AS run_end, count(*) AS run_length FROM numbered WHERE same GROUP BY id, island
-), region AS (SELECT id, run_start, run_end, run_length FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY run_length DESC, run_start) AS r FROM runs) WHERE r = 1)"""
+), region AS (SELECT id, run_start, run_end, run_length FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY run_length DESC, run_start) AS r FROM runs)
+  WHERE r = 1)"""
 
 
 def _paths(spark, base):
@@ -135,7 +141,8 @@ _FIRST = "s AS (SELECT id, path, scaffold, arg_min(struct_pack(p1 := pos1, p2 :=
 
 @_query(
     f"""WITH {_TRACK}, {_calls_sql()}, {_FIRST} SELECT t.id, t.path, t.scaffold, position AS old_position, depth,
- CASE WHEN s IS NULL THEN position WHEN s.s.d = '-' THEN ((s.s.p2 - position) % length + length) % length + 1 ELSE ((position - s.s.p1) % length + length) % length + 1 END AS position
+ CASE WHEN s IS NULL THEN position WHEN s.s.d = '-' THEN ((s.s.p2 - position) % length + length) % length + 1
+   ELSE ((position - s.s.p1) % length + length) % length + 1 END AS position
 FROM track t LEFT JOIN s USING (id, path, scaffold)"""
 )
 def rotate_track(spark, base):
@@ -158,7 +165,8 @@ SELECT id, path, scaffold, direction, pos1 AS old1, pos2 AS old2, coalesce(b2 +
 def control_region_clear(spark, base):
     """Control regions widened as in ``control_region_extend``, but those that overlap a neighbour are dropped before."""
     d = calls(spark, base).join(lengths(spark, base).select(*CONTIG, "contig_length"), CONTIG)
-    d = d.withColumns({"old1": F.col("pos1"), "old2": F.col("pos2"), "length": F.lit(0).cast("long"), "gene": F.when(F.col("gene") == "ctrl", "OH").otherwise(F.col("gene"))})
+    d = d.withColumns({"old1": F.col("pos1"), "old2": F.col("pos2"), "length": F.lit(0).cast("long"), "gene": F.when(F.col("gene") == "ctrl",
+        "OH").otherwise(F.col("gene"))})
     found = A.control_regions(d, CONTIG, "contig_length", drop_overlapping=True).where("gene = 'ctrl'")
     return found.select(*CONTIG, "direction", "old1", "old2", F.col("pos1").alias("new1"), F.col("pos2").alias("new2"))
 
@@ -167,12 +175,14 @@ def control_region_clear(spark, base):
     f"""WITH {_calls_sql()}, {_LENGTHS}, c AS (SELECT c.*, contig_length AS n FROM calls c JOIN lengths USING (id, path, scaffold) WHERE topology = 'circular'),
 k AS (SELECT id, path, scaffold, min(pos1) AS cut FROM c WHERE gene = 'cox1' GROUP BY ALL),
 g AS (SELECT k.id, k.path, k.scaffold, k.cut FROM k JOIN c USING (id, path, scaffold) GROUP BY ALL HAVING count_if(pos1 < k.cut AND pos2 >= k.cut) = 0)
-SELECT id, path, scaffold, type, gene, direction, c.pos1 AS old1, c.pos2 AS old2, CASE WHEN cut IS NULL THEN c.pos1 ELSE ((c.pos1 - cut) % n + n) % n + 1 END AS pos1, CASE WHEN cut IS NULL THEN c.pos2 ELSE ((c.pos2 - cut) % n + n) % n + 1 END AS pos2
+SELECT id, path, scaffold, type, gene, direction, c.pos1 AS old1, c.pos2 AS old2, CASE WHEN cut IS NULL THEN c.pos1 ELSE ((c.pos1 - cut) % n + n) % n + 1 END AS pos1,
+  CASE WHEN cut IS NULL THEN c.pos2 ELSE ((c.pos2 - cut) % n + n) % n + 1 END AS pos2
 FROM c LEFT JOIN g USING (id, path, scaffold)"""
 )
 def linearize(spark, base):
     """Calls of circular contigs that are opened before their first cox1, where that splits no call."""
-    d = calls(spark, base).join(lengths(spark, base).where("topology = 'circular'").select(*CONTIG, "contig_length"), CONTIG).withColumns({"old1": F.col("pos1"), "old2": F.col("pos2")})
+    d = calls(spark, base).join(lengths(spark, base).where("topology = 'circular'").select(*CONTIG, "contig_length"), CONTIG).withColumns({"old1": F.col("pos1"),
+        "old2": F.col("pos2")})
     cuts = d.where("gene = 'cox1'").groupBy(*CONTIG).agg(F.min("pos1").alias("cut"))
     return edit.linearized(d, cuts, CONTIG, "contig_length")[0].select(*CONTIG, "type", "gene", "direction", "old1", "old2", "pos1", "pos2")
 
@@ -186,8 +196,10 @@ _AT = "substr(o, (first_ {sign} 3 * i)::BIGINT, 3)"
 
 @_query(
     f"""WITH {_calls_sql()}, {_CONTIGS}, {_OWN}, f AS (SELECT *, CASE WHEN direction = '-' THEN n - pos2 + 1 ELSE pos1 END AS first_ FROM own),
-x AS (SELECT *, list_filter(range(1, least({REACH}, (first_ - 1) // 3) + 1), lambda i: {_AT.format(sign='-')} IN {_START_SQL})[1]::INT AS up, list_filter(range(1, {REACH} + 1), lambda i: {_AT.format(sign='+')} IN {_START_SQL})[1]::INT AS down FROM f)
-SELECT id, path, scaffold, gene, direction, pos1 AS old1, pos2 AS old2, up, down, CASE WHEN direction = '+' THEN pos1 - coalesce(up, 0) * 3 ELSE pos1 END AS pos1, CASE WHEN direction = '+' THEN pos2 ELSE pos2 + coalesce(up, 0) * 3 END AS pos2 FROM x"""
+x AS (SELECT *, list_filter(range(1, least({REACH}, (first_ - 1) // 3) + 1), lambda i: {_AT.format(sign='-')} IN {_START_SQL})[1]::INT AS up, list_filter(range(1,
+  {REACH} + 1), lambda i: {_AT.format(sign='+')} IN {_START_SQL})[1]::INT AS down FROM f)
+SELECT id, path, scaffold, gene, direction, pos1 AS old1, pos2 AS old2, up, down, CASE WHEN direction = '+' THEN pos1 - coalesce(up, 0) * 3 ELSE pos1 END AS pos1, CASE
+  WHEN direction = '+' THEN pos2 ELSE pos2 + coalesce(up, 0) * 3 END AS pos2 FROM x"""
 )
 def edit_starts(spark, base):
     """The next start codons before and after each protein call's start, and the call moved to the one before."""
@@ -202,8 +214,10 @@ _IN, _OUT = (_FIT.format(c=f"substr(o, (codon_at {sign} 3 * i)::BIGINT, 3)") for
 
 
 @_query(
-    f"""WITH {_calls_sql("stop_codon")}, {_CONTIGS}, {_OWN}, f AS (SELECT *, CASE WHEN direction = '-' THEN n - pos1 + 1 ELSE pos2 END - length(stop_codon) + 1 AS codon_at FROM own WHERE stop_codon IS NOT NULL),
-x AS (SELECT *, list_filter(range(1, least({REACH}, (codon_at - 1) // 3) + 1), lambda i: {_IN} IS NOT NULL)[1] AS a, list_filter(range(1, {REACH} + 1), lambda i: {_OUT} IS NOT NULL)[1] AS b FROM f),
+    f"""WITH {_calls_sql("stop_codon")}, {_CONTIGS}, {_OWN}, f AS (SELECT *, CASE WHEN direction = '-' THEN n - pos1 + 1
+  ELSE pos2 END - length(stop_codon) + 1 AS codon_at FROM own WHERE stop_codon IS NOT NULL),
+x AS (SELECT *, list_filter(range(1, least({REACH}, (codon_at - 1) // 3) + 1), lambda i: {_IN} IS NOT NULL)[1] AS a, list_filter(range(1, {REACH} + 1),
+  lambda i: {_OUT} IS NOT NULL)[1] AS b FROM f),
 y AS (SELECT *, (SELECT {_IN} FROM (SELECT x.a AS i)) AS inward_stop, (SELECT {_OUT} FROM (SELECT x.b AS i)) AS outward_stop FROM x)
 SELECT id, path, scaffold, gene, direction, pos1 AS old1, pos2 AS old2, stop_codon AS old_stop, a::INT AS inward, inward_stop, b::INT AS outward, outward_stop,
  CASE WHEN direction = '+' THEN pos1 ELSE pos1 - coalesce(b * 3 + length(outward_stop) - length(stop_codon), 0) END AS pos1,
@@ -211,7 +225,8 @@ SELECT id, path, scaffold, gene, direction, pos1 AS old1, pos2 AS old2, stop_cod
 )
 def edit_stops(spark, base):
     """The next stop codons within and beyond each protein call, and the call moved to the one beyond."""
-    d = calls(spark, base, "stop_codon").where("type = 'PCG' and stop_codon is not null").join(contigs(spark, base).select(*CONTIG, "sequence"), CONTIG).where(F.greatest("pos1", "pos2") <= F.length("sequence"))
+    d = calls(spark, base, "stop_codon").where("type = 'PCG' and stop_codon is not null").join(contigs(spark, base).select(*CONTIG, "sequence"),
+        CONTIG).where(F.greatest("pos1", "pos2") <= F.length("sequence"))
     d = d.withColumns({"old1": F.col("pos1"), "old2": F.col("pos2"), "old_stop": F.col("stop_codon")})
     names = ("inward", "inward_stop", "outward", "outward_stop")
     d = d.select("*", *[c.alias(n) for n, c in zip(names, edit.next_stop("sequence", params.FISH_STOPS, REACH), strict=True)])
@@ -222,8 +237,10 @@ _SHORT = "abs(pos2 - pos1) < 60"
 
 
 @_query(
-    f"""WITH {_calls_sql()}, gone AS (SELECT DISTINCT id, path, scaffold, gene, pos1 FROM calls WHERE {_SHORT}), m AS (SELECT c.*, g.gene IS NOT NULL AS g FROM calls c LEFT JOIN gone g ON g.id = c.id AND g.path = c.path AND g.scaffold = c.scaffold AND g.gene = c.gene AND g.pos1 = c.pos1)
-SELECT id, path, scaffold, type, gene, direction, CASE WHEN g THEN 0 ELSE pos1 END AS pos1, CASE WHEN g THEN 0 ELSE pos2 END AS pos2, CASE WHEN g THEN 0 ELSE abs(pos2 - pos1) + 1 END AS length FROM m"""
+    f"""WITH {_calls_sql()}, gone AS (SELECT DISTINCT id, path, scaffold, gene, pos1 FROM calls WHERE {_SHORT}), m AS (SELECT c.*, g.gene IS NOT NULL AS g FROM calls c
+  LEFT JOIN gone g ON g.id = c.id AND g.path = c.path AND g.scaffold = c.scaffold AND g.gene = c.gene AND g.pos1 = c.pos1)
+SELECT id, path, scaffold, type, gene, direction, CASE WHEN g THEN 0 ELSE pos1 END AS pos1, CASE WHEN g THEN 0 ELSE pos2 END AS pos2, CASE WHEN g THEN 0
+  ELSE abs(pos2 - pos1) + 1 END AS length FROM m"""
 )
 def edit_deletes(spark, base):
     """Short calls marked as deleted."""

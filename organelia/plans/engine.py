@@ -88,18 +88,21 @@ def seq_revcomp(spark, base):
 
 
 @query(
-    f"""WITH {_SEQS} SELECT DISTINCT id, path, scaffold, (length(sequence) - length(translate(sequence, 'GC', '')))::INT AS gc, (length(sequence) - length(translate(sequence, 'ACGT', '')))::INT AS acgt,
+    f"""WITH {_SEQS} SELECT DISTINCT id, path, scaffold, (length(sequence) - length(translate(sequence, 'GC', '')))::INT AS gc,
+  (length(sequence) - length(translate(sequence, 'ACGT', '')))::INT AS acgt,
 (length(sequence) - length(translate(sequence, 'GC', ''))) / length(sequence) AS gc_fraction FROM seqs"""
 )
 def seq_gc(spark, base):
     s = F.col("sequence")
-    return sequences(spark, base).select(*CONTIG, S.count_bases(s, "GC").alias("gc"), S.count_bases(s, "ACGT").alias("acgt"), S.gc_fraction(s).alias("gc_fraction")).distinct()
+    return sequences(spark, base).select(*CONTIG, S.count_bases(s, "GC").alias("gc"), S.count_bases(s, "ACGT").alias("acgt"),
+        S.gc_fraction(s).alias("gc_fraction")).distinct()
 
 
 @query(f"WITH {_SEQS}, d AS (SELECT DISTINCT md5(sequence) AS h, id || '.' || path || '.' || scaffold AS key FROM seqs) SELECT min(key) AS kept, count(*) AS n FROM d GROUP BY h")
 def seq_dedup_first(spark, base):
     key = F.concat_ws(".", *[F.col(c).cast("string") for c in CONTIG])
-    return sequences(spark, base).select(F.md5("sequence").alias("h"), key.alias("key")).distinct().groupBy("h").agg(F.min("key").alias("kept"), F.count("*").alias("n")).select("kept", "n")
+    return sequences(spark, base).select(F.md5("sequence").alias("h"), key.alias("key")).distinct().groupBy("h").agg(F.min("key").alias("kept"),
+        F.count("*").alias("n")).select("kept", "n")
 
 
 @query(f"WITH {_SEQS} SELECT DISTINCT id, md5('>' || id || ' [topology=' || topology || '] path ' || path || chr(10) || regexp_replace(sequence, '(.{{80}})', '\\1' || chr(10), 'g')) AS record_md5 FROM seqs")
@@ -118,7 +121,8 @@ _PROTEINS = f"{_calls_sql()}, {_CONTIGS}, pcg AS (SELECT id, path, scaffold, gen
 
 @query(
     f"""WITH {_PROTEINS}, s AS (SELECT *, CASE WHEN length(coding) % 3 = 0 THEN 3 ELSE length(coding) % 3 END AS k FROM pcg)
-SELECT id, path, scaffold, gene, pos1, pos2, direction, length(coding)::BIGINT AS length, substr(coding, 1, 3) AS start_codon, substr(coding, length(coding) - k + 1) AS stop_codon,
+SELECT id, path, scaffold, gene, pos1, pos2, direction, length(coding)::BIGINT AS length, substr(coding, 1, 3) AS start_codon, substr(coding,
+  length(coding) - k + 1) AS stop_codon,
  array_to_string(list_transform(range(0, (length(coding) - k) // 3), lambda i: {amino_sql('substr(coding, (3 * i + 1)::INT, 3)')}), '') AS translation FROM s"""
 )
 def seq_translate(spark, base):
@@ -154,8 +158,10 @@ def protein_similarity(spark, base):
 
 @query(None)
 def curate_boundaries(spark, base):
-    d = calls(spark, base, "stop_codon").where("type = 'PCG' and stop_codon is not null").join(contigs(spark, base), CONTIG).where("greatest(pos1, pos2) <= length(sequence)")
-    refs = _proteins_of_genes(spark, base).groupBy("gene").agg(F.transform(F.array_sort(F.collect_set("translation")), lambda t: F.struct(F.md5(t).alias("acc"), t.alias("target"))).alias("references"))
+    d = calls(spark, base, "stop_codon").where("type = 'PCG' and stop_codon is not null").join(contigs(spark, base),
+        CONTIG).where("greatest(pos1, pos2) <= length(sequence)")
+    refs = _proteins_of_genes(spark, base).groupBy("gene").agg(F.transform(F.array_sort(F.collect_set("translation")),
+        lambda t: F.struct(F.md5(t).alias("acc"), t.alias("target"))).alias("references"))
     refs = refs.select("gene", curate.packed_references(F.col("references")).alias("references"))
     d = d.join(F.broadcast(refs), "gene").join(F.broadcast(_rules(spark).select("gene", "start_codons", "stop_codons")), "gene")
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in (*CONTIG, "gene", "pos1", "pos2", "direction", "stop_codon")])
@@ -167,15 +173,19 @@ def curate_boundaries(spark, base):
 
 
 def track(spark, base):
-    d = table(spark, base, "assemblies").where("depth is not null and sequence is not null").groupBy(*CONTIG).agg(*[F.min(c).alias(c) for c in ("topology", "depth", "errors", "sequence")])
+    d = table(spark, base, "assemblies").where("depth is not null and sequence is not null").groupBy(*CONTIG).agg(*[F.min(c).alias(c) for c in ("topology", "depth",
+        "errors", "sequence")])
     counts = C.unpack_track(d, CONTIG, "depth", "depth").join(C.unpack_track(d, CONTIG, "errors", "error_rate"), [*CONTIG, "position"], "left")
-    called = d.select(*CONTIG, "topology", F.length("sequence").cast("long").alias("length"), F.posexplode(S.bases(F.upper("sequence"))).alias("p", "call")).withColumn("position", (F.col("p") + 1).cast("long")).drop("p")
+    called = d.select(*CONTIG, "topology", F.length("sequence").cast("long").alias("length"), F.posexplode(S.bases(F.upper("sequence"))).alias("p",
+        "call")).withColumn("position", (F.col("p") + 1).cast("long")).drop("p")
     return called.join(counts, [*CONTIG, "position"], "left").withColumn("correct", F.col("depth"))
 
 
-_TRACK = """src AS (SELECT id, path, scaffold, min(topology) AS topology, string_split(trim(min(depth)), ' ') AS d, string_split(trim(min(errors)), ' ') AS e, upper(min(sequence)) AS s FROM assemblies WHERE depth IS NOT NULL AND sequence IS NOT NULL GROUP BY ALL
+_TRACK = """src AS (SELECT id, path, scaffold, min(topology) AS topology, string_split(trim(min(depth)), ' ') AS d, string_split(trim(min(errors)), ' ') AS e,
+  upper(min(sequence)) AS s FROM assemblies WHERE depth IS NOT NULL AND sequence IS NOT NULL GROUP BY ALL
 ), pos AS (SELECT *, unnest(range(1, length(s) + 1))::BIGINT AS position FROM src
-), track AS (SELECT id, path, scaffold, topology, length(s)::BIGINT AS length, position, s[position] AS call, try_cast(d[position] AS DOUBLE) AS depth, try_cast(e[position] AS DOUBLE) AS error_rate FROM pos)"""
+), track AS (SELECT id, path, scaffold, topology, length(s)::BIGINT AS length, position, s[position] AS call, try_cast(d[position] AS DOUBLE) AS depth,
+  try_cast(e[position] AS DOUBLE) AS error_rate FROM pos)"""
 _BY = "PARTITION BY id, path, scaffold"
 _FIVE = f"({_BY} ORDER BY position ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"
 
@@ -187,9 +197,12 @@ def coverage_track(spark, base):
 
 _STATS = f"""med AS (SELECT *, median(depth) OVER ({_BY}) AS m FROM track
 ), mad AS (SELECT *, median(abs(depth - m)) OVER ({_BY}) AS a FROM med
-), smooth AS (SELECT *, coalesce(abs(depth - m) > 8 * a, false) AS mean_depth_mask, round_even(avg(depth) OVER {_FIVE}, 2) AS mean_depth, round_even(avg(error_rate) OVER {_FIVE}, 2) AS smooth_error,
-  CASE WHEN count(*) OVER ({_BY} ORDER BY position ROWS BETWEEN 99 PRECEDING AND 100 FOLLOWING) = 200 THEN round_even(sum((call IN ('G', 'C'))::INT) OVER ({_BY} ORDER BY position ROWS BETWEEN 99 PRECEDING AND 100 FOLLOWING) / 200, 2) END AS gc FROM mad
-), stats AS (SELECT id, path, scaffold, position, call, depth, smooth_error AS error_rate, mean_depth, gc, mean_depth_mask, coalesce(max(coalesce(smooth_error > 0.05, false)) OVER {_FIVE}, false) AS error_rate_mask FROM smooth)"""
+), smooth AS (SELECT *, coalesce(abs(depth - m) > 8 * a, false) AS mean_depth_mask, round_even(avg(depth) OVER {_FIVE}, 2) AS mean_depth,
+  round_even(avg(error_rate) OVER {_FIVE}, 2) AS smooth_error,
+  CASE WHEN count(*) OVER ({_BY} ORDER BY position ROWS BETWEEN 99 PRECEDING AND 100 FOLLOWING) = 200 THEN round_even(sum((call IN ('G',
+    'C'))::INT) OVER ({_BY} ORDER BY position ROWS BETWEEN 99 PRECEDING AND 100 FOLLOWING) / 200, 2) END AS gc FROM mad
+), stats AS (SELECT id, path, scaffold, position, call, depth, smooth_error AS error_rate, mean_depth, gc, mean_depth_mask, coalesce(max(coalesce(smooth_error > 0.05,
+  false)) OVER {_FIVE}, false) AS error_rate_mask FROM smooth)"""
 
 
 @query(f"WITH {_TRACK}, {_STATS} SELECT id, path, scaffold, position, mean_depth, error_rate, gc, mean_depth_mask, error_rate_mask FROM stats")
@@ -198,7 +211,8 @@ def coverage_statistics(spark, base):
 
 
 @query(
-    f"""WITH {_TRACK}, {_STATS}, long AS (SELECT id, path, scaffold, 'MeanDepth' AS stat, mean_depth AS val, mean_depth_mask AS mask FROM stats UNION ALL SELECT id, path, scaffold, 'ErrorRate', error_rate, error_rate_mask FROM stats UNION ALL SELECT id, path, scaffold, 'GC', gc, false FROM stats)
+    f"""WITH {_TRACK}, {_STATS}, long AS (SELECT id, path, scaffold, 'MeanDepth' AS stat, mean_depth AS val, mean_depth_mask AS mask FROM stats UNION ALL SELECT id, path,
+  scaffold, 'ErrorRate', error_rate, error_rate_mask FROM stats UNION ALL SELECT id, path, scaffold, 'GC', gc, false FROM stats)
 SELECT id, path, scaffold, stat, count(*) AS n, count_if(mask)::BIGINT AS n_masked FROM long WHERE val IS NOT NULL GROUP BY ALL"""
 )
 def coverage_long(spark, base):
@@ -206,25 +220,31 @@ def coverage_long(spark, base):
 
 
 @query(
-    f"""WITH {_TRACK}, moved AS (SELECT id, path, scaffold, CASE WHEN topology = 'circular' AND position > length - 50 THEN position - (length - 50) ELSE position END AS to_pos, position, call, depth, error_rate FROM track)
+    f"""WITH {_TRACK}, moved AS (SELECT id, path, scaffold, CASE WHEN topology = 'circular' AND position > length - 50 THEN position - (length - 50)
+  ELSE position END AS to_pos, position, call, depth, error_rate FROM track)
 SELECT id, path, scaffold, to_pos AS position, arg_min(call, position) AS call, sum(depth) AS depth, count(*) AS n FROM moved GROUP BY id, path, scaffold, to_pos"""
 )
 def coverage_fold(spark, base):
     t = track(spark, base)
     c = t.select(*CONTIG, "topology", (F.col("length") - 50).alias("length")).distinct()
     folded = C.fold_circular(t.drop("topology", "length"), c, CONTIG)
-    n = t.select(*CONTIG, F.when((F.col("topology") == "circular") & (F.col("position") > F.col("length") - 50), F.col("position") - F.col("length") + 50).otherwise(F.col("position")).alias("position")).groupBy(*CONTIG, "position").agg(F.count("*").alias("n"))
+    n = t.select(*CONTIG, F.when((F.col("topology") == "circular") & (F.col("position") > F.col("length") - 50),
+        F.col("position") - F.col("length") + 50).otherwise(F.col("position")).alias("position")).groupBy(*CONTIG, "position").agg(F.count("*").alias("n"))
     return folded.join(n, [*CONTIG, "position"]).select(*CONTIG, "position", "call", "depth", "n")
 
 
 @query(
-    """WITH src AS (SELECT id, path, scaffold, max(length(sequence))::BIGINT AS n, string_split(trim(min(depth)), ' ') AS d FROM assemblies WHERE sequence IS NOT NULL GROUP BY ALL)
-SELECT id, path, scaffold, n AS n_positions, n - len(list_filter(coalesce(d[1:n], []), lambda x: coalesce(try_cast(x AS DOUBLE), 0) <> 0)) AS n_zero, coalesce(list_sum(list_transform(d[1:n], lambda x: try_cast(x AS DOUBLE))), 0)::DOUBLE AS total FROM src"""
+    """WITH src AS (SELECT id, path, scaffold, max(length(sequence))::BIGINT AS n, string_split(trim(min(depth)), ' ') AS d FROM assemblies WHERE sequence IS NOT NULL
+  GROUP BY ALL)
+SELECT id, path, scaffold, n AS n_positions, n - len(list_filter(coalesce(d[1:n], []), lambda x: coalesce(try_cast(x AS DOUBLE), 0) <> 0)) AS n_zero,
+  coalesce(list_sum(list_transform(d[1:n], lambda x: try_cast(x AS DOUBLE))), 0)::DOUBLE AS total FROM src"""
 )
 def coverage_densify(spark, base):
     """A depth for every base of every contig, 0 where its track is missing or has no number; shown as sums over the contig."""
-    d = table(spark, base, "assemblies").where("sequence is not null").groupBy(*CONTIG).agg(F.max(F.length("sequence")).cast("long").alias("length"), F.min("depth").alias("depth"))
-    return W.densify(C.unpack_track(d, CONTIG, "depth", "depth"), d, CONTIG, "position", "length", {"depth": 0.0}).groupBy(*CONTIG).agg(F.count("*").alias("n_positions"), F.count_if(F.col("depth") == 0).alias("n_zero"), F.sum("depth").alias("total"))
+    d = table(spark, base, "assemblies").where("sequence is not null").groupBy(*CONTIG).agg(F.max(F.length("sequence")).cast("long").alias("length"),
+        F.min("depth").alias("depth"))
+    return W.densify(C.unpack_track(d, CONTIG, "depth", "depth"), d, CONTIG, "position", "length", {"depth": 0.0}).groupBy(*CONTIG).agg(F.count("*").alias("n_positions"),
+        F.count_if(F.col("depth") == 0).alias("n_zero"), F.sum("depth").alias("total"))
 
 
 @query(f"WITH {_TRACK} SELECT id, path, scaffold, md5(string_agg(depth::BIGINT::VARCHAR, ' ' ORDER BY position)) AS packed_md5 FROM track GROUP BY ALL")
@@ -234,7 +254,8 @@ def coverage_pack(spark, base):
 
 
 @query(
-    f"""WITH {_TRACK}, n AS (SELECT *, row_number() OVER ({_BY} ORDER BY position) AS r FROM track), i AS (SELECT id, path, scaffold, position, r - row_number() OVER ({_BY} ORDER BY position) AS island FROM n WHERE depth >= 20),
+    f"""WITH {_TRACK}, n AS (SELECT *, row_number() OVER ({_BY} ORDER BY position) AS r FROM track), i AS (SELECT id, path, scaffold, position,
+  r - row_number() OVER ({_BY} ORDER BY position) AS island FROM n WHERE depth >= 20),
 runs AS (SELECT id, path, scaffold, min(position) AS run_start, max(position) AS run_end, count(*) AS run_length FROM i GROUP BY id, path, scaffold, island)
 SELECT id, path, scaffold, run_start, run_end, run_length FROM (SELECT *, row_number() OVER ({_BY} ORDER BY run_length DESC, run_start) AS k FROM runs) WHERE k = 1"""
 )
@@ -243,7 +264,8 @@ def islands_longest(spark, base):
 
 
 @query(
-    f"""WITH {_TRACK}, {_STATS}, e AS (SELECT id, path, scaffold, (CASE WHEN mean_depth_mask THEN '#' ELSE '' END) || round(mean_depth * 100)::BIGINT AS v, mean_depth_mask AS k FROM stats WHERE mean_depth IS NOT NULL)
+    f"""WITH {_TRACK}, {_STATS}, e AS (SELECT id, path, scaffold, (CASE WHEN mean_depth_mask THEN '#' ELSE '' END) || round(mean_depth * 100)::BIGINT AS v,
+  mean_depth_mask AS k FROM stats WHERE mean_depth IS NOT NULL)
 SELECT id, path, scaffold, sum(ltrim(v, '#')::BIGINT)::BIGINT AS total, count_if(v LIKE '#%')::BIGINT AS n_masked FROM e GROUP BY ALL"""
 )
 def mask_codec(spark, base):
@@ -257,9 +279,11 @@ def mask_codec(spark, base):
 
 @query(
     f"""WITH {_calls_sql()}, {_LENGTHS}, p AS (
-  SELECT c.*, pos1 AS s, CASE WHEN pos1 <= pos2 THEN pos2 ELSE greatest(coalesce(contig_length, pos1), pos1) END AS e FROM calls c LEFT JOIN lengths USING (id, path, scaffold)
+  SELECT c.*, pos1 AS s, CASE WHEN pos1 <= pos2 THEN pos2 ELSE greatest(coalesce(contig_length, pos1), pos1) END AS e FROM calls c LEFT JOIN lengths USING (id, path,
+    scaffold)
   UNION ALL SELECT c.*, 1, pos2 FROM calls c WHERE pos1 > pos2)
-SELECT a.id, a.path, a.scaffold, a.direction, a.type, a.gene, a.pos1, a.pos2, b.type AS r_type, b.gene AS r_gene, b.pos1 AS r_pos1, b.pos2 AS r_pos2, sum(least(a.e, b.e) - greatest(a.s, b.s) + 1)::BIGINT AS overlap
+SELECT a.id, a.path, a.scaffold, a.direction, a.type, a.gene, a.pos1, a.pos2, b.type AS r_type, b.gene AS r_gene, b.pos1 AS r_pos1, b.pos2 AS r_pos2, sum(least(a.e,
+  b.e) - greatest(a.s, b.s) + 1)::BIGINT AS overlap
 FROM p a JOIN p b USING (id, path, scaffold, direction)
 WHERE a.s <= b.e AND b.s <= a.e AND (a.type, a.gene, a.pos1, a.pos2) IS DISTINCT FROM (b.type, b.gene, b.pos1, b.pos2)
 GROUP BY a.id, a.path, a.scaffold, a.direction, a.type, a.gene, a.pos1, a.pos2, b.type, b.gene, b.pos1, b.pos2"""
@@ -270,27 +294,35 @@ def overlap_pairs(spark, base):
 
 
 @query(
-    f"""WITH {_calls_sql()}, n AS (SELECT *, lag(type) OVER w AS bt, lag(pos2) OVER w AS b2, lead(type) OVER w AS aty, lead(pos1) OVER w AS a1, CASE gene WHEN 'rrnL' THEN 1850 WHEN 'rrnS' THEN 1000 END AS lim FROM calls WINDOW w AS (PARTITION BY id, path, scaffold ORDER BY pos1, pos2, gene, direction, type)),
+    f"""WITH {_calls_sql()}, n AS (SELECT *, lag(type) OVER w AS bt, lag(pos2) OVER w AS b2, lead(type) OVER w AS aty, lead(pos1) OVER w AS a1, CASE gene
+  WHEN 'rrnL' THEN 1850 WHEN 'rrnS' THEN 1000 END AS lim FROM calls WINDOW w AS (PARTITION BY id, path, scaffold ORDER BY pos1, pos2, gene, direction, type)),
 f AS (SELECT *, CASE WHEN type = 'rRNA' AND bt = 'tRNA' AND b2 + 1 <> pos1 AND pos2 - b2 <= lim THEN b2 + 1 END AS n1 FROM n),
 g AS (SELECT *, coalesce(n1, pos1) AS q1 FROM f),
 h AS (SELECT *, CASE WHEN type = 'rRNA' AND aty = 'tRNA' AND a1 - 1 <> pos2 AND a1 - q1 <= lim THEN a1 - 1 END AS n2 FROM g)
 SELECT id, path, scaffold, gene, direction, pos1 AS old1, pos2 AS old2, q1 AS new1, coalesce(n2, pos2) AS new2,
- nullif(concat_ws('; ', CASE WHEN n1 IS NOT NULL THEN 'Applied punctuation model - moved pos1 by ' || (n1 - pos1) || ' bp' END, CASE WHEN n2 IS NOT NULL THEN 'Applied punctuation model - moved pos2 by ' || (n2 - pos2) || ' bp' END), '') AS notes
+ nullif(concat_ws('; ', CASE WHEN n1 IS NOT NULL THEN 'Applied punctuation model - moved pos1 by ' || (n1 - pos1) || ' bp' END, CASE
+   WHEN n2 IS NOT NULL THEN 'Applied punctuation model - moved pos2 by ' || (n2 - pos2) || ' bp' END), '') AS notes
 FROM h WHERE type = 'rRNA'"""
 )
 def punctuation_snap(spark, base):
     limit = F.when(F.col("gene") == "rrnL", 1850).when(F.col("gene") == "rrnS", 1000).cast("long")
-    d = calls(spark, base).withColumns({"old1": F.col("pos1"), "old2": F.col("pos2"), "length": F.lit(0).cast("long"), "notes": F.lit(None).cast("string"), "max_len": limit})
-    return curate.punctuated(d, CONTIG).where("type = 'rRNA'").select(*CONTIG, "gene", "direction", "old1", "old2", F.col("pos1").alias("new1"), F.col("pos2").alias("new2"), "notes")
+    d = calls(spark, base).withColumns({"old1": F.col("pos1"), "old2": F.col("pos2"), "length": F.lit(0).cast("long"), "notes": F.lit(None).cast("string"),
+        "max_len": limit})
+    return curate.punctuated(d, CONTIG).where("type = 'rRNA'").select(*CONTIG, "gene", "direction", "old1", "old2", F.col("pos1").alias("new1"),
+        F.col("pos2").alias("new2"), "notes")
 
 
 @query(
-    f"""WITH {_calls_sql()}, {_LENGTHS}, j AS (SELECT c.*, contig_length FROM calls c JOIN lengths USING (id, path, scaffold)), n AS (SELECT *, lag(pos2) OVER w AS b2, lead(pos1) OVER w AS a1 FROM j WINDOW w AS (PARTITION BY id, path, scaffold ORDER BY pos1, pos2, replace(gene, 'ctrl', 'OH'), direction, type))
-SELECT id, path, scaffold, direction, pos1 AS old1, pos2 AS old2, coalesce(b2 + 1, 1) AS new1, coalesce(a1 - 1, contig_length) AS new2, abs(coalesce(a1 - 1, contig_length) - coalesce(b2 + 1, 1)) + 1 AS length FROM n WHERE gene = 'ctrl'"""
+    f"""WITH {_calls_sql()}, {_LENGTHS}, j AS (SELECT c.*, contig_length FROM calls c JOIN lengths USING (id, path, scaffold)), n AS (SELECT *, lag(pos2) OVER w AS b2,
+  lead(pos1) OVER w AS a1 FROM j WINDOW w AS (PARTITION BY id, path, scaffold ORDER BY pos1, pos2, replace(gene, 'ctrl', 'OH'), direction, type))
+SELECT id, path, scaffold, direction, pos1 AS old1, pos2 AS old2, coalesce(b2 + 1, 1) AS new1, coalesce(a1 - 1, contig_length) AS new2, abs(coalesce(a1 - 1,
+  contig_length) - coalesce(b2 + 1, 1)) + 1 AS length FROM n WHERE gene = 'ctrl'"""
 )
 def control_region_extend(spark, base):
-    d = calls(spark, base).join(lengths(spark, base).select(*CONTIG, "contig_length"), CONTIG).withColumns({"old1": F.col("pos1"), "old2": F.col("pos2"), "length": F.lit(0).cast("long"), "gene": F.when(F.col("gene") == "ctrl", "OH").otherwise(F.col("gene"))})
-    return A.control_regions(d, CONTIG, "contig_length").where("gene = 'ctrl'").select(*CONTIG, "direction", "old1", "old2", F.col("pos1").alias("new1"), F.col("pos2").alias("new2"), "length")
+    d = calls(spark, base).join(lengths(spark, base).select(*CONTIG, "contig_length"), CONTIG).withColumns({"old1": F.col("pos1"), "old2": F.col("pos2"),
+        "length": F.lit(0).cast("long"), "gene": F.when(F.col("gene") == "ctrl", "OH").otherwise(F.col("gene"))})
+    return A.control_regions(d, CONTIG, "contig_length").where("gene = 'ctrl'").select(*CONTIG, "direction", "old1", "old2", F.col("pos1").alias("new1"),
+        F.col("pos2").alias("new2"), "length")
 
 
 @query(
@@ -303,23 +335,28 @@ SELECT id, path, scaffold, type, gene, pos1 AS old1, pos2 AS old2,
  CASE WHEN cd = '-' THEN CASE direction WHEN '+' THEN '-' ELSE '+' END ELSE direction END AS direction FROM j"""
 )
 def rotate_calls(spark, base):
-    d = calls(spark, base).join(lengths(spark, base).where("topology = 'circular'").select(*CONTIG, "contig_length"), CONTIG).withColumns({"old1": F.col("pos1"), "old2": F.col("pos2")})
+    d = calls(spark, base).join(lengths(spark, base).where("topology = 'circular'").select(*CONTIG, "contig_length"), CONTIG).withColumns({"old1": F.col("pos1"),
+        "old2": F.col("pos2")})
     return A.rotated_calls(d, A.start_points(d, CONTIG, "trnF"), CONTIG, "contig_length").select(*CONTIG, "type", "gene", "old1", "old2", "pos1", "pos2", "direction")
 
 
 @query(
-    f"""WITH {_calls_sql()}, {_CONTIGS}, s AS (SELECT id, path, scaffold, arg_min(struct_pack(p1 := pos1, p2 := pos2, d := direction), (pos1, pos2, direction)) AS s FROM calls WHERE gene = 'trnF' GROUP BY ALL)
-SELECT id, path, scaffold, md5(CASE WHEN s.s.d = '-' THEN {_revcomp_sql('substr(sequence, s.s.p2 + 1) || substr(sequence, 1, s.s.p2)')} ELSE substr(sequence, s.s.p1) || substr(sequence, 1, s.s.p1 - 1) END) AS rotated_md5
+    f"""WITH {_calls_sql()}, {_CONTIGS}, s AS (SELECT id, path, scaffold, arg_min(struct_pack(p1 := pos1, p2 := pos2, d := direction), (pos1, pos2, direction)) AS s
+  FROM calls WHERE gene = 'trnF' GROUP BY ALL)
+SELECT id, path, scaffold, md5(CASE WHEN s.s.d = '-' THEN {_revcomp_sql('substr(sequence, s.s.p2 + 1) || substr(sequence, 1, s.s.p2)')} ELSE substr(sequence,
+  s.s.p1) || substr(sequence, 1, s.s.p1 - 1) END) AS rotated_md5
 FROM contigs JOIN s USING (id, path, scaffold) WHERE topology = 'circular' AND greatest(s.s.p1, s.s.p2) <= length(sequence)"""
 )
 def rotate_sequence(spark, base):
-    d = contigs(spark, base).where("topology = 'circular'").join(A.start_points(calls(spark, base), CONTIG, "trnF"), CONTIG).where(F.greatest("cut1", "cut2") <= F.length("sequence"))
+    d = contigs(spark, base).where("topology = 'circular'").join(A.start_points(calls(spark, base), CONTIG, "trnF"), CONTIG).where(F.greatest("cut1",
+        "cut2") <= F.length("sequence"))
     return d.select(*CONTIG, F.md5(A.rotated_sequence(F.col("sequence"), F.col("cut1"), F.col("cut2"), F.col("cut_strand"))).alias("rotated_md5"))
 
 
 @query(
     f"""WITH {_calls_sql()}, {_LENGTHS}, r AS (SELECT id, path, scaffold FROM calls WHERE type = 'rRNA' GROUP BY ALL HAVING bool_and(direction = '-'))
-SELECT c.id, c.path, c.scaffold, type, gene, contig_length - pos2 + 1 AS pos1, contig_length - pos1 + 1 AS pos2, CASE direction WHEN '+' THEN '-' ELSE '+' END AS direction FROM calls c JOIN r USING (id, path, scaffold) JOIN lengths USING (id, path, scaffold)"""
+SELECT c.id, c.path, c.scaffold, type, gene, contig_length - pos2 + 1 AS pos1, contig_length - pos1 + 1 AS pos2, CASE direction WHEN '+' THEN '-'
+  ELSE '+' END AS direction FROM calls c JOIN r USING (id, path, scaffold) JOIN lengths USING (id, path, scaffold)"""
 )
 def flip_contigs(spark, base):
     c = calls(spark, base)
@@ -329,17 +366,20 @@ def flip_contigs(spark, base):
 
 
 @query(
-    f"""WITH {_calls_sql()}, {_LENGTHS} SELECT c.id, c.path, c.scaffold, gene, pos1, pos2, direction, CASE WHEN pos1 <= pos2 THEN pos2 - pos1 + 1 ELSE contig_length - pos1 + 1 + pos2 END AS length, contig_length - pos2 + 1 AS flipped1
+    f"""WITH {_calls_sql()}, {_LENGTHS} SELECT c.id, c.path, c.scaffold, gene, pos1, pos2, direction, CASE WHEN pos1 <= pos2 THEN pos2 - pos1 + 1
+  ELSE contig_length - pos1 + 1 + pos2 END AS length, contig_length - pos2 + 1 AS flipped1
 FROM calls c JOIN lengths USING (id, path, scaffold)"""
 )
 def call_lengths(spark, base):
     d = calls(spark, base).join(lengths(spark, base), CONTIG)
-    return d.select(*CONTIG, "gene", "pos1", "pos2", "direction", span_length(F.col("pos1"), F.col("pos2"), F.col("contig_length")).alias("length"), flip(F.col("pos1"), F.col("pos2"), F.col("contig_length"))[0].alias("flipped1"))
+    return d.select(*CONTIG, "gene", "pos1", "pos2", "direction", span_length(F.col("pos1"), F.col("pos2"), F.col("contig_length")).alias("length"), flip(F.col("pos1"),
+        F.col("pos2"), F.col("contig_length"))[0].alias("flipped1"))
 
 
 @query(
     f"""WITH {_calls_sql()}, k AS (SELECT id, path, scaffold, min(pos1) AS cut FROM calls WHERE gene = 'cox1' GROUP BY ALL)
-SELECT k.id, k.path, k.scaffold, k.cut, count_if(c.pos1 < k.cut AND c.pos2 >= k.cut)::BIGINT AS n_split FROM k LEFT JOIN calls c USING (id, path, scaffold) GROUP BY k.id, k.path, k.scaffold, k.cut"""
+SELECT k.id, k.path, k.scaffold, k.cut, count_if(c.pos1 < k.cut AND c.pos2 >= k.cut)::BIGINT AS n_split FROM k LEFT JOIN calls c USING (id, path, scaffold) GROUP BY k.id,
+  k.path, k.scaffold, k.cut"""
 )
 def linearize_guard(spark, base):
     c = calls(spark, base)
@@ -352,10 +392,13 @@ def _rules(spark):
 
 @query(
     f"""WITH {_calls_sql('stop_codon')}, {_RULES}, r AS (SELECT c.*, starts, stops, overlap_stop FROM calls c LEFT JOIN rules ON rgene = gene),
-e AS (SELECT *, CASE direction WHEN '+' THEN pos2 - length(stop_codon) + 1 ELSE pos1 END AS s, CASE direction WHEN '+' THEN pos2 ELSE pos1 + length(stop_codon) - 1 END AS e FROM r WHERE type = 'PCG' AND stop_codon IS NOT NULL AND NOT coalesce(overlap_stop, false)),
-h AS (SELECT a.id, a.path, a.scaffold, a.gene, a.pos1, a.pos2, a.direction, a.stop_codon, count(*) AS k, max(least(a.e, b.pos2) - greatest(a.s, b.pos1) + 1) AS cut FROM e a JOIN r b ON a.id = b.id AND a.path = b.path AND a.scaffold = b.scaffold AND a.direction = b.direction
+e AS (SELECT *, CASE direction WHEN '+' THEN pos2 - length(stop_codon) + 1 ELSE pos1 END AS s, CASE direction WHEN '+' THEN pos2
+  ELSE pos1 + length(stop_codon) - 1 END AS e FROM r WHERE type = 'PCG' AND stop_codon IS NOT NULL AND NOT coalesce(overlap_stop, false)),
+h AS (SELECT a.id, a.path, a.scaffold, a.gene, a.pos1, a.pos2, a.direction, a.stop_codon, count(*) AS k, max(least(a.e, b.pos2) - greatest(a.s, b.pos1) + 1) AS cut
+  FROM e a JOIN r b ON a.id = b.id AND a.path = b.path AND a.scaffold = b.scaffold AND a.direction = b.direction
   AND CASE a.direction WHEN '+' THEN b.pos1 ELSE b.pos2 END BETWEEN a.s AND a.e AND (a.pos1, a.pos2, a.gene) <> (b.pos1, b.pos2, b.gene) GROUP BY ALL)
-SELECT id, path, scaffold, gene, pos1 AS old1, pos2 AS old2, direction, substr(stop_codon, 1, length(stop_codon) - cut) AS stop_codon, 'stop codon trimmed by ' || cut || ' bp' AS notes
+SELECT id, path, scaffold, gene, pos1 AS old1, pos2 AS old2, direction, substr(stop_codon, 1, length(stop_codon) - cut) AS stop_codon,
+  'stop codon trimmed by ' || cut || ' bp' AS notes
 FROM h JOIN rules ON rgene = gene WHERE k = 1 AND length(stop_codon) > cut AND list_contains(stops, substr(stop_codon, 1, length(stop_codon) - cut))"""
 )
 def stop_trim(spark, base):
@@ -382,19 +425,22 @@ def _gap_sql(f: str) -> str:
 
 @query(
     f"""WITH h AS (SELECT DISTINCT id, path, scaffold, gene, pos1, {_SIMILARITY} AS sims, {_gap_sql('gap_leading')} AS gl FROM annotations WHERE refhits IS NOT NULL)
-SELECT id, path, scaffold, gene, pos1, max(list_max(sims)) AS best, max(list_max(gl)) AS max_gap, max(CASE WHEN len(sims) > 1 THEN 1 ELSE 0 END) AS several FROM h GROUP BY ALL"""
+SELECT id, path, scaffold, gene, pos1, max(list_max(sims)) AS best, max(list_max(gl)) AS max_gap, max(CASE WHEN len(sims) > 1 THEN 1 ELSE 0 END) AS several FROM h
+  GROUP BY ALL"""
 )
 def hit_table(spark, base):
     d = table(spark, base, "annotations").where("refhits is not null").select(*CONTIG, "gene", "pos1", X.hit_rows(F.col("refhits")).alias("hits"))
     top = lambda f: F.array_max(F.transform("hits", lambda h: h[f]))
-    return d.groupBy(*CONTIG, "gene", "pos1").agg(F.max(top("similarity")).alias("best"), F.max(top("gap_leading")).alias("max_gap"), F.max((F.size("hits") > 1).cast("int")).alias("several"))
+    return d.groupBy(*CONTIG, "gene", "pos1").agg(F.max(top("similarity")).alias("best"), F.max(top("gap_leading")).alias("max_gap"),
+        F.max((F.size("hits") > 1).cast("int")).alias("several"))
 
 
 # Relational --------------------------------------------------------------------------------------
 
 
 @query(
-    """WITH p AS (SELECT DISTINCT id, r1, r2, pre_opts FROM preprocess), o AS (SELECT pre_opts, max(cpus) AS cpus, max(memory) AS memory FROM pre_opts WHERE removed_at IS NULL GROUP BY 1)
+    """WITH p AS (SELECT DISTINCT id, r1, r2, pre_opts FROM preprocess), o AS (SELECT pre_opts, max(cpus) AS cpus, max(memory) AS memory FROM pre_opts
+  WHERE removed_at IS NULL GROUP BY 1)
 SELECT p.id, r1, r2, p.pre_opts, cpus, memory FROM p JOIN o USING (pre_opts) WHERE EXISTS (SELECT 1 FROM assemble a WHERE a.id = p.id AND a.assemble_lock = 0)"""
 )
 def ready_reads(spark, base):
@@ -451,7 +497,8 @@ def length_gate(spark, base):
 )
 def assembly_groups(spark, base):
     return lengths(spark, base).groupBy("id").agg(
-        F.max("path").alias("paths"), F.max("scaffold").alias("scaffolds"), F.array_join(F.sort_array(F.collect_set("contig_length"), False).cast("array<string>"), ";").alias("lengths"), F.array_join(F.array_sort(F.collect_set("topology")), ";").alias("topologies"), F.sum("contig_length").alias("total")
+        F.max("path").alias("paths"), F.max("scaffold").alias("scaffolds"), F.array_join(F.sort_array(F.collect_set("contig_length"), False).cast("array<string>"),
+            ";").alias("lengths"), F.array_join(F.array_sort(F.collect_set("topology")), ";").alias("topologies"), F.sum("contig_length").alias("total")
     )
 
 
@@ -508,18 +555,28 @@ def product_lookup(spark, base):
 
 
 def _export(spark, base):
-    c = calls(spark, base, "product", "anticodon", "start_codon", "stop_codon").withColumn("seq_name", F.concat_ws(".", *[F.col(x).cast("string") for x in CONTIG])).withColumn("genetic_code", F.lit(CODE))
+    c = calls(spark, base, "product", "anticodon", "start_codon", "stop_codon").withColumn("seq_name", F.concat_ws(".",
+        *[F.col(x).cast("string") for x in CONTIG])).withColumn("genetic_code", F.lit(CODE))
     return K.codon_notes(c.join(F.broadcast(_rules(spark).select("gene", "start_codons")), "gene", "left"))
 
 
-_EXPORT = f"""{_calls_sql('product, anticodon, start_codon, stop_codon')}, {_RULES}, x AS (SELECT c.*, id || '.' || path || '.' || scaffold AS seq_name, coalesce(type = 'PCG' AND NOT list_contains(starts, start_codon), false) AS bad, type = 'PCG' AND length(stop_codon) < 3 AS short FROM calls c LEFT JOIN rules ON rgene = gene),
-e AS (SELECT *, nullif(concat_ws('; ', CASE WHEN bad THEN 'start codon not determined' END, CASE WHEN short THEN 'TAA stop codon is completed by the addition of 3'' A residues to the mRNA' END), '') AS note, (CASE WHEN bad AND direction = '+' THEN '<' ELSE '' END) || (CASE direction WHEN '-' THEN pos2 ELSE pos1 END) || chr(9) || (CASE direction WHEN '-' THEN pos1 ELSE pos2 END) || (CASE WHEN bad AND direction = '-' THEN '>' ELSE '' END) AS pos FROM x)"""
+_EXPORT = f"""{_calls_sql('product, anticodon, start_codon, stop_codon')}, {_RULES}, x AS (SELECT c.*, id || '.' || path || '.' || scaffold AS seq_name,
+  coalesce(type = 'PCG' AND NOT list_contains(starts, start_codon), false) AS bad, type = 'PCG' AND length(stop_codon) < 3 AS short FROM calls c LEFT
+  JOIN rules ON rgene = gene),
+e AS (SELECT *, nullif(concat_ws('; ', CASE WHEN bad THEN 'start codon not determined' END, CASE
+  WHEN short THEN 'TAA stop codon is completed by the addition of 3'' A residues to the mRNA' END), '') AS note, (CASE WHEN bad AND direction = '+' THEN '<'
+  ELSE '' END) || (CASE direction WHEN '-' THEN pos2 ELSE pos1 END) || chr(9) || (CASE direction WHEN '-' THEN pos1 ELSE pos2 END) || (CASE WHEN bad
+  AND direction = '-' THEN '>' ELSE '' END) AS pos FROM x)"""
 _Q = "repeat(chr(9), 3)"
 
 
 @query(
-    f"""WITH {_EXPORT}, l AS (SELECT seq_name, pos1, gene, list_filter(CASE WHEN type IN ('PCG', 'tRNA', 'rRNA') THEN [pos || chr(9) || 'gene', {_Q} || 'gene' || chr(9) || CASE WHEN gene = 'rrnS' AND type = 'rRNA' THEN 's-rRNA' WHEN type = 'rRNA' THEN 'l-rRNA' ELSE gene END, pos || chr(9) || CASE type WHEN 'PCG' THEN 'CDS' ELSE type END,
- {_Q} || 'product' || chr(9) || coalesce(product, ''), CASE WHEN type = 'PCG' THEN {_Q} || 'transl_table' || chr(9) || '{CODE}' END, CASE WHEN bad THEN {_Q} || 'codon_start' || chr(9) || '1' END, {_Q} || 'note' || chr(9) || note, CASE WHEN type = 'tRNA' AND anticodon <> 'NNN' THEN {_Q} || 'note' || chr(9) || 'anticodon:' || lower(anticodon) END]
+    f"""WITH {_EXPORT}, l AS (SELECT seq_name, pos1, gene, list_filter(CASE WHEN type IN ('PCG', 'tRNA', 'rRNA') THEN [pos || chr(9) || 'gene',
+  {_Q} || 'gene' || chr(9) || CASE WHEN gene = 'rrnS' AND type = 'rRNA' THEN 's-rRNA' WHEN type = 'rRNA' THEN 'l-rRNA' ELSE gene END, pos || chr(9) || CASE type
+  WHEN 'PCG' THEN 'CDS' ELSE type END,
+ {_Q} || 'product' || chr(9) || coalesce(product, ''), CASE WHEN type = 'PCG' THEN {_Q} || 'transl_table' || chr(9) || '{CODE}' END, CASE
+   WHEN bad THEN {_Q} || 'codon_start' || chr(9) || '1' END, {_Q} || 'note' || chr(9) || note, CASE WHEN type = 'tRNA'
+   AND anticodon <> 'NNN' THEN {_Q} || 'note' || chr(9) || 'anticodon:' || lower(anticodon) END]
  WHEN type = 'ctrl' THEN [pos || chr(9) || 'D-loop', {_Q} || 'note' || chr(9) || 'control region'] END, lambda v: v IS NOT NULL) AS v FROM e)
 SELECT seq_name, pos1, gene, (i - 1)::INT AS n, v[i] AS line FROM (SELECT seq_name, pos1, gene, v, unnest(range(1, len(v) + 1)) AS i FROM l)"""
 )
@@ -528,11 +585,17 @@ def feature_table(spark, base):
 
 
 @query(
-    f"""WITH {_EXPORT}, {_LENGTHS}, g AS (SELECT e.*, contig_length, topology, seq_name || ':' || pos1 || '..' || pos2 AS place FROM e JOIN lengths USING (id, path, scaffold)),
+    f"""WITH {_EXPORT}, {_LENGTHS}, g AS (SELECT e.*, contig_length, topology, seq_name || ':' || pos1 || '..' || pos2 AS place FROM e JOIN lengths USING (id, path,
+  scaffold)),
 l AS (SELECT *, CASE type WHEN 'PCG' THEN ['gene', 'CDS'] WHEN 'ctrl' THEN ['D_loop'] ELSE [type, 'exon'] END AS f, CASE type
  WHEN 'PCG' THEN ['ID=gene-' || gene || ';Name=' || gene || ';gbkey=Gene;gene=' || gene || ';gene_biotype=protein_coding', 'ID=cds-' || gene || ';Parent=gene-' || gene || ';Name=' || gene || ';gbkey=CDS;gene=' || gene || ';product=' || coalesce(product, '') || ';transl_table={CODE}' || coalesce(';Note=' || note, '')]
- WHEN 'ctrl' THEN ['ID=exon-' || place || ';gbkey=D-loop;Note=control region'] ELSE ['ID=rna-' || place || ';Name=' || gene || ';gbkey=' || type || ';product=' || coalesce(product, ''), 'ID=exon-' || place || ';Parent=rna-' || place || ';gbkey=' || type || ';product=' || coalesce(product, '')] END AS a FROM g WHERE type IN ('PCG', 'tRNA', 'rRNA', 'ctrl'))
-SELECT seq_name, pos1, gene, (i - 1)::INT AS n, concat_ws(chr(9), seq_name, 'organelia', f[i], pos1, CASE WHEN topology = 'circular' AND pos1 > pos2 THEN contig_length + pos2 ELSE pos2 END, '.', direction, CASE WHEN f[i] = 'CDS' THEN '0' ELSE '.' END, a[i]) AS line FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM l)"""
+ WHEN 'ctrl' THEN ['ID=exon-' || place || ';gbkey=D-loop;Note=control region']
+   ELSE ['ID=rna-' || place || ';Name=' || gene || ';gbkey=' || type || ';product=' || coalesce(product, ''),
+   'ID=exon-' || place || ';Parent=rna-' || place || ';gbkey=' || type || ';product=' || coalesce(product, '')] END AS a FROM g WHERE type IN ('PCG', 'tRNA', 'rRNA',
+   'ctrl'))
+SELECT seq_name, pos1, gene, (i - 1)::INT AS n, concat_ws(chr(9), seq_name, 'organelia', f[i], pos1, CASE WHEN topology = 'circular'
+  AND pos1 > pos2 THEN contig_length + pos2 ELSE pos2 END, '.', direction, CASE WHEN f[i] = 'CDS' THEN '0' ELSE '.' END, a[i]) AS line FROM (SELECT *, unnest(range(1,
+  len(f) + 1)) AS i FROM l)"""
 )
 def gff3_lines(spark, base):
     return K.gff3(_export(spark, base).join(lengths(spark, base), CONTIG))
@@ -542,7 +605,8 @@ def gff3_lines(spark, base):
 
 
 @query(
-    """WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM o)
+    """WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events
+  WHERE ts IS NOT NULL), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM o)
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n_events FROM s GROUP BY user_id, k"""
 )
 def event_sessions(spark, base):

@@ -51,18 +51,22 @@ def _fasta_file(spark, base) -> str:
 
 
 @_query(
-    f"""SELECT DISTINCT id, path, scaffold, CASE WHEN topology IN ('circular', 'linear') THEN topology END AS topology, length(sequence)::INT AS bases, md5(upper(sequence)) AS sequence_md5
+    f"""SELECT DISTINCT id, path, scaffold, CASE WHEN topology IN ('circular', 'linear') THEN topology END AS topology, length(sequence)::INT AS bases,
+  md5(upper(sequence)) AS sequence_md5
 FROM assemblies WHERE sequence IS NOT NULL AND {_KEYED}"""
 )
 def scan_fasta(spark, base):
     """Contigs as FASTA of 80 columns, and back."""
     d = R.assemblies_fasta(spark, _fasta_file(spark, base))
-    return d.select("id", F.col("path").cast("int"), F.col("scaffold").cast("int"), "topology", F.length("sequence").alias("bases"), F.md5("sequence").alias("sequence_md5")).distinct()
+    return d.select("id", F.col("path").cast("int"), F.col("scaffold").cast("int"), "topology", F.length("sequence").alias("bases"),
+        F.md5("sequence").alias("sequence_md5")).distinct()
 
 
 @_query(
-    f"""WITH d AS (SELECT DISTINCT {_NAME} || ' ' || coalesce(topology, 'NA') AS header, upper(sequence) AS sequence FROM assemblies WHERE sequence IS NOT NULL AND {_KEYED})
-SELECT count(*) AS n, count(DISTINCT header) AS n_names, min(length(sequence))::INT AS shortest, max(length(sequence))::INT AS longest, sum(length(sequence))::BIGINT AS bases FROM d"""
+    f"""WITH d AS (SELECT DISTINCT {_NAME} || ' ' || coalesce(topology, 'NA') AS header, upper(sequence) AS sequence FROM assemblies WHERE sequence IS NOT NULL
+  AND {_KEYED})
+SELECT count(*) AS n, count(DISTINCT header) AS n_names, min(length(sequence))::INT AS shortest, max(length(sequence))::INT AS longest,
+  sum(length(sequence))::BIGINT AS bases FROM d"""
 )
 def fasta_counts(spark, base):
     return R.fasta_summary(R.fasta(spark, _fasta_file(spark, base)))
@@ -74,7 +78,8 @@ _PROTEIN = "type = 'PCG' AND translation <> '' AND direction IS NOT NULL AND gen
 @_query(f"SELECT DISTINCT 'P' || substr(md5(translation), 1, 12) AS acc, gene, direction AS strand, pos1 AS start, pos2 AS \"end\", 'Taxon ' || gene AS taxon, md5(translation) AS protein_md5 FROM annotations WHERE {_PROTEIN}")
 def scan_proteins(spark, base):
     """Proteins as FASTA with the headers of a reference file, and back."""
-    d = table(spark, base, "annotations").where(_PROTEIN).select("gene", "direction", "pos1", "pos2", "translation").distinct().withColumn("acc", F.concat(F.lit("P"), F.substr(F.md5("translation"), F.lit(1), F.lit(12))))
+    d = table(spark, base, "annotations").where(_PROTEIN).select("gene", "direction", "pos1", "pos2", "translation").distinct().withColumn("acc", F.concat(F.lit("P"),
+        F.substr(F.md5("translation"), F.lit(1), F.lit(12))))
     path = scratch(spark, "proteins.fas")
     K.write_lines(K.fasta_from_template(d, "{acc}:{gene}-{direction}-{pos1}-{pos2} Taxon {gene}", "translation"), path)
     return R.protein_fasta(spark, path).select("acc", "gene", "strand", "start", "end", "taxon", F.md5("sequence").alias("protein_md5"))
@@ -84,7 +89,8 @@ _BLOCKS = ("A", "C", "G", "T")
 
 
 @_query(
-    f"""WITH {_TRACK}, c AS (SELECT {_NAME} AS seq_id, position, call, depth::BIGINT AS depth, greatest(depth::BIGINT - position % 3, 0) AS correct FROM track WHERE {_KEYED})
+    f"""WITH {_TRACK}, c AS (SELECT {_NAME} AS seq_id, position, call, depth::BIGINT AS depth, greatest(depth::BIGINT - position % 3, 0) AS correct FROM track
+  WHERE {_KEYED})
 SELECT seq_id, position, call, coalesce(depth, 0)::DOUBLE AS depth, CASE WHEN depth IS NULL THEN 0 WHEN call IN ('A', 'C', 'G', 'T') THEN correct END::DOUBLE AS correct,
  CASE WHEN call IN ('A', 'C', 'G', 'T') AND depth > 0 THEN (depth - correct) / depth END AS error_rate FROM c"""
 )
@@ -131,7 +137,8 @@ def scan_trna_table(spark, base):
     back = F.col("direction") == "-"
     begin, end = F.when(back, F.col("pos2")).otherwise(F.col("pos1")), F.when(back, F.col("pos1")).otherwise(F.col("pos2"))
     kind = A.lookup(_AMINO, F.substr("gene", F.lit(4)))
-    line = F.concat_ws("\t", F.concat("contig", F.lit(" ")), F.lit("1"), begin.cast("string"), end.cast("string"), kind, F.coalesce("anticodon", F.lit("")), F.lit("0"), F.lit("0"), F.lit("50.5"), F.lit(""))
+    line = F.concat_ws("\t", F.concat("contig", F.lit(" ")), F.lit("1"), begin.cast("string"), end.cast("string"), kind, F.coalesce("anticodon", F.lit("")), F.lit("0"),
+        F.lit("0"), F.lit("50.5"), F.lit(""))
     path = scratch(spark, "trna.tsv")
     heads = spark.createDataFrame([("Sequence\t\ttRNA\tBounds",), ("Name\ttRNA #\tBegin\tEnd",), ("--------\t------\t-----\t---",)], "line string")
     K.write_lines(heads.unionAll(d.select(line.alias("line"))), path)
@@ -143,11 +150,13 @@ _HEADED = f"type IN ('PCG', 'rRNA', 'ctrl') AND {_KEYED}"
 
 @_query(
     f"""WITH {_calls_sql()}, {_CONTIGS}, d AS (SELECT *, {_NAME} AS contig, CASE WHEN gene = 'ctrl' THEN 'OH' ELSE gene END AS g FROM calls WHERE {_HEADED}),
-j AS (SELECT d.contig, CASE WHEN g LIKE 'rrn%' THEN 'rRNA' WHEN g = 'OH' THEN 'ctrl' ELSE 'PCG' END AS kind, g, pos1, pos2, direction, length(sequence) AS n, CASE WHEN sequence IS NOT NULL THEN {_CODING} END AS coding FROM d LEFT JOIN contigs USING (id, path, scaffold)),
+j AS (SELECT d.contig, CASE WHEN g LIKE 'rrn%' THEN 'rRNA' WHEN g = 'OH' THEN 'ctrl' ELSE 'PCG' END AS kind, g, pos1, pos2, direction, length(sequence) AS n, CASE
+  WHEN sequence IS NOT NULL THEN {_CODING} END AS coding FROM d LEFT JOIN contigs USING (id, path, scaffold)),
 k AS (SELECT *, CASE WHEN kind = 'PCG' THEN CASE WHEN length(coding) % 3 = 0 THEN 3 ELSE length(coding) % 3 END END AS k FROM j)
 SELECT contig, kind AS type, g AS gene, pos1, pos2, direction, CASE WHEN pos1 <= pos2 THEN pos2 - pos1 + 1 ELSE n - pos1 + 1 + pos2 END::BIGINT AS length,
  CASE WHEN kind = 'PCG' THEN substr(coding, 1, 3) END AS start_codon, CASE WHEN kind = 'PCG' THEN substr(coding, length(coding) - k + 1) END AS stop_codon,
- CASE WHEN kind = 'PCG' THEN md5(array_to_string(list_transform(range(0, (length(coding) - k) // 3), lambda i: {amino_sql('substr(coding, (3 * i + 1)::INT, 3)')}), '')) END AS translation_md5 FROM k"""
+ CASE WHEN kind = 'PCG' THEN md5(array_to_string(list_transform(range(0, (length(coding) - k) // 3), lambda i: {amino_sql('substr(coding, (3 * i + 1)::INT, 3)')}),
+   '')) END AS translation_md5 FROM k"""
 )
 def scan_gene_calls(spark, base):
     """Protein, rRNA and origin calls as FASTA headers of a gene finder, and back as calls with codons and translation."""
@@ -158,7 +167,8 @@ def scan_gene_calls(spark, base):
     K.write_lines(d.select(K.fasta_lines(head, F.lit("N")).alias("line")), path)
     named = _keyed(contigs(spark, base)).select(_name().alias("contig"), "sequence")
     found = A.combine(A.gene_calls(R.gene_call_headers(spark, path), named, CODE))
-    return found.select("contig", "type", "gene", "pos1", "pos2", "direction", F.col("length").cast("long").alias("length"), "start_codon", "stop_codon", F.md5("translation").alias("translation_md5"))
+    return found.select("contig", "type", "gene", "pos1", "pos2", "direction", F.col("length").cast("long").alias("length"), "start_codon", "stop_codon",
+        F.md5("translation").alias("translation_md5"))
 
 
 @_query("SELECT DISTINCT 'P' || substr(md5(translation), 1, 12) AS acc, 'Taxon ' || gene AS taxon, length(translation) / 8 AS eval, md5(translation) AS target_md5 FROM annotations WHERE type = 'PCG' AND translation <> '' AND gene IS NOT NULL")
@@ -175,7 +185,8 @@ def scan_search_hits(spark, base):
 def scan_trimming(spark, base):
     """Read-trimming reports as JSON, and back."""
     p = table(spark, base, "preprocess")
-    doc = F.struct(F.struct(F.struct(F.col("reads").alias("total_reads")).alias("before_filtering"), F.struct(F.col("trimmed_reads").alias("total_reads"), F.col("mean_length").alias("read1_mean_length")).alias("after_filtering")).alias("summary"))
+    doc = F.struct(F.struct(F.struct(F.col("reads").alias("total_reads")).alias("before_filtering"), F.struct(F.col("trimmed_reads").alias("total_reads"),
+        F.col("mean_length").alias("read1_mean_length")).alias("after_filtering")).alias("summary"))
     path = scratch(spark, "trimming.json")
     K.write_lines(p.select(F.to_json(doc).alias("line")), path)
     return R.trimming_report(spark, path, lines=True).groupBy("reads", "trimmed_reads", "mean_length").agg(F.count("*").alias("n"))
@@ -184,7 +195,8 @@ def scan_trimming(spark, base):
 @_query("SELECT DISTINCT id AS name, CASE WHEN topology = 'circular' THEN 'circular' ELSE 'linear' END AS topology FROM assemblies WHERE id IS NOT NULL")
 def scan_summary(spark, base):
     """An assembler's summary as a tab-separated table, and back."""
-    d = table(spark, base, "assemblies").where("id is not null").select(F.col("id").alias("name"), F.when(F.col("topology") == "circular", "yes").otherwise("no").alias("circular")).distinct()
+    d = table(spark, base, "assemblies").where("id is not null").select(F.col("id").alias("name"), F.when(F.col("topology") == "circular",
+        "yes").otherwise("no").alias("circular")).distinct()
     path = scratch(spark, "summary.tsv")
     K.write_csv(d, path, sep="\t", quoted=False)
     return R.assembly_summary(spark, path).select("name", "topology")
@@ -220,18 +232,23 @@ def scan_sheet(spark, base):
 n AS (SELECT id, path, scaffold, count(*) AS n, string_agg(product, '|' ORDER BY pos1, pos2, gene, type) FILTER (product IS NOT NULL) AS products FROM f GROUP BY ALL),
 r AS (SELECT {_NAME} AS name, sequence, coalesce(n, 0) AS genes, products FROM contigs LEFT JOIN n USING (id, path, scaffold) WHERE {_KEYED}),
 k AS (SELECT *, row_number() OVER (PARTITION BY regexp_replace(sequence, '[^A-Z]', '', 'g') ORDER BY name) AS i FROM r)
-SELECT name, (2 * genes + 1)::INT AS n_features, CASE WHEN genes = 0 THEN 'none' WHEN genes = 1 THEN 'single' ELSE 'multi' END AS class, coalesce(products, '') AS products, md5(sequence) AS sequence_md5 FROM k WHERE i = 1"""
+SELECT name, (2 * genes + 1)::INT AS n_features, CASE WHEN genes = 0 THEN 'none' WHEN genes = 1 THEN 'single' ELSE 'multi' END AS class, coalesce(products,
+  '') AS products, md5(sequence) AS sequence_md5 FROM k WHERE i = 1"""
 )
 def scan_genbank(spark, base):
     """Contigs and their calls as GenBank records, and back, the first of equal sequences with its class."""
     gap = F.lit(" " * 21)
     c = calls(spark, base, "product").groupBy(*CONTIG, "pos1", "pos2", "gene", "type").agg(F.max("product").alias("product"))
     place = F.concat(F.col("pos1").cast("string"), F.lit(".."), F.col("pos2").cast("string"))
-    kept = F.concat(F.lit("     gene            "), place, F.lit("\n"), gap, F.lit('/gene="'), F.coalesce("gene", F.lit("")), F.lit('"\n     CDS             '), place, F.lit("\n"), F.coalesce(F.concat(gap, F.lit('/product="'), "product", F.lit('"\n')), F.lit("")))
+    kept = F.concat(F.lit("     gene            "), place, F.lit("\n"), gap, F.lit('/gene="'), F.coalesce("gene", F.lit("")), F.lit('"\n     CDS             '), place,
+        F.lit("\n"), F.coalesce(F.concat(gap, F.lit('/product="'), "product", F.lit('"\n')), F.lit("")))
     # A record is one text: the calls of a contig stand in it.
-    features = c.withColumn("t", kept).groupBy(*CONTIG).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos1", "pos2", "gene", "type", "t"))), lambda x: x["t"]), "").alias("features"))
+    features = c.withColumn("t",
+        kept).groupBy(*CONTIG).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos1", "pos2", "gene", "type", "t"))), lambda x: x["t"]),
+        "").alias("features"))
     d = _keyed(contigs(spark, base)).join(features, CONTIG, "left").withColumn("name", _name())
-    head = F.concat(F.lit("LOCUS       "), "name", F.lit("  bp DNA\nDEFINITION  contig.\nFEATURES             Location/Qualifiers\n     source          1..9\n"), gap, F.lit('/organelle="mitochondrion"\n'))
+    head = F.concat(F.lit("LOCUS       "), "name", F.lit("  bp DNA\nDEFINITION  contig.\nFEATURES             Location/Qualifiers\n     source          1..9\n"), gap,
+        F.lit('/organelle="mitochondrion"\n'))
     line = F.concat(head, F.coalesce("features", F.lit("")), F.lit("ORIGIN\n        1 "), F.lower("sequence"), F.lit("\n//"))
     path = scratch(spark, "contigs.gb")
     K.write_lines(d.select(line.alias("line")), path)

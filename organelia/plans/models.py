@@ -90,7 +90,8 @@ def group_proteins(taxa: DataFrame, annotations: DataFrame, group: str | None =
 def waiting(assemble: DataFrame, annotate: DataFrame, assemble_switch: int = 1, annotate_switch: int = 1) -> DataFrame:
     """(module, n): how many samples an update of each module would run."""
     a = assemble.where(F.col("assemble_switch") == assemble_switch).select(F.lit("assemble").alias("module"), "id")
-    n = annotate.where(F.col("annotate_switch") == annotate_switch).select("id").join(assemble.where("assemble_lock = 1").select("id"), "id", "left_semi").select(F.lit("annotate").alias("module"), "id")
+    n = annotate.where(F.col("annotate_switch") == annotate_switch).select("id").join(assemble.where("assemble_lock = 1").select("id"), "id",
+        "left_semi").select(F.lit("annotate").alias("module"), "id")
     counted = a.unionAll(n).groupBy("module").agg(F.count_distinct("id").alias("n"))
     modules = assemble.sparkSession.createDataFrame([("assemble",), ("annotate",)], "module string")
     return modules.join(counted, "module", "left").select("module", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
@@ -141,7 +142,8 @@ _LOCKED = "locked AS (SELECT DISTINCT id FROM assemble WHERE assemble_lock = 1 A
 _EXPORTED = "curate_opts, topology, structure, pcgcount, trnacount, rrnacount, missing, extra, warnings"
 
 
-_ONE = ", ".join(f"max(CASE WHEN field = '{f}' THEN item END) AS {f.replace('.', '_').replace('count', 'n_calls')}" for f in ("type", "count", "max_len", "min_len", "overlap.start", "overlap.stop"))
+_ONE = ", ".join(f"max(CASE WHEN field = '{f}' THEN item END) AS {f.replace('.', '_').replace('count', 'n_calls')}" for f in ("type", "count", "max_len", "min_len",
+    "overlap.start", "overlap.stop"))
 _LISTS = ", ".join(f"list(item ORDER BY pos, item) FILTER (field = '{f}') AS {f}" for f in ("start_codons", "stop_codons"))
 _FIELDS = ("n_calls", "max_len", "min_len", "overlap_start", "overlap_stop", "start_codons", "stop_codons")
 
@@ -149,8 +151,10 @@ _FIELDS = ("n_calls", "max_len", "min_len", "overlap_start", "overlap_stop", "st
 def merged_sql(where: str = "true") -> str:
     """The rules of each set, gene over type, as a CTE ``merged`` after those of the nested values."""
     return f"""{_P3.replace("FROM curate_opts\n), texts", f"FROM curate_opts WHERE {where}" + chr(10) + "), texts")}
-, flat AS (SELECT curate_opts, section, name, {_ONE}, {_LISTS} FROM (SELECT DISTINCT curate_opts, section, name, field, pos, item FROM found) GROUP BY curate_opts, section, name)
-, merged AS (SELECT o.curate_opts, o.name AS gene, o.type, {", ".join(f"coalesce(o.{f}, d.{f}) AS {f}" for f in _FIELDS)} FROM flat o LEFT JOIN flat d ON d.section = 'default_rules' AND d.curate_opts = o.curate_opts AND d.name = o.type WHERE o.section = 'rules')"""
+, flat AS (SELECT curate_opts, section, name, {_ONE}, {_LISTS} FROM (SELECT DISTINCT curate_opts, section, name, field, pos, item FROM found) GROUP BY curate_opts,
+  section, name)
+, merged AS (SELECT o.curate_opts, o.name AS gene, o.type, {", ".join(f"coalesce(o.{f}, d.{f}) AS {f}" for f in _FIELDS)} FROM flat o LEFT
+  JOIN flat d ON d.section = 'default_rules' AND d.curate_opts = o.curate_opts AND d.name = o.type WHERE o.section = 'rules')"""
 
 
 def _taxa(spark: SparkSession, base: str) -> DataFrame:
@@ -164,7 +168,8 @@ def sample_table(spark, base):
 
 @_query(
     """WITH a AS (SELECT DISTINCT id, assemble_opts FROM assemble WHERE assemble_switch = 3 AND assemble_lock = 0),
-o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY assemble_opts ORDER BY loaded_at DESC NULLS LAST, cpus DESC NULLS LAST, memory DESC NULLS LAST, getorganelle DESC NULLS LAST) AS k FROM assemble_opts WHERE removed_at IS NULL) WHERE k = 1)
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY assemble_opts ORDER BY loaded_at DESC NULLS LAST, cpus DESC NULLS LAST, memory DESC NULLS LAST,
+  getorganelle DESC NULLS LAST) AS k FROM assemble_opts WHERE removed_at IS NULL) WHERE k = 1)
 SELECT id, a.assemble_opts, cpus, memory, seeds_db, labels_db, getorganelle FROM a JOIN o ON a.assemble_opts = o.assemble_opts"""
 )
 def q_ready_samples(spark, base):
@@ -173,7 +178,8 @@ def q_ready_samples(spark, base):
 
 @_query(
     """WITH o AS (SELECT annotate_opts, count(*) AS n_samples FROM annotate WHERE annotate_opts IS NOT NULL GROUP BY 1)
-SELECT DISTINCT s.id, s.path, n.annotate_opts, o.n_samples FROM assemblies s JOIN assemble a ON a.id = s.id AND a.assemble_lock = 1 JOIN annotate n ON n.id = s.id AND n.annotate_switch = 2 AND n.annotate_lock = 0 JOIN o ON o.annotate_opts = n.annotate_opts WHERE s.ignore = 0"""
+SELECT DISTINCT s.id, s.path, n.annotate_opts, o.n_samples FROM assemblies s JOIN assemble a ON a.id = s.id AND a.assemble_lock = 1 JOIN annotate n ON n.id = s.id
+  AND n.annotate_switch = 2 AND n.annotate_lock = 0 JOIN o ON o.annotate_opts = n.annotate_opts WHERE s.ignore = 0"""
 )
 def q_ready_annotations(spark, base):
     # The data have no table of annotation options; the sets in use stand for it.
@@ -184,15 +190,18 @@ def q_ready_annotations(spark, base):
 
 @_query(
     f"""{_SAMPLES}, {_LOCKED}, {_latest_sql("n", "annotate", "annotate_lock, annotate_switch, annotate_opts, curate_opts, reviewed, problematic, structure")}
-SELECT id, taxon, annotate_lock, annotate_switch, annotate_opts, curate_opts, reviewed, problematic, structure FROM locked LEFT JOIN n USING (id) LEFT JOIN samples USING (id)"""
+SELECT id, taxon, annotate_lock, annotate_switch, annotate_opts, curate_opts, reviewed, problematic, structure FROM locked LEFT JOIN n USING (id) LEFT
+  JOIN samples USING (id)"""
 )
 def q_annotate_view(spark, base):
-    return annotate_view(table(spark, base, "assemble"), table(spark, base, "annotate"), _taxa(spark, base), ["annotate_lock", "annotate_switch", "annotate_opts", "curate_opts", "reviewed", "problematic", "structure"])
+    return annotate_view(table(spark, base, "assemble"), table(spark, base, "annotate"), _taxa(spark, base), ["annotate_lock", "annotate_switch", "annotate_opts",
+        "curate_opts", "reviewed", "problematic", "structure"])
 
 
 @_query(
     f"""{_SAMPLES}, {_LOCKED}, {_latest_sql("n", "annotate", f"annotate_lock, {_EXPORTED}")}
-SELECT id, taxon, export_group, curate_opts, topology, regexp_replace(structure, 'trn[A-Z]', '•', 'g') AS structure, pcgcount, trnacount, rrnacount, missing, extra, warnings
+SELECT id, taxon, export_group, curate_opts, topology, regexp_replace(structure, 'trn[A-Z]', '•', 'g') AS structure, pcgcount, trnacount, rrnacount, missing, extra,
+  warnings
 FROM locked JOIN n USING (id) LEFT JOIN samples USING (id) WHERE annotate_lock = 1"""
 )
 def q_export_view(spark, base):
@@ -201,11 +210,13 @@ def q_export_view(spark, base):
 
 @_query(
     f"""{merged_sql("removed_at IS NULL")}, {_latest_sql("n", "annotate", "curate_opts")}
-SELECT n.id, n.curate_opts, gene, type, n_calls AS count, max_len, min_len, overlap_start, overlap_stop, array_to_string(start_codons, ' ') AS starts, array_to_string(stop_codons, ' ') AS stops FROM n LEFT JOIN merged m ON m.curate_opts = n.curate_opts"""
+SELECT n.id, n.curate_opts, gene, type, n_calls AS count, max_len, min_len, overlap_start, overlap_stop, array_to_string(start_codons, ' ') AS starts,
+  array_to_string(stop_codons, ' ') AS stops FROM n LEFT JOIN merged m ON m.curate_opts = n.curate_opts"""
 )
 def q_sample_rules(spark, base):
     d = sample_rules(table(spark, base, "annotate"), table(spark, base, "curate_opts"))
-    return d.select("id", "curate_opts", "gene", "type", "count", "max_len", "min_len", "overlap_start", "overlap_stop", F.array_join("start_codons", " ").alias("starts"), F.array_join("stop_codons", " ").alias("stops"))
+    return d.select("id", "curate_opts", "gene", "type", "count", "max_len", "min_len", "overlap_start", "overlap_stop", F.array_join("start_codons",
+        " ").alias("starts"), F.array_join("stop_codons", " ").alias("stops"))
 
 
 @_query(f"{_SAMPLES} SELECT s.id, taxon, n.topology, n.path FROM samples s LEFT JOIN (SELECT DISTINCT id, topology, path FROM annotate) n ON n.id = s.id")
@@ -256,13 +267,15 @@ def q_read_paths(spark, base):
 
 
 @_query(
-    """WITH d AS (SELECT DISTINCT id, id || '.' || path || '.' || scaffold || ' ' || coalesce(topology, 'NA') AS seq_name, length(sequence) AS n FROM assemblies WHERE sequence IS NOT NULL AND id IS NOT NULL AND path IS NOT NULL AND scaffold IS NOT NULL),
+    """WITH d AS (SELECT DISTINCT id, id || '.' || path || '.' || scaffold || ' ' || coalesce(topology, 'NA') AS seq_name, length(sequence) AS n FROM assemblies
+  WHERE sequence IS NOT NULL AND id IS NOT NULL AND path IS NOT NULL AND scaffold IS NOT NULL),
 one AS (SELECT id, seq_name, max(n) AS n FROM d GROUP BY ALL) SELECT id, string_agg(seq_name || '=' || n, '; ' ORDER BY seq_name) AS lengths FROM one GROUP BY id"""
 )
 def sequence_lengths(spark, base):
     """The sequence lengths of a sample, looked up in a map by the sequences' names."""
     name = F.concat(F.concat_ws(".", "id", F.col("path").cast("string"), F.col("scaffold").cast("string")), F.lit(" "), F.coalesce("topology", F.lit("NA")))
-    d = table(spark, base, "assemblies").where("sequence is not null and id is not null and path is not null and scaffold is not null").select("id", name.alias("seq_name"), F.length("sequence").alias("n"))
+    d = table(spark, base, "assemblies").where("sequence is not null and id is not null and path is not null and scaffold is not null").select("id",
+        name.alias("seq_name"), F.length("sequence").alias("n"))
     maps = d.groupBy("id", "seq_name").agg(F.max("n").alias("n")).groupBy("id").agg(named_values(F.col("seq_name"), F.col("n")).alias("m"))
     shown = lambda m: F.transform(F.array_sort(F.map_keys(m)), lambda k: F.concat(k, F.lit("="), F.element_at(m, k).cast("string")))
     return maps.select("id", F.array_join(shown(F.col("m")), "; ").alias("lengths"))
@@ -318,7 +331,8 @@ def rows_delete(spark, base):
 
 
 @_query(
-    f"""{_OLD}, t AS (SELECT o.id, CASE WHEN n.id IS NULL THEN o.r1 ELSE n.r1 END AS r1, coalesce(reviewed, 'no') AS reviewed FROM old o LEFT JOIN new n USING (id) LEFT JOIN (SELECT id, max(reviewed) AS reviewed FROM annotate GROUP BY id) a USING (id))
+    f"""{_OLD}, t AS (SELECT o.id, CASE WHEN n.id IS NULL THEN o.r1 ELSE n.r1 END AS r1, coalesce(reviewed, 'no') AS reviewed FROM old o LEFT JOIN new n USING (id) LEFT
+  JOIN (SELECT id, max(reviewed) AS reviewed FROM annotate GROUP BY id) a USING (id))
 SELECT id, r1, reviewed, NULL AS refused FROM t UNION ALL SELECT id, r1, NULL, 'unknown key' FROM new ANTI JOIN old USING (id)"""
 )
 def samples_update(spark, base):

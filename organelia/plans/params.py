@@ -81,7 +81,8 @@ def effective_rules(params: Mapping[str, Any]) -> list[dict[str, Any]]:
     for gene, own in params["rules"].items():
         r = merge(params["default_rules"].get(own.get("type"), {}), own)
         o = r.get("overlap") or {}
-        out.append({"gene": gene, "type": r.get("type"), "count": r.get("count", 1), "max_len": r.get("max_len"), "min_len": r.get("min_len"), "overlap_start": o.get("start"), "overlap_stop": o.get("stop"), "start_codons": r.get("start_codons"), "stop_codons": r.get("stop_codons")})
+        out.append({"gene": gene, "type": r.get("type"), "count": r.get("count", 1), "max_len": r.get("max_len"), "min_len": r.get("min_len"),
+            "overlap_start": o.get("start"), "overlap_stop": o.get("stop"), "start_codons": r.get("start_codons"), "stop_codons": r.get("stop_codons")})
     return out
 
 
@@ -100,8 +101,11 @@ def merged_rules(values: DataFrame) -> DataFrame:
     One aggregation over (set, section, name) and one join on (set, type); a set is a few dozen rules.
     """
     one = lambda f: F.max(F.when(F.col("field") == f, F.col("item")))
-    listed = lambda f: F.nullif(F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct("pos", "item")))), lambda x: x["item"]), F.array().cast("array<string>"))
-    flat = values.groupBy("curate_opts", "section", "name").agg(*[one(f).alias(f.replace(".", "_")) for f in ("type", "count", "max_len", "min_len", "overlap.start", "overlap.stop")], listed("start_codons").alias("start_codons"), listed("stop_codons").alias("stop_codons"))
+    listed = lambda f: F.nullif(F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct("pos", "item")))), lambda x: x["item"]),
+        F.array().cast("array<string>"))
+    flat = values.groupBy("curate_opts", "section",
+        "name").agg(*[one(f).alias(f.replace(".", "_")) for f in ("type", "count", "max_len", "min_len", "overlap.start", "overlap.stop")],
+        listed("start_codons").alias("start_codons"), listed("stop_codons").alias("stop_codons"))
     cols = ["count", "max_len", "min_len", "overlap_start", "overlap_stop", "start_codons", "stop_codons"]
     own = flat.where("section = 'rules'").drop("section").withColumnRenamed("name", "gene")
     base = flat.where("section = 'default_rules'").select("curate_opts", F.col("name").alias("type"), *[F.col(c).alias(f"d_{c}") for c in cols])

@@ -46,7 +46,8 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
 
 def p3_tables(spark: SparkSession, base: str) -> DataFrame:
     """Rows of each subtype table, the sets they are of, and the rows whose parent is in the table it must be in."""
-    nodes = cut(rule_nodes(table(spark, base, "curate_opts").select("curate_opts", "params").distinct().withColumn("doc", F.struct("curate_opts", "params")).select(F.to_json("doc").alias("doc"), "params"), "doc"))
+    nodes = cut(rule_nodes(table(spark, base, "curate_opts").select("curate_opts", "params").distinct().withColumn("doc", F.struct("curate_opts",
+        "params")).select(F.to_json("doc").alias("doc"), "params"), "doc"))
     tables = rule_tables(nodes)
     parents = {"sets": None, "unreadable": None, "rules": "sets"} | {t: "rules" for t in VALUE_TABLES}
     parts = []
@@ -57,7 +58,8 @@ def p3_tables(spark: SparkSession, base: str) -> DataFrame:
             d = d.join(up, ["set_key", "parent_id"], "left")
         else:
             d = d.withColumn("up", F.when(F.col("parent_id") == 0, 1))
-        parts.append(d.agg(F.count("*").alias("n_rows"), F.count_distinct("set_key").alias("n_documents"), F.count("up").alias("n_linked")).select(F.lit(name).alias("subtype"), "*"))
+        parts.append(d.agg(F.count("*").alias("n_rows"), F.count_distinct("set_key").alias("n_documents"),
+            F.count("up").alias("n_linked")).select(F.lit(name).alias("subtype"), "*"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -91,13 +93,17 @@ WITH calls AS (SELECT id, path, scaffold, direction, pos1, pos2 FROM annotations
   SELECT id, path, scaffold, direction, pos1 AS s, CASE WHEN pos1 <= pos2 THEN pos2 END AS e FROM calls
   UNION ALL SELECT id, path, scaffold, direction, 1, pos2 FROM calls WHERE pos1 > pos2
 ), seen AS (
-  SELECT *, max(coalesce(e, 9e18::BIGINT)) OVER (PARTITION BY id, path, scaffold, direction ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM spans
+  SELECT *, max(coalesce(e, 9e18::BIGINT)) OVER (PARTITION BY id, path, scaffold, direction ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+    FROM spans
 )"""
 
 _P2 = " UNION ALL ".join(
-    f"""SELECT '{child}' AS table_name, strftime(c.loaded_at, '%Y-%m') AS period, c.id, lower(trim(c.{field}, ' ' || chr(9) || chr(10) || chr(13))) AS ref_key FROM {child} c WHERE c.{field} IS NOT NULL AND NOT EXISTS (
-  SELECT 1 FROM {parent} p WHERE lower(trim(p.{key}, ' ' || chr(9) || chr(10) || chr(13))) = lower(trim(c.{field}, ' ' || chr(9) || chr(10) || chr(13))) AND p.loaded_at <= c.loaded_at AND (p.removed_at IS NULL OR c.loaded_at < p.removed_at))"""
-    for child, field, parent, key in (("preprocess", "pre_opts", "pre_opts", "pre_opts"), ("assemble", "assemble_opts", "assemble_opts", "assemble_opts"), ("annotate", "curate_opts", "curate_opts", "curate_opts"), ("annotations", "id", "annotate", "id"))
+    f"""SELECT '{child}' AS table_name, strftime(c.loaded_at, '%Y-%m') AS period, c.id, lower(trim(c.{field}, ' ' || chr(9) || chr(10) || chr(13))) AS ref_key
+  FROM {child} c WHERE c.{field} IS NOT NULL AND NOT EXISTS (
+  SELECT 1 FROM {parent} p WHERE lower(trim(p.{key}, ' ' || chr(9) || chr(10) || chr(13))) = lower(trim(c.{field}, ' ' || chr(9) || chr(10) || chr(13)))
+    AND p.loaded_at <= c.loaded_at AND (p.removed_at IS NULL OR c.loaded_at < p.removed_at))"""
+    for child, field, parent, key in (("preprocess", "pre_opts", "pre_opts", "pre_opts"), ("assemble", "assemble_opts", "assemble_opts", "assemble_opts"), ("annotate",
+        "curate_opts", "curate_opts", "curate_opts"), ("annotations", "id", "annotate", "id"))
 )
 
 
@@ -116,7 +122,8 @@ def _values_sql(blanks: bool) -> str:
 
 def _packed_sql(table_name: str, key: str, field: str, blanks: bool) -> str:
     return f"""SELECT DISTINCT '{table_name}' AS table_name, '{field}' AS field_name, row_key, i::INT AS pos, v[i] AS item FROM (
-  SELECT row_key, v, unnest(range(1, len(v) + 1)) AS i FROM (SELECT {key} AS row_key, {_values_sql(blanks)} AS v FROM (SELECT *, {field} AS text FROM {table_name}) WHERE text IS NOT NULL) WHERE len(v) >= 2)"""
+  SELECT row_key, v, unnest(range(1, len(v) + 1)) AS i FROM (SELECT {key} AS row_key, {_values_sql(blanks)} AS v FROM (SELECT *, {field} AS text FROM {table_name})
+    WHERE text IS NOT NULL) WHERE len(v) >= 2)"""
 
 
 _CALL_KEY = "concat(id, '|', path, '|', scaffold, '|', gene, '|', pos1)"
@@ -129,13 +136,17 @@ def _cells_sql(record: str) -> str:
 
 
 _P6 = f"""
-WITH heads AS (SELECT sheet, list_transform({_cells_sql("regexp_replace(ltrim(min(raw), chr(65279)), '[\r\n]+$', '')")}, lambda c: lower(trim(c, {_OUTER}))) AS names FROM mapping_test WHERE line_no = 1 GROUP BY sheet
+WITH heads AS (SELECT sheet, list_transform({_cells_sql("regexp_replace(ltrim(min(raw), chr(65279)), '[\r\n]+$', '')")}, lambda c: lower(trim(c, {_OUTER}))) AS names
+  FROM mapping_test WHERE line_no = 1 GROUP BY sheet
 ), body AS (SELECT sheet, line_no, raw, regexp_replace(raw, '[\r\n]+$', '') AS record, names FROM mapping_test LEFT JOIN heads USING (sheet) WHERE line_no <> 1
 ), cut AS (SELECT *, regexp_full_match(record, '(?s)(?:{_CELL})(?:,(?:{_CELL}))*') AS quoted, {_cells_sql("record")} AS cells FROM body
-), named AS (SELECT *, quoted AND len(cells) = len(names) AS counted, trim(cells[list_position(names, 'id')], {_OUTER}) AS i, trim(cells[list_position(names, 'taxon')], {_OUTER}) AS t, trim(cells[list_position(names, 'r1')], {_OUTER}) AS a, trim(cells[list_position(names, 'r2')], {_OUTER}) AS b FROM cut
+), named AS (SELECT *, quoted AND len(cells) = len(names) AS counted, trim(cells[list_position(names, 'id')], {_OUTER}) AS i, trim(cells[list_position(names, 'taxon')],
+  {_OUTER}) AS t, trim(cells[list_position(names, 'r1')], {_OUTER}) AS a, trim(cells[list_position(names, 'r2')], {_OUTER}) AS b FROM cut
 ), checked AS (
-  SELECT *, CASE WHEN names IS NULL THEN 'no header' WHEN NOT quoted THEN 'quoting' WHEN NOT counted THEN 'field count' WHEN i = '' THEN 'id empty' WHEN length(i) > 18 THEN 'id too long' WHEN t = '' THEN 'taxon empty'
-    WHEN NOT regexp_matches(a, '\\.(fastq|fq)(\\.gz)?$') THEN 'r1 not a read file' WHEN NOT regexp_matches(b, '\\.(fastq|fq)(\\.gz)?$') THEN 'r2 not a read file' WHEN a = b THEN 'r1 equals r2' END AS why FROM named
+  SELECT *, CASE WHEN names IS NULL THEN 'no header' WHEN NOT quoted THEN 'quoting' WHEN NOT counted THEN 'field count' WHEN i = '' THEN 'id empty'
+    WHEN length(i) > 18 THEN 'id too long' WHEN t = '' THEN 'taxon empty'
+    WHEN NOT regexp_matches(a, '\\.(fastq|fq)(\\.gz)?$') THEN 'r1 not a read file' WHEN NOT regexp_matches(b, '\\.(fastq|fq)(\\.gz)?$') THEN 'r2 not a read file'
+      WHEN a = b THEN 'r1 equals r2' END AS why FROM named
 ), firsts AS (SELECT sheet, i, min(line_no) AS first_line FROM checked WHERE why IS NULL GROUP BY ALL
 ), done AS (SELECT c.*, CASE WHEN why IS NULL AND line_no > first_line THEN 'id repeated' ELSE why END AS reason FROM checked c LEFT JOIN firsts USING (sheet, i))"""
 
@@ -160,7 +171,8 @@ WITH src AS (SELECT DISTINCT curate_opts, params FROM curate_opts
 , objects AS (SELECT * FROM item WHERE json_type(v) = 'OBJECT' UNION ALL SELECT * FROM sec WHERE json_type(v) = 'OBJECT')
 , {_opened("gene", "objects", "curate_opts, params, section, v AS rule", "v->'gene'")}
 , {_opened("entry", f"(SELECT *, unnest(json_keys(rule)) AS name FROM gene WHERE NOT coalesce({_P3_VALUE}, false))", "curate_opts, params, section, name", "json_extract(rule, '$.\"' || name || '\"')")}
-, rule AS (SELECT curate_opts, params, section, {_P3_TEXT} AS name, rule AS v FROM gene WHERE {_P3_VALUE} UNION ALL SELECT curate_opts, params, section, name, v FROM entry WHERE json_type(v) = 'OBJECT')
+, rule AS (SELECT curate_opts, params, section, {_P3_TEXT} AS name, rule AS v FROM gene WHERE {_P3_VALUE} UNION ALL SELECT curate_opts, params, section, name, v
+  FROM entry WHERE json_type(v) = 'OBJECT')
 , {_opened("field", "rule, (VALUES ('type'), ('count'), ('max_len'), ('min_len'), ('overlap'), ('start_codons'), ('stop_codons')) x(field)", "curate_opts, params, section, name, field", "v->field")}
 , {_opened("lap", "(SELECT curate_opts, params, section, name, v FROM field WHERE field = 'overlap' AND json_type(v) = 'OBJECT'), (VALUES ('start'), ('stop')) x(part)", "curate_opts, params, section, name, part", "v->part")}
 , {_opened("codon", "(SELECT * FROM (SELECT *, unnest(from_json(v, '[\"JSON\"]')) AS w, generate_subscripts(from_json(v, '[\"JSON\"]'), 1) AS pos FROM field WHERE field LIKE '%codons' AND json_type(v) = 'ARRAY'))", "curate_opts, params, section, name, field, pos", "w")}
@@ -175,15 +187,21 @@ ORACLE = {
     "p3_found": f"{_P3} SELECT DISTINCT curate_opts, section, name, field, pos, item FROM found",
     "p3_tables": f"""{_P3}, kinds AS (SELECT curate_opts, params, {_P3_KIND} AS subtype FROM found
   UNION ALL SELECT curate_opts, params, 'rules' FROM rule UNION ALL SELECT curate_opts, params, 'sets' FROM doc WHERE json_type(v) = 'OBJECT'
-  UNION ALL SELECT curate_opts, params, 'unreadable' FROM src WHERE NOT EXISTS (SELECT 1 FROM doc d WHERE d.curate_opts IS NOT DISTINCT FROM src.curate_opts AND d.params = src.params AND json_type(d.v) = 'OBJECT'))
-SELECT s.subtype, count(k.subtype) AS n_rows, count(DISTINCT CASE WHEN k.subtype IS NOT NULL THEN (k.curate_opts, coalesce(k.params, '-null-')) END) AS n_documents, count(k.subtype) AS n_linked
-FROM (VALUES ('sets'), ('unreadable'), ('rules'), ('limits'), ('types'), ('overlap_starts'), ('overlap_stops'), ('codons'), ('texts')) s(subtype) LEFT JOIN kinds k USING (subtype) GROUP BY s.subtype""",
+  UNION ALL SELECT curate_opts, params, 'unreadable' FROM src WHERE NOT EXISTS (SELECT 1 FROM doc d WHERE d.curate_opts IS NOT DISTINCT FROM src.curate_opts
+    AND d.params = src.params AND json_type(d.v) = 'OBJECT'))
+SELECT s.subtype, count(k.subtype) AS n_rows, count(DISTINCT CASE WHEN k.subtype IS NOT NULL THEN (k.curate_opts, coalesce(k.params, '-null-')) END) AS n_documents,
+  count(k.subtype) AS n_linked
+FROM (VALUES ('sets'), ('unreadable'), ('rules'), ('limits'), ('types'), ('overlap_starts'), ('overlap_stops'), ('codons'), ('texts')) s(subtype) LEFT
+  JOIN kinds k USING (subtype) GROUP BY s.subtype""",
     "p1_found": f"{_P1} SELECT id, path, scaffold, direction, before + 1 AS gap_start, s - 1 AS gap_end FROM seen WHERE s > before + 1",
-    "p1_covered": f"""{_P1}, marked AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY id, path, scaffold, direction ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM seen)
-SELECT id, path, scaffold, direction, min(s) AS period_start, CASE WHEN count(e) = count(*) THEN max(e) END AS period_end FROM marked GROUP BY id, path, scaffold, direction, k""",
+    "p1_covered": f"""{_P1}, marked AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY id, path, scaffold,
+  direction ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM seen)
+SELECT id, path, scaffold, direction, min(s) AS period_start, CASE WHEN count(e) = count(*) THEN max(e) END AS period_end FROM marked GROUP BY id, path, scaffold,
+  direction, k""",
     "p2_found": f"SELECT DISTINCT * FROM ({_P2})",
     "p2_report": f"SELECT table_name, period, count(*) AS n_orphans, count(DISTINCT ref_key) AS n_keys FROM (SELECT DISTINCT * FROM ({_P2})) GROUP BY ALL",
-    "p4_found": " UNION ALL ".join([_packed_sql("annotations", _CALL_KEY, "warnings", False), _packed_sql("annotations", _CALL_KEY, "notes", False), _packed_sql("annotate", "id", "missing", True), _packed_sql("annotate", "id", "extra", True)]),
+    "p4_found": " UNION ALL ".join([_packed_sql("annotations", _CALL_KEY, "warnings", False), _packed_sql("annotations", _CALL_KEY, "notes", False),
+        _packed_sql("annotate", "id", "missing", True), _packed_sql("annotate", "id", "extra", True)]),
     "p6_found": f"{_P6} SELECT sheet, line_no FROM done WHERE reason IS NOT NULL",
     "p6_rejects": f"{_P6} SELECT sheet, line_no, reason, raw FROM done WHERE reason IS NOT NULL",
     "p6_valid": f"{_P6} SELECT sheet, line_no, i AS id, t AS taxon, a AS r1, b AS r2 FROM done WHERE reason IS NULL",

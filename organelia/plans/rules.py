@@ -94,7 +94,8 @@ _WARNED = f"""{_calls_sql("start_codon, stop_codon, translation, refhits")}, {RU
   SELECT {_KEYS}, max(ov) AS a, max(CASE WHEN CASE direction WHEN '+' THEN pos1 ELSE pos2 END BETWEEN q1 AND q2 THEN ov END) AS st,
     max(CASE WHEN CASE direction WHEN '+' THEN pos2 ELSE pos1 END BETWEEN q1 AND q2 THEN ov END) AS sp FROM o GROUP BY ALL
 ), w AS (
-  SELECT d.*, a, st, sp, r.*, coalesce(a / len > 0.25, false) AS over_, coalesce(low_coverage, false) AS low_, coalesce(high_error, false) AS high_, coalesce(n > allowed, false) AS dup,
+  SELECT d.*, a, st, sp, r.*, coalesce(a / len > 0.25, false) AS over_, coalesce(low_coverage, false) AS low_, coalesce(high_error, false) AS high_, coalesce(n > allowed,
+    false) AS dup,
     rank() OVER (PARTITION BY d.id, d.path ORDER BY scaffold, pos1, pos2, gene, direction, type) = 1 AS f,
     rank() OVER (PARTITION BY d.id, d.path ORDER BY scaffold DESC, pos1 DESC, pos2 DESC, gene DESC, direction DESC, type DESC) = 1 AS l
   FROM d LEFT JOIN x USING ({_KEYS}) LEFT JOIN rules r ON rgene = gene LEFT JOIN weak USING ({_KEYS}) LEFT JOIN n USING (id, path, gene)
@@ -137,7 +138,8 @@ def rules_warnings(spark, base):
 
 
 @_query(
-    f"""WITH {_WARNED}, m AS (SELECT id, path, string_agg(CASE WHEN missing THEN gene END, '; ' ORDER BY rank) AS missing, sum(extra)::BIGINT AS extra FROM counted GROUP BY ALL)
+    f"""WITH {_WARNED}, m AS (SELECT id, path, string_agg(CASE WHEN missing THEN gene END, '; ' ORDER BY rank) AS missing, sum(extra)::BIGINT AS extra FROM counted
+  GROUP BY ALL)
 SELECT id, path, count(DISTINCT scaffold) AS scaffolds, string_agg(gene, '|' ORDER BY scaffold, pos1, pos2, gene) AS structure,
  count_if(type = 'PCG')::BIGINT AS pcg_count, count_if(type = 'tRNA')::BIGINT AS trna_count, count_if(type = 'rRNA')::BIGINT AS rrna_count,
  count_if(warnings <> '')::BIGINT AS warned, any_value(m.missing) AS missing, any_value(m.extra) AS extra FROM warned JOIN m USING (id, path) GROUP BY id, path"""

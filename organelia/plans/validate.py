@@ -23,7 +23,8 @@ def count_range(count: Any) -> tuple[int, int]:
 def _listed(rules: Sequence[Mapping[str, Any]]) -> Column:
     """The genes of the rules with the calls they allow, as an array in the plan: a parameter set has a few dozen."""
     rows = [(i, r["gene"], *count_range(r["count"])) for i, r in enumerate(rules)]
-    return F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(g).alias("gene"), F.lit(a).cast("long").alias("least"), F.lit(b).cast("long").alias("most")) for i, g, a, b in rows])
+    return F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(g).alias("gene"), F.lit(a).cast("long").alias("least"), F.lit(b).cast("long").alias("most")) for i, g, a,
+        b in rows])
 
 
 def count_findings(calls: DataFrame, samples: DataFrame, rules: Sequence[Mapping[str, Any]], sample: Sequence[str]) -> DataFrame:
@@ -34,7 +35,8 @@ def count_findings(calls: DataFrame, samples: DataFrame, rules: Sequence[Mapping
     d = expected.join(n, [*sample, "gene"], "left").withColumn("n_calls", F.coalesce("n_calls", zero))
     # A gene that is missing is not counted as extra too.
     missing = F.col("n_calls") < F.col("least")
-    return d.select(*sample, "gene", "rank", "n_calls", missing.alias("missing"), F.when(missing, zero).otherwise(F.greatest(F.col("n_calls") - F.col("most"), zero)).alias("extra"))
+    return d.select(*sample, "gene", "rank", "n_calls", missing.alias("missing"), F.when(missing,
+        zero).otherwise(F.greatest(F.col("n_calls") - F.col("most"), zero)).alias("extra"))
 
 
 def with_duplicates(calls: DataFrame, every: DataFrame, rules: Sequence[Mapping[str, Any]], sample: Sequence[str]) -> DataFrame:
@@ -56,7 +58,8 @@ def segments(calls: DataFrame, contig_length: str) -> DataFrame:
     """Calls as (start, end) pieces; one over the origin gives two. A call over the origin of a contig of unknown length ends at its own pos1."""
     wraps = F.col("pos1") > F.col("pos2")
     piece = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))
-    parts = F.when(wraps, F.array(piece(F.col("pos1"), F.greatest(F.coalesce(contig_length, "pos1"), F.col("pos1"))), piece(F.lit(1), F.col("pos2")))).otherwise(F.array(piece(F.col("pos1"), F.col("pos2"))))
+    parts = F.when(wraps, F.array(piece(F.col("pos1"), F.greatest(F.coalesce(contig_length, "pos1"), F.col("pos1"))), piece(F.lit(1),
+        F.col("pos2")))).otherwise(F.array(piece(F.col("pos1"), F.col("pos2"))))
     return calls.select("*", F.inline(parts))
 
 
@@ -116,7 +119,8 @@ def worst_of(found: DataFrame, keys: Sequence[str], call: Sequence[str]) -> Data
     plus = F.col("direction") == "+"
     at_start = F.when(plus, inside("pos1")).otherwise(inside("pos2"))
     at_stop = F.when(plus, inside("pos2")).otherwise(inside("pos1"))
-    return found.groupBy(*keys, *call).agg(F.max("overlap").alias("any_overlap"), F.max(F.when(at_start, F.col("overlap"))).alias("start_overlap"), F.max(F.when(at_stop, F.col("overlap"))).alias("stop_overlap"))
+    return found.groupBy(*keys, *call).agg(F.max("overlap").alias("any_overlap"), F.max(F.when(at_start, F.col("overlap"))).alias("start_overlap"),
+        F.max(F.when(at_stop, F.col("overlap"))).alias("stop_overlap"))
 
 
 def worst_overlaps_of(calls: DataFrame, keys: Sequence[str], call: Sequence[str], contig_length: str, bucket: int = BUCKET) -> DataFrame:
@@ -151,7 +155,8 @@ def weak_regions(track: DataFrame, pieces: DataFrame, keys: Sequence[str], call:
     """(keys, call, n_bases, low_coverage, high_error): calls with over ``share`` of their bases at depth 10 or less, or at an error of 0.05 or more. NULL counts as neither."""
     j = point_join(track, pieces.select(*keys, *call, "start", "end"), keys, "position", bucket)
     part = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int")) / F.count("*") > share
-    return j.groupBy(*keys, *call).agg(F.count("*").alias("n_bases"), part(F.col("depth") <= 10).alias("low_coverage"), part(F.col("error_rate") >= 0.05).alias("high_error"))
+    return j.groupBy(*keys, *call).agg(F.count("*").alias("n_bases"), part(F.col("depth") <= 10).alias("low_coverage"),
+        part(F.col("error_rate") >= 0.05).alias("high_error"))
 
 
 def sample_summary(calls: DataFrame, sample: Sequence[str], contig: Sequence[str], order: Sequence[str], findings: DataFrame | None = None) -> DataFrame:

@@ -91,13 +91,16 @@ def gff3(calls: DataFrame, source: str = "organelia") -> DataFrame:
     """
     wraps = (F.col("topology") == "circular") & (F.col("pos1") > F.col("pos2"))
     end = F.when(wraps, F.col("contig_length") + F.col("pos2")).otherwise(F.col("pos2"))
-    row = lambda feature, phase, attributes: _tab(F.col("seq_name"), source, feature, F.col("pos1").cast("string"), end.cast("string"), ".", F.col("direction"), phase, attributes)
+    row = lambda feature, phase, attributes: _tab(F.col("seq_name"), source, feature, F.col("pos1").cast("string"), end.cast("string"), ".", F.col("direction"), phase,
+        attributes)
     kind, gene, product = F.col("type"), F.col("gene"), F.coalesce("product", F.lit(""))
     place = F.concat(F.col("seq_name"), F.lit(":"), F.col("pos1").cast("string"), F.lit(".."), F.col("pos2").cast("string"))
     text = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
-    cds = text("ID=cds-", gene, ";Parent=gene-", gene, ";Name=", gene, ";gbkey=CDS;gene=", gene, ";product=", product, ";transl_table=", F.col("genetic_code").cast("string"), F.coalesce(F.concat(F.lit(";Note="), F.col("note")), F.lit("")))
+    cds = text("ID=cds-", gene, ";Parent=gene-", gene, ";Name=", gene, ";gbkey=CDS;gene=", gene, ";product=", product, ";transl_table=",
+        F.col("genetic_code").cast("string"), F.coalesce(F.concat(F.lit(";Note="), F.col("note")), F.lit("")))
     lines = (
-        F.when(kind == "PCG", F.array(row("gene", ".", text("ID=gene-", gene, ";Name=", gene, ";gbkey=Gene;gene=", gene, ";gene_biotype=protein_coding")), row("CDS", "0", cds)))
+        F.when(kind == "PCG", F.array(row("gene", ".", text("ID=gene-", gene, ";Name=", gene, ";gbkey=Gene;gene=", gene, ";gene_biotype=protein_coding")), row("CDS", "0",
+            cds)))
         .when(
             kind.isin("tRNA", "rRNA"),
             F.array(
@@ -112,8 +115,10 @@ def gff3(calls: DataFrame, source: str = "organelia") -> DataFrame:
 
 def gff3_heads(contigs: DataFrame, source: str = "organelia") -> DataFrame:
     """The version and region lines of each contig (seq_name, contig_length), to stand before its calls."""
-    region = _tab(F.col("seq_name"), source, "region", "1", F.col("contig_length").cast("string"), ".", "+", ".", F.concat(F.lit("ID="), F.col("seq_name"), F.lit(":1.."), F.col("contig_length").cast("string"), F.lit(";Name=MT;mol_type=genomic DNA")))
-    return contigs.select("seq_name", F.lit(0).cast("long").alias("pos1"), F.lit("").alias("gene"), F.posexplode(F.array(F.lit("##gff-version 3"), region)).alias("n", "line"))
+    region = _tab(F.col("seq_name"), source, "region", "1", F.col("contig_length").cast("string"), ".", "+", ".", F.concat(F.lit("ID="), F.col("seq_name"), F.lit(":1.."),
+        F.col("contig_length").cast("string"), F.lit(";Name=MT;mol_type=genomic DNA")))
+    return contigs.select("seq_name", F.lit(0).cast("long").alias("pos1"), F.lit("").alias("gene"), F.posexplode(F.array(F.lit("##gff-version 3"), region)).alias("n",
+        "line"))
 
 
 def end_trimmed(calls: DataFrame, contigs: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -124,7 +129,8 @@ def end_trimmed(calls: DataFrame, contigs: DataFrame, keys: Sequence[str]) -> tu
     span = calls.groupBy(*keys).agg(F.min(F.least("pos1", "pos2")).alias("first"), F.max(F.greatest("pos1", "pos2")).alias("last"))
     c = contigs.join(span, list(keys), "left")
     linear = (F.col("topology") == "linear") & F.col("first").isNotNull()
-    cut = c.withColumn("sequence", F.when(linear, F.substr("sequence", F.col("first").cast("int"), (F.col("last") - F.col("first") + 1).cast("int"))).otherwise(F.col("sequence")))
+    cut = c.withColumn("sequence", F.when(linear,
+        F.substr("sequence", F.col("first").cast("int"), (F.col("last") - F.col("first") + 1).cast("int"))).otherwise(F.col("sequence")))
     cut = cut.withColumn("shift", F.when(linear, F.col("first") - 1).otherwise(0))
     moved = calls.join(cut.select(*keys, "shift"), list(keys)).withColumns({"pos1": F.col("pos1") - F.col("shift"), "pos2": F.col("pos2") - F.col("shift")}).drop("shift")
     return cut.drop("first", "last", "shift"), moved

@@ -47,7 +47,8 @@ def fasta(spark: SparkSession, path: str, glob: str | None = None, recursive: bo
         reader = reader.option("pathGlobFilter", glob)
     record = F.regexp_replace("value", r"^>", "")
     body = F.regexp_extract(record, r"(?s)^[^\n]*\n(.*)$", 1)
-    return reader.text(path).select(F.rtrim(F.regexp_extract(record, r"^([^\r\n]*)", 1)).alias("header"), F.regexp_replace(body, r"\s+", "").alias("sequence")).where("header <> ''")
+    return reader.text(path).select(F.rtrim(F.regexp_extract(record, r"^([^\r\n]*)", 1)).alias("header"), F.regexp_replace(body, r"\s+",
+        "").alias("sequence")).where("header <> ''")
 
 
 def assemblies_fasta(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -62,7 +63,8 @@ def protein_fasta(spark: SparkSession, path: str, **options) -> DataFrame:
     p = r"^([^:\s]+):(.+?)-([+-]|[^-\s]*)-(\d+)-(\d+)\s*(.*)$"
     part = lambda i: F.regexp_extract("header", p, i)
     return fasta(spark, path, **options).select(
-        F.regexp_extract("header", r"^([^:\s]+)", 1).alias("acc"), part(2).alias("gene"), part(3).alias("strand"), part(4).try_cast("long").alias("start"), part(5).try_cast("long").alias("end"), part(6).alias("taxon"), "sequence"
+        F.regexp_extract("header", r"^([^:\s]+)", 1).alias("acc"), part(2).alias("gene"), part(3).alias("strand"), part(4).try_cast("long").alias("start"),
+            part(5).try_cast("long").alias("end"), part(6).alias("taxon"), "sequence"
     )
 
 
@@ -73,8 +75,10 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.csv(path, sep="\t", header=False, schema=READ_COUNT_SCHEMA)
     count = lambda c: F.split(c, ":")[1].try_cast("double")
-    correct = F.when(F.col("ref_base") == "A", count("a")).when(F.col("ref_base") == "C", count("c")).when(F.col("ref_base") == "G", count("g")).when(F.col("ref_base") == "T", count("t"))
-    return raw.select("seq_id", "position", F.col("ref_base").alias("call"), F.col("depth").cast("double").alias("depth"), correct.alias("correct")).withColumn("error_rate", F.try_divide(F.col("depth") - F.col("correct"), F.col("depth")))
+    correct = F.when(F.col("ref_base") == "A", count("a")).when(F.col("ref_base") == "C", count("c")).when(F.col("ref_base") == "G",
+        count("g")).when(F.col("ref_base") == "T", count("t"))
+    return raw.select("seq_id", "position", F.col("ref_base").alias("call"), F.col("depth").cast("double").alias("depth"),
+        correct.alias("correct")).withColumn("error_rate", F.try_divide(F.col("depth") - F.col("correct"), F.col("depth")))
 
 
 def coverage_stats(spark: SparkSession, path: str) -> DataFrame:
@@ -82,7 +86,8 @@ def coverage_stats(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.csv(path, header=True, schema=STATS_SCHEMA)
     value = lambda c: F.regexp_replace(c, "^#", "").try_cast("double")
     marked = lambda c: F.coalesce(F.startswith(c, F.lit("#")), F.lit(False))
-    return raw.select("seq_id", "position", "call", "depth", "correct", value(F.col("error_rate")).alias("error_rate"), value(F.col("mean_depth")).alias("mean_depth"), "gc", (marked(F.col("mean_depth")) | marked(F.col("error_rate"))).alias("mask"))
+    return raw.select("seq_id", "position", "call", "depth", "correct", value(F.col("error_rate")).alias("error_rate"), value(F.col("mean_depth")).alias("mean_depth"),
+        "gc", (marked(F.col("mean_depth")) | marked(F.col("error_rate"))).alias("mask"))
 
 
 def trna_table(spark: SparkSession, path: str) -> DataFrame:
@@ -91,7 +96,8 @@ def trna_table(spark: SparkSession, path: str) -> DataFrame:
     at = lambda i: F.trim(F.get(cells, F.lit(i)))
     lines = spark.read.text(path).where(~F.col("value").rlike(r"^(Sequence|Name|-{4,})\b|^-{4,}") & (F.trim("value") != ""))
     return lines.select(
-        at(0).alias("seq"), at(1).try_cast("int").alias("idx"), at(2).try_cast("long").alias("begin"), at(3).try_cast("long").alias("end"), at(4).alias("type"), at(5).alias("anticodon"),
+        at(0).alias("seq"), at(1).try_cast("int").alias("idx"), at(2).try_cast("long").alias("begin"), at(3).try_cast("long").alias("end"), at(4).alias("type"),
+            at(5).alias("anticodon"),
         at(6).try_cast("long").alias("intron_begin"), at(7).try_cast("long").alias("intron_end"), at(8).try_cast("double").alias("score"), at(9).alias("notes"),
     )
 
@@ -103,14 +109,16 @@ def gene_call_headers(spark: SparkSession, path: str, **options) -> DataFrame:
     return (
         fasta(spark, path, **options)
         .where(F.col("header").rlike(p))
-        .select(part(1).alias("contig"), part(2).cast("long").alias("pos1"), part(3).cast("long").alias("pos2"), part(4).alias("direction"), part(5).alias("gene_id"), F.regexp_extract(part(5), r"^[a-zA-Z0-9]+", 0).alias("gene"))
+        .select(part(1).alias("contig"), part(2).cast("long").alias("pos1"), part(3).cast("long").alias("pos2"), part(4).alias("direction"), part(5).alias("gene_id"),
+            F.regexp_extract(part(5), r"^[a-zA-Z0-9]+", 0).alias("gene"))
     )
 
 
 def search_hits(spark: SparkSession, path: str, with_sequence: bool = False) -> DataFrame:
     """(acc, taxon, eval) from tabular search output ``title<TAB>e-value``; ``with_sequence`` also (target) from a third column."""
     raw = spark.read.csv(path, sep="\t", header=False, schema="hit string, eval double" + (", target string" if with_sequence else ""))
-    return raw.select(F.regexp_extract("hit", r"^[^:]+", 0).alias("acc"), F.regexp_replace("hit", r"^\S+ ", "").alias("taxon"), "eval", *(["target"] if with_sequence else []))
+    return raw.select(F.regexp_extract("hit", r"^[^:]+", 0).alias("acc"), F.regexp_replace("hit", r"^\S+ ", "").alias("taxon"), "eval",
+        *(["target"] if with_sequence else []))
 
 
 def trimming_report(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -146,7 +154,8 @@ def files_of(spark: SparkSession, folder: str, pattern: str = "*", name: str | N
 def fasta_summary(records: DataFrame) -> DataFrame:
     """(n, n_names, shortest, longest, bases) of FASTA records."""
     n = F.length("sequence")
-    return records.agg(F.count("*").alias("n"), F.count_distinct("header").alias("n_names"), F.min(n).alias("shortest"), F.max(n).alias("longest"), F.sum(n.cast("long")).alias("bases"))
+    return records.agg(F.count("*").alias("n"), F.count_distinct("header").alias("n_names"), F.min(n).alias("shortest"), F.max(n).alias("longest"),
+        F.sum(n.cast("long")).alias("bases"))
 
 
 _GENBANK = "name string, definition string, organism string, organelle string, n_features int, features map<string,int>, products array<string>, sequence string"
@@ -169,13 +178,15 @@ def genbank(spark: SparkSession, path: str) -> DataFrame:
             types[m.group(1)] = types.get(m.group(1), 0) + 1
         body = table[1] if len(table) > 1 else ""
         products = [" ".join(p.split()) for p in re.findall(r'/product="([^"]*)"', body)]
-        return (one(r"^LOCUS\s+(\S+)", head), one(r"^DEFINITION\s+(.*)$", head), one(r"^  ORGANISM\s+(.*)$", head), one(r'/organelle="([^"]*)"', body), sum(types.values()), list(types.items()), products, re.sub(r"[^A-Za-z]", "", origin).upper())
+        return (one(r"^LOCUS\s+(\S+)", head), one(r"^DEFINITION\s+(.*)$", head), one(r"^  ORGANISM\s+(.*)$", head), one(r'/organelle="([^"]*)"', body),
+            sum(types.values()), list(types.items()), products, re.sub(r"[^A-Za-z]", "", origin).upper())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = [r for t in f["value"] if t is not None and (r := parse("\n" + t)) is not None]
             if rows:
-                yield pd.DataFrame([dict(zip(("name", "definition", "organism", "organelle", "n_features", "features", "products", "sequence"), (*r[:5], dict(r[5]), *r[6:]), strict=True)) for r in rows])
+                yield pd.DataFrame([dict(zip(("name", "definition", "organism", "organelle", "n_features", "features", "products", "sequence"), (*r[:5], dict(r[5]),
+                    *r[6:]), strict=True)) for r in rows])
 
     ship(spark)
     return spark.read.option("lineSep", "\n//").text(path).mapInPandas(run, _GENBANK)
