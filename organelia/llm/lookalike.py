@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from organelia.session import cut
 
 # Characters without a look of their own, as code point ranges.
-INVISIBLE = ((0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x180B, 0x180E), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x2064), (0x2066, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF))
+INVISIBLE = ((0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x180B, 0x180E), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x2064), (0x2066, 0x206F), (0xFE00,
+    0xFE0F), (0xFEFF, 0xFEFF))
 # Blanks that look like the plain one.
 BLANKS = ((0x00A0, 0x00A0), (0x1680, 0x1680), (0x2000, 0x200A), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
 # Hyphens that look like the plain one. The dashes are longer and stay.
@@ -142,10 +143,12 @@ def classes(documents: DataFrame, collation: str = "UNICODE") -> DataFrame:
     forms = ids.groupBy("form_id").agg(F.min("doc_id").alias("rep"), F.min("bone").alias("bone"))
     shared = forms.groupBy("bone").agg(F.count("*").alias("n")).where("n > 1").select("bone")
     suspects = forms.join(shared, "bone")
-    fetched = docs.join(suspects.withColumnRenamed("rep", "doc_id"), "doc_id").select("form_id", F.col("doc_id").alias("rep"), "bone", look_alike_form(F.col("text")).alias("form"))
+    fetched = docs.join(suspects.withColumnRenamed("rep", "doc_id"), "doc_id").select("form_id", F.col("doc_id").alias("rep"), "bone",
+        look_alike_form(F.col("text")).alias("form"))
     # A repeated doc_id may bring another of its texts along. Values of one skeleton come together by its
     # hash, so the collation only ever compares likely equals.
-    values = cut(fetched.where(hashed("form") == F.col("form_id")).dropDuplicates(["form_id"]).select("form_id", "rep", "bone", F.collate("form", collation).alias("form")).repartition("bone"))
+    values = cut(fetched.where(hashed("form") == F.col("form_id")).dropDuplicates(["form_id"]).select("form_id", "rep", "bone", F.collate("form",
+        collation).alias("form")).repartition("bone"))
     canonical = values.groupBy("bone", "form").agg(F.min("rep").alias("class_id"))
     named = values.join(canonical, ["bone", "form"]).select("form_id", "class_id")
     of = forms.join(named, "form_id", "left").select("form_id", F.coalesce("class_id", "rep").alias("class_id"))
@@ -161,7 +164,8 @@ def equal_looking_pairs(found: DataFrame) -> DataFrame:
     several = found.groupBy("class_id").agg(F.min("text_id").alias("x"), F.max("text_id").alias("y")).where("x <> y").select("class_id")
     few = found.join(several, "class_id", "left_semi").distinct()
     texts = few.select("class_id", "text_id").distinct()
-    pairs = texts.select("class_id", F.col("text_id").alias("ta")).join(texts.select("class_id", F.col("text_id").alias("tb")), "class_id").where("ta < tb").select("ta", "tb")
+    pairs = texts.select("class_id", F.col("text_id").alias("ta")).join(texts.select("class_id", F.col("text_id").alias("tb")), "class_id").where("ta < tb").select("ta",
+        "tb")
     a = few.select(F.col("text_id").alias("ta"), F.col("doc_id").alias("da")).distinct()
     b = few.select(F.col("text_id").alias("tb"), F.col("doc_id").alias("db")).distinct()
     return pairs.join(a, "ta").join(b, "tb").where("da <> db").select(F.least("da", "db").alias("doc_id_a"), F.greatest("da", "db").alias("doc_id_b")).distinct()
@@ -170,6 +174,7 @@ def equal_looking_pairs(found: DataFrame) -> DataFrame:
 def consistent_text(documents: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, class_id, text): each document with the form of its class's canonical member."""
     members = found.select("class_id").distinct()
-    texts = documents.select(F.col("doc_id").cast("long").alias("class_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(members, "class_id", "left_semi")
+    texts = documents.select(F.col("doc_id").cast("long").alias("class_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(members,
+        "class_id", "left_semi")
     canonical = texts.groupBy("class_id").agg(F.min(look_alike_form(F.col("text"))).alias("text"))
     return found.select("doc_id", "class_id").distinct().join(canonical, "class_id").select("doc_id", "class_id", "text")

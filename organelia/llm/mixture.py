@@ -77,7 +77,8 @@ def fit_lengths(lengths: Sequence[int], counts: Sequence[int], budget: int, wind
     return take
 
 
-def mix_sources(documents: DataFrame, targets: Sequence[Target], total_tokens: int | None = None, seed: int = 7, path: str = TOKENIZER, window: int = WINDOW, ranges: int = RANGES) -> tuple[DataFrame, DataFrame]:
+def mix_sources(documents: DataFrame, targets: Sequence[Target], total_tokens: int | None = None, seed: int = 7, path: str = TOKENIZER, window: int = WINDOW,
+    ranges: int = RANGES) -> tuple[DataFrame, DataFrame]:
     """Documents of each source so that the token shares meet the targets, and the shares that come out.
 
     Returns ``chosen`` (doc_id, source, n_tokens, copies) and ``shares`` (source, target_share, max_repeats,
@@ -108,7 +109,8 @@ def mix_sources(documents: DataFrame, targets: Sequence[Target], total_tokens: i
     )
     lengths = sized.groupBy("source", "n").agg(F.count("*").alias("c"))
     # At most a row per target comes to the driver.
-    have = {r["source"]: (r["docs"], r["tokens"]) for r in lengths.groupBy("source").agg(F.sum("c").alias("docs"), F.sum(F.col("n") * F.col("c")).alias("tokens")).collect()}
+    have = {r["source"]: (r["docs"], r["tokens"]) for r in lengths.groupBy("source").agg(F.sum("c").alias("docs"),
+        F.sum(F.col("n") * F.col("c")).alias("tokens")).collect()}
     share_of = sum(wanted[s].share for s in have) or 1.0
     if total_tokens is None:
         total_tokens = int(min((have[s][1] * wanted[s].max_repeats / (wanted[s].share / share_of) for s in have), default=0))
@@ -161,7 +163,8 @@ def mixture_faults(chosen: DataFrame, shares: DataFrame, documents: DataFrame, t
     ``total_tokens`` beyond what there is. Documents are told apart by doc_id.
     """
     limits = F.create_map(*([x for t in targets for x in (F.lit(t.source.strip().lower()), F.lit(t.max_repeats))] or [F.lit(""), F.lit(0)]))
-    true = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("of"), token_count(F.col("text").cast("string"), path).alias("n"))
+    true = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("of"),
+        token_count(F.col("text").cast("string"), path).alias("n"))
     both = chosen.join(true.groupBy("doc_id").agg(F.collect_set("of").alias("of"), F.collect_set("n").alias("n")), "doc_id", "left")
     found = both.groupBy("source").agg(
         F.count_if(~F.coalesce(F.array_contains("of", F.col("source")), F.lit(False))).alias("n_foreign"),

@@ -158,7 +158,8 @@ def sketches(keyed: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SKETCH.types, strict=True)], schema=_SKETCH)
 
     ship(keyed.sparkSession)
-    return keyed.select("key", "sequence").where("key is not null and sequence is not null").mapInArrow(run, "key string, fp binary, n int, regs array<int>, packed binary")
+    return keyed.select("key", "sequence").where("key is not null and sequence is not null").mapInArrow(run,
+        "key string, fp binary, n int, regs array<int>, packed binary")
 
 
 def _candidates(reps: DataFrame) -> DataFrame:

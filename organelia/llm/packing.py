@@ -225,7 +225,8 @@ def bin_completion(sizes: Sequence[int], capacity: int, nodes: int | None = NODE
     return done + rest if len(done) + len(rest) < len(best) else best
 
 
-def pack_block(docs: Sequence[tuple[int | None, int, int]], capacity: int, nodes: int | None = NODES, most: int | None = None) -> Iterator[tuple[int, int, int | None, int, int]]:
+def pack_block(docs: Sequence[tuple[int | None, int, int]], capacity: int, nodes: int | None = NODES, most: int | None = None) -> Iterator[tuple[int, int, int | None,
+    int, int]]:
     """(container, slot, doc_id, first token, tokens) for one block of (doc_id, size, copies).
 
     A document larger than the capacity is cut into full containers and a rest; no other is cut. An
@@ -360,11 +361,16 @@ def packing_faults(packed: DataFrame, documents: DataFrame, capacities: Mapping[
     # The sum over first and last tokens of pieces without gaps is a telescope: only its ends are left.
     ends = F.sum(F.col("token_start").cast("long")), F.sum((F.col("token_start") + F.col("n_tokens")).cast("long"))
     got = packed.groupBy("pack_name", "doc_id").agg(
-        F.count_if(F.col("token_start") == 0).alias("firsts"), F.sum("n_tokens").alias("tokens"), F.count("*").alias("pieces"), (ends[1] - ends[0]).alias("span"), F.max(F.col("token_start") + F.col("n_tokens")).alias("longest")
+        F.count_if(F.col("token_start") == 0).alias("firsts"), F.sum("n_tokens").alias("tokens"), F.count("*").alias("pieces"), (ends[1] - ends[0]).alias("span"),
+            F.max(F.col("token_start") + F.col("n_tokens")).alias("longest")
     )
     true = token_sizes(documents, path).groupBy("doc_id").agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.max("n").alias("most"))
     named = true.select("*", F.explode(F.array(*[F.lit(n) for n in capacities] or [F.lit(None).cast("string")])).alias("pack_name")).where("pack_name is not null")
-    both = named.alias("d").join(got.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.pack_name") == F.col("g.pack_name")), "left").select("d.pack_name", "rows", "n", "most", "firsts", "tokens", "pieces", "span", "longest")
-    wrong = ~F.coalesce((F.col("firsts") == F.col("rows")) & (F.col("tokens") == F.col("n")) & (F.col("span") == F.col("n")) & (F.col("longest") == F.col("most")), F.lit(False))
-    found = both.groupBy("pack_name").agg(F.sum("rows").alias("n_documents"), F.count_if((F.col("most") <= capacity) & (F.col("pieces") > F.col("rows"))).alias("n_cut"), F.count_if(wrong).alias("n_broken"))
-    return found.join(over, "pack_name", "left").select("pack_name", "n_documents", F.coalesce("n_overfull", F.lit(0).cast("long")).alias("n_overfull"), "n_cut", "n_broken")
+    both = named.alias("d").join(got.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.pack_name") == F.col("g.pack_name")),
+        "left").select("d.pack_name", "rows", "n", "most", "firsts", "tokens", "pieces", "span", "longest")
+    wrong = ~F.coalesce((F.col("firsts") == F.col("rows")) & (F.col("tokens") == F.col("n")) & (F.col("span") == F.col("n")) & (F.col("longest") == F.col("most")),
+        F.lit(False))
+    found = both.groupBy("pack_name").agg(F.sum("rows").alias("n_documents"), F.count_if((F.col("most") <= capacity) & (F.col("pieces") > F.col("rows"))).alias("n_cut"),
+        F.count_if(wrong).alias("n_broken"))
+    return found.join(over, "pack_name", "left").select("pack_name", "n_documents", F.coalesce("n_overfull", F.lit(0).cast("long")).alias("n_overfull"), "n_cut",
+        "n_broken")

@@ -141,7 +141,8 @@ ORACLE = {
     "p5_found": f"{_P5_SETS} SELECT key_a, key_b FROM pairs",
     "p5_classes": f"""{_P5_SETS}, named AS (SELECT key, min(key) OVER (PARTITION BY n, x, y) AS class_id, count(*) OVER (PARTITION BY n, x, y) AS n_members FROM sizes
 ), ends AS (SELECT key_a AS key, key_b AS other FROM pairs UNION ALL SELECT key_b, key_a FROM pairs
-), degree AS (SELECT e.key, count(DISTINCT o.class_id) AS n_links FROM ends e JOIN named o ON o.key = e.other JOIN named m ON m.key = e.key WHERE o.class_id <> m.class_id GROUP BY e.key)
+), degree AS (SELECT e.key, count(DISTINCT o.class_id) AS n_links FROM ends e JOIN named o ON o.key = e.other JOIN named m ON m.key = e.key
+  WHERE o.class_id <> m.class_id GROUP BY e.key)
 SELECT key, class_id, n_members, coalesce(n_links, 0) AS n_links FROM named LEFT JOIN degree USING (key)""",
     # Every document once, nothing wrong, whatever the containers are.
     "p7_faults": "SELECT pack_name, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS n_documents, 0 AS n_overfull, 0 AS n_cut, 0 AS n_broken FROM pack_sizes",

@@ -4,7 +4,8 @@ from organelia.llm import lookalike
 from organelia.llm.lookalike import classes, consistent_text, equal_looking_pairs, look_alike_form
 
 SAME = [
-    ("Café - 10 % of filled", ["Café - 10 % of filled", "Ｃafé - １0 ％ of filled", "Café - 10 % of filled", "Café ‐ 10 % of filled", "Café ‑ 10 % o​f fi­l‍led﻿", "Café - 10 % of ﬁlled", "Саfé - 10 % оf fіllеd", "Cafе́ - 10 % of filled"]),
+    ("Café - 10 % of filled", ["Café - 10 % of filled", "Ｃafé - １0 ％ of filled", "Café - 10 % of filled", "Café ‐ 10 % of filled", "Café ‑ 10 % o​f fi­l‍led﻿",
+        "Café - 10 % of ﬁlled", "Саfé - 10 % оf fіllеd", "Cafе́ - 10 % of filled"]),
     ("Ångdal 5 μm", ["Ångdal 5 μm", "Ångdal 5 µm", "А̊ngdal 5 µm"]),
     ("NOTE X", ["ΝΟΤΕ Χ", "ＮＯＴＥ　Ｘ"]),
 ]
@@ -74,11 +75,13 @@ def test_forms(spark):
 
 
 def test_other_scripts_and_hot_groups(spark):
-    data = [(1, "한국어 글"), (2, unicodedata.normalize("NFD", "한국어 글")), (3, "日本語"), (4, "中文"), (5, "がぎ"), (6, unicodedata.normalize("NFD", "がぎ")), (7, "かき"), (8, "ไทย"), (9, "")]
+    data = [(1, "한국어 글"), (2, unicodedata.normalize("NFD", "한국어 글")), (3, "日本語"), (4, "中文"), (5, "がぎ"), (6, unicodedata.normalize("NFD", "がぎ")), (7, "かき"), (8, "ไทย"),
+        (9, "")]
     data += [(1000 + i, "no" + "\u200b" * i + "tice") for i in range(40)] + [(2000, "notice"), (2000, "nòtice"), (2001, "no\u0300tice")]
     df = spark.createDataFrame(data, "doc_id long, text string")
     got = {tuple(r) for r in equal_looking_pairs(classes(df)).collect()}
     marked = [*range(1000, 1040), 2000]
     text = dict(data)
-    want = {(1, 2), (5, 6), (2000, 2001)} | {(a, b) for a in marked for b in marked if a < b and (text[a] if a != 2000 else "notice") != (text[b] if b != 2000 else "notice")}
+    want = {(1, 2), (5, 6), (2000, 2001)} | {(a,
+        b) for a in marked for b in marked if a < b and (text[a] if a != 2000 else "notice") != (text[b] if b != 2000 else "notice")}
     assert got == want

@@ -156,7 +156,8 @@ def test_containers_do_not_depend_on_the_split(spark):
 def test_faults_are_seen(spark):
     df = spark.createDataFrame([(1, "a b c d"), (2, "a b")], "doc_id long, text string")
     n = {1: count_tokens("a b c d"), 2: count_tokens("a b")}
-    faults = lambda *rows: tuple(packing_faults(spark.createDataFrame([("p", *r) for r in rows], "pack_name string, container string, slot int, doc_id long, token_start int, n_tokens int"), df, {"p": 4}).first())[1:]
+    faults = lambda *rows: tuple(packing_faults(spark.createDataFrame([("p", *r) for r in rows],
+        "pack_name string, container string, slot int, doc_id long, token_start int, n_tokens int"), df, {"p": 4}).first())[1:]
     assert (n[1], n[2]) == (4, 2)
     assert faults(("0.0", 0, 1, 0, 4), ("0.1", 0, 2, 0, 2)) == (2, 0, 0, 0)
     assert faults(("0.0", 0, 1, 0, 4), ("0.0", 1, 2, 0, 2)) == (2, 1, 0, 0)
