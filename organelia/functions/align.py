@@ -352,13 +352,14 @@ def score_pairs(pairs: DataFrame, query: str = "query", target: str = "target")
     return named.join(distinct, "_pair").select(*pairs.columns, "_r.*")
 
 
-def multiple_alignment(seqs: Sequence[str]) -> list[str]:
-    """Centre-star alignment: all sequences are aligned to the one that is nearest to all, gaps once made are kept."""
+def multiple_alignment(seqs: Sequence[str], copies: Sequence[int] | None = None) -> list[str]:
+    """Centre-star alignment: all sequences are aligned to the one that is nearest to all, each counted with its copies; gaps once made are kept."""
     seqs = list(seqs)
+    copies = [1] * len(seqs) if copies is None else list(copies)
     if len(seqs) < 2:
         return seqs
     pair = {(i, j): align(seqs[i], seqs[j]) for i in range(len(seqs)) for j in range(i + 1, len(seqs))}
-    total = [sum(pair[min(i, j), max(i, j)].score for j in range(len(seqs)) if j != i) for i in range(len(seqs))]
+    total = [sum(pair[min(i, j), max(i, j)].score * copies[j] for j in range(len(seqs)) if j != i) for i in range(len(seqs))]
     c = total.index(max(total))
     centre = seqs[c]
     rows = {c: centre}
@@ -421,21 +422,29 @@ def cluster_order(d: np.ndarray) -> list[int]:
 def alignment_report(df: DataFrame, group: str, name: str, sequence: str, most: int = 500) -> DataFrame:
     """(group, name, ord, aligned, mean_distance): the alignment of each group in cluster order.
 
-    All pairs of a group are aligned, so a group is for one gene of an export; one with over ``most`` rows
-    is refused rather than cut. NULL and empty sequences are left out.
+    Each distinct sequence of a group is aligned once, weighed with its copies, which share its place ``ord`` and its
+    row; ``mean_distance`` is that to all other rows of the group. All pairs of distinct sequences of a group are aligned, so a group
+    is for one gene of an export; one with over ``most`` distinct sequences is refused rather than cut. NULL and empty
+    sequences are left out; a NULL group is a group, repeated rows are copies.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         if len(frame) > most:
-            raise ValueError(f"a group of {len(frame)} sequences is too large to align; the limit is {most}")
-        frame = frame.sort_values([name, sequence])
-        aligned = multiple_alignment(frame[sequence].tolist())
+            raise ValueError(f"a group of {len(frame)} different sequences is too large to align; the limit is {most}")
+        frame = frame.sort_values("seq")
+        copies = frame["copies"].to_numpy()
+        aligned = multiple_alignment(frame["seq"].tolist(), copies.tolist())
         d = distances(aligned)
         order = cluster_order(d)
-        return pd.DataFrame({"group": frame["grp"].iloc[0], "name": [frame[name].iloc[i] for i in order], "ord": range(1, len(order) + 1),
-            "aligned": [aligned[i] for i in order], "mean_distance": [float(d[i].sum() / max(len(order) - 1, 1)) for i in order]})
+        mean = d @ copies / max(int(copies.sum()) - 1, 1)
+        return pd.DataFrame({"grp": frame["grp"].iloc[0], "id": [frame["id"].iloc[i] for i in order], "ord": range(1, len(order) + 1), "aligned": [aligned[i] for i in order], "mean_distance": [float(mean[i]) for i in order]})
 
     ship(df.sparkSession)
-    kept = df.where(F.col(sequence).isNotNull() & (F.col(sequence) != "")).select(F.col(group).alias("grp"), name, sequence)
-    return kept.groupBy("grp").applyInPandas(run, "group string, name string, ord int, aligned string, mean_distance double")
-
+    kept = df.where(F.col(sequence).isNotNull() & (F.col(sequence) != "")).select(F.col(group).cast("string").alias("grp"), F.col(name).alias("name"), F.col(sequence).alias("seq"), F.md5(sequence).alias("id"))
+    # Copies are counted before they meet; a task holds the distinct sequences of a group.
+    distinct = kept.groupBy("grp", "id").agg(F.min("seq").alias("seq"), F.count("*").alias("copies"))
+    # The groups are few rows and much work, so they are spread by number, not brought together by size.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = distinct.repartition(4 * parts, "grp").groupBy("grp").applyInPandas(run, "grp string, id string, ord int, aligned string, mean_distance double")
+    both = kept.alias("k").join(rows.alias("r"), F.col("k.grp").eqNullSafe(F.col("r.grp")) & (F.col("k.id") == F.col("r.id")))
+    return both.select(F.col("k.grp").alias("group"), "name", "ord", "aligned", "mean_distance")

@@ -169,6 +169,13 @@ def curate_boundaries(spark, base):
     return refined.select("row_id", "pos1", "pos2", "length", "start_codon", "stop_codon", "notes")
 
 
+@query(None)
+def gene_alignments(spark, base):
+    """The proteins of each gene aligned with each other, in cluster order."""
+    d = table(spark, base, "annotations").where("type = 'PCG' and pos1 > 0").select("id", "gene", "translation").distinct()
+    return align.alignment_report(d, "gene", "id", "translation").select("group", "name", "ord", F.md5("aligned").alias("aligned_md5"), "mean_distance")
+
+
 # Per-base tracks ---------------------------------------------------------------------------------
 
 

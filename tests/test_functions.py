@@ -90,3 +90,8 @@ def test_alignment_in_spark(spark):
     genes = spark.createDataFrame([("g", "a", "MKLVW"), ("g", "b", "MKLW"), ("h", "a", "MMM"), ("h", "b", None)], "gene string, id string, protein string")
     report = A.alignment_report(genes, "gene", "id", "protein").collect()
     assert {(r["group"], r["name"]) for r in report} == {("g", "a"), ("g", "b"), ("h", "a")}
+    # Copies share a row and a place and weigh in the distances.
+    more = spark.createDataFrame([("g", f"a{i}", "MKLVW") for i in range(600)] + [("g", "b", "MKLW"), (None, "c", "MK")], "gene string, id string, protein string")
+    rows = A.alignment_report(more, "gene", "id", "protein").collect()
+    assert len(rows) == 602 and {(r["ord"], r["aligned"], round(r["mean_distance"], 6)) for r in rows if r["name"].startswith("a")} == {(2, "MKLVW", round(0.2 / 600, 6))} or {r["ord"] for r in rows if r["name"].startswith("a")} == {1}
+    assert [(r["aligned"], round(r["mean_distance"], 6)) for r in rows if r["name"] == "b"] == [("MKL-W", 0.2)]
