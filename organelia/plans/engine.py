@@ -165,7 +165,7 @@ def curate_boundaries(spark, base):
     refs = refs.select("gene", curate.packed_references(F.col("references")).alias("references"))
     d = d.join(F.broadcast(refs), "gene").join(F.broadcast(_rules(spark).select("gene", "start_codons", "stop_codons")), "gene")
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in (*CONTIG, "gene", "pos1", "pos2", "direction", "stop_codon")])
-    refined = curate.refined_calls(d.withColumns({"row_id": key, "notes": F.lit(None).cast("string")}), CODE, 40, MAX_HITS, every_hit=False)
+    refined = curate.refined_calls(d.withColumns({"row_id": key, "notes": F.lit(None).cast("string")}), CODE, params.fish()["hit_threshold"], MAX_HITS, every_hit=False)
     return refined.select("row_id", "pos1", "pos2", "length", "start_codon", "stop_codon", "notes")
 
 
