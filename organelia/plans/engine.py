@@ -202,14 +202,17 @@ def coverage_track(spark, base):
     return track(spark, base).select(*CONTIG, "position", "call", "depth", "error_rate")
 
 
+_WIDE = f"({_BY} ORDER BY position ROWS BETWEEN 99 PRECEDING AND 100 FOLLOWING)"
 _STATS = f"""med AS (SELECT *, median(depth) OVER ({_BY}) AS m FROM track
 ), mad AS (SELECT *, median(abs(depth - m)) OVER ({_BY}) AS a FROM med
 ), smooth AS (SELECT *, coalesce(abs(depth - m) > 8 * a, false) AS mean_depth_mask, round_even(avg(depth) OVER {_FIVE}, 2) AS mean_depth,
   round_even(avg(error_rate) OVER {_FIVE}, 2) AS smooth_error,
-  CASE WHEN count(*) OVER ({_BY} ORDER BY position ROWS BETWEEN 99 PRECEDING AND 100 FOLLOWING) = 200 THEN round_even(sum((call IN ('G',
-    'C'))::INT) OVER ({_BY} ORDER BY position ROWS BETWEEN 99 PRECEDING AND 100 FOLLOWING) / 200, 2) END AS gc FROM mad
+  CASE WHEN count(*) OVER {_WIDE} = 200 THEN sum((call IN ('G', 'C'))::INT) OVER {_WIDE} END AS bases FROM mad
+), share AS (
+  -- Halves of a hundredth go to the even one, on whole numbers.
+  SELECT *, CASE WHEN bases % 2 = 0 THEN bases // 2 ELSE 2 * ((bases + 1) // 4) END / 100 AS gc FROM smooth
 ), stats AS (SELECT id, path, scaffold, position, call, depth, smooth_error AS error_rate, mean_depth, gc, mean_depth_mask, coalesce(max(coalesce(smooth_error > 0.05,
-  false)) OVER {_FIVE}, false) AS error_rate_mask FROM smooth)"""
+  false)) OVER {_FIVE}, false) AS error_rate_mask FROM share)"""
 
 
 @query(f"WITH {_TRACK}, {_STATS} SELECT id, path, scaffold, position, mean_depth, error_rate, gc, mean_depth_mask, error_rate_mask FROM stats")
