@@ -46,6 +46,7 @@ def punctuated(calls: DataFrame, keys: Sequence[str]) -> DataFrame:
     d = d.withColumn("_n1", new1).withColumn("_p1", F.coalesce("_n1", "pos1"))
     new2 = F.when(rrna & (F.col("_at") == "tRNA") & (F.col("_a1") - 1 != F.col("pos2")) & (F.col("_a1") - F.col("_p1") <= limit), F.col("_a1") - 1)
     d = d.withColumn("_n2", new2)
+    # Fixed value: the text of the note.
     note = lambda what, by: F.when(by.isNotNull(), F.concat(F.lit(f"Applied punctuation model - moved {what} by "), by.cast("string"), F.lit(" bp")))
     notes = append_note(append_note(F.col("notes"), note("pos1", F.col("_n1") - F.col("pos1"))), note("pos2", F.col("_n2") - F.col("pos2")))
     d = d.withColumns({"notes": notes, "pos1": F.col("_p1"), "pos2": F.coalesce("_n2", "pos2")})

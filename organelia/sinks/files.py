@@ -43,6 +43,8 @@ def _tab(*cells: Column | str) -> Column:
     return F.concat_ws("\t", *[F.lit(c) if isinstance(c, str) else c for c in cells])
 
 
+# The notes of an export.
+UNDETERMINED = "start codon not determined"
 COMPLETED = "TAA stop codon is completed by the addition of 3' A residues to the mRNA"
 
 
@@ -50,7 +52,7 @@ def codon_notes(df: DataFrame) -> DataFrame:
     """Adds ``bad_start`` and ``note`` to protein calls from (start_codon, stop_codon, start_codons); NULL codons and NULL lists raise no note."""
     bad = (F.col("type") == "PCG") & F.coalesce(~F.array_contains("start_codons", F.col("start_codon")), F.lit(False))
     short = (F.col("type") == "PCG") & (F.length("stop_codon") < 3)
-    parts = F.concat_ws("; ", F.when(bad, "start codon not determined"), F.when(short, COMPLETED))
+    parts = F.concat_ws("; ", F.when(bad, UNDETERMINED), F.when(short, COMPLETED))
     return df.withColumn("bad_start", bad).withColumn("note", F.nullif(parts, F.lit("")))
 
 
@@ -67,6 +69,7 @@ def feature_table(calls: DataFrame) -> DataFrame:
     q = lambda name, value: _tab("\t\t", name, value)
     kind = F.col("type")
     shown = F.when((kind == "rRNA") & (F.col("gene") == "rrnS"), "s-rRNA").when(kind == "rRNA", "l-rRNA").otherwise(F.col("gene"))
+    # The feature names and qualifiers of the file format, and the notes.
     lines = F.when(
         kind.isin("PCG", "tRNA", "rRNA"),
         F.array(
@@ -95,6 +98,7 @@ def gff3(calls: DataFrame, source: str = "organelia") -> DataFrame:
         attributes)
     kind, gene, product = F.col("type"), F.col("gene"), F.coalesce("product", F.lit(""))
     place = F.concat(F.col("seq_name"), F.lit(":"), F.col("pos1").cast("string"), F.lit(".."), F.col("pos2").cast("string"))
+    # Fixed values below: the feature names and attributes of the file format.
     text = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
     cds = text("ID=cds-", gene, ";Parent=gene-", gene, ";Name=", gene, ";gbkey=CDS;gene=", gene, ";product=", product, ";transl_table=",
         F.col("genetic_code").cast("string"), F.coalesce(F.concat(F.lit(";Note="), F.col("note")), F.lit("")))
