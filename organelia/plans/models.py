@@ -14,6 +14,7 @@ from organelia.operators.nested import rule_values
 from organelia.operators.rejects import classify_records, valid_records
 from organelia.plans.params import merged_rules
 from organelia.plans.problems import _P3, _P6
+from organelia.plans.rules import _WARNED, _warned
 from organelia.session import table
 
 
@@ -361,3 +362,28 @@ def changed_reads(spark, base):
     s = _taxa(spark, base).join(new.select("id"), "id", "left_semi").select("id", F.struct("r1", "r2").alias("now"))
     both = old.select("id", F.struct("r1", "r2").alias("then")).join(s, "id")
     return both.where(~F.col("now").eqNullSafe(F.col("then"))).select("id")
+
+
+# Warnings by each sample's own parameter set ----------------------------------------------------------
+
+_TYPED = {"max_len": "double", "min_len": "double", "overlap_start": "int", "overlap_stop": "boolean"}
+_OWN = ", ".join(f"try_cast({c} AS {t.upper()}) AS own_{c}" for c, t in _TYPED.items())
+_SAYS = {"max_len": "max_len", "min_len": "min_len", "overlap_start": "overlap_start", "overlap_stop": "overlap_stop", "starts": "start_codons", "stops": "stop_codons"}
+_WARNED_OWN = (
+    _WARNED.replace("src AS (", "track_src AS (").replace("FROM src", "FROM track_src")
+    .replace("a, st, sp, r.*,", "a, st, sp, rgene, allowed, " + ", ".join(f"coalesce(own_{o}, r.{c}) AS {c}" for c, o in _SAYS.items()) + ",")
+    .replace("LEFT JOIN rules r ON rgene = gene", "LEFT JOIN rules r ON rgene = gene LEFT JOIN own ON own_id = d.id AND own_gene = d.gene")
+)
+
+
+@_query(
+    f"""{merged_sql("removed_at IS NULL")}, {_latest_sql("last_set", "annotate", "curate_opts")}
+, own AS (SELECT l.id AS own_id, gene AS own_gene, {_OWN}, start_codons AS own_start_codons, stop_codons AS own_stop_codons FROM last_set l JOIN merged m ON m.curate_opts = l.curate_opts)
+, {_WARNED_OWN} SELECT id, path, scaffold, type, gene, pos1, pos2, direction, start_codon, stop_codon, length, warnings FROM warned"""
+)
+def rules_own_set(spark, base):
+    """The warnings of ``rules_warnings``, with the rules of each sample's own parameter set before the built-in ones."""
+    own = sample_rules(table(spark, base, "annotate"), table(spark, base, "curate_opts")).where("gene is not null")
+    own = own.select("id", "gene", *[F.col(c).try_cast(t).alias(c) for c, t in _TYPED.items()], "start_codons", "stop_codons")
+    d = _warned(spark, base, own)
+    return d.select("id", "path", "scaffold", "type", "gene", "pos1", "pos2", "direction", "start_codon", "stop_codon", "length", F.array_join("warnings", "; ").alias("warnings"))

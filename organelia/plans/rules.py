@@ -120,7 +120,7 @@ _WARNED = f"""{_calls_sql("start_codon, stop_codon, translation, refhits")}, {RU
 )"""
 
 
-def _warned(spark: SparkSession, base: str) -> DataFrame:
+def _warned(spark: SparkSession, base: str, own: DataFrame | None = None) -> DataFrame:
     # What the checks between calls need is narrow, is read five times, and so is written once.
     narrow = cut(_long_calls(spark, base))
     c = _long_calls(spark, base, "start_codon", "stop_codon", "translation", "refhits").withColumn("hits", X.hit_rows(F.col("refhits")))
@@ -128,7 +128,7 @@ def _warned(spark: SparkSession, base: str) -> DataFrame:
     of_call = V.with_ends(V.with_duplicates(narrow, calls(spark, base), rules, SAMPLE), SAMPLE, ORDER).select(*CONTIG, *SPAN, "duplicate", "is_first", "is_last")
     of_call = of_call.join(_weak(spark, base, _pieces(narrow)).drop("n_bases"), [*CONTIG, *SPAN], "left")
     worst = V.worst_overlaps_of(narrow, KEYS, CALL, "contig_length")
-    return V.call_warnings(c.join(of_call, [*CONTIG, *SPAN]), worst, params.rules_frame(spark, params.fish()), KEYS, CALL, 0.25, 90)
+    return V.call_warnings(c.join(of_call, [*CONTIG, *SPAN]), worst, params.rules_frame(spark, params.fish()), KEYS, CALL, 0.25, 90, own, ["id"])
 
 
 @_query(f"WITH {_WARNED} SELECT id, path, scaffold, type, gene, pos1, pos2, direction, start_codon, stop_codon, length, warnings FROM warned")

@@ -74,18 +74,23 @@ def overlaps(pieces: DataFrame, keys: Sequence[str], call: Sequence[str], bucket
     return j.where(~same).groupBy(*keys, *call, *[f"r_{c}" for c in call]).agg(F.sum(shared).alias("overlap"))
 
 
-def call_warnings(calls: DataFrame, worst: DataFrame, rules: DataFrame, keys: Sequence[str], call: Sequence[str], max_overlap: float, hit_threshold: float) -> DataFrame:
+def call_warnings(calls: DataFrame, worst: DataFrame, rules: DataFrame, keys: Sequence[str], call: Sequence[str], max_overlap: float, hit_threshold: float, own: DataFrame | None = None, own_by: Sequence[str] = ()) -> DataFrame:
     """Calls with ``warnings``: an array of what the rules say, in a fixed order.
 
     ``calls`` has length, type, start_codon, stop_codon, translation and hits (array of similarity,
     gap_leading, gap_trailing; NULL is none), and may have duplicate (``with_duplicates``), low_coverage and
     high_error (``weak_regions``), and is_first and is_last (``with_ends``): the end of the first and of the last call of a sample that lies
     outward may overlap. ``worst`` are their ``worst_overlaps``. Calls of a gene without rules are only checked for overlap.
+    ``own`` are rules of ``own_by`` (a sample) and gene, that go before ``rules`` wherever they say something.
     """
     on = [*keys, *call]
     plus = F.col("direction") == "+"
     r = F.broadcast(rules.drop("type", "count").withColumnRenamed("gene", "_gene"))
     d = calls.join(worst, on, "left").join(r, F.col("gene") == F.col("_gene"), "left").drop("_gene")
+    if own is not None:
+        says = ("max_len", "min_len", "overlap_start", "overlap_stop", "start_codons", "stop_codons")
+        o = own.select(*own_by, "gene", *[F.col(c).alias(f"_own_{c}") for c in says])
+        d = d.join(o, [*own_by, "gene"], "left").withColumns({c: F.coalesce(f"_own_{c}", c) for c in says}).drop(*[f"_own_{c}" for c in says])
     over = F.coalesce(F.col("any_overlap") / F.col("length") > max_overlap, F.lit(False))
     pcg = F.col("type") == "PCG"
     no_hit = lambda test: pcg & ~F.coalesce(F.exists("hits", test), F.lit(False))
