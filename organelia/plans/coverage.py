@@ -24,10 +24,13 @@ def fold_circular(counts: DataFrame, contigs: DataFrame, keys: Sequence[str] = (
 
 
 def fill_gaps(counts: DataFrame, contigs: DataFrame, keys: Sequence[str] = ("seq_id",)) -> DataFrame:
-    """A row for every base of each contig (keys, sequence): missing ones have depth 0, the reference base and no error rate."""
+    """A row for every base of each contig (keys, sequence): missing ones have depth 0, the reference base and no error rate.
+
+    Both sides of the join have a row a base, so it is a merge join: neither is ever brought to the driver.
+    """
     spine = contigs.select(*keys, F.posexplode(F.filter(F.split("sequence", ""), lambda b: b != "")).alias("_p", "_base")).withColumn("position",
         (F.col("_p") + 1).cast("long"))
-    d = spine.join(counts, [*keys, "position"], "left")
+    d = spine.join(counts.hint("merge"), [*keys, "position"], "left")
     zero = F.lit(0.0)
     return d.select(*keys, "position", F.coalesce("call", "_base").alias("call"), F.coalesce("depth", zero).alias("depth"), F.coalesce("correct",
         F.when(F.col("depth").isNull(), zero)).alias("correct"), "error_rate")
@@ -64,6 +67,11 @@ def pack_track(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Data
 
 
 def unpack_track(df: DataFrame, keys: Sequence[str], track: str, out: str) -> DataFrame:
-    """A packed track as one row per base; what is no number is NULL."""
-    return df.where(F.col(track).isNotNull()).select(*keys, F.posexplode(F.split(F.trim(track), r"\s+")).alias("_p", "_v")).select(*keys,
+    """A packed track as one row per base; what is no number is NULL.
+
+    Spark estimates the size of these rows by that of the packed texts, which is far smaller, so a join with them is asked to be a merge join:
+    a broadcast would bring every base to the driver.
+    """
+    d = df.where(F.col(track).isNotNull()).select(*keys, F.posexplode(F.split(F.trim(track), r"\s+")).alias("_p", "_v")).select(*keys,
         (F.col("_p") + 1).cast("long").alias("position"), F.col("_v").try_cast("double").alias(out))
+    return d.hint("merge")

@@ -185,7 +185,7 @@ def track(spark, base):
     counts = C.unpack_track(d, CONTIG, "depth", "depth").join(C.unpack_track(d, CONTIG, "errors", "error_rate"), [*CONTIG, "position"], "left")
     called = d.select(*CONTIG, "topology", F.length("sequence").cast("long").alias("length"), F.posexplode(S.bases(F.upper("sequence"))).alias("p",
         "call")).withColumn("position", (F.col("p") + 1).cast("long")).drop("p")
-    return called.join(counts, [*CONTIG, "position"], "left").withColumn("correct", F.col("depth"))
+    return called.join(counts.hint("merge"), [*CONTIG, "position"], "left").withColumn("correct", F.col("depth"))
 
 
 _TRACK = """src AS (SELECT id, path, scaffold, min(topology) AS topology, string_split(trim(min(depth)), ' ') AS d, string_split(trim(min(errors)), ' ') AS e,

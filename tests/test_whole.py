@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from organelia.functions import align
 from organelia.functions.seq import genetic_code
-from organelia.plans import engine
+from organelia.plans import engine, formats
 
 CODE = genetic_code(2)
 ANNOTATIONS = "id string, path int, scaffold int, type string, gene string, product string, pos1 long, pos2 long, direction string, anticodon string, start_codon string, stop_codon string, translation string"
@@ -92,3 +92,27 @@ def test_calls_over_the_origin_are_refined(spark, tmp_path):
         else:
             assert got[f"p{k}"][4] is None  # the part to add lies over the origin of a call that does not
     assert "l0" not in got
+
+
+def final_plan(df):
+    """The plan as it ran."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.execute().count()
+    return plan.toString().partition("Initial Plan")[0]
+
+
+def test_no_base_is_broadcast(spark, tmp_path):
+    bases = 300
+    depth = [str(k % 7) if k % 11 else "NA" for k in range(bases)]
+    rows = [(f"s{k}", 1, 1, "linear", "ACGTN" * (bases // 5), " ".join(depth), "0 " * (bases - 1) + "0" if k % 2 else None) for k in range(3)]
+    write(spark, tmp_path, "assemblies", rows, "id string, path int, scaffold int, topology string, sequence string, depth string, errors string")
+    for query in (formats.scan_read_counts, engine.coverage_track):
+        plan = final_plan(query(spark, str(tmp_path)))
+        assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+    got = {(r["seq_id"], r["position"]): (r["call"], r["depth"], r["correct"]) for r in formats.scan_read_counts(spark, str(tmp_path)).collect()}
+    expected = {}
+    for k in range(3):
+        for i, d in enumerate(depth):
+            n, call = 0 if d == "NA" else int(d), "ACGTN"[i % 5]
+            expected[f"s{k}.1.1", i + 1] = (call, float(n), 0.0 if d == "NA" else None if call == "N" else float(max(n - (i + 1) % 3, 0)))
+    assert got == expected
