@@ -182,7 +182,9 @@ def gene_alignments(spark, base):
 def track(spark, base):
     d = table(spark, base, "assemblies").where("depth is not null and sequence is not null").groupBy(*CONTIG).agg(*[F.min(c).alias(c) for c in ("topology", "depth",
         "errors", "sequence")])
-    counts = C.unpack_track(d, CONTIG, "depth", "depth").join(C.unpack_track(d, CONTIG, "errors", "error_rate"), [*CONTIG, "position"], "left")
+    # Merge joins: Spark estimates a row a base by the packed texts, which are far smaller, and a broadcast would bring every base to the driver.
+    errors = C.unpack_track(d, CONTIG, "errors", "error_rate").hint("merge")
+    counts = C.unpack_track(d, CONTIG, "depth", "depth").join(errors, [*CONTIG, "position"], "left")
     called = d.select(*CONTIG, "topology", F.length("sequence").cast("long").alias("length"), F.posexplode(S.bases(F.upper("sequence"))).alias("p",
         "call")).withColumn("position", (F.col("p") + 1).cast("long")).drop("p")
     return called.join(counts.hint("merge"), [*CONTIG, "position"], "left").withColumn("correct", F.col("depth"))
